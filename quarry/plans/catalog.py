@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.operators import dedup as D
 from quarry.operators import ordered as O
 from quarry.operators import report as R
 from quarry.sources import registry as REG
@@ -225,6 +226,34 @@ def q_best_loss_flags(spark, sf_dir):
     return flags.select("save_step", F.round("avg_loss", 6).alias("avg_loss"), "is_best")
 
 
+# ---------------------------------------------------------------- near-dedup
+DEDUP_THRESHOLD, DEDUP_PERM, DEDUP_SEED = 0.9, 128, 1
+
+
+def q_minhash_signature(spark, sf_dir):
+    """The 128-value MinHash signature of every document (digest + minimum)."""
+    d = load(spark, sf_dir, "documents")
+    sk = D.minhash(d, "text", "doc_id", DEDUP_PERM, DEDUP_THRESHOLD, seed=DEDUP_SEED, with_signature=True)
+    return sk.select(F.col("pos").alias("doc_id"),
+                     F.md5(F.array_join(F.transform("signature", lambda x: x.cast("string")), ",")).alias("sig_md5"),
+                     F.array_min("signature").alias("sig_min"))
+
+
+def q_lsh_buckets(spark, sf_dir):
+    """LSH buckets shared by more than one document: size and first member (no pairs emitted)."""
+    d = load(spark, sf_dir, "documents")
+    sk = D.minhash(d, "text", "doc_id", DEDUP_PERM, DEDUP_THRESHOLD, seed=DEDUP_SEED)
+    b = D.lsh_buckets(sk).groupBy("band", "key").agg(F.count(F.lit(1)).alias("n_docs"), F.min("pos").alias("first_doc"))
+    return b.filter(F.col("n_docs") > 1).select(F.col("band").cast("long"), "key", "n_docs", "first_doc")
+
+
+def q_near_dedup(spark, sf_dir):
+    """Documents kept by first-wins MinHash-LSH near-dedup in doc_id order."""
+    d = load(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    kept = D.near_dedup(d, "doc_id", "text", DEDUP_THRESHOLD, DEDUP_PERM, seed=DEDUP_SEED)
+    return kept.select("doc_id", "source")
+
+
 def flagship(spark, sf_dir):
     """English documents -> whitespace tokens -> per-source budget -> mixture profile."""
     d = docs_with_counts(spark, sf_dir).filter(F.col("lang") == "en").select("source", "doc_id", "n_tokens")
@@ -254,5 +283,8 @@ QUERIES = {
     "step_plan": q_step_plan,
     "step_rollup": q_step_rollup,
     "best_loss_flags": q_best_loss_flags,
+    "minhash_signature": q_minhash_signature,
+    "lsh_buckets": q_lsh_buckets,
+    "near_dedup": q_near_dedup,
     "flagship_mixture": flagship,
 }

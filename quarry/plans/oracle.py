@@ -194,3 +194,51 @@ sv AS (SELECT log_step, train_loss, min(train_loss) OVER (ORDER BY log_step ROWS
        FROM roll WHERE log_step % {C.SAVE_INTERVAL} = 0)
 SELECT log_step AS save_step, round(train_loss, 6) AS avg_loss, (best IS NULL OR train_loss < best) AS is_best FROM sv
 """
+
+
+# ---------------------------------------------------------------- near-dedup
+def _sketch_sql() -> str:
+    from quarry.operators.dedup import EMPTY_VALUE, PRIME, optimal_bands, perm_params
+
+    a, b = perm_params(C.DEDUP_PERM, C.DEDUP_SEED)
+    nb, r = optimal_bands(C.DEDUP_THRESHOLD, C.DEDUP_PERM)
+    perms = ", ".join(f"({i}, {x}, {y})" for i, (x, y) in enumerate(zip(a, b)))
+    return f"""
+WITH perms AS (SELECT * FROM (VALUES {perms}) t(i, a, b)),
+toks AS (SELECT doc_id, unnest(list_distinct({tokens('text')})) AS tok FROM documents),
+h0 AS (SELECT doc_id, (('0x' || substr(md5(tok), 1, 8))::BIGINT) % {PRIME} AS h FROM toks),
+sig0 AS (SELECT h0.doc_id, perms.i, min((perms.a * h0.h + perms.b) % {PRIME}) AS v FROM h0, perms GROUP BY 1, 2),
+sig AS (SELECT d.doc_id, p.i, coalesce(s.v, {EMPTY_VALUE})::BIGINT AS v
+        FROM (SELECT doc_id FROM documents) d CROSS JOIN perms p LEFT JOIN sig0 s ON s.doc_id = d.doc_id AND s.i = p.i),
+bands AS (SELECT doc_id AS pos, (i // {r})::INTEGER AS band,
+                 md5(((i // {r})::VARCHAR) || ':' || string_agg(v::VARCHAR, ',' ORDER BY i)) AS key
+          FROM sig WHERE i < {nb * r} GROUP BY doc_id, i // {r})"""
+
+
+SQL["minhash_signature"] = _sketch_sql() + """
+SELECT doc_id, md5(string_agg(v::VARCHAR, ',' ORDER BY i)) AS sig_md5, min(v)::BIGINT AS sig_min FROM sig GROUP BY doc_id
+"""
+
+SQL["lsh_buckets"] = _sketch_sql() + """
+SELECT band::BIGINT AS band, key, count(*)::BIGINT AS n_docs, min(pos)::BIGINT AS first_doc
+FROM bands GROUP BY band, key HAVING count(*) > 1
+"""
+
+
+def _peel_sql(rounds: int = 12) -> str:
+    """The parallel peeling rounds unrolled: keep local minima, drop members of their buckets."""
+    parts = ["m0 AS (SELECT band, key, pos FROM bands)"]
+    for k in range(1, rounds + 1):
+        p = f"m{k - 1}"
+        parts.append(f"""mins{k} AS (SELECT band, key, min(pos) AS mp FROM {p} GROUP BY band, key),
+kept{k} AS (SELECT m.pos FROM {p} m JOIN mins{k} USING (band, key) GROUP BY m.pos HAVING bool_and(m.pos = mins{k}.mp)),
+killed{k} AS (SELECT band, key FROM mins{k} WHERE mp IN (SELECT pos FROM kept{k})),
+drop{k} AS (SELECT DISTINCT pos FROM {p} JOIN killed{k} USING (band, key) WHERE pos NOT IN (SELECT pos FROM kept{k})),
+m{k} AS (SELECT * FROM {p} WHERE pos NOT IN (SELECT pos FROM kept{k}) AND pos NOT IN (SELECT pos FROM drop{k}))""")
+    dropped = " UNION ALL ".join(f"SELECT pos FROM drop{k}" for k in range(1, rounds + 1))
+    return ",\n".join(parts) + f",\ndropped AS ({dropped})"
+
+
+SQL["near_dedup"] = _sketch_sql() + ",\n" + _peel_sql() + """
+SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT pos FROM dropped)
+"""
