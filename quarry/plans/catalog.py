@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from quarry.functions import text as T
 from quarry.operators import dedup as D
 from quarry.operators import ordered as O
+from quarry.operators import shards as SH
+from quarry.functions import sequences as SQ
 from quarry.operators import report as R
 from quarry.sources import registry as REG
 from quarry.sources.tables import documents_registry, load, source_index, table_path
@@ -254,6 +256,124 @@ def q_near_dedup(spark, sf_dir):
     return kept.select("doc_id", "source")
 
 
+# ---------------------------------------------------------------- sequences, packing, shards
+SEQ_LEN, EOS_ID = 16, 0  # word-length ids are >= 1, so 0 is free for EOS (= pad, as in the reference)
+SHARD_SIZE = 1_000  # sequences per count shard
+PACK_GROUP = 256  # lines per packing group (bounded sequential unit)
+SHARD_TOKENS = 20_000
+
+
+def q_fixed_length_ids(spark, sf_dir):
+    """Fixed-length examples from every record shape (word-length ids)."""
+    out = None
+    for shp in text_shapes(spark, sf_dir):
+        r = shp.select("shape", "rid", T.resolve_text_first_nonempty(shp))
+        ids = SQ.word_length_ids(T.py_split("text"))
+        input_ids, mask = SQ.fixed_length(ids, F.col("text") == "", SEQ_LEN, EOS_ID)
+        r = r.select("shape", "rid", input_ids.alias("input_ids"), mask.alias("attention_mask"))
+        out = r if out is None else out.unionByName(r)
+    out = SQ.drop_empty(out)
+    return out.select("shape", "rid", F.array_join("input_ids", ",").alias("input_ids"),
+                      F.array_join("attention_mask", ",").alias("attention_mask"))
+
+
+def line_sequences(spark, sf_dir):
+    """Stripped non-blank lines of every document with word-length ids (+EOS if missing)."""
+    lines = T.strip_nonblank_lines(load(spark, sf_dir, "documents"), keep=["doc_id"])
+    ids = SQ.append_eos(SQ.word_length_ids(T.py_split("line")), EOS_ID, "if_missing")
+    return lines.select("doc_id", F.col("line_no").cast("long"), ids.alias("ids"))
+
+
+def line_order(doc: str = "doc_id", line: str = "line_no", chunk=None):
+    key = F.col(doc) * F.lit(1 << 32) + F.col(line) * F.lit(1 << 16)
+    return key + F.col(chunk) if chunk is not None else key
+
+
+def chunk_table(spark, sf_dir):
+    c = SH.count_shard_chunks(line_sequences(spark, sf_dir), "ids", SEQ_LEN)
+    c = c.withColumn("chunk_idx", F.col("chunk_idx").cast("long")).withColumn("_ord", line_order(chunk="chunk_idx"))
+    pos = O.global_position(c, "_ord")
+    return O.count_shards(pos, SHARD_SIZE)
+
+
+def q_chunk_ids(spark, sf_dir):
+    """F8 + W4: lines cut into SEQ_LEN chunks, with global position and count shard."""
+    c = chunk_table(spark, sf_dir)
+    return c.select("doc_id", "line_no", "chunk_idx", "pos", "shard", "local_idx",
+                    F.array_join("chunk", ",").alias("ids"), F.size("chunk").cast("long").alias("n_ids"))
+
+
+def q_count_shards(spark, sf_dir):
+    """Sequences per count shard."""
+    return chunk_table(spark, sf_dir).groupBy("shard").agg(F.count(F.lit(1)).alias("n_sequences"))
+
+
+def q_shard_metadata(spark, sf_dir):
+    """Total sequences, shards, parameters (one row)."""
+    c = chunk_table(spark, sf_dir)
+    return c.agg(F.count(F.lit(1)).alias("total_sequences"), F.countDistinct("shard").alias("num_shards")).select(
+        "total_sequences", "num_shards", F.lit(SEQ_LEN).cast("long").alias("seq_length"),
+        F.lit(SHARD_SIZE).cast("long").alias("shard_size"))
+
+
+def q_shard_names(spark, sf_dir):
+    """Shard file names with their global index ranges."""
+    offs = SH.shard_offsets(chunk_table(spark, sf_dir))
+    return offs.select("shard", SH.shard_name("shard").alias("name"), "n", "lo", "hi")
+
+
+def q_global_index_lookup(spark, sf_dir):
+    """Global index -> (shard, local index) -> the sequence; beyond the end: no row."""
+    c = chunk_table(spark, sf_dir)
+    offs = SH.shard_offsets(c)
+    index = c.select((F.col("pos") * 2).alias("idx"))
+    hits = SH.lookup_global_index(index, offs)
+    seq = hits.join(c.select("shard", "local_idx", "chunk"), ["shard", "local_idx"])
+    ids = SQ.pad(SQ.truncate("chunk", SEQ_LEN), SEQ_LEN, EOS_ID)
+    return seq.select("idx", "shard", "local_idx", F.array_join(ids, ",").alias("input_ids"))
+
+
+def packing_input(spark, sf_dir):
+    s = line_sequences(spark, sf_dir).withColumn("_ord", line_order())
+    s = O.global_position(s, "_ord")
+    return s.withColumn("grp", F.floor(F.col("pos") / PACK_GROUP).cast("long"))
+
+
+def q_pack_lengths(spark, sf_dir):
+    """W5 (lengths only): next-fit pack id and offset of every line sequence, per bounded group."""
+    s = packing_input(spark, sf_dir).withColumn("n", F.size("ids"))
+    r = SH.pack_lengths(s, "n", SEQ_LEN, "grp", "pos")
+    return r.select("grp", "pos", "pack", "offset", "n_packs")
+
+
+def q_pack_ids(spark, sf_dir):
+    """Packed fixed-length examples (ids + mask) per bounded group."""
+    s = packing_input(spark, sf_dir)
+    packs = SH.pack_sequences(s, "ids", SEQ_LEN, EOS_ID, EOS_ID, "grp", "pos")
+    return packs.select("grp", "pack", F.array_join("input_ids", ",").alias("input_ids"),
+                        F.aggregate("attention_mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_real"))
+
+
+def _token_shards(spark, sf_dir, mode, drop_tail=False):
+    d = docs_with_counts(spark, sf_dir).select("doc_id", "n_tokens")
+    return SH.token_shards(d, SHARD_TOKENS, "doc_id", mode=mode, drop_tail=drop_tail).select("doc_id", "shard")
+
+
+def q_token_shards_balanced(spark, sf_dir):
+    """W3 balanced: shard = start offset div S, densely numbered."""
+    return _token_shards(spark, sf_dir, "balanced")
+
+
+def q_token_shards_reset(spark, sf_dir):
+    """W3 reset: the reference's fold (close at >= S tokens, restart at 0), tail kept."""
+    return _token_shards(spark, sf_dir, "reset")
+
+
+def q_token_shards_drop_tail(spark, sf_dir):
+    """W3 reset with the reference's lost tail."""
+    return _token_shards(spark, sf_dir, "reset", drop_tail=True)
+
+
 def flagship(spark, sf_dir):
     """English documents -> whitespace tokens -> per-source budget -> mixture profile."""
     d = docs_with_counts(spark, sf_dir).filter(F.col("lang") == "en").select("source", "doc_id", "n_tokens")
@@ -286,5 +406,16 @@ QUERIES = {
     "minhash_signature": q_minhash_signature,
     "lsh_buckets": q_lsh_buckets,
     "near_dedup": q_near_dedup,
+    "fixed_length_ids": q_fixed_length_ids,
+    "chunk_ids": q_chunk_ids,
+    "count_shards": q_count_shards,
+    "shard_metadata": q_shard_metadata,
+    "shard_names": q_shard_names,
+    "global_index_lookup": q_global_index_lookup,
+    "pack_lengths": q_pack_lengths,
+    "pack_ids": q_pack_ids,
+    "token_shards_balanced": q_token_shards_balanced,
+    "token_shards_reset": q_token_shards_reset,
+    "token_shards_drop_tail": q_token_shards_drop_tail,
     "flagship_mixture": flagship,
 }

@@ -242,3 +242,131 @@ m{k} AS (SELECT * FROM {p} WHERE pos NOT IN (SELECT pos FROM kept{k}) AND pos NO
 SQL["near_dedup"] = _sketch_sql() + ",\n" + _peel_sql() + """
 SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT pos FROM dropped)
 """
+
+
+# ---------------------------------------------------------------- sequences, packing, shards
+_L, _EOS = C.SEQ_LEN, C.EOS_ID
+
+
+def _shapes_p6() -> str:
+    return _SHAPES + """,
+r AS (SELECT shape, rid, coalesce(CASE WHEN text <> '' THEN text END, CASE WHEN content <> '' THEN content END,
+                                  CASE WHEN instruction <> '' THEN instruction END, CASE WHEN response <> '' THEN response END, '') AS t
+      FROM shapes)"""
+
+
+SQL["fixed_length_ids"] = _shapes_p6() + f""",
+ids AS (SELECT shape, rid, t, list_transform({tokens('t')}, lambda x: length(x)::BIGINT) AS ids FROM r),
+fx AS (SELECT shape, rid, CASE WHEN t = '' THEN list_resize([]::BIGINT[], {_L}, {_EOS})
+                               ELSE list_resize(list_append(ids, {_EOS}::BIGINT), {_L}, {_EOS}) END AS input_ids FROM ids)
+SELECT shape, rid, array_to_string(input_ids, ',') AS input_ids,
+       array_to_string(list_transform(input_ids, lambda x: CASE WHEN x <> {_EOS} THEN 1 ELSE 0 END), ',') AS attention_mask
+FROM fx WHERE len(input_ids) > 0
+"""
+
+_LINES = f"""
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS arr FROM documents),
+u AS (SELECT doc_id, unnest(range(len(arr))) AS line_no, unnest(arr) AS line FROM l),
+s0 AS (SELECT doc_id, line_no, regexp_replace(line, '^{WS}|{WS}$', '', 'g') AS line FROM u),
+w AS (SELECT doc_id, line_no::BIGINT AS line_no, list_transform({tokens('line')}, lambda x: length(x)::BIGINT) AS ids
+      FROM s0 WHERE length(line) > 0),
+s AS (SELECT doc_id, line_no, CASE WHEN len(ids) > 0 AND ids[-1] <> {_EOS} THEN list_append(ids, {_EOS}::BIGINT) ELSE ids END AS ids
+      FROM w)"""
+
+_CHUNKS = _LINES + f""",
+ch0 AS (SELECT doc_id, line_no, ids, unnest(range(0, greatest(len(ids), 1), {_L})) AS i FROM s),
+ch AS (SELECT doc_id, line_no, (i // {_L})::BIGINT AS chunk_idx, ids[i + 1 : i + {_L}] AS chunk,
+              (row_number() OVER (ORDER BY doc_id, line_no, i) - 1)::BIGINT AS pos FROM ch0),
+cs AS (SELECT *, (pos // {C.SHARD_SIZE})::BIGINT AS shard, (pos % {C.SHARD_SIZE})::BIGINT AS local_idx FROM ch)"""
+
+SQL["chunk_ids"] = _CHUNKS + """
+SELECT doc_id, line_no, chunk_idx, pos, shard, local_idx, array_to_string(chunk, ',') AS ids, len(chunk)::BIGINT AS n_ids FROM cs
+"""
+
+SQL["count_shards"] = _CHUNKS + """
+SELECT shard, count(*)::BIGINT AS n_sequences FROM cs GROUP BY shard
+"""
+
+SQL["shard_metadata"] = _CHUNKS + f"""
+SELECT count(*)::BIGINT AS total_sequences, count(DISTINCT shard)::BIGINT AS num_shards,
+       {_L}::BIGINT AS seq_length, {C.SHARD_SIZE}::BIGINT AS shard_size FROM cs
+"""
+
+SQL["shard_names"] = _CHUNKS + """,
+n AS (SELECT shard, count(*)::BIGINT AS n FROM cs GROUP BY shard)
+SELECT shard, printf('shard_%06d', shard) AS name, n,
+       (sum(n) OVER (ORDER BY shard) - n)::BIGINT AS lo, (sum(n) OVER (ORDER BY shard))::BIGINT AS hi FROM n
+"""
+
+SQL["global_index_lookup"] = _CHUNKS + f""",
+tot AS (SELECT count(*) AS total FROM cs),
+q AS (SELECT pos * 2 AS idx FROM cs)
+SELECT q.idx, (q.idx // {C.SHARD_SIZE})::BIGINT AS shard, (q.idx % {C.SHARD_SIZE})::BIGINT AS local_idx,
+       array_to_string(list_resize(cs.chunk[1:{_L}], {_L}, {_EOS}), ',') AS input_ids
+FROM q, tot, cs WHERE q.idx < tot.total AND cs.pos = q.idx
+"""
+
+
+def _pack_step(P: str, Fi: str, n: str = "d.n", L: int = _L) -> dict[str, str]:
+    fits = f"{Fi} > 0 AND {Fi} + {n} <= {L}"
+    return {
+        "pack": f"CASE WHEN {fits} THEN {P} WHEN {n} = 0 THEN greatest({P}, 0) ELSE {P} + 1 END",
+        "off": f"CASE WHEN {fits} THEN {Fi} WHEN {n} = 0 THEN {Fi} ELSE 0 END",
+        "np": f"CASE WHEN {fits} THEN 1 WHEN {n} = 0 THEN 0 WHEN {n} <= {L} THEN 1 ELSE ({n} + {L} - 1) // {L} END",
+        "st_pack": f"CASE WHEN {fits} THEN {P} WHEN {n} = 0 THEN {P} WHEN {n} <= {L} THEN {P} + 1 ELSE {P} + ({n} + {L} - 1) // {L} END",
+        "st_fill": f"CASE WHEN {fits} THEN {Fi} + {n} WHEN {n} = 0 THEN {Fi} WHEN {n} <= {L} THEN {n} ELSE 0 END",
+    }
+
+
+_first, _next = _pack_step("(-1)", "0"), _pack_step("f.st_pack", "f.st_fill")
+_PACK = "WITH RECURSIVE" + _LINES[len("\nWITH"):] + f""",
+p AS (SELECT doc_id, line_no, ids, (row_number() OVER (ORDER BY doc_id, line_no) - 1)::BIGINT AS pos FROM s),
+d AS (SELECT pos // {C.PACK_GROUP} AS grp, pos, len(ids)::BIGINT AS n, ids,
+             row_number() OVER (PARTITION BY pos // {C.PACK_GROUP} ORDER BY pos) AS rn FROM p),
+f(grp, rn, pos, pack, "offset", n_packs, st_pack, st_fill) AS (
+  SELECT d.grp, d.rn, d.pos, {_first['pack']}, {_first['off']}, {_first['np']}, {_first['st_pack']}, {_first['st_fill']}
+  FROM d WHERE d.rn = 1
+  UNION ALL
+  SELECT d.grp, d.rn, d.pos, {_next['pack']}, {_next['off']}, {_next['np']}, {_next['st_pack']}, {_next['st_fill']}
+  FROM f JOIN d ON d.grp = f.grp AND d.rn = f.rn + 1
+)"""
+
+SQL["pack_lengths"] = _PACK + """
+SELECT grp::BIGINT AS grp, pos, pack::BIGINT AS pack, "offset"::BIGINT AS "offset", n_packs::BIGINT AS n_packs FROM f
+"""
+
+SQL["pack_ids"] = _PACK + f""",
+pc0 AS (SELECT f.grp, f.pack, f."offset", d.ids, unnest(range(0, len(d.ids), {_L})) AS i
+        FROM f JOIN d ON d.grp = f.grp AND d.pos = f.pos WHERE d.n > 0),
+pc AS (SELECT grp, pack + i // {_L} AS pack, "offset", ids[i + 1 : i + {_L}] AS piece FROM pc0),
+pk AS (SELECT grp, pack, list_resize(flatten(list(piece ORDER BY "offset")), {_L}, {_EOS}) AS ids FROM pc GROUP BY grp, pack)
+SELECT grp::BIGINT AS grp, pack::BIGINT AS pack, array_to_string(ids, ',') AS input_ids,
+       len(list_filter(ids, lambda x: x <> {_EOS}))::BIGINT AS n_real FROM pk
+"""
+
+_TS = C.SHARD_TOKENS
+SQL["token_shards_balanced"] = f"""
+WITH d AS (SELECT doc_id, {ntok('text')} AS n FROM documents),
+c AS (SELECT doc_id, sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n AS s FROM d)
+SELECT doc_id, (dense_rank() OVER (ORDER BY s // {_TS}) - 1)::BIGINT AS shard FROM c
+"""
+
+_RESET = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER (ORDER BY doc_id) AS rn, doc_id, {ntok('text')} AS n FROM documents),
+f(rn, doc_id, n, shard, buf) AS (
+  SELECT rn, doc_id, n, 0::BIGINT, n FROM d WHERE rn = 1
+  UNION ALL
+  SELECT d.rn, d.doc_id, d.n, CASE WHEN f.buf >= {_TS} THEN f.shard + 1 ELSE f.shard END,
+         CASE WHEN f.buf >= {_TS} THEN d.n ELSE f.buf + d.n END
+  FROM f JOIN d ON d.rn = f.rn + 1
+)"""
+
+SQL["token_shards_reset"] = _RESET + """
+SELECT doc_id, shard::BIGINT AS shard FROM f
+"""
+
+SQL["token_shards_drop_tail"] = _RESET + f""",
+t AS (SELECT shard, sum(n) AS tot FROM f GROUP BY shard),
+tail AS (SELECT shard FROM t WHERE shard = (SELECT max(shard) FROM t) AND tot < {_TS})
+SELECT doc_id, shard::BIGINT AS shard FROM f WHERE shard NOT IN (SELECT shard FROM tail)
+"""
