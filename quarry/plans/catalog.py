@@ -14,6 +14,10 @@ from quarry.operators import dedup as D
 from quarry.operators import ordered as O
 from quarry.operators import shards as SH
 from quarry.functions import sequences as SQ
+from quarry.functions.tokenize import TokenizerSpec, encode
+from quarry.plans import corpus as CP
+from quarry.session import scratch_path
+from quarry.sources import sinks as SK
 from quarry.operators import report as R
 from quarry.sources import registry as REG
 from quarry.sources.tables import documents_registry, load, source_index, table_path
@@ -374,6 +378,88 @@ def q_token_shards_drop_tail(spark, sf_dir):
     return _token_shards(spark, sf_dir, "reset", drop_tail=True)
 
 
+# ---------------------------------------------------------------- sinks and round trips
+def q_text_line_scan(spark, sf_dir):
+    """Documents written as text files, scanned line by line, stripped, blanks dropped."""
+    path = scratch_path(spark, "text-lines")
+    load(spark, sf_dir, "documents").select("text").write.text(path)
+    lines = SK.read_text_lines(spark, path).select(T.py_strip("value").alias("line")).filter(F.length("line") > 0)
+    return lines.select(F.length("line").cast("long").alias("line_chars"), F.md5("line").alias("line_md5"))
+
+
+def q_sequence_shard_round_trip(spark, sf_dir):
+    """Chunk sequences written as parquet shards and read back."""
+    path = scratch_path(spark, "seq-shards")
+    SK.write_sequence_shards(chunk_table(spark, sf_dir), path, ids="chunk")
+    back = SK.read_sequence_shards(spark, path)
+    return back.select(F.col("shard").cast("long"), "local_idx", F.array_join("chunk", ",").alias("ids"))
+
+
+def q_jsonl_round_trip(spark, sf_dir):
+    """Documents in reset token shards written as JSONL shards and read back."""
+    d = docs_with_counts(spark, sf_dir).select("doc_id", "text", "n_tokens")
+    sharded = SH.token_shards(d, SHARD_TOKENS, "doc_id", mode="reset")
+    path = scratch_path(spark, "jsonl-shards")
+    SK.write_text_shards(sharded, path, order="doc_id")
+    back = SK.read_text_shards(spark, path)
+    return back.select("shard_name", F.md5("text").alias("text_md5"))
+
+
+BUILD_SHARD_TOKENS = 2_000
+
+
+def build_registry(sf_dir):
+    caps = {n: {"cap_tokens": c} for n, c in REGISTRY_CAPS.items()}
+    return documents_registry(sf_dir, extra=caps)
+
+
+def q_build_text_shards(spark, sf_dir):
+    """C2 end to end: registry -> budget -> interleave -> near-dedup -> reset token shards -> JSONL."""
+    path = scratch_path(spark, "corpus-shards")
+    out = CP.build_text_shards(spark, build_registry(sf_dir), path, BUILD_SHARD_TOKENS)
+    return out.select("pos", "source", "doc_id", "n_tokens", "shard")
+
+
+# ---------------------------------------------------------------- byte-level BPE (rows-only oracle)
+BPE = TokenizerSpec()
+BPE_SEQ = 128
+
+
+def q_bpe_token_counts(spark, sf_dir):
+    """Byte-level BPE token count of every document."""
+    d = load(spark, sf_dir, "documents").select("doc_id", "text")
+    enc = encode(d, BPE, "text", ["doc_id"])
+    return enc.select("doc_id", F.size("ids").cast("long").alias("n_tokens"))
+
+
+def q_bpe_fixed_length(spark, sf_dir):
+    """C4 with BPE: fixed-length examples of every record shape."""
+    out = None
+    for shp in text_shapes(spark, sf_dir):
+        ex = CP.fixed_length_examples(shp, BPE, BPE_SEQ, ["shape", "rid"])
+        out = ex if out is None else out.unionByName(ex)
+    return out.select("shape", "rid", F.aggregate("attention_mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_real"),
+                      F.element_at("input_ids", 1).alias("first_id"))
+
+
+def doc_lines(spark, sf_dir):
+    d = load(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "value")).select(
+        (F.col("doc_id") * F.lit(1 << 20) + F.col("line_no")).alias("line_pos"), "value")
+
+
+def q_bpe_chunked_sequences(spark, sf_dir):
+    """Document lines -> BPE ids + EOS -> 2048-token chunks -> count shards."""
+    res = CP.chunked_sequences(doc_lines(spark, sf_dir), BPE, 2048, SHARD_SIZE)
+    return res.select("pos", "shard", "local_idx", F.size("input_ids").cast("long").alias("n_ids"))
+
+
+def q_training_view(spark, sf_dir):
+    """Registry -> BPE examples -> interleave -> epochs -> batches -> ranks."""
+    tv = CP.training_view(spark, documents_registry(sf_dir), BPE, BPE_SEQ, EPOCHS, BATCH_SIZE, MICRO_BATCH, 2)
+    return tv.select("epoch", "pos", "doc_id", "source", "batch_id", "micro_id", "rank")
+
+
 def flagship(spark, sf_dir):
     """English documents -> whitespace tokens -> per-source budget -> mixture profile."""
     d = docs_with_counts(spark, sf_dir).filter(F.col("lang") == "en").select("source", "doc_id", "n_tokens")
@@ -417,5 +503,13 @@ QUERIES = {
     "token_shards_balanced": q_token_shards_balanced,
     "token_shards_reset": q_token_shards_reset,
     "token_shards_drop_tail": q_token_shards_drop_tail,
+    "text_line_scan": q_text_line_scan,
+    "sequence_shard_round_trip": q_sequence_shard_round_trip,
+    "jsonl_round_trip": q_jsonl_round_trip,
+    "build_text_shards": q_build_text_shards,
+    "bpe_token_counts": q_bpe_token_counts,
+    "bpe_fixed_length": q_bpe_fixed_length,
+    "bpe_chunked_sequences": q_bpe_chunked_sequences,
+    "training_view": q_training_view,
     "flagship_mixture": flagship,
 }

@@ -370,3 +370,19 @@ t AS (SELECT shard, sum(n) AS tot FROM f GROUP BY shard),
 tail AS (SELECT shard FROM t WHERE shard = (SELECT max(shard) FROM t) AND tot < {_TS})
 SELECT doc_id, shard::BIGINT AS shard FROM f WHERE shard NOT IN (SELECT shard FROM tail)
 """
+
+
+# ---------------------------------------------------------------- sinks and round trips
+SQL["text_line_scan"] = f"""
+WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents),
+s AS (SELECT regexp_replace(line, '^{WS}|{WS}$', '', 'g') AS line FROM l)
+SELECT length(line)::BIGINT AS line_chars, md5(line) AS line_md5 FROM s WHERE length(line) > 0
+"""
+
+SQL["sequence_shard_round_trip"] = _CHUNKS + """
+SELECT shard, local_idx, array_to_string(chunk, ',') AS ids FROM cs
+"""
+
+SQL["jsonl_round_trip"] = _RESET + """
+SELECT printf('shard_%05d', f.shard) AS shard_name, md5(documents.text) AS text_md5 FROM f JOIN documents USING (doc_id)
+"""
