@@ -18,6 +18,7 @@ from quarry.functions.tokenize import TokenizerSpec, encode
 from quarry.plans import corpus as CP
 from quarry.session import scratch_path
 from quarry.sources import sinks as SK
+from quarry.streaming import stream as ST
 from quarry.operators import report as R
 from quarry.sources import registry as REG
 from quarry.sources.tables import documents_registry, load, source_index, table_path
@@ -460,6 +461,57 @@ def q_training_view(spark, sf_dir):
     return tv.select("epoch", "pos", "doc_id", "source", "batch_id", "micro_id", "rank")
 
 
+# ---------------------------------------------------------------- streaming (batch twins are the oracles)
+STREAM_FILES = 4
+
+
+def _doc_stream(spark, sf_dir, cols):
+    p = ST.fresh(spark, "stream")
+    d = load(spark, sf_dir, "documents").select(*cols)
+    ST.write_ordered_files(d, p["input"], "doc_id", STREAM_FILES)
+    return p, ST.file_stream(spark, p["input"], d.schema)
+
+
+def q_stream_fixed_length(spark, sf_dir):
+    """Documents arriving as files -> fixed-length examples (same functions as batch)."""
+    p, s = _doc_stream(spark, sf_dir, ["doc_id", "text"])
+    ids = SQ.word_length_ids(T.py_split("text"))
+    input_ids, mask = SQ.fixed_length(ids, F.col("text") == "", SEQ_LEN, EOS_ID)
+    ex = s.select("doc_id", F.array_join(input_ids, ",").alias("input_ids"), F.array_join(mask, ",").alias("attention_mask"))
+    ST.run_to_parquet(ex, p["out"], p["ckpt"])
+    return spark.read.parquet(p["out"])
+
+
+def q_stream_token_budget(spark, sf_dir):
+    """T4: per-source token budget with keyed state across micro-batches."""
+    p, s = _doc_stream(spark, sf_dir, ["doc_id", "source", "text"])
+    counted = s.select("source", "doc_id", T.whitespace_token_count("text").alias("n_tokens"))
+    kept = ST.stream_token_budget(counted, BUDGET_CAP, "source string, doc_id long, n_tokens long")
+    ST.run_to_parquet(kept, p["out"], p["ckpt"])
+    return spark.read.parquet(p["out"])
+
+
+def q_stream_near_dedup(spark, sf_dir):
+    """First-wins near-dedup across micro-batches (kept-band table per batch)."""
+    p, s = _doc_stream(spark, sf_dir, ["doc_id", "source", "text"])
+    ST.stream_near_dedup(s, p["out"], p["state"], p["ckpt"], "doc_id", "text", DEDUP_THRESHOLD, DEDUP_PERM, DEDUP_SEED)
+    return spark.read.parquet(p["out"]).select("doc_id", "source")
+
+
+def q_stream_step_rollup(spark, sf_dir):
+    """T5: step-log rollup on a stream of step records."""
+    p = ST.fresh(spark, "stream-steps")
+    log = step_log(spark, sf_dir)
+    ST.write_ordered_files(log, p["input"], "step", STREAM_FILES)
+    s = ST.file_stream(spark, p["input"], log.schema)
+    ST.run_to_parquet(ST.stream_step_rollup(s, LOG_INTERVAL), p["out"], p["ckpt"])
+    r = ST.finish_rollup(spark.read.parquet(p["out"]), LOG_INTERVAL, LOG_INTERVAL * STEP_BATCH * STEP_SEQ * STEP_WORLD)
+    return r.select("log_step", F.round("train_loss", 6).alias("train_loss"),
+                    F.round("train_perplexity", 4).alias("train_perplexity"),
+                    F.round(F.col("learning_rate") * 1e6, 4).alias("lr_micro"),
+                    F.round("tokens_per_second", 2).alias("tokens_per_second"), "tokens_seen", "epoch")
+
+
 def flagship(spark, sf_dir):
     """English documents -> whitespace tokens -> per-source budget -> mixture profile."""
     d = docs_with_counts(spark, sf_dir).filter(F.col("lang") == "en").select("source", "doc_id", "n_tokens")
@@ -511,5 +563,9 @@ QUERIES = {
     "bpe_fixed_length": q_bpe_fixed_length,
     "bpe_chunked_sequences": q_bpe_chunked_sequences,
     "training_view": q_training_view,
+    "stream_fixed_length": q_stream_fixed_length,
+    "stream_token_budget": q_stream_token_budget,
+    "stream_near_dedup": q_stream_near_dedup,
+    "stream_step_rollup": q_stream_step_rollup,
     "flagship_mixture": flagship,
 }

@@ -386,3 +386,18 @@ SELECT shard, local_idx, array_to_string(chunk, ',') AS ids FROM cs
 SQL["jsonl_round_trip"] = _RESET + """
 SELECT printf('shard_%05d', f.shard) AS shard_name, md5(documents.text) AS text_md5 FROM f JOIN documents USING (doc_id)
 """
+
+
+# ---------------------------------------------------------------- streaming: the batch twins
+SQL["stream_fixed_length"] = f"""
+WITH ids AS (SELECT doc_id, coalesce(CASE WHEN text <> '' THEN text END, '') AS t,
+                    list_transform({tokens('text')}, lambda x: length(x)::BIGINT) AS ids FROM documents),
+fx AS (SELECT doc_id, CASE WHEN t = '' THEN list_resize([]::BIGINT[], {_L}, {_EOS})
+                           ELSE list_resize(list_append(ids, {_EOS}::BIGINT), {_L}, {_EOS}) END AS input_ids FROM ids)
+SELECT doc_id, array_to_string(input_ids, ',') AS input_ids,
+       array_to_string(list_transform(input_ids, lambda x: CASE WHEN x <> {_EOS} THEN 1 ELSE 0 END), ',') AS attention_mask
+FROM fx
+"""
+SQL["stream_token_budget"] = SQL["token_budget"]
+SQL["stream_near_dedup"] = SQL["near_dedup"]
+SQL["stream_step_rollup"] = SQL["step_rollup"]
