@@ -50,6 +50,8 @@ def order_bucket(df: DataFrame, key: str, n_buckets: int | None = None, out: str
     probs = [i / n_buckets for i in range(1, n_buckets)]
     bounds = df.approxQuantile(key, probs, 1.0 / (4 * n_buckets)) if probs else []
     splits = [float("-inf")] + sorted({float(b) for b in bounds if b is not None}) + [float("inf")]
+    if len(splits) < 3:  # one bucket
+        return df.withColumn(out, F.lit(0))
     keyed = df.withColumn("_bkey", F.col(key).cast("double"))
     out_df = Bucketizer(splits=splits, inputCol="_bkey", outputCol=out).transform(keyed)
     return out_df.withColumn(out, F.col(out).cast("int")).drop("_bkey")
