@@ -44,12 +44,16 @@ def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Data
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
-def order_bucket(df: DataFrame, key: str, n_buckets: int | None = None, out: str = "_bkt") -> DataFrame:
-    """Add an order-preserving bucket id of ``key`` (integral, unique per group, |key| < 2^53)."""
+def bucket_splits(df: DataFrame, key: str, n_buckets: int | None = None) -> list[float]:
+    """Literal, order-preserving bucket bounds of ``key`` from one ``approxQuantile`` pass."""
     n_buckets = n_buckets or default_buckets(df)
     probs = [i / n_buckets for i in range(1, n_buckets)]
     bounds = df.approxQuantile(key, probs, 1.0 / (4 * n_buckets)) if probs else []
-    splits = [float("-inf")] + sorted({float(b) for b in bounds if b is not None}) + [float("inf")]
+    return [float("-inf")] + sorted({float(b) for b in bounds if b is not None}) + [float("inf")]
+
+
+def apply_buckets(df: DataFrame, key: str, splits: list[float], out: str = "_bkt") -> DataFrame:
+    """Bucket id of ``key`` from literal bounds: a pure function of the key (JVM binary search)."""
     if len(splits) < 3:  # one bucket
         return df.withColumn(out, F.lit(0))
     keyed = df.withColumn("_bkey", F.col(key).cast("double"))
@@ -57,6 +61,11 @@ def order_bucket(df: DataFrame, key: str, n_buckets: int | None = None, out: str
     return out_df.withColumn(out, F.col(out).cast("int")).drop("_bkey")
 
 
+def order_bucket(df: DataFrame, key: str, n_buckets: int | None = None, out: str = "_bkt") -> DataFrame:
+    """Add an order-preserving bucket id of ``key`` (integral, unique per group, |key| < 2^53)."""
+    return apply_buckets(df, key, bucket_splits(df, key, n_buckets), out)
+
+
 def running_agg(
     df: DataFrame,
     value: Column | str,
@@ -71,14 +80,18 @@ def running_agg(
     """Running ``sum``/``min``/``max`` of ``value`` over ``key`` within ``group``, balanced across tasks.
 
     ``inclusive=False`` gives the aggregate of the rows strictly before (null for the first row).
+    The bounds and bucket totals come from the narrow ``(group, key, value)`` projection, written once
+    (reliable checkpoint); the wide input is evaluated once more, for the final local windows.
     """
     fn = {"sum": F.sum, "min": F.min, "max": F.max}[agg]
     g = _cols(group)
     val = F.col(value) if isinstance(value, str) else value
-    b = order_bucket(df.withColumn("_v", val.cast(cast)), key, n_buckets)
-    totals = b.groupBy(*g, "_bkt").agg(fn("_v").alias("_bt"))
+    narrow = cut_lineage(df.select(*g, key, val.cast(cast).alias("_v")))
+    splits = bucket_splits(narrow, key, n_buckets)
+    totals = apply_buckets(narrow, key, splits).groupBy(*g, "_bkt").agg(fn("_v").alias("_bt"))
     w_off = Window.partitionBy(*g).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*g, "_bkt", fn("_bt").over(w_off).alias("_off"))
+    b = apply_buckets(df.withColumn("_v", val.cast(cast)), key, splits)
     joined = b.join(checked_broadcast(offsets), [*g, "_bkt"])
     hi = 0 if inclusive else -1
     w = Window.partitionBy(*g, "_bkt").orderBy(key).rowsBetween(Window.unboundedPreceding, hi)

@@ -328,14 +328,15 @@ def q_shard_names(spark, sf_dir):
 
 
 def q_global_index_lookup(spark, sf_dir):
-    """Global index -> (shard, local index) -> the sequence; beyond the end: no row."""
+    """Chunks written as sequence shards; global index -> (shard, local index) ->
+    the sequence, truncated/padded; an index beyond the end gives no row."""
+    path = scratch_path(spark, "lookup-shards")
     c = chunk_table(spark, sf_dir)
-    offs = SH.shard_offsets(c)
-    index = c.select((F.col("pos") * 2).alias("idx"))
-    hits = SH.lookup_global_index(index, offs)
-    seq = hits.join(c.select("shard", "local_idx", "chunk"), ["shard", "local_idx"])
-    ids = SQ.pad(SQ.truncate("chunk", SEQ_LEN), SEQ_LEN, EOS_ID)
-    return seq.select("idx", "shard", "local_idx", F.array_join(ids, ",").alias("input_ids"))
+    SK.write_sequence_shards(c.withColumnRenamed("chunk", "input_ids"), path)
+    seqs = SK.read_sequence_shards(spark, path)
+    index = seqs.select(((F.col("shard") * SHARD_SIZE + F.col("local_idx")) * 2).alias("idx"))
+    got = CP.read_sequences(spark, path, index, SEQ_LEN, EOS_ID)
+    return got.select("idx", F.col("shard").cast("long"), "local_idx", F.array_join("input_ids", ",").alias("input_ids"))
 
 
 def packing_input(spark, sf_dir):

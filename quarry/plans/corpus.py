@@ -110,13 +110,13 @@ def shard_metadata(seqs: DataFrame, seq_length: int, shard_size: int) -> DataFra
 
 def read_sequences(spark: SparkSession, path: str, index: DataFrame, seq_length: int, pad_id: int,
                    idx: str = "idx") -> DataFrame:
-    """``(idx, input_ids, attention_mask)`` for every requested global index."""
+    """``(idx, shard, local_idx, input_ids, attention_mask)`` for every requested global index."""
     seqs = SK.read_sequence_shards(spark, path)
     offs = SH.shard_offsets(seqs)
     hits = SH.lookup_global_index(index, offs, idx)
     rows = hits.join(seqs.select("shard", "local_idx", "input_ids"), ["shard", "local_idx"])
     ids = SQ.pad(SQ.truncate("input_ids", seq_length), seq_length, pad_id)
-    return rows.select(idx, ids.alias("input_ids"), SQ.attention_mask(ids, pad_id).alias("attention_mask"))
+    return rows.select(idx, "shard", "local_idx", ids.alias("input_ids"), SQ.attention_mask(ids, pad_id).alias("attention_mask"))
 
 
 def training_view(spark: SparkSession, registry: list[REG.SourceSpec], tokenizer: TokenizerSpec, seq_length: int,

@@ -17,8 +17,16 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan at least one partition per core. A table stored as one row group reads as one
+    task, which would serialise every per-row stage before the first shuffle; on a cluster the scan
+    already has far more splits than cores and this is a no-op (planning-time check, no job)."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(table_path(sf_dir, name))
+    return spread(spark.read.parquet(table_path(sf_dir, name)))
 
 
 def source_index(source: str = "source"):
