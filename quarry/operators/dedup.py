@@ -77,13 +77,24 @@ def token_hash(tok: str) -> int:
 
 
 def signature_of(tokens, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """MinHash signature of a token set (NumPy; used inside Arrow batches)."""
-    if len(tokens) == 0:
-        return np.full(len(a), EMPTY_VALUE, dtype=np.int64)
+    """MinHash signature of a token set (plain Python tokens; tests and small inputs)."""
     h0 = np.fromiter((token_hash(t) for t in tokens), dtype=np.int64, count=len(tokens))
+    return signature_of_hashes(h0, a, b)
+
+
+def signature_of_hashes(h0: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """MinHash signature from the base hashes of a token set (NumPy; inside Arrow batches)."""
+    if len(h0) == 0:
+        return np.full(len(a), EMPTY_VALUE, dtype=np.int64)
     return ((a[:, None] * h0[None, :] + b[:, None]) % PRIME).min(axis=1)
 
 
+def base_hashes(text: str) -> "F.Column":
+    """``h0`` of every distinct token, in the JVM: first 32 bits of md5(token) mod (2^31 - 1)."""
+    return F.transform(distinct_tokens(text),
+                       lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(PRIME)))
+
+
 def band_keys_of(sig: np.ndarray, bands: int, rows: int) -> list[str]:
     return [
         hashlib.md5((f"{j}:" + ",".join(str(int(v)) for v in sig[j * rows:(j + 1) * rows])).encode()).hexdigest()
@@ -99,8 +110,10 @@ def _sketch_fn(num_perm: int, seed: int, bands: int, rows: int, with_signature:
         b = np.array(b_list, dtype=np.int64)
         for batch in batches:
             pos = batch.column(0)
-            toks = batch.column(1).to_pylist()
-            sigs = [signature_of(t or [], a, b) for t in toks]
+            lists = batch.column(1)
+            offsets = lists.offsets.to_numpy()
+            values = lists.values.to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
+            sigs = [signature_of_hashes(values[offsets[i]:offsets[i + 1]], a, b) for i in range(len(lists))]
             cols = {"pos": pos, "bands": pa.array([band_keys_of(s, bands, rows) for s in sigs], pa.list_(pa.string()))}
             if with_signature:
                 cols["signature"] = pa.array([s.tolist() for s in sigs], pa.list_(pa.int64()))
@@ -113,14 +126,15 @@ def minhash(df: DataFrame, text: str = "text", pos: str = "pos", num_perm: int =
             bands: int | None = None, rows: int | None = None, seed: int = 1, with_signature: bool = False) -> DataFrame:
     """A8 + A9: ``(pos, bands array<string>[, signature array<bigint>])`` per document.
 
-    The distinct token set is built in the JVM; only token arrays cross to Python.
+    The distinct token set and the per-token base hash are computed in the JVM; only arrays of
+    longs cross to Python, where NumPy takes the 128 permuted minima per document.
     """
     if bands is None or rows is None:
         bands, rows = optimal_bands(threshold, num_perm)
     fields = [ST.StructField("pos", ST.LongType()), ST.StructField("bands", ST.ArrayType(ST.StringType()))]
     if with_signature:
         fields.append(ST.StructField("signature", ST.ArrayType(ST.LongType())))
-    narrow = df.select(F.col(pos).cast("long").alias("pos"), distinct_tokens(text).alias("toks"))
+    narrow = df.select(F.col(pos).cast("long").alias("pos"), base_hashes(text).alias("h0"))
     return narrow.mapInArrow(_sketch_fn(num_perm, seed, bands, rows, with_signature), ST.StructType(fields))
 
 

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from quarry.session import cut_lineage
 
 BROADCAST_MAX_ROWS = 2_000_000  # rows of a small side we are willing to ship to every executor
+SMALL_TABLE_ROWS = 4_096  # a derived table this small takes one plain window (one task) instead of buckets
 
 
 def _cols(x) -> list[str]:
@@ -87,13 +88,19 @@ def running_agg(
     g = _cols(group)
     val = F.col(value) if isinstance(value, str) else value
     narrow = cut_lineage(df.select(*g, key, val.cast(cast).alias("_v")))
+    hi = 0 if inclusive else -1
+    if n_buckets is None and narrow.count() <= SMALL_TABLE_ROWS:  # proven small: one window, no buckets
+        w_small = Window.partitionBy(*g).orderBy(key).rowsBetween(Window.unboundedPreceding, hi)
+        small = narrow.select(*g, key, fn("_v").over(w_small).alias(out))
+        if agg == "sum" and inclusive:
+            small = small.withColumn(out, F.coalesce(F.col(out), F.lit(0).cast(cast)))
+        return df.join(F.broadcast(small), [*g, key])
     splits = bucket_splits(narrow, key, n_buckets)
     totals = apply_buckets(narrow, key, splits).groupBy(*g, "_bkt").agg(fn("_v").alias("_bt"))
     w_off = Window.partitionBy(*g).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*g, "_bkt", fn("_bt").over(w_off).alias("_off"))
     b = apply_buckets(df.withColumn("_v", val.cast(cast)), key, splits)
     joined = b.join(checked_broadcast(offsets), [*g, "_bkt"])
-    hi = 0 if inclusive else -1
     w = Window.partitionBy(*g, "_bkt").orderBy(key).rowsBetween(Window.unboundedPreceding, hi)
     local = fn("_v").over(w)
     if agg == "sum":

@@ -24,9 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from quarry.functions.sequences import append_eos, chunks, pad
-from quarry.operators.ordered import checked_broadcast, running_agg, running_count, running_sum
+from quarry.operators.ordered import apply_buckets, checked_broadcast, running_agg, running_count, running_sum
 from quarry.session import cut_lineage
 
+LOOKUP_MAX_SHARDS = 100_000  # shard starts shipped as literal search bounds
+
 
 # ---------------------------------------------------------------- token-sized shards
 def _dense_ids(df: DataFrame, raw: str, out: str) -> DataFrame:
@@ -112,7 +114,17 @@ def lookup_global_index(index: DataFrame, offsets: DataFrame, idx: str = "idx",
     The shard is the one with the largest ``lo <= idx`` among non-empty shards: a running maximum
     over offsets and queries merged in one sorted order (no range join).
     """
-    nonempty = offsets.filter(F.col("n") > 0)
+    nonempty = cut_lineage(offsets.filter(F.col("n") > 0).select(shard, "lo", "hi"))
+    if nonempty.count() <= LOOKUP_MAX_SHARDS:  # checked: binary search over the shard starts in the JVM
+        los = sorted(r[0] for r in nonempty.select("lo").collect())
+        splits = [float("-inf")] + [float(x) for x in los[1:]] + [float("inf")]
+        table = nonempty.withColumn("_bkt", F.lit(0)) if len(los) < 2 else \
+            apply_buckets(nonempty, "lo", splits)
+        q = index.select(F.col(idx).cast("long").alias(idx))
+        q = q.withColumn("_bkt", F.lit(0)) if len(los) < 2 else apply_buckets(q, idx, splits)
+        hits = q.join(F.broadcast(table), "_bkt")
+        return hits.filter((F.col(idx) >= F.col("lo")) & (F.col(idx) < F.col("hi"))).select(
+            idx, shard, (F.col(idx) - F.col("lo")).alias("local_idx"))
     data = nonempty.select((F.col("lo") * 2).alias("_key2"), F.col(shard).cast("long").alias("_val"),
                            F.lit(None).cast("long").alias("_q"))
     query = index.select((F.col(idx) * 2 + 1).alias("_key2"), F.lit(None).cast("long").alias("_val"),
