@@ -197,26 +197,30 @@ SELECT log_step AS save_step, round(train_loss, 6) AS avg_loss, (best IS NULL OR
 
 
 # ---------------------------------------------------------------- near-dedup
-def _sketch_sql() -> str:
+def _sketch_ctes(rel: str) -> str:
+    """MinHash + band keys over ``rel(pos, text)`` as CTE definitions (no leading WITH)."""
     from quarry.operators.dedup import EMPTY_VALUE, PRIME, optimal_bands, perm_params
 
     a, b = perm_params(C.DEDUP_PERM, C.DEDUP_SEED)
     nb, r = optimal_bands(C.DEDUP_THRESHOLD, C.DEDUP_PERM)
     perms = ", ".join(f"({i}, {x}, {y})" for i, (x, y) in enumerate(zip(a, b)))
-    return f"""
-WITH perms AS (SELECT * FROM (VALUES {perms}) t(i, a, b)),
-toks AS (SELECT doc_id, unnest(list_distinct({tokens('text')})) AS tok FROM documents),
-h0 AS (SELECT doc_id, (('0x' || substr(md5(tok), 1, 8))::BIGINT) % {PRIME} AS h FROM toks),
-sig0 AS (SELECT h0.doc_id, perms.i, min((perms.a * h0.h + perms.b) % {PRIME}) AS v FROM h0, perms GROUP BY 1, 2),
-sig AS (SELECT d.doc_id, p.i, coalesce(s.v, {EMPTY_VALUE})::BIGINT AS v
-        FROM (SELECT doc_id FROM documents) d CROSS JOIN perms p LEFT JOIN sig0 s ON s.doc_id = d.doc_id AND s.i = p.i),
-bands AS (SELECT doc_id AS pos, (i // {r})::INTEGER AS band,
+    return f"""perms AS (SELECT * FROM (VALUES {perms}) t(i, a, b)),
+toks AS (SELECT pos, unnest(list_distinct({tokens('text')})) AS tok FROM {rel}),
+h0 AS (SELECT pos, (('0x' || substr(md5(tok), 1, 8))::BIGINT) % {PRIME} AS h FROM toks),
+sig0 AS (SELECT h0.pos, perms.i, min((perms.a * h0.h + perms.b) % {PRIME}) AS v FROM h0, perms GROUP BY 1, 2),
+sig AS (SELECT d.pos, p.i, coalesce(s.v, {EMPTY_VALUE})::BIGINT AS v
+        FROM (SELECT pos FROM {rel}) d CROSS JOIN perms p LEFT JOIN sig0 s ON s.pos = d.pos AND s.i = p.i),
+bands AS (SELECT pos, (i // {r})::INTEGER AS band,
                  md5(((i // {r})::VARCHAR) || ':' || string_agg(v::VARCHAR, ',' ORDER BY i)) AS key
-          FROM sig WHERE i < {nb * r} GROUP BY doc_id, i // {r})"""
+          FROM sig WHERE i < {nb * r} GROUP BY pos, i // {r})"""
+
+
+def _sketch_sql() -> str:
+    return "\nWITH docs_pos AS (SELECT doc_id AS pos, text FROM documents),\n" + _sketch_ctes("docs_pos")
 
 
 SQL["minhash_signature"] = _sketch_sql() + """
-SELECT doc_id, md5(string_agg(v::VARCHAR, ',' ORDER BY i)) AS sig_md5, min(v)::BIGINT AS sig_min FROM sig GROUP BY doc_id
+SELECT pos AS doc_id, md5(string_agg(v::VARCHAR, ',' ORDER BY i)) AS sig_md5, min(v)::BIGINT AS sig_min FROM sig GROUP BY pos
 """
 
 SQL["lsh_buckets"] = _sketch_sql() + """
@@ -401,3 +405,31 @@ FROM fx
 SQL["stream_token_budget"] = SQL["token_budget"]
 SQL["stream_near_dedup"] = SQL["near_dedup"]
 SQL["stream_step_rollup"] = SQL["step_rollup"]
+
+
+# ---------------------------------------------------------------- C2 end to end
+_bcaps = " ".join(f"WHEN '{k}' THEN {v}" for k, v in C.REGISTRY_CAPS.items())
+_BS = C.BUILD_SHARD_TOKENS
+SQL["build_text_shards"] = f"""
+WITH RECURSIVE d AS (SELECT source, CASE source WHEN 'src0' THEN 0 WHEN 'src1' THEN 1 ELSE 2 END AS source_idx, doc_id,
+                            coalesce(text, '') AS text, {ntok("coalesce(text, '')")} AS n_tokens
+                     FROM documents WHERE source IN ('src0', 'src1', 'src2')),
+bc AS (SELECT *, sum(n_tokens) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM d),
+bk AS (SELECT * FROM bc WHERE cum <= CASE source {_bcaps} END),
+r AS (SELECT *, row_number() OVER (PARTITION BY source_idx ORDER BY doc_id) AS r FROM bk),
+c AS (SELECT source_idx, count(*) AS cnt, row_number() OVER (ORDER BY source_idx) - 1 AS srank FROM bk GROUP BY source_idx),
+s AS (SELECT count(*) AS nsrc, min(cnt) AS minc FROM c),
+il AS (SELECT ((r.r - 1) * s.nsrc + c.srank)::BIGINT AS pos, r.source, r.doc_id, r.n_tokens, r.text
+       FROM r JOIN c USING (source_idx), s WHERE r.r <= s.minc),
+{_sketch_ctes("il")},
+{_peel_sql()},
+kept AS (SELECT *, row_number() OVER (ORDER BY pos) AS rn FROM il WHERE pos NOT IN (SELECT pos FROM dropped)),
+f(rn, pos, shard, buf) AS (
+  SELECT rn, pos, 0::BIGINT, n_tokens FROM kept WHERE rn = 1
+  UNION ALL
+  SELECT k.rn, k.pos, CASE WHEN f.buf >= {_BS} THEN f.shard + 1 ELSE f.shard END,
+         CASE WHEN f.buf >= {_BS} THEN k.n_tokens ELSE f.buf + k.n_tokens END
+  FROM f JOIN kept k ON k.rn = f.rn + 1
+)
+SELECT kept.pos, kept.source, kept.doc_id, kept.n_tokens, f.shard::BIGINT AS shard FROM kept JOIN f USING (pos)
+"""
