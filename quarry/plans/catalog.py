@@ -458,7 +458,7 @@ def q_bpe_chunked_sequences(spark, sf_dir):
 
 def q_training_view(spark, sf_dir):
     """Registry -> BPE examples -> interleave -> epochs -> batches -> ranks."""
-    tv = CP.training_view(spark, documents_registry(sf_dir), BPE, BPE_SEQ, EPOCHS, BATCH_SIZE, MICRO_BATCH, 2)
+    tv = CP.training_view(spark, build_registry(sf_dir), BPE, BPE_SEQ, EPOCHS, BATCH_SIZE, MICRO_BATCH, 2)
     return tv.select("epoch", "pos", "doc_id", "source", "batch_id", "micro_id", "rank")
 
 

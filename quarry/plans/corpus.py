@@ -77,7 +77,8 @@ def fixed_length_examples(df: DataFrame, tokenizer: TokenizerSpec, seq_length: i
                  keys + ["text"], "_ids")
     ids, mask = SQ.fixed_length("_ids", F.col("text") == "", seq_length, tokenizer.eos(), tokenizer.pad(),
                                 "always", mask_mode, empty)
-    return enc.select(*keys, ids.alias("input_ids"), mask.alias("attention_mask"))
+    return enc.select(*keys, ids.alias("input_ids"), mask.alias("attention_mask"),
+                      F.size("_ids").cast("long").alias("n_tokens"))
 
 
 def chunked_sequences(lines: DataFrame, tokenizer: TokenizerSpec, seq_length: int = 2048,
@@ -130,6 +131,8 @@ def training_view(spark: SparkSession, registry: list[REG.SourceSpec], tokenizer
             continue  # the reference skips a source it cannot open
         ex = fixed_length_examples(df.withColumn("doc_id", F.col("doc_id").cast("long")), tokenizer, seq_length,
                                    ["doc_id"])
+        if spec.cap_tokens is not None:  # D14: the budget applies here too
+            ex = O.token_budget(ex.withColumn("_src", F.lit(idx)), spec.cap_tokens, "n_tokens", "doc_id", "_src").drop("_src")
         frames.append(ex.withColumn("source_idx", F.lit(idx)).withColumn("source", F.lit(spec.name)))
     merged = frames[0]
     for f in frames[1:]:
