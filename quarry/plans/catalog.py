@@ -425,6 +425,7 @@ def q_build_text_shards(spark, sf_dir):
 # ---------------------------------------------------------------- byte-level BPE (rows-only oracle)
 BPE = TokenizerSpec()
 BPE_SEQ = 128
+TRAIN_CAPS = {"src0": 40_000, "src1": 60_000, "src2": 30_000}  # BPE tokens per source
 
 
 def q_bpe_token_counts(spark, sf_dir):
@@ -458,7 +459,8 @@ def q_bpe_chunked_sequences(spark, sf_dir):
 
 def q_training_view(spark, sf_dir):
     """Registry -> BPE examples -> interleave -> epochs -> batches -> ranks."""
-    tv = CP.training_view(spark, build_registry(sf_dir), BPE, BPE_SEQ, EPOCHS, BATCH_SIZE, MICRO_BATCH, 2)
+    reg = documents_registry(sf_dir, extra={n: {"cap_tokens": c} for n, c in TRAIN_CAPS.items()})
+    tv = CP.training_view(spark, reg, BPE, BPE_SEQ, EPOCHS, BATCH_SIZE, MICRO_BATCH, 2)
     return tv.select("epoch", "pos", "doc_id", "source", "batch_id", "micro_id", "rank")
 
 

@@ -53,7 +53,7 @@ WITH per AS (
   UNION ALL SELECT 'absent', false, 0::BIGINT
 )
 SELECT source, ok, verified_rows,
-       sum(ok::BIGINT) OVER () AS successful,
+       (sum(ok::BIGINT) OVER ())::BIGINT AS successful,
        count(*) OVER ()::BIGINT AS total,
        (SELECT string_agg(source, ',' ORDER BY source) FROM per WHERE NOT ok) AS failed
 FROM per

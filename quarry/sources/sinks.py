@@ -44,7 +44,7 @@ def read_sequence_shards(spark: SparkSession, path: str, shard: str = "shard") -
     df = spark.read.parquet(path)
     if shard not in df.columns:
         raise ValueError(f"no shard files found in {path}")
-    return df
+    return df.withColumn(shard, F.col(shard).cast("long"))  # partition values are inferred as int
 
 
 def write_metadata(meta: DataFrame, out: str, mode: str = "overwrite") -> None:
