@@ -146,7 +146,11 @@ def prefix_cutoffs(df: DataFrame, value: Column | str, key: str, group, cap) ->
     val = F.col(value) if isinstance(value, str) else value
     narrow = df.select(*g, key, val.cast("long").alias("_n"))
     cum = running_sum(narrow, "_n", key, g, out="_cum")
-    capc = _cap_expr(cap, g)
+    if isinstance(cap, DataFrame):  # a (group..., cap) table, one row per group
+        cum = cum.join(checked_broadcast(cap.select(*g, F.col("cap").cast("long").alias("_capv"))), g, "left")
+        capc = F.col("_capv")
+    else:
+        capc = _cap_expr(cap, g)
     return (cum.filter(capc.isNull() | (F.col("_cum") <= capc))
                .groupBy(*g).agg(F.max(key).alias("_cut")))
 
@@ -154,7 +158,8 @@ def prefix_cutoffs(df: DataFrame, value: Column | str, key: str, group, cap) ->
 def token_budget(df: DataFrame, cap, n_col: str = "n_tokens", key: str = "doc_id", group="source") -> DataFrame:
     """Per group, keep rows while the running token total stays <= cap; stop at the first overflow.
 
-    ``cap`` is an int or a ``{group value: cap}`` mapping. Returns the input rows (all columns) kept.
+    ``cap`` is an int, a ``{group value: cap}`` mapping or a ``(group..., cap)`` DataFrame.
+    Returns the input rows (all columns) kept.
     """
     g = _cols(group)
     cuts = checked_broadcast(prefix_cutoffs(df, n_col, key, g, cap))

@@ -494,6 +494,14 @@ def q_stream_token_budget(spark, sf_dir):
     return spark.read.parquet(p["out"])
 
 
+def q_stream_token_budget_batches(spark, sf_dir):
+    """T4 (foreachBatch form): the parallel batch budget per micro-batch with a per-source state table."""
+    p, s = _doc_stream(spark, sf_dir, ["doc_id", "source", "text"])
+    counted = s.select("source", "doc_id", T.whitespace_token_count("text").alias("n_tokens"))
+    ST.stream_token_budget_batches(counted, BUDGET_CAP, p["out"], p["state"], p["ckpt"])
+    return spark.read.parquet(p["out"]).select("source", "doc_id", "n_tokens")
+
+
 def q_stream_near_dedup(spark, sf_dir):
     """First-wins near-dedup across micro-batches (kept-band table per batch)."""
     p, s = _doc_stream(spark, sf_dir, ["doc_id", "source", "text"])
@@ -568,6 +576,7 @@ QUERIES = {
     "training_view": q_training_view,
     "stream_fixed_length": q_stream_fixed_length,
     "stream_token_budget": q_stream_token_budget,
+    "stream_token_budget_batches": q_stream_token_budget_batches,
     "stream_near_dedup": q_stream_near_dedup,
     "stream_step_rollup": q_stream_step_rollup,
     "flagship_mixture": flagship,

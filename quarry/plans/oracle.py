@@ -403,6 +403,7 @@ SELECT doc_id, array_to_string(input_ids, ',') AS input_ids,
 FROM fx
 """
 SQL["stream_token_budget"] = SQL["token_budget"]
+SQL["stream_token_budget_batches"] = SQL["token_budget"]
 SQL["stream_near_dedup"] = SQL["near_dedup"]
 SQL["stream_step_rollup"] = SQL["step_rollup"]
 

@@ -6,7 +6,9 @@
   the rest is peeled inside the batch, and the batch's kept bands are written under
   ``batch_id=<id>`` with overwrite -- a replayed batch rewrites the same folder (idempotent).
 * T4 ``stream_token_budget``: ``applyInPandasWithState`` keyed by source; state = running total and
-  a stop flag (once over the cap, always over).
+  a stop flag (once over the cap, always over). A source's rows of one micro-batch meet in one call,
+  so the group is bounded by the trigger size. ``stream_token_budget_batches`` is the form without
+  that bound: each micro-batch runs the parallel batch budget against a per-source state table.
 * T5 ``stream_step_rollup``: ``applyInPandasWithState`` keyed by log interval; an interval is emitted
   once complete and its state removed.
 
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quarry.operators.dedup import lsh_buckets, minhash, near_dedup
-from quarry.operators.ordered import order_bucket
+from quarry.operators.ordered import order_bucket, token_budget
 from quarry.session import scratch_path
 
 
@@ -110,6 +112,44 @@ def stream_token_budget(stream: DataFrame, cap, out_schema: str, order: str = "d
         GroupStateTimeout.NoTimeout)
 
 
+def stream_token_budget_batches(stream: DataFrame, cap: int, out: str, state: str, checkpoint: str,
+                                order: str = "doc_id", n_col: str = "n_tokens", group: str = "source") -> None:
+    """T4 without per-key Python: every micro-batch runs the parallel (bucketed) batch budget with
+    the remaining cap of each source; the per-source state ``(total, stopped)`` is a tiny table
+    written under ``batch_id=<id>`` (overwrite, so a replayed batch is idempotent).
+
+    A row is rejected exactly when the source's running total passes the cap, and since token counts
+    are non-negative the source then stays stopped: ``stopped' = stopped or total + batch sum > cap``.
+    """
+
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        try:
+            hist = spark.read.parquet(state).filter(F.col("batch_id") < batch_id)
+            last = hist.agg(F.max("batch_id")).first()[0]
+            prior = hist.filter(F.col("batch_id") == last).select(group, "total", "stopped") if last is not None else None
+        except Exception:  # first batch
+            prior = None
+        if prior is None:
+            prior = spark.createDataFrame([], f"{group} string, total long, stopped boolean")
+        sums = batch.groupBy(group).agg(F.sum(F.col(n_col).cast("long")).alias("_bs"))
+        remaining = sums.join(prior, group, "left").select(
+            group, F.when(F.coalesce("stopped", F.lit(False)), F.lit(-1))
+                    .otherwise(F.lit(int(cap)) - F.coalesce("total", F.lit(0))).alias("cap"))
+        kept = token_budget(batch, remaining, n_col, order, group)
+        kept.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        new_state = sums.join(prior, group, "full").select(
+            group,
+            (F.coalesce("total", F.lit(0)) + F.coalesce("_bs", F.lit(0))).alias("total"),
+            (F.coalesce("stopped", F.lit(False)) | ((F.coalesce("total", F.lit(0)) + F.coalesce("_bs", F.lit(0))) > cap))
+            .alias("stopped"))
+        new_state.write.mode("overwrite").parquet(f"{state}/batch_id={batch_id}")
+
+    q = (stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
 # ---------------------------------------------------------------- T5
 def _rollup_fn(log_interval: int):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
