@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from quarry.functions import sequences as SQ
 from quarry.functions import text as T
@@ -77,8 +78,14 @@ def fixed_length_examples(df: DataFrame, tokenizer: TokenizerSpec, seq_length: i
                  keys + ["text"], "_ids")
     ids, mask = SQ.fixed_length("_ids", F.col("text") == "", seq_length, tokenizer.eos(), tokenizer.pad(),
                                 "always", mask_mode, empty)
-    return enc.select(*keys, ids.alias("input_ids"), mask.alias("attention_mask"),
-                      F.size("_ids").cast("long").alias("n_tokens"))
+    out = enc.select(*keys, ids.alias("input_ids"), mask.alias("attention_mask"),
+                     F.size("_ids").cast("long").alias("n_tokens"))
+    # The declared example features (as the reference's explicit Features)
+    declared = ST.StructType([f for f in out.schema.fields if f.name in keys] + [
+        ST.StructField("input_ids", ST.ArrayType(ST.LongType())),
+        ST.StructField("attention_mask", ST.ArrayType(ST.LongType())),
+        ST.StructField("n_tokens", ST.LongType())])
+    return out.to(declared)
 
 
 def chunked_sequences(lines: DataFrame, tokenizer: TokenizerSpec, seq_length: int = 2048,
