@@ -73,6 +73,26 @@ def fixed_length(ids, text_empty: Column, length: int, eos: int, pad_id: int | N
     return input_ids, mask
 
 
+def with_fixed_length(df: DataFrame, ids: str, text_empty: str, length: int, eos: int, pad_id: int | None = None,
+                      eos_mode: str = "always", mask_mode: str = "id", empty: str = "pad",
+                      out_ids: str = "input_ids", out_mask: str = "attention_mask") -> DataFrame:
+    """C4 core as projection steps: each intermediate array is its own column, so no array
+    expression is re-evaluated where it is referenced several times (Catalyst does not collapse
+    projections that would duplicate non-trivial expressions)."""
+    pad_id = eos if pad_id is None else pad_id
+    d = df.withColumn("_full", append_eos(ids, eos, eos_mode))
+    d = d.withColumn("_real", F.least(F.size("_full"), F.lit(length))).withColumn("_trunc", truncate("_full", length))
+    full_pad = F.array_repeat(F.lit(pad_id).cast("long"), length)
+    empty_ids = full_pad if empty == "pad" else F.array().cast("array<bigint>")
+    d = d.withColumn(out_ids, F.when(F.col(text_empty), empty_ids).otherwise(pad("_trunc", length, pad_id)))
+    if mask_mode == "id":
+        d = d.withColumn(out_mask, attention_mask(out_ids, pad_id, "id"))
+    else:
+        d = d.withColumn(out_mask, F.when(F.col(text_empty), F.transform(out_ids, lambda x: F.lit(0).cast("long")))
+                         .otherwise(attention_mask(out_ids, pad_id, "length", F.col("_real"))))
+    return d.drop("_full", "_real", "_trunc")
+
+
 def drop_empty(df: DataFrame, col: str = "input_ids") -> DataFrame:
     """Drop examples whose ``input_ids`` is empty."""
     return df.filter(F.size(col) > 0)

@@ -67,40 +67,42 @@ def order_bucket(df: DataFrame, key: str, n_buckets: int | None = None, out: str
     return apply_buckets(df, key, bucket_splits(df, key, n_buckets), out)
 
 
-def running_agg(
-    df: DataFrame,
-    value: Column | str,
-    key: str,
-    group: str | list[str] | None = None,
-    out: str = "cum",
-    agg: str = "sum",
-    inclusive: bool = True,
-    n_buckets: int | None = None,
-    cast: str = "long",
-) -> DataFrame:
-    """Running ``sum``/``min``/``max`` of ``value`` over ``key`` within ``group``, balanced across tasks.
+def _profile(narrow: DataFrame, key: str, g: list[str], n_buckets: int | None):
+    """One job over the narrow table: row count, exact number of groups, and bucket bounds."""
+    n_buckets = n_buckets or default_buckets(narrow)
+    probs = [i / n_buckets for i in range(1, n_buckets)]
+    aggs = [F.count(F.lit(1)).alias("n"),
+            (F.count_distinct(F.struct(*g)) if g else F.lit(1).cast("long")).alias("ng")]
+    if probs:
+        aggs.append(F.percentile_approx(F.col(key).cast("double"), probs, max(10_000, 4 * n_buckets)).alias("q"))
+    row = narrow.agg(*aggs).first()
+    bounds = (row["q"] or []) if probs else []
+    splits = [float("-inf")] + sorted({float(b) for b in bounds if b is not None}) + [float("inf")]
+    return row["n"], row["ng"], splits
 
-    ``inclusive=False`` gives the aggregate of the rows strictly before (null for the first row).
-    The bounds and bucket totals come from the narrow ``(group, key, value)`` projection, written once
-    (reliable checkpoint); the wide input is evaluated once more, for the final local windows.
-    """
+
+def _running_agg(df, value, key, group, out, agg, inclusive, n_buckets, cast, materialized=False):
     fn = {"sum": F.sum, "min": F.min, "max": F.max}[agg]
     g = _cols(group)
     val = F.col(value) if isinstance(value, str) else value
-    narrow = cut_lineage(df.select(*g, key, val.cast(cast).alias("_v")))
+    narrow = df.select(*g, key, val.cast(cast).alias("_v"))
+    narrow = narrow if materialized else cut_lineage(narrow)
+    n, ng, splits = _profile(narrow, key, g, n_buckets)
     hi = 0 if inclusive else -1
-    if n_buckets is None and narrow.count() <= SMALL_TABLE_ROWS:  # proven small: one window, no buckets
+    if n_buckets is None and n <= SMALL_TABLE_ROWS:  # proven small: one window, no buckets
         w_small = Window.partitionBy(*g).orderBy(key).rowsBetween(Window.unboundedPreceding, hi)
         small = narrow.select(*g, key, fn("_v").over(w_small).alias(out))
         if agg == "sum" and inclusive:
             small = small.withColumn(out, F.coalesce(F.col(out), F.lit(0).cast(cast)))
-        return df.join(F.broadcast(small), [*g, key])
-    splits = bucket_splits(narrow, key, n_buckets)
+        return df.join(F.broadcast(small), [*g, key]), ng
     totals = apply_buckets(narrow, key, splits).groupBy(*g, "_bkt").agg(fn("_v").alias("_bt"))
     w_off = Window.partitionBy(*g).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*g, "_bkt", fn("_bt").over(w_off).alias("_off"))
+    # the offsets table has at most (#groups x #buckets) rows: a bound known from the profile job
+    if ng * (len(splits) - 1) <= BROADCAST_MAX_ROWS:
+        offsets = F.broadcast(offsets)
     b = apply_buckets(df.withColumn("_v", val.cast(cast)), key, splits)
-    joined = b.join(checked_broadcast(offsets), [*g, "_bkt"])
+    joined = b.join(offsets, [*g, "_bkt"])
     w = Window.partitionBy(*g, "_bkt").orderBy(key).rowsBetween(Window.unboundedPreceding, hi)
     local = fn("_v").over(w)
     if agg == "sum":
@@ -111,7 +113,29 @@ def running_agg(
         res = F.least(F.col("_off"), local)
     else:
         res = F.greatest(F.col("_off"), local)
-    return joined.withColumn(out, res).drop("_v", "_bkt", "_off")
+    return joined.withColumn(out, res).drop("_v", "_bkt", "_off"), ng
+
+
+def running_agg(
+    df: DataFrame,
+    value: Column | str,
+    key: str,
+    group: str | list[str] | None = None,
+    out: str = "cum",
+    agg: str = "sum",
+    inclusive: bool = True,
+    n_buckets: int | None = None,
+    cast: str = "long",
+) -> DataFrame:
+    """Running ``sum``/``min``/``max`` of ``value`` over ``key`` within ``group``, balanced across tasks.
+
+    ``inclusive=False`` gives the aggregate of the rows strictly before (null for the first row).
+    The narrow ``(group, key, value)`` projection is written once (reliable checkpoint); one job over
+    it yields the row count, the exact number of groups and the bucket bounds, which prove the size
+    of the offsets table before it is broadcast. The wide input is evaluated once more, for the final
+    local windows.
+    """
+    return _running_agg(df, value, key, group, out, agg, inclusive, n_buckets, cast)[0]
 
 
 def running_sum(df: DataFrame, value, key: str, group=None, out: str = "cum", n_buckets: int | None = None) -> DataFrame:
@@ -142,17 +166,26 @@ def prefix_cutoffs(df: DataFrame, value: Column | str, key: str, group, cap) ->
     Runs on the narrow projection only. A group whose first row already overflows gets no row.
     A ``None`` cap (group missing from a mapping) means unlimited.
     """
+    return _prefix_cutoffs(df, value, key, group, cap)[0]
+
+
+def _prefix_cutoffs(df: DataFrame, value, key: str, group, cap):
     g = _cols(group)
     val = F.col(value) if isinstance(value, str) else value
-    narrow = df.select(*g, key, val.cast("long").alias("_n"))
-    cum = running_sum(narrow, "_n", key, g, out="_cum")
+    narrow = cut_lineage(df.select(*g, key, val.cast("long").alias("_n")))  # the only pass over df
+    cum, ng = _running_agg(narrow, "_n", key, g, "_cum", "sum", True, None, "long", materialized=True)
     if isinstance(cap, DataFrame):  # a (group..., cap) table, one row per group
         cum = cum.join(checked_broadcast(cap.select(*g, F.col("cap").cast("long").alias("_capv"))), g, "left")
         capc = F.col("_capv")
     else:
         capc = _cap_expr(cap, g)
-    return (cum.filter(capc.isNull() | (F.col("_cum") <= capc))
-               .groupBy(*g).agg(F.max(key).alias("_cut")))
+    cuts = cum.filter(capc.isNull() | (F.col("_cum") <= capc)).groupBy(*g).agg(F.max(key).alias("_cut"))
+    return cuts, ng
+
+
+def _small_side(cuts: DataFrame, n_rows: int) -> DataFrame:
+    """Broadcast a table whose row count is bounded by ``n_rows`` (known); else a shuffle join."""
+    return F.broadcast(cuts) if n_rows <= BROADCAST_MAX_ROWS else cuts
 
 
 def token_budget(df: DataFrame, cap, n_col: str = "n_tokens", key: str = "doc_id", group="source") -> DataFrame:
@@ -162,15 +195,15 @@ def token_budget(df: DataFrame, cap, n_col: str = "n_tokens", key: str = "doc_id
     Returns the input rows (all columns) kept.
     """
     g = _cols(group)
-    cuts = checked_broadcast(prefix_cutoffs(df, n_col, key, g, cap))
-    return df.join(cuts, g).filter(F.col(key) <= F.col("_cut")).drop("_cut")
+    cuts, ng = _prefix_cutoffs(df, n_col, key, g, cap)  # one row per group at most
+    return df.join(_small_side(cuts, ng), g).filter(F.col(key) <= F.col("_cut")).drop("_cut")
 
 
 def row_cap(df: DataFrame, n, key: str = "doc_id", group="source") -> DataFrame:
     """L1: the first ``n`` rows of every group by ``key`` (``n`` int or mapping)."""
     g = _cols(group)
-    cuts = checked_broadcast(prefix_cutoffs(df, F.lit(1), key, g, n))
-    return df.join(cuts, g).filter(F.col(key) <= F.col("_cut")).drop("_cut")
+    cuts, ng = _prefix_cutoffs(df, F.lit(1), key, g, n)
+    return df.join(_small_side(cuts, ng), g).filter(F.col(key) <= F.col("_cut")).drop("_cut")
 
 
 def interleave(

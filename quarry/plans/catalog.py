@@ -273,9 +273,8 @@ def q_fixed_length_ids(spark, sf_dir):
     out = None
     for shp in text_shapes(spark, sf_dir):
         r = shp.select("shape", "rid", T.resolve_text_first_nonempty(shp))
-        ids = SQ.word_length_ids(T.py_split("text"))
-        input_ids, mask = SQ.fixed_length(ids, F.col("text") == "", SEQ_LEN, EOS_ID)
-        r = r.select("shape", "rid", input_ids.alias("input_ids"), mask.alias("attention_mask"))
+        r = r.select("shape", "rid", SQ.word_length_ids(T.py_split("text")).alias("_w"), (F.col("text") == "").alias("_e"))
+        r = SQ.with_fixed_length(r, "_w", "_e", SEQ_LEN, EOS_ID).select("shape", "rid", "input_ids", "attention_mask")
         out = r if out is None else out.unionByName(r)
     out = SQ.drop_empty(out)
     return out.select("shape", "rid", F.array_join("input_ids", ",").alias("input_ids"),
@@ -285,8 +284,8 @@ def q_fixed_length_ids(spark, sf_dir):
 def line_sequences(spark, sf_dir):
     """Stripped non-blank lines of every document with word-length ids (+EOS if missing)."""
     lines = T.strip_nonblank_lines(load(spark, sf_dir, "documents"), keep=["doc_id"])
-    ids = SQ.append_eos(SQ.word_length_ids(T.py_split("line")), EOS_ID, "if_missing")
-    return lines.select("doc_id", F.col("line_no").cast("long"), ids.alias("ids"))
+    w = lines.select("doc_id", F.col("line_no").cast("long"), SQ.word_length_ids(T.py_split("line")).alias("_w"))
+    return w.select("doc_id", "line_no", SQ.append_eos("_w", EOS_ID, "if_missing").alias("ids"))
 
 
 def line_order(doc: str = "doc_id", line: str = "line_no", chunk=None):
@@ -478,9 +477,9 @@ def _doc_stream(spark, sf_dir, cols):
 def q_stream_fixed_length(spark, sf_dir):
     """Documents arriving as files -> fixed-length examples (same functions as batch)."""
     p, s = _doc_stream(spark, sf_dir, ["doc_id", "text"])
-    ids = SQ.word_length_ids(T.py_split("text"))
-    input_ids, mask = SQ.fixed_length(ids, F.col("text") == "", SEQ_LEN, EOS_ID)
-    ex = s.select("doc_id", F.array_join(input_ids, ",").alias("input_ids"), F.array_join(mask, ",").alias("attention_mask"))
+    w = s.select("doc_id", SQ.word_length_ids(T.py_split("text")).alias("_w"), (F.col("text") == "").alias("_e"))
+    ex = SQ.with_fixed_length(w, "_w", "_e", SEQ_LEN, EOS_ID).select(
+        "doc_id", F.array_join("input_ids", ",").alias("input_ids"), F.array_join("attention_mask", ",").alias("attention_mask"))
     ST.run_to_parquet(ex, p["out"], p["ckpt"])
     return spark.read.parquet(p["out"])
 

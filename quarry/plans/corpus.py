@@ -76,10 +76,9 @@ def fixed_length_examples(df: DataFrame, tokenizer: TokenizerSpec, seq_length: i
     resolved = df.select(*keys, T.resolve_text_first_nonempty(df))
     enc = encode(resolved, TokenizerSpec(**{**tokenizer.__dict__, "add_special_tokens": False}), "text",
                  keys + ["text"], "_ids")
-    ids, mask = SQ.fixed_length("_ids", F.col("text") == "", seq_length, tokenizer.eos(), tokenizer.pad(),
-                                "always", mask_mode, empty)
-    out = enc.select(*keys, ids.alias("input_ids"), mask.alias("attention_mask"),
-                     F.size("_ids").cast("long").alias("n_tokens"))
+    fx = SQ.with_fixed_length(enc.withColumn("_e", F.col("text") == ""), "_ids", "_e", seq_length, tokenizer.eos(),
+                              tokenizer.pad(), "always", mask_mode, empty)
+    out = fx.select(*keys, "input_ids", "attention_mask", F.size("_ids").cast("long").alias("n_tokens"))
     # The declared example features (as the reference's explicit Features)
     declared = ST.StructType([f for f in out.schema.fields if f.name in keys] + [
         ST.StructField("input_ids", ST.ArrayType(ST.LongType())),
