@@ -89,12 +89,12 @@ def _running_agg(df, value, key, group, out, agg, inclusive, n_buckets, cast, ma
     narrow = narrow if materialized else cut_lineage(narrow)
     n, ng, splits = _profile(narrow, key, g, n_buckets)
     hi = 0 if inclusive else -1
-    if n_buckets is None and n <= SMALL_TABLE_ROWS:  # proven small: one window, no buckets
+    if n_buckets is None and n <= SMALL_TABLE_ROWS:  # proven small: one window, no buckets, no join
         w_small = Window.partitionBy(*g).orderBy(key).rowsBetween(Window.unboundedPreceding, hi)
-        small = narrow.select(*g, key, fn("_v").over(w_small).alias(out))
+        res = df.withColumn("_v", val.cast(cast)).withColumn(out, fn("_v").over(w_small))
         if agg == "sum" and inclusive:
-            small = small.withColumn(out, F.coalesce(F.col(out), F.lit(0).cast(cast)))
-        return df.join(F.broadcast(small), [*g, key]), ng
+            res = res.withColumn(out, F.coalesce(F.col(out), F.lit(0).cast(cast)))
+        return res.drop("_v"), ng
     totals = apply_buckets(narrow, key, splits).groupBy(*g, "_bkt").agg(fn("_v").alias("_bt"))
     w_off = Window.partitionBy(*g).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*g, "_bkt", fn("_bt").over(w_off).alias("_off"))

@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from quarry.functions.sequences import append_eos, chunks, pad
-from quarry.operators.ordered import apply_buckets, checked_broadcast, running_agg, running_count, running_sum
+from quarry.operators.ordered import (BROADCAST_MAX_ROWS, apply_buckets, checked_broadcast, running_agg,
+                                     running_count, running_sum)
 from quarry.session import cut_lineage
 
 LOOKUP_MAX_SHARDS = 100_000  # shard starts shipped as literal search bounds
@@ -78,18 +79,21 @@ def _reset_shards(cum: DataFrame, shard_tokens: int, out: str) -> DataFrame:
     stats = cum.agg(F.min("_k").alias("_first"), F.sum("_n").alias("_total")).first()
     if stats["_first"] is None:
         return cum.withColumn(out, F.lit(0).cast("long"))
-    max_chain = stats["_total"] // max(shard_tokens, 1) + 2
+    max_chain = stats["_total"] // max(shard_tokens, 1) + 2  # every shard but the last holds >= S tokens
     rounds = max(1, math.ceil(math.log2(max_chain + 1)))
     chain = cum.sparkSession.createDataFrame([(int(stats["_first"]),)], "_k bigint")
-    jump = nxt.select("_k", F.col("_next").alias("_j"))
+    jump = nxt.select("_k", F.col("_next").alias("_j")).filter(F.col("_j").isNotNull())  # missing = no successor
+    small_chain = max_chain <= BROADCAST_MAX_ROWS
     for r in range(rounds):
-        step = chain.join(checked_broadcast(jump.join(chain, "_k", "left_semi")), "_k") \
-                    .select(F.col("_j").alias("_k")).filter(F.col("_k").isNotNull())
-        chain = cut_lineage(chain.unionByName(step).distinct())
+        # chain = {next^m(first) : m < 2^r}; the new nodes next^(m + 2^r) are disjoint from it
+        side = F.broadcast(chain) if small_chain else chain
+        step = jump.join(side, "_k").select(F.col("_j").alias("_k"))
+        chain = cut_lineage(chain.unionByName(step))
         if r + 1 < rounds:  # jump_{r+1}(k) = jump_r(jump_r(k))
-            jump = cut_lineage(jump.alias("a").join(jump.alias("b"), F.col("a._j") == F.col("b._k"), "left")
+            jump = cut_lineage(jump.alias("a").join(jump.alias("b"), F.col("a._j") == F.col("b._k"))
                                .select(F.col("a._k").alias("_k"), F.col("b._j").alias("_j")))
-    starts = checked_broadcast(chain.withColumn("_start", F.lit(1)))
+    starts = chain.withColumn("_start", F.lit(1))
+    starts = F.broadcast(starts) if small_chain else starts
     flagged = cum.join(starts, "_k", "left").withColumn("_start", F.coalesce("_start", F.lit(0)))
     ids = running_sum(flagged, "_start", "_k", None, "_sid")
     return ids.withColumn(out, (F.col("_sid") - 1).cast("long"))
