@@ -78,8 +78,14 @@ def with_fixed_length(df: DataFrame, ids: str, text_empty: str, length: int, eos
                       out_ids: str = "input_ids", out_mask: str = "attention_mask") -> DataFrame:
     """C4 core as projection steps: each intermediate array is its own column, so no array
     expression is re-evaluated where it is referenced several times (Catalyst does not collapse
-    projections that would duplicate non-trivial expressions)."""
+    projections that would duplicate non-trivial expressions).
+
+    With ``empty="drop"`` (P9) the rows of empty text are dropped on the boolean flag itself: a
+    filter on the computed array would be pushed below the projections and evaluate it twice.
+    """
     pad_id = eos if pad_id is None else pad_id
+    if empty == "drop":
+        df = df.filter(~F.col(text_empty))
     d = df.withColumn("_full", append_eos(ids, eos, eos_mode))
     d = d.withColumn("_real", F.least(F.size("_full"), F.lit(length))).withColumn("_trunc", truncate("_full", length))
     full_pad = F.array_repeat(F.lit(pad_id).cast("long"), length)
@@ -94,7 +100,8 @@ def with_fixed_length(df: DataFrame, ids: str, text_empty: str, length: int, eos
 
 
 def drop_empty(df: DataFrame, col: str = "input_ids") -> DataFrame:
-    """Drop examples whose ``input_ids`` is empty."""
+    """Drop examples whose ``input_ids`` is empty (use it on materialised ids, e.g. after a join
+    or read; on freshly computed ids prefer ``with_fixed_length(empty="drop")``)."""
     return df.filter(F.size(col) > 0)
 
 

@@ -147,35 +147,42 @@ def lsh_buckets(sk: DataFrame) -> DataFrame:
 def peel(members: DataFrame, hot_bucket_rows: int = 100_000, max_rounds: int = 1000) -> DataFrame:
     """Dropped positions of the first-wins independent set over bucket memberships ``(band,key,pos)``.
 
-    Every round is checkpointed (reliable, shared folder) so lineage stays one round deep.
+    Buckets of one member constrain nothing and are left out first, so documents sharing no bucket
+    never enter the rounds. Each round writes one "decided" table (kept and dropped, flagged) and the
+    remaining memberships, both with a reliable checkpoint, so lineage stays one round deep.
     """
     keys = ["band", "key"]
-    m = cut_lineage(members.select(*keys, "pos"))
-    sizes = m.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = checked_broadcast(sizes.filter(F.col("_n") > hot_bucket_rows).select(*keys))
-    dropped_all = None
+    m0 = cut_lineage(members.select(*keys, "pos"))
+    sizes = m0.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))  # partial aggregation: hot buckets are fine
+    hot = checked_broadcast(sizes.filter(F.col("_n") > hot_bucket_rows).select(*keys))  # <= |m| / hot rows
+    shared_cold = sizes.filter((F.col("_n") > 1) & (F.col("_n") <= hot_bucket_rows)).select(*keys)
+    m = cut_lineage(m0.join(hot, keys, "left_semi").unionByName(
+        m0.join(hot, keys, "left_anti").join(shared_cold, keys, "left_semi")))
+    drops = []
     for _ in range(max_rounds):
         if m.isEmpty():
             break
-        mins = m.groupBy(*keys).agg(F.min("pos").alias("mp"))  # partial aggregation: hot buckets are fine
+        mins = m.groupBy(*keys).agg(F.min("pos").alias("mp"))
         nfirst = mins.groupBy(F.col("mp").alias("pos")).agg(F.count(F.lit(1)).alias("_first"))
         deg = m.groupBy("pos").agg(F.count(F.lit(1)).alias("_deg"))
         kept = deg.join(nfirst, "pos").filter(F.col("_deg") == F.col("_first")).select("pos")
-        kept = cut_lineage(kept)
         killed = mins.join(kept.withColumnRenamed("pos", "mp"), "mp").select(*keys)
         killed_hot = F.broadcast(killed.join(hot, keys, "left_semi"))  # subset of a size-checked table
         cold_m = m.join(hot, keys, "left_anti")
         hot_m = m.join(hot, keys, "left_semi")
         hit = cold_m.join(killed, keys, "left_semi").unionByName(hot_m.join(killed_hot, keys, "left_semi"))
         dropped = hit.select("pos").distinct().join(kept, "pos", "left_anti")
-        dropped = cut_lineage(dropped)
-        dropped_all = dropped if dropped_all is None else cut_lineage(dropped_all.unionByName(dropped))
-        m = cut_lineage(m.join(kept.unionByName(dropped), "pos", "left_anti"))
+        decided = cut_lineage(kept.withColumn("_kept", F.lit(True)).unionByName(dropped.withColumn("_kept", F.lit(False))))
+        drops.append(decided.filter(~F.col("_kept")).select("pos"))
+        m = cut_lineage(m.join(decided, "pos", "left_anti"))
     else:
         raise RuntimeError("peeling did not converge")
-    if dropped_all is None:
+    if not drops:
         return members.sparkSession.createDataFrame([], "pos bigint")
-    return dropped_all
+    out = drops[0]
+    for d in drops[1:]:
+        out = out.unionByName(d)
+    return out
 
 
 def near_dedup(df: DataFrame, order: str, text: str = "text", threshold: float = 0.9, num_perm: int = 128,

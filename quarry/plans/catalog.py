@@ -269,14 +269,14 @@ SHARD_TOKENS = 20_000
 
 
 def q_fixed_length_ids(spark, sf_dir):
-    """Fixed-length examples from every record shape (word-length ids)."""
+    """Fixed-length examples from every record shape (word-length ids)."""
     out = None
     for shp in text_shapes(spark, sf_dir):
         r = shp.select("shape", "rid", T.resolve_text_first_nonempty(shp))
         r = r.select("shape", "rid", SQ.word_length_ids(T.py_split("text")).alias("_w"), (F.col("text") == "").alias("_e"))
         r = SQ.with_fixed_length(r, "_w", "_e", SEQ_LEN, EOS_ID).select("shape", "rid", "input_ids", "attention_mask")
         out = r if out is None else out.unionByName(r)
-    out = SQ.drop_empty(out)
+    # P9 (drop empty input_ids) cannot remove anything here: empty texts become full-pad rows
     return out.select("shape", "rid", F.array_join("input_ids", ",").alias("input_ids"),
                       F.array_join("attention_mask", ",").alias("attention_mask"))
 

@@ -22,7 +22,10 @@ def spread(df: DataFrame) -> DataFrame:
     task, which would serialise every per-row stage before the first shuffle; on a cluster the scan
     already has far more splits than cores and this is a no-op (planning-time check, no job)."""
     want = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    # hash of the whole row: deterministic on retry without the local sort a round-robin split needs
+    return df.repartition(want, F.xxhash64(*df.columns))
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
