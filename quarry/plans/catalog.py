@@ -16,7 +16,7 @@ from quarry.operators import shards as SH
 from quarry.functions import sequences as SQ
 from quarry.functions.tokenize import TokenizerSpec, encode
 from quarry.plans import corpus as CP
-from quarry.session import scratch_path
+from quarry.session import cut_lineage, scratch_path
 from quarry.sources import sinks as SK
 from quarry.streaming import stream as ST
 from quarry.operators import report as R
@@ -296,6 +296,7 @@ def line_order(doc: str = "doc_id", line: str = "line_no", chunk=None):
 def chunk_table(spark, sf_dir):
     c = SH.count_shard_chunks(line_sequences(spark, sf_dir), "ids", SEQ_LEN)
     c = c.withColumn("chunk_idx", F.col("chunk_idx").cast("long")).withColumn("_ord", line_order(chunk="chunk_idx"))
+    c = cut_lineage(c)  # the chunks are the product: split once, read by both passes of the position
     pos = O.global_position(c, "_ord")
     return O.count_shards(pos, SHARD_SIZE)
 

@@ -21,13 +21,16 @@ from quarry.operators import shards as SH
 from quarry.operators.dedup import near_dedup
 from quarry.sources import registry as REG
 from quarry.sources import sinks as SK
+from quarry.session import cut_lineage
 
 
 def _with_counts(df: DataFrame, tokenizer: TokenizerSpec | None, keys: list[str]) -> DataFrame:
-    if tokenizer is None:  # whitespace tokenizer, JVM only
+    if tokenizer is None:  # whitespace tokenizer, JVM only: recomputing it is cheaper than storing it
         return df.withColumn("n_tokens", T.whitespace_token_count("text"))
-    enc = encode(df, tokenizer, "text", keys + ["text"], "_ids")
-    return enc.withColumn("n_tokens", F.size("_ids").cast("long")).drop("_ids")
+    # BPE runs once: the narrow (keys, n_tokens) table is written, then joined back to the text
+    counts = cut_lineage(encode(df, tokenizer, "text", keys, "_ids")
+                         .select(*keys, F.size("_ids").cast("long").alias("n_tokens")))
+    return df.join(counts, keys)
 
 
 def corpus_stream(spark: SparkSession, registry: list[REG.SourceSpec], order: str = "doc_id",
@@ -97,6 +100,7 @@ def chunked_sequences(lines: DataFrame, tokenizer: TokenizerSpec, seq_length: in
     s = lines.select(F.col(order).cast("long").alias("_o"), T.py_strip("value").alias("text")).filter(F.length("text") > 0)
     enc = encode(s, tokenizer, "text", ["_o"], "_ids")
     seqs = enc.select("_o", SQ.chunks(SQ.append_eos("_ids", tokenizer.eos(), "if_missing"), seq_length).alias("_ch"))
+    seqs = cut_lineage(seqs)  # the ids are the product: tokenise once, never recompute the Python stage
     # position of a line's first chunk = running sum of chunk counts (no composite key needed)
     seqs = O.running_sum(seqs.withColumn("_nc", F.size("_ch")), "_nc", "_o", None, "_cum")
     ch = seqs.select((F.col("_cum") - F.col("_nc")).alias("_start"), F.posexplode("_ch").alias("_c", "input_ids"))
@@ -135,8 +139,8 @@ def training_view(spark: SparkSession, registry: list[REG.SourceSpec], tokenizer
         df, err = REG._probe(spark, spec)
         if err is not None:
             continue  # the reference skips a source it cannot open
-        ex = fixed_length_examples(df.withColumn("doc_id", F.col("doc_id").cast("long")), tokenizer, seq_length,
-                                   ["doc_id"])
+        ex = cut_lineage(fixed_length_examples(df.withColumn("doc_id", F.col("doc_id").cast("long")), tokenizer,
+                                               seq_length, ["doc_id"]))  # tokenised once
         if spec.cap_tokens is not None:  # D14: the budget applies here too
             ex = O.token_budget(ex.withColumn("_src", F.lit(idx)), spec.cap_tokens, "n_tokens", "doc_id", "_src").drop("_src")
         frames.append(ex.withColumn("source_idx", F.lit(idx)).withColumn("source", F.lit(spec.name)))
