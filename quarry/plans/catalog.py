@@ -26,7 +26,9 @@ from quarry.sources.tables import documents_registry, load, source_index, table_
 # Fixed parameters of the registered queries (shared with the oracle SQL).
 BUDGET_CAP = 5_000  # whitespace tokens per source
 ROW_CAP = 7
-REGISTRY_CAPS = {"src0": 4_000, "src1": 6_000, "src2": 3_000}
+N_SOURCES = 20  # the registry fixture: every documents.source value src0..src19, in this order
+REGISTRY_NAMES = tuple(f"src{i}" for i in range(N_SOURCES))
+REGISTRY_CAPS = {f"src{i}": 4_000 + 1_000 * (i % 3) for i in range(N_SOURCES)}  # whitespace tokens, by rule
 WORLD_SIZE = 4
 BATCH_SIZE, MICRO_BATCH = 8, 2
 STEP_BATCH, STEP_SEQ, STEP_WORLD, WARMUP = 4, 128, 2, 0.05
@@ -43,7 +45,7 @@ def docs_with_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- sources / predicates
 def q_registry_scan_filter(spark, sf_dir):
     """Three sources with predicates, unioned by name."""
-    reg = documents_registry(sf_dir, extra={
+    reg = documents_registry(sf_dir, REGISTRY_NAMES, extra={
         "src0": {"predicate": (F.col("source") == "src0") & (F.col("lang") == "en")},
         "src1": {"predicate": (F.col("source") == "src1") & F.col("lang").isin("de", "fr")},
     })
@@ -61,7 +63,8 @@ def q_nested_field_filter(spark, sf_dir):
 
 def q_skip_missing_source(spark, sf_dir):
     """S3: a registry row whose path is absent is skipped; the others still run."""
-    reg = documents_registry(sf_dir) + [REG.SourceSpec(name="src_missing", path=f"{sf_dir}/no_such_table.parquet")]
+    reg = documents_registry(sf_dir, REGISTRY_NAMES) + [
+        REG.SourceSpec(name="src_missing", path=f"{sf_dir}/no_such_table.parquet")]
     df = REG.union_sources(spark, reg, on_error="skip", columns=["doc_id"])
     return df.groupBy("source").agg(F.count(F.lit(1)).alias("docs"))
 
@@ -145,7 +148,7 @@ def q_token_budget(spark, sf_dir):
 
 def q_registry_token_budget(spark, sf_dir):
     """W1 over the registry fixture with per-source caps (registry order, filters honoured)."""
-    reg = documents_registry(sf_dir)
+    reg = documents_registry(sf_dir, REGISTRY_NAMES)
     df = REG.union_sources(spark, reg, columns=["doc_id", "text"])
     df = df.withColumn("n_tokens", T.whitespace_token_count("text"))
     kept = O.token_budget(df, REGISTRY_CAPS)
@@ -412,7 +415,7 @@ BUILD_SHARD_TOKENS = 2_000
 
 def build_registry(sf_dir):
     caps = {n: {"cap_tokens": c} for n, c in REGISTRY_CAPS.items()}
-    return documents_registry(sf_dir, extra=caps)
+    return documents_registry(sf_dir, REGISTRY_NAMES, extra=caps)
 
 
 def q_build_text_shards(spark, sf_dir):
@@ -425,7 +428,7 @@ def q_build_text_shards(spark, sf_dir):
 # ---------------------------------------------------------------- byte-level BPE (rows-only oracle)
 BPE = TokenizerSpec()
 BPE_SEQ = 128
-TRAIN_CAPS = {"src0": 40_000, "src1": 60_000, "src2": 30_000}  # BPE tokens per source
+TRAIN_CAPS = {f"src{i}": 30_000 + 10_000 * (i % 3) for i in range(N_SOURCES)}  # BPE tokens per source, by rule
 
 
 def q_bpe_token_counts(spark, sf_dir):
@@ -459,7 +462,7 @@ def q_bpe_chunked_sequences(spark, sf_dir):
 
 def q_training_view(spark, sf_dir):
     """Registry -> BPE examples -> interleave -> epochs -> batches -> ranks."""
-    reg = documents_registry(sf_dir, extra={n: {"cap_tokens": c} for n, c in TRAIN_CAPS.items()})
+    reg = documents_registry(sf_dir, REGISTRY_NAMES, extra={n: {"cap_tokens": c} for n, c in TRAIN_CAPS.items()})
     tv = CP.training_view(spark, reg, BPE, BPE_SEQ, EPOCHS, BATCH_SIZE, MICRO_BATCH, 2)
     return tv.select("epoch", "pos", "doc_id", "source", "batch_id", "micro_id", "rank")
 

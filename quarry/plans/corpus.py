@@ -33,10 +33,9 @@ def _with_counts(df: DataFrame, tokenizer: TokenizerSpec | None, keys: list[str]
     return df.join(counts, keys)
 
 
-def corpus_stream(spark: SparkSession, registry: list[REG.SourceSpec], order: str = "doc_id",
-                  tokenizer: TokenizerSpec | None = None, on_error: str = "fail",
-                  strategy: str = "first_exhausted") -> DataFrame:
-    """The interleaved, budgeted document stream with ``pos``."""
+def _merged_sources(spark: SparkSession, registry: list[REG.SourceSpec], order: str, resolve, on_error: str):
+    """Every source opened (filters pushed to its scan), its text resolved against its own schema,
+    then one union ``(source, source_idx, doc_id, text)`` so that later stages run once for all."""
     frames = []
     for idx, spec in enumerate(registry):
         df, err = REG._probe(spark, spec)
@@ -44,17 +43,44 @@ def corpus_stream(spark: SparkSession, registry: list[REG.SourceSpec], order: st
             if on_error == "skip":
                 continue
             raise ValueError(f"source {spec.name!r} cannot be opened: {err}")
-        d = df.select(F.col(order).cast("long").alias("doc_id"), T.resolve_text_presence(df))
-        d = _with_counts(d, tokenizer, ["doc_id"])
-        if spec.cap_tokens is not None:
-            d = O.token_budget(d.withColumn("source", F.lit(spec.name)), spec.cap_tokens, "n_tokens", "doc_id", "source")
-        if spec.cap_rows is not None:
-            d = O.row_cap(d.withColumn("source", F.lit(spec.name)), spec.cap_rows, "doc_id", "source")
-        frames.append(d.withColumn("source", F.lit(spec.name)).withColumn("source_idx", F.lit(idx)))
+        frames.append(df.select(F.lit(spec.name).alias("source"), F.lit(idx).alias("source_idx"),
+                                F.col(order).cast("long").alias("doc_id"), resolve(df)))
+    if not frames:
+        raise ValueError("no source could be opened")
     merged = frames[0]
     for f in frames[1:]:
         merged = merged.unionByName(f)
-    return O.interleave(merged, "doc_id", "source_idx", strategy)
+    return merged
+
+
+def _apply_caps(df: DataFrame, registry: list[REG.SourceSpec]) -> DataFrame:
+    """W1 and L1 for all sources at once (one job set, per-source caps as a mapping)."""
+    tok_caps = {s.name: s.cap_tokens for s in registry if s.cap_tokens is not None}
+    row_caps = {s.name: s.cap_rows for s in registry if s.cap_rows is not None}
+    if tok_caps:
+        df = O.token_budget(df, tok_caps, "n_tokens", "doc_id", "source")
+    if row_caps:
+        df = O.row_cap(df, row_caps, "doc_id", "source")
+    return df
+
+
+def corpus_stream(spark: SparkSession, registry: list[REG.SourceSpec], order: str = "doc_id",
+                  tokenizer: TokenizerSpec | None = None, on_error: str = "fail",
+                  strategy: str = "first_exhausted") -> DataFrame:
+    """The interleaved, budgeted document stream with ``pos``.
+
+    Budgets and the interleave are planned on the narrow ``(source, doc_id, n_tokens)`` table, written
+    once; the text is joined back once at the end. Every source keeps a prefix of its order, so the
+    wide side is first cut to each source's kept key range (a one-row-per-source broadcast).
+    """
+    merged = _merged_sources(spark, registry, order, T.resolve_text_presence, on_error)
+    keys = ["source", "source_idx", "doc_id"]
+    counted = _with_counts(merged, tokenizer, ["source_idx", "doc_id"])
+    narrow = cut_lineage(counted.select(*keys, "n_tokens"))
+    plan = cut_lineage(O.interleave(_apply_caps(narrow, registry), "doc_id", "source_idx", strategy))
+    ranges = plan.groupBy("source_idx").agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi"))
+    wide = merged.join(F.broadcast(ranges), "source_idx").filter(F.col("doc_id").between(F.col("_lo"), F.col("_hi")))
+    return wide.drop("_lo", "_hi").join(plan, keys)  # ranges: one row per registry entry
 
 
 def build_text_shards(spark: SparkSession, registry: list[REG.SourceSpec], out: str | None = None,
@@ -63,7 +89,7 @@ def build_text_shards(spark: SparkSession, registry: list[REG.SourceSpec], out:
                       drop_tail: bool = False, dedup: bool = True) -> DataFrame:
     """The corpus job. Returns ``(pos, source, doc_id, n_tokens, shard, text)``; writes JSONL
     shards to ``out`` when given. First occurrence (in interleave order) wins the dedup."""
-    stream = corpus_stream(spark, registry, tokenizer=tokenizer)
+    stream = cut_lineage(corpus_stream(spark, registry, tokenizer=tokenizer))  # the budgeted corpus, bounded by the caps
     if dedup:
         stream = near_dedup(stream, "pos", "text", threshold, num_perm)
     sharded = SH.token_shards(stream, shard_tokens, "pos", "n_tokens", mode, drop_tail)
@@ -132,22 +158,13 @@ def read_sequences(spark: SparkSession, path: str, index: DataFrame, seq_length:
 
 def training_view(spark: SparkSession, registry: list[REG.SourceSpec], tokenizer: TokenizerSpec, seq_length: int,
                   epochs: int, batch_size: int, micro_batch_size: int, world_size: int) -> DataFrame:
-    """Examples from every source (filters honoured, budgets applied), interleaved, empties
-    dropped, repeated ``epochs`` times, with batch / micro-batch ids and the rank of every row."""
-    frames = []
-    for idx, spec in enumerate(registry):
-        df, err = REG._probe(spark, spec)
-        if err is not None:
-            continue  # the reference skips a source it cannot open
-        ex = cut_lineage(fixed_length_examples(df.withColumn("doc_id", F.col("doc_id").cast("long")), tokenizer,
-                                               seq_length, ["doc_id"]))  # tokenised once
-        if spec.cap_tokens is not None:  # D14: the budget applies here too
-            ex = O.token_budget(ex.withColumn("_src", F.lit(idx)), spec.cap_tokens, "n_tokens", "doc_id", "_src").drop("_src")
-        frames.append(ex.withColumn("source_idx", F.lit(idx)).withColumn("source", F.lit(spec.name)))
-    merged = frames[0]
-    for f in frames[1:]:
-        merged = merged.unionByName(f)
-    inter = SQ.drop_empty(O.interleave(merged, "doc_id", "source_idx")).withColumnRenamed("pos", "_ipos")
+    """Examples from every source (filters honoured, budgets applied, D14), interleaved, empties
+    dropped, repeated ``epochs`` times, with batch / micro-batch ids and the rank of every row.
+    Sources that cannot be opened are skipped, as the reference does."""
+    merged = _merged_sources(spark, registry, "doc_id", T.resolve_text_first_nonempty, "skip")
+    ex = cut_lineage(fixed_length_examples(merged, tokenizer, seq_length, ["source", "source_idx", "doc_id"]))
+    ex = _apply_caps(ex, registry)  # tokenised once, budgets for all sources at once
+    inter = SQ.drop_empty(O.interleave(ex, "doc_id", "source_idx")).withColumnRenamed("pos", "_ipos")
     inter = O.global_position(inter, "_ipos").drop("_ipos")  # consecutive again after the drop
     rep = O.repeat_epochs(inter, epochs)
     n = inter.count()  # rows per epoch: one number

@@ -28,11 +28,10 @@ def src_idx(col: str = "source") -> str:
 
 SQL: dict[str, str] = {}
 
-SQL["registry_scan_filter"] = """
-SELECT source, CASE source WHEN 'src0' THEN 0 WHEN 'src1' THEN 1 ELSE 2 END::BIGINT AS source_idx,
-       doc_id, lang, length(text)::BIGINT AS n_chars
+SQL["registry_scan_filter"] = f"""
+SELECT source, {src_idx()}::BIGINT AS source_idx, doc_id, lang, length(text)::BIGINT AS n_chars
 FROM documents
-WHERE (source = 'src0' AND lang = 'en') OR (source = 'src1' AND lang IN ('de', 'fr')) OR source = 'src2'
+WHERE (source = 'src0' AND lang = 'en') OR (source = 'src1' AND lang IN ('de', 'fr')) OR {src_idx()} BETWEEN 2 AND {C.N_SOURCES - 1}
 """
 
 SQL["nested_field_filter"] = """
@@ -40,8 +39,8 @@ SELECT event_id, user_id, event_type FROM events
 WHERE coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) = 29, false)
 """
 
-SQL["skip_missing_source"] = """
-SELECT source, count(*)::BIGINT AS docs FROM documents WHERE source IN ('src0', 'src1', 'src2') GROUP BY source
+SQL["skip_missing_source"] = f"""
+SELECT source, count(*)::BIGINT AS docs FROM documents WHERE {src_idx()} BETWEEN 0 AND {C.N_SOURCES - 1} GROUP BY source
 """
 
 SQL["source_readiness"] = """
@@ -101,7 +100,7 @@ SELECT source, doc_id, n_tokens FROM c WHERE cum <= {C.BUDGET_CAP}
 
 _caps = " ".join(f"WHEN '{k}' THEN {v}" for k, v in C.REGISTRY_CAPS.items())
 SQL["registry_token_budget"] = f"""
-WITH d AS (SELECT source, doc_id, {ntok('text')} AS n_tokens FROM documents WHERE source IN ('src0', 'src1', 'src2')),
+WITH d AS (SELECT source, doc_id, {ntok('text')} AS n_tokens FROM documents WHERE {src_idx()} BETWEEN 0 AND {C.N_SOURCES - 1}),
 c AS (SELECT *, sum(n_tokens) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM d)
 SELECT source, doc_id, n_tokens FROM c WHERE cum <= CASE source {_caps} END
 """
@@ -412,9 +411,9 @@ SQL["stream_step_rollup"] = SQL["step_rollup"]
 _bcaps = " ".join(f"WHEN '{k}' THEN {v}" for k, v in C.REGISTRY_CAPS.items())
 _BS = C.BUILD_SHARD_TOKENS
 SQL["build_text_shards"] = f"""
-WITH RECURSIVE d AS (SELECT source, CASE source WHEN 'src0' THEN 0 WHEN 'src1' THEN 1 ELSE 2 END AS source_idx, doc_id,
+WITH RECURSIVE d AS (SELECT source, {src_idx()} AS source_idx, doc_id,
                             coalesce(text, '') AS text, {ntok("coalesce(text, '')")} AS n_tokens
-                     FROM documents WHERE source IN ('src0', 'src1', 'src2')),
+                     FROM documents WHERE {src_idx()} BETWEEN 0 AND {C.N_SOURCES - 1}),
 bc AS (SELECT *, sum(n_tokens) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM d),
 bk AS (SELECT * FROM bc WHERE cum <= CASE source {_bcaps} END),
 r AS (SELECT *, row_number() OVER (PARTITION BY source_idx ORDER BY doc_id) AS r FROM bk),

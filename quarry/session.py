@@ -22,6 +22,7 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # documents reach 20,000 words: keep Arrow batches to Python workers small
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
     "spark.sql.execution.pythonUDF.arrow.enabled": "true",
