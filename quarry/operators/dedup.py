@@ -30,6 +30,7 @@ from pyspark.sql import types as ST
 from quarry.functions.text import distinct_tokens
 from quarry.operators.ordered import checked_broadcast
 from quarry.session import cut_lineage
+from quarry import defaults as DEF
 
 PRIME = (1 << 31) - 1
 EMPTY_VALUE = PRIME  # signature value of a document without tokens (never produced by a real hash)
@@ -122,7 +123,8 @@ def _sketch_fn(num_perm: int, seed: int, bands: int, rows: int, with_signature:
     return run
 
 
-def minhash(df: DataFrame, text: str = "text", pos: str = "pos", num_perm: int = 128, threshold: float = 0.9,
+def minhash(df: DataFrame, text: str = "text", pos: str = "pos", num_perm: int = DEF.DEDUP_NUM_PERM,
+            threshold: float = DEF.DEDUP_THRESHOLD,
             bands: int | None = None, rows: int | None = None, seed: int = 1, with_signature: bool = False) -> DataFrame:
     """A8 + A9: ``(pos, bands array<string>[, signature array<bigint>])`` per document.
 
@@ -185,7 +187,8 @@ def peel(members: DataFrame, hot_bucket_rows: int = 100_000, max_rounds: int = 1
     return out
 
 
-def near_dedup(df: DataFrame, order: str, text: str = "text", threshold: float = 0.9, num_perm: int = 128,
+def near_dedup(df: DataFrame, order: str, text: str = "text", threshold: float = DEF.DEDUP_THRESHOLD,
+               num_perm: int = DEF.DEDUP_NUM_PERM,
                bands: int | None = None, rows: int | None = None, seed: int = 1,
                hot_bucket_rows: int = 100_000) -> DataFrame:
     """Rows of ``df`` kept by first-wins MinHash-LSH dedup in ``order`` (a unique integral key)."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.operators.ordered import _cap_expr, running_agg
+from quarry import defaults as DEF
 
 ALL = "__all__"
 
@@ -41,7 +42,7 @@ def mixture_profile(df: DataFrame, caps=None, source: str = "source", n_col: str
 
 
 def step_plan(df: DataFrame, batch_size: int, seq_length: int, world_size: int,
-              warmup_ratio: float = 0.05, n_col: str = "n_tokens", total_tokens: int | None = None) -> DataFrame:
+              warmup_ratio: float = DEF.WARMUP_RATIO, n_col: str = "n_tokens", total_tokens: int | None = None) -> DataFrame:
     """A4: steps = total tokens // tokens per step, warmup = int(steps * ratio).
 
     Both readings of the batch size (D16): ``*_reference`` multiplies the global batch by the world

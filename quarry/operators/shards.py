@@ -27,6 +27,7 @@ from quarry.functions.sequences import append_eos, chunks, pad
 from quarry.operators.ordered import (BROADCAST_MAX_ROWS, apply_buckets, checked_broadcast, running_agg,
                                      running_count, running_sum)
 from quarry.session import cut_lineage
+from quarry import defaults as DEF
 
 LOOKUP_MAX_SHARDS = 100_000  # shard starts shipped as literal search bounds
 
@@ -107,9 +108,9 @@ def shard_offsets(seqs: DataFrame, shard: str = "shard") -> DataFrame:
     return cum.select(shard, "n", (F.col("hi") - F.col("n")).alias("lo"), "hi")
 
 
-def shard_name(shard, width: int = 6) -> "F.Column":
-    """``shard_%0{width}d``."""
-    return F.format_string(f"shard_%0{width}d", F.col(shard) if isinstance(shard, str) else shard)
+def shard_name(shard, fmt: str = DEF.SEQ_SHARD_NAME) -> "F.Column":
+    """the shard's name, ``shard_%06d`` for sequence shards, ``shard_%05d`` for text shards."""
+    return F.format_string(fmt, F.col(shard) if isinstance(shard, str) else shard)
 
 
 def lookup_global_index(index: DataFrame, offsets: DataFrame, idx: str = "idx", shard: str = "shard") -> DataFrame:

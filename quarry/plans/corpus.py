@@ -22,6 +22,7 @@ from quarry.operators.dedup import near_dedup
 from quarry.sources import registry as REG
 from quarry.sources import sinks as SK
 from quarry.session import cut_lineage
+from quarry import defaults as DEF
 
 
 def _with_counts(df: DataFrame, tokenizer: TokenizerSpec | None, keys: list[str]) -> DataFrame:
@@ -84,8 +85,8 @@ def corpus_stream(spark: SparkSession, registry: list[REG.SourceSpec], order: st
 
 
 def build_text_shards(spark: SparkSession, registry: list[REG.SourceSpec], out: str | None = None,
-                      shard_tokens: int = 2048 * 1024, tokenizer: TokenizerSpec | None = None,
-                      threshold: float = 0.9, num_perm: int = 128, mode: str = "reset",
+                      shard_tokens: int = DEF.SHARD_TOKENS, tokenizer: TokenizerSpec | None = None,
+                      threshold: float = DEF.DEDUP_THRESHOLD, num_perm: int = DEF.DEDUP_NUM_PERM, mode: str = "reset",
                       drop_tail: bool = False, dedup: bool = True) -> DataFrame:
     """The corpus job. Returns ``(pos, source, doc_id, n_tokens, shard, text)``; writes JSONL
     shards to ``out`` when given. First occurrence (in interleave order) wins the dedup."""
@@ -116,8 +117,8 @@ def fixed_length_examples(df: DataFrame, tokenizer: TokenizerSpec, seq_length: i
     return out.to(declared)
 
 
-def chunked_sequences(lines: DataFrame, tokenizer: TokenizerSpec, seq_length: int = 2048,
-                      shard_size: int = 1_000_000, order: str = "line_pos", out: str | None = None) -> DataFrame:
+def chunked_sequences(lines: DataFrame, tokenizer: TokenizerSpec, seq_length: int = DEF.SEQ_LENGTH,
+                      shard_size: int = DEF.SEQ_SHARD_SIZE, order: str = "line_pos", out: str | None = None) -> DataFrame:
     """Lines ``(order, value)`` -> stripped, non-blank -> ids (tokenizer default specials) ->
     EOS if missing -> chunks of ``seq_length`` -> global position -> count shards.
 

@@ -15,13 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators.shards import shard_name
+from quarry import defaults as DEF
 
 
-def write_text_shards(df: DataFrame, out: str, shard: str = "shard", order: str = "pos", width: int = 5,
+def write_text_shards(df: DataFrame, out: str, shard: str = "shard", order: str = "pos", fmt: str = DEF.TEXT_SHARD_NAME,
                       mode: str = "overwrite") -> None:
     """``{"text": ...}`` lines in corpus order, one folder per shard (``shard_%05d``)."""
     nparts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
-    named = df.select(shard_name(shard, width).alias("shard_name"), order, "text")
+    named = df.select(shard_name(shard, fmt).alias("shard_name"), order, "text")
     (named.repartition(nparts, "shard_name").sortWithinPartitions("shard_name", order)
           .select("shard_name", "text").write.mode(mode).partitionBy("shard_name").json(out))
 

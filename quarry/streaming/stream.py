@@ -28,6 +28,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from quarry.operators.dedup import lsh_buckets, minhash, near_dedup
 from quarry.operators.ordered import order_bucket, token_budget
 from quarry.session import scratch_path
+from quarry import defaults as DEF
 
 
 # ---------------------------------------------------------------- T1
@@ -56,7 +57,8 @@ def run_to_parquet(stream: DataFrame, out: str, checkpoint: str, mode: str = "ap
 
 # ---------------------------------------------------------------- T3
 def stream_near_dedup(stream: DataFrame, out: str, state: str, checkpoint: str, order: str = "doc_id",
-                      text: str = "text", threshold: float = 0.9, num_perm: int = 128, seed: int = 1) -> None:
+                      text: str = "text", threshold: float = DEF.DEDUP_THRESHOLD, num_perm: int = DEF.DEDUP_NUM_PERM,
+                      seed: int = 1) -> None:
     """First-wins near-dedup across micro-batches (files must arrive in ``order``)."""
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
