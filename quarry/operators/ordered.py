@@ -89,7 +89,8 @@ def _running_agg(df, value, key, group, out, agg, inclusive, n_buckets, cast, ma
     narrow = narrow if materialized else cut_lineage(narrow)
     n, ng, splits = _profile(narrow, key, g, n_buckets)
     hi = 0 if inclusive else -1
-    if n_buckets is None and n <= SMALL_TABLE_ROWS:  # proven small: one window, no buckets, no join
+    small_rows = int(narrow.sparkSession.conf.get("quarry.smallTableRows", str(SMALL_TABLE_ROWS)))
+    if n_buckets is None and n <= small_rows:  # proven small: one window, no buckets, no join
         w_small = Window.partitionBy(*g).orderBy(key).rowsBetween(Window.unboundedPreceding, hi)
         res = df.withColumn("_v", val.cast(cast)).withColumn(out, fn("_v").over(w_small))
         if agg == "sum" and inclusive:
