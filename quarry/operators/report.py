@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from quarry.operators.ordered import _cap_expr, running_agg
 from quarry import defaults as DEF
@@ -11,6 +12,14 @@ from quarry import defaults as DEF
 ALL = "__all__"
 
 
+def epoch_micros(col: str, dtype) -> "F.Column":
+    """Microseconds since the epoch, independent of the session time zone for ``TIMESTAMP_NTZ``
+    (a wall-clock value) and exact for ``TIMESTAMP``."""
+    if isinstance(dtype, ST.TimestampNTZType):
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(col))
+    return F.unix_micros(F.col(col))
+
+
 def mixture_profile(df: DataFrame, caps=None, source: str = "source", n_col: str = "n_tokens",
                     target_tokens: int | None = None) -> DataFrame:
     """A3: per source docs, tokens, cap, share of all tokens, remaining budget; plus an overall row.
@@ -75,16 +84,17 @@ def step_rollup(log: DataFrame, log_interval: int, batch_size: int, seq_length:
     The previous interval's end time comes from an equi-join on the interval id, not a global window.
     """
     tokens_interval = log_interval * batch_size * seq_length * world_size
+    log = log.withColumn("_tus", epoch_micros(ts, log.schema[ts].dataType))
     per = (log.withColumn("_iv", F.floor((F.col(step) - 1) / log_interval).cast("long"))
               .groupBy("_iv")
               .agg(F.count(F.lit(1)).alias("_n"), F.max(step).alias("log_step"), F.avg(loss).alias("train_loss"),
-                   F.max_by(F.col(lr), F.col(step)).alias("learning_rate"), F.min(ts).alias("_t0"),
-                   F.max(ts).alias("_t1"), F.max(epoch).alias("epoch"))
+                   F.max_by(F.col(lr), F.col(step)).alias("learning_rate"), F.min("_tus").alias("_t0"),
+                   F.max("_tus").alias("_t1"), F.max(epoch).alias("epoch"))
               .filter((F.col("_n") == log_interval) & (F.col("log_step") % log_interval == 0)))
     prev = per.select((F.col("_iv") + 1).alias("_iv"), F.col("_t1").alias("_tp"))
     j = per.join(prev, "_iv", "left")
     start = F.coalesce(F.col("_tp"), F.col("_t0"))
-    elapsed = F.unix_micros(F.col("_t1").cast("timestamp")) - F.unix_micros(start.cast("timestamp"))
+    elapsed = F.col("_t1") - start
     return j.select(
         F.col("log_step").cast("long").alias("log_step"),
         F.col("train_loss"),

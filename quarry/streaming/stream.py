@@ -27,6 +27,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quarry.operators.dedup import lsh_buckets, minhash, near_dedup
 from quarry.operators.ordered import order_bucket, token_budget
+from quarry.operators.report import epoch_micros
 from quarry.session import scratch_path
 from quarry import defaults as DEF
 
@@ -178,7 +179,7 @@ def _rollup_fn(log_interval: int):
 def stream_step_rollup(stream: DataFrame, log_interval: int) -> DataFrame:
     """Complete ``log_interval`` groups of a step-log stream (append mode; state per interval)."""
     keyed = stream.select(F.floor((F.col("step") - 1) / log_interval).cast("long").alias("iv"), "step", "loss", "lr",
-                          F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"))
+                          epoch_micros("ts", stream.schema["ts"].dataType).alias("ts_us"))
     return keyed.groupBy("iv").applyInPandasWithState(
         _rollup_fn(log_interval),
         "iv long, log_step long, loss_sum double, learning_rate double, t0_us long, t1_us long",
