@@ -488,6 +488,16 @@ def q_stream_fixed_length(spark, sf_dir):
     return spark.read.parquet(p["out"])
 
 
+def q_stream_bpe_fixed_length(spark, sf_dir):
+    """BPE fixed-length examples on a stream (the batch mapInArrow function, append mode)."""
+    p, s = _doc_stream(spark, sf_dir, ["doc_id", "text"])
+    ex = CP.fixed_length_examples(s, BPE, BPE_SEQ, ["doc_id"])
+    out = ex.select("doc_id", F.aggregate("attention_mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_real"),
+                    F.element_at("input_ids", 1).alias("first_id"))
+    ST.run_to_parquet(out, p["out"], p["ckpt"])
+    return spark.read.parquet(p["out"])
+
+
 def q_stream_token_budget(spark, sf_dir):
     """T4: per-source token budget with keyed state across micro-batches."""
     p, s = _doc_stream(spark, sf_dir, ["doc_id", "source", "text"])
@@ -578,6 +588,7 @@ QUERIES = {
     "bpe_chunked_sequences": q_bpe_chunked_sequences,
     "training_view": q_training_view,
     "stream_fixed_length": q_stream_fixed_length,
+    "stream_bpe_fixed_length": q_stream_bpe_fixed_length,
     "stream_token_budget": q_stream_token_budget,
     "stream_token_budget_batches": q_stream_token_budget_batches,
     "stream_near_dedup": q_stream_near_dedup,

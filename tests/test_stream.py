@@ -29,3 +29,17 @@ def test_token_budget_stream_with_restart_equals_batch(spark):
     batch = O.token_budget(docs.withColumn("n_tokens", T.whitespace_token_count("text")), 800)
     assert got == rows(batch, "source", "doc_id")
     assert len(got) == len(set(got))
+
+
+def test_bpe_examples_stream_equals_batch(spark):
+    import __spark_entry__ as E
+
+    got = rows(E.queries()["stream_bpe_fixed_length"](spark, SF_SMALL))
+    from quarry.plans import catalog as C
+    from quarry.plans import corpus as CP
+
+    d = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text")
+    ex = CP.fixed_length_examples(d, C.BPE, C.BPE_SEQ, ["doc_id"])
+    batch = ex.select("doc_id", F.aggregate("attention_mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_real"),
+                      F.element_at("input_ids", 1).alias("first_id"))
+    assert got == rows(batch)
