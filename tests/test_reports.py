@@ -2,7 +2,6 @@
 
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from quarry.operators import report as R
 from tests.conftest import rows
@@ -36,4 +35,3 @@ def test_mixture_profile_has_total_row(spark):
     df = spark.createDataFrame([("a", 1, 10), ("a", 2, 30), ("b", 3, 60)], "source string, doc_id long, n_tokens long")
     got = rows(R.mixture_profile(df, {"a": 100, "b": 100}), "source", "docs", "tokens", "share", "remaining")
     assert got == [("__all__", 3, 100, 1.0, 100), ("a", 2, 40, 0.4, 60), ("b", 1, 60, 0.6, 40)]
-    assert F is not None
