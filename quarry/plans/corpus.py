@@ -139,6 +139,13 @@ def chunked_sequences(lines: DataFrame, tokenizer: TokenizerSpec, seq_length: in
     return res
 
 
+def create_sequence_shards(spark: SparkSession, input_files: list[str], out: str, tokenizer: TokenizerSpec,
+                           seq_length: int = DEF.SEQ_LENGTH, shard_size: int = DEF.SEQ_SHARD_SIZE) -> DataFrame:
+    """C3 from text files: the files' lines in order -> sequence shards and metadata under ``out``."""
+    return chunked_sequences(SK.read_text_lines_ordered(spark, input_files), tokenizer, seq_length, shard_size,
+                             "line_pos", out)
+
+
 def shard_metadata(seqs: DataFrame, seq_length: int, shard_size: int) -> DataFrame:
     """``total_sequences, num_shards, seq_length, shard_size``."""
     return seqs.agg(F.count(F.lit(1)).alias("total_sequences"), F.countDistinct("shard").alias("num_shards")).select(

@@ -63,3 +63,38 @@ def test_training_view_batches_and_ranks(spark):
     for r in rows:
         assert r["batch_id"] == r["pos"] // 4 and r["micro_id"] == (r["pos"] % 4) // 2
         assert r["rank"] in (0, 1) and len(r["input_ids"]) == 32
+
+
+def test_sequence_shards_from_files_in_order(spark, tmp_path):
+    from quarry.functions.tokenize import TokenizerSpec
+
+    spec = TokenizerSpec()
+    tok, eos = spec.load(), spec.eos()
+    files = []
+    for i, lines in enumerate([["b first", "", "b second"], ["a third " * 30, "a fourth"]]):
+        f = tmp_path / f"in_{1 - i}.txt"  # names do not decide the order, the list does
+        f.write_text("\n".join(lines) + "\n", encoding="utf-8")
+        files.append(str(f))
+    out = scratch_path(spark, "test-seqfiles")
+    CP.create_sequence_shards(spark, files, out, spec, seq_length=8, shard_size=3)
+    back = SK.read_sequence_shards(spark, f"{out}/shards").orderBy("shard", "local_idx").collect()
+    expect = []
+    for line in ["b first", "b second", ("a third " * 30).strip(), "a fourth"]:
+        ids = tok.encode(line).ids + [eos]
+        expect += [ids[i:i + 8] for i in range(0, len(ids), 8)] if len(ids) > 8 else [ids]
+    assert [list(r["input_ids"]) for r in back] == expect
+    assert [(r["shard"], r["local_idx"]) for r in back] == [(i // 3, i % 3) for i in range(len(expect))]
+    meta = spark.read.json(f"{out}/metadata").first()
+    assert (meta["total_sequences"], meta["num_shards"]) == (len(expect), (len(expect) + 2) // 3)
+
+
+def test_cli_builds_text_shards(spark, tmp_path):
+    from quarry.__main__ import main
+
+    reg = [{"name": f"src{i}", "path": f"{SF_SMALL}/documents.parquet", "predicate": f"source = 'src{i}'",
+            "cap_tokens": 2000} for i in range(3)]
+    (tmp_path / "reg.json").write_text(json.dumps(reg))
+    out = scratch_path(spark, "test-cli")
+    assert main(["build-text-shards", str(tmp_path / "reg.json"), out, "--shard-tokens", "1500"]) == 0
+    back = SK.read_text_shards(spark, out)
+    assert back.count() > 0 and back.select("shard_name").distinct().count() >= 1
