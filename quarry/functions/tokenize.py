@@ -34,7 +34,8 @@ class TokenizerSpec:
     eos_token: str = "<|endoftext|>"
     eos_id: int | None = None  # resolved from the vocabulary when None
     pad_id: int | None = None  # None -> EOS (the reference's fallback)
-    add_special_tokens: bool = False
+    add_special_tokens: bool | None = None  # None: the path's default (counts and text-file shards: on;
+    #                                          fixed-length examples: off), as the reference calls the tokenizer
 
     def resolved_path(self) -> str:
         p = self.path or _default_bpe_path()
@@ -63,13 +64,13 @@ class TokenizerSpec:
         return self.eos() if self.pad_id is None else self.pad_id
 
 
-def _encode_fn(spec: TokenizerSpec, n_keys: int):
+def _encode_fn(spec: TokenizerSpec, n_keys: int, add_special_tokens: bool):
     def run(batches):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         tok = spec.load()
         for batch in batches:
             texts = [t if t is not None else "" for t in batch.column(n_keys).to_pylist()]
-            enc = tok.encode_batch(texts, add_special_tokens=spec.add_special_tokens)
+            enc = tok.encode_batch(texts, add_special_tokens=add_special_tokens)
             cols = {batch.schema.names[i]: batch.column(i) for i in range(n_keys)}
             cols["ids"] = pa.array([e.ids for e in enc], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_pydict(cols)
@@ -78,16 +79,18 @@ def _encode_fn(spec: TokenizerSpec, n_keys: int):
 
 
 def encode(df: DataFrame, spec: TokenizerSpec, text: str = "text", keys: list[str] | None = None,
-           out: str = "ids") -> DataFrame:
+           out: str = "ids", add_special_tokens: bool = True) -> DataFrame:
     """``keys + [out array<bigint>]`` for every row. Put filters and projections before this call:
-    Catalyst cannot push them through the Python boundary."""
+    Catalyst cannot push them through the Python boundary. ``spec.add_special_tokens``, when set,
+    overrides the caller's default."""
     keys = keys if keys is not None else [c for c in df.columns if c != text]
     if spec.kind == "whitespace":
         raise ValueError("the whitespace tokenizer is quarry.functions.text (JVM expressions)")
     narrow = df.select(*keys, F.col(text).alias("_text"))
     schema = ST.StructType([f for f in narrow.schema.fields if f.name != "_text"]
                            + [ST.StructField("ids", ST.ArrayType(ST.LongType()))])
-    res = narrow.mapInArrow(_encode_fn(spec, len(keys)), schema)
+    specials = add_special_tokens if spec.add_special_tokens is None else spec.add_special_tokens
+    res = narrow.mapInArrow(_encode_fn(spec, len(keys), specials), schema)
     return res.withColumnRenamed("ids", out) if out != "ids" else res
 
 

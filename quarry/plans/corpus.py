@@ -104,8 +104,7 @@ def fixed_length_examples(df: DataFrame, tokenizer: TokenizerSpec, seq_length: i
     """C4: ``keys + (input_ids, attention_mask)``; text resolved by first non-empty field (P6),
     special tokens off, EOS always, truncate, pad with pad (EOS when unset)."""
     resolved = df.select(*keys, T.resolve_text_first_nonempty(df))
-    enc = encode(resolved, TokenizerSpec(**{**tokenizer.__dict__, "add_special_tokens": False}), "text",
-                 keys + ["text"], "_ids")
+    enc = encode(resolved, tokenizer, "text", keys + ["text"], "_ids", add_special_tokens=False)
     fx = SQ.with_fixed_length(enc.withColumn("_e", F.col("text") == ""), "_ids", "_e", seq_length, tokenizer.eos(),
                               tokenizer.pad(), "always", mask_mode, empty)
     out = fx.select(*keys, "input_ids", "attention_mask", F.size("_ids").cast("long").alias("n_tokens"))

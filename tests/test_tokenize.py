@@ -60,3 +60,19 @@ def test_chunked_sequences_equal_fold(spark, tok):
     assert [list(r["input_ids"]) for r in got] == expect
     assert [r["shard"] for r in got] == [i // 5 for i in range(len(expect))]
     assert [r["pos"] for r in got] == list(range(len(expect)))
+
+
+def test_special_tokens_follow_the_path(spark):
+    """Counts use the tokenizer's default (specials added); fixed-length examples switch them off."""
+    import public_tokenizers as P
+
+    spec = TokenizerSpec(path=P.path("word_bpe_49k.json"))
+    t = spec.load()
+    df = spark.createDataFrame([(0, "hello world")], "doc_id long, text string")
+    ids = encode(df, spec, "text", ["doc_id"]).first()["ids"]
+    assert list(ids) == t.encode("hello world").ids  # default: specials on
+    ex = CP.fixed_length_examples(df, spec, 8, ["doc_id"]).first()
+    plain = t.encode("hello world", add_special_tokens=False).ids
+    assert list(ex["input_ids"])[:len(plain)] == plain
+    forced = TokenizerSpec(path=P.path("word_bpe_49k.json"), add_special_tokens=False)
+    assert list(encode(df, forced, "text", ["doc_id"]).first()["ids"]) == plain
