@@ -62,17 +62,24 @@ def test_chunked_sequences_equal_fold(spark, tok):
     assert [r["pos"] for r in got] == list(range(len(expect)))
 
 
-def test_special_tokens_follow_the_path(spark):
+def test_special_tokens_follow_the_path(spark, tmp_path):
     """Counts use the tokenizer's default (specials added); fixed-length examples switch them off."""
     import public_tokenizers as P
-
-    spec = TokenizerSpec(path=P.path("word_bpe_49k.json"))
-    t = spec.load()
+    from tokenizers import Tokenizer
+    from tokenizers.processors import TemplateProcessing
+
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    s, e = t.token_to_id("<|startoftext|>"), t.token_to_id("<|endoftext|>")
+    t.post_processor = TemplateProcessing(single="<|startoftext|> $A <|endoftext|>",
+                                          special_tokens=[("<|startoftext|>", s), ("<|endoftext|>", e)])
+    path = str(tmp_path / "with_specials.json")
+    t.save(path)
+    spec = TokenizerSpec(path=path)
     df = spark.createDataFrame([(0, "hello world")], "doc_id long, text string")
-    ids = encode(df, spec, "text", ["doc_id"]).first()["ids"]
-    assert list(ids) == t.encode("hello world").ids  # default: specials on
-    ex = CP.fixed_length_examples(df, spec, 8, ["doc_id"]).first()
     plain = t.encode("hello world", add_special_tokens=False).ids
-    assert list(ex["input_ids"])[:len(plain)] == plain
-    forced = TokenizerSpec(path=P.path("word_bpe_49k.json"), add_special_tokens=False)
+    assert t.encode("hello world").ids == [s] + plain + [e]
+    assert list(encode(df, spec, "text", ["doc_id"]).first()["ids"]) == [s] + plain + [e]  # default: on
+    ex = CP.fixed_length_examples(df, spec, 8, ["doc_id"]).first()
+    assert list(ex["input_ids"])[:len(plain) + 1] == plain + [e]  # off, then EOS appended
+    forced = TokenizerSpec(path=path, add_special_tokens=False)
     assert list(encode(df, forced, "text", ["doc_id"]).first()["ids"]) == plain
