@@ -29,7 +29,8 @@ def _default_bpe_path() -> str | None:
 
 @dataclass(frozen=True)
 class TokenizerSpec:
-    kind: str = "byte_bpe"  # byte_bpe (a tokenizers JSON file) | whitespace
+    kind: str = "byte_bpe"  # byte_bpe (a tokenizers JSON file) | word_length (JVM; ids = lengths of the
+    #                         whitespace tokens, reproducible in SQL)
     path: str | None = None
     eos_token: str = "<|endoftext|>"
     eos_id: int | None = None  # resolved from the vocabulary when None
@@ -56,8 +57,8 @@ class TokenizerSpec:
     def eos(self) -> int:
         if self.eos_id is not None:
             return self.eos_id
-        if self.kind == "whitespace":
-            raise ValueError("the whitespace tokenizer needs an explicit eos_id")
+        if self.kind == "word_length":
+            raise ValueError("the word_length tokenizer needs an explicit eos_id")
         return int(self.load().token_to_id(self.eos_token))
 
     def pad(self) -> int:
@@ -84,8 +85,11 @@ def encode(df: DataFrame, spec: TokenizerSpec, text: str = "text", keys: list[st
     Catalyst cannot push them through the Python boundary. ``spec.add_special_tokens``, when set,
     overrides the caller's default."""
     keys = keys if keys is not None else [c for c in df.columns if c != text]
-    if spec.kind == "whitespace":
-        raise ValueError("the whitespace tokenizer is quarry.functions.text (JVM expressions)")
+    if spec.kind == "word_length":  # no Python: the ids are a JVM expression
+        from quarry.functions.sequences import word_length_ids
+        from quarry.functions.text import py_split
+
+        return df.select(*keys, word_length_ids(py_split(text)).alias(out))
     narrow = df.select(*keys, F.col(text).alias("_text"))
     schema = ST.StructType([f for f in narrow.schema.fields if f.name != "_text"]
                            + [ST.StructField("ids", ST.ArrayType(ST.LongType()))])

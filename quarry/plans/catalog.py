@@ -536,6 +536,18 @@ def q_stream_step_rollup(spark, sf_dir):
                     F.round("tokens_per_second", 2).alias("tokens_per_second"), "tokens_seen", "epoch")
 
 
+WORDS = TokenizerSpec(kind="word_length", eos_id=EOS_ID)
+TRAIN_WORLD = 2
+
+
+def q_training_view_words(spark, sf_dir):
+    """C6 with SQL-reproducible ids: registry (caps) -> examples -> interleave -> epochs -> batches -> ranks."""
+    reg = documents_registry(sf_dir, REGISTRY_NAMES, extra={n: {"cap_tokens": c} for n, c in REGISTRY_CAPS.items()})
+    tv = CP.training_view(spark, reg, WORDS, SEQ_LEN, EPOCHS, BATCH_SIZE, MICRO_BATCH, TRAIN_WORLD)
+    return tv.select(F.col("epoch").cast("long"), "pos", "doc_id", "source", "batch_id", "micro_id",
+                     F.col("rank").cast("long"), F.array_join("input_ids", ",").alias("input_ids"))
+
+
 def flagship(spark, sf_dir):
     """English documents -> whitespace tokens -> per-source budget -> mixture profile."""
     d = docs_with_counts(spark, sf_dir).filter(F.col("lang") == "en").select("source", "doc_id", "n_tokens")
@@ -587,6 +599,7 @@ QUERIES = {
     "bpe_fixed_length": q_bpe_fixed_length,
     "bpe_chunked_sequences": q_bpe_chunked_sequences,
     "training_view": q_training_view,
+    "training_view_words": q_training_view_words,
     "stream_fixed_length": q_stream_fixed_length,
     "stream_bpe_fixed_length": q_stream_bpe_fixed_length,
     "stream_token_budget": q_stream_token_budget,

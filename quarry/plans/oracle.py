@@ -433,3 +433,30 @@ f(rn, pos, shard, buf) AS (
 )
 SELECT kept.pos, kept.source, kept.doc_id, kept.n_tokens, f.shard::BIGINT AS shard FROM kept JOIN f USING (pos)
 """
+
+
+# ---------------------------------------------------------------- C6 with word-length ids
+SQL["training_view_words"] = f"""
+WITH d AS (SELECT source, {src_idx()} AS source_idx, doc_id, text,
+                  list_transform({tokens('text')}, lambda x: length(x)::BIGINT) AS ids
+           FROM documents WHERE {src_idx()} BETWEEN 0 AND {C.N_SOURCES - 1}),
+ex AS (SELECT *, len(ids)::BIGINT AS n_tokens,
+              CASE WHEN text = '' THEN list_resize([]::BIGINT[], {_L}, {_EOS})
+                   ELSE list_resize(list_append(ids, {_EOS}::BIGINT), {_L}, {_EOS}) END AS input_ids FROM d),
+bc AS (SELECT *, sum(n_tokens) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
+       FROM ex),
+bk AS (SELECT * FROM bc WHERE cum <= CASE source {_caps} END),
+r AS (SELECT *, row_number() OVER (PARTITION BY source_idx ORDER BY doc_id) AS r FROM bk),
+c AS (SELECT source_idx, count(*) AS cnt, row_number() OVER (ORDER BY source_idx) - 1 AS srank FROM bk GROUP BY source_idx),
+s AS (SELECT count(*) AS nsrc, min(cnt) AS minc FROM c),
+il AS (SELECT r.*, (r.r - 1) * s.nsrc + c.srank AS ipos FROM r JOIN c USING (source_idx), s WHERE r.r <= s.minc
+       AND len(r.input_ids) > 0),
+g AS (SELECT *, row_number() OVER (ORDER BY ipos) - 1 AS gpos FROM il),
+n AS (SELECT count(*) AS n FROM g),
+e AS (SELECT ep.epoch, g.*, ep.epoch * n.n + g.gpos AS p FROM g, n, (SELECT unnest(range({C.EPOCHS})) AS epoch) ep)
+SELECT epoch::BIGINT AS epoch, p::BIGINT AS pos, doc_id, source, (p // {C.BATCH_SIZE})::BIGINT AS batch_id,
+       ((p % {C.BATCH_SIZE}) // {C.MICRO_BATCH})::BIGINT AS micro_id,
+       (('0x' || substr(md5(CAST(p AS VARCHAR)), 1, 8))::BIGINT % {C.TRAIN_WORLD})::BIGINT AS rank,
+       array_to_string(input_ids, ',') AS input_ids
+FROM e
+"""

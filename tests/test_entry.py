@@ -34,7 +34,7 @@ def test_query_matches_oracle(spark, con, name):
 BUCKETED = ["token_budget", "registry_token_budget", "row_cap", "interleave_first_exhausted", "interleave_all_exhausted",
             "epochs", "batch_plan", "best_loss_flags", "mixture_profile", "token_shards_balanced", "token_shards_reset",
             "token_shards_drop_tail", "shard_names", "global_index_lookup", "chunk_ids", "pack_lengths",
-            "build_text_shards"]
+            "build_text_shards", "training_view_words"]
 
 
 @pytest.mark.parametrize("name", BUCKETED)
