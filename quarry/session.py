@@ -29,6 +29,15 @@ DEFAULT_CONF = {
 }
 
 
+def _default_driver_memory() -> str:
+    """About 60% of the host's memory, at most 16 GiB (local mode: the driver is the executor)."""
+    try:
+        total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+    except (ValueError, OSError, AttributeError):
+        return "4g"
+    return f"{max(1, min(16, int(total * 0.6 / 2**30)))}g"
+
+
 def get_session(master: str | None = None, shuffle_partitions: int = 8, app: str = "quarry") -> SparkSession:
     """Build (or reuse) a session with the defaults above; used by tests and the bench."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -36,7 +45,7 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8, app: str
     if master:
         b = b.master(master)
     b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    b = b.config("spark.driver.memory", os.environ.get("QUARRY_DRIVER_MEMORY", "16g"))
+    b = b.config("spark.driver.memory", os.environ.get("QUARRY_DRIVER_MEMORY", _default_driver_memory()))
     for k, v in DEFAULT_CONF.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
