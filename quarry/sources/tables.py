@@ -24,8 +24,9 @@ def spread(df: DataFrame) -> DataFrame:
     want = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= want:
         return df
-    # hash of the whole row: deterministic on retry without the local sort a round-robin split needs
-    return df.repartition(want, F.xxhash64(*df.columns))
+    # hash of the leading id column: deterministic on retry without the local sort a round-robin
+    # split needs, and it pins only that column, so the scan still prunes every other unused one
+    return df.repartition(want, F.col(df.columns[0]))
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

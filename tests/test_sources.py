@@ -53,3 +53,15 @@ def test_text_shards_are_json_lines(spark):
     files = sorted(glob.glob(f"{path.replace('file:', '')}/shard_name=shard_00000/*.json"))
     lines = [json.loads(x) for f in files for x in open(f, encoding="utf-8")]
     assert lines == [{"text": 'a "quoted" é'}, {"text": "b"}]
+
+
+def test_final_scans_read_only_needed_columns(spark):
+    """Column pruning survives the scan spreading: no query reads columns it does not use."""
+    import __spark_entry__ as E
+
+    q = E.queries()
+    budget = q["token_budget"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "n_chars" not in budget and "lang" not in budget
+    dedup = q["near_dedup"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    read = [ln for ln in dedup.splitlines() if "ReadSchema" in ln]
+    assert read and all("text" not in ln for ln in read)
