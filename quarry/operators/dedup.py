@@ -197,5 +197,5 @@ def near_dedup(df: DataFrame, order: str, text: str = "text", threshold: float =
     reps = sk.groupBy("bands").agg(F.min("pos").alias("pos"))
     copies = sk.select("pos").join(reps.select("pos"), "pos", "left_anti")
     dropped = peel(lsh_buckets(sk.join(reps.select("pos"), "pos", "left_semi")), hot_bucket_rows)
-    gone = cut_lineage(copies.unionByName(dropped))
-    return df.join(gone.withColumnRenamed("pos", order), order, "left_anti")
+    gone = checked_broadcast(copies.unionByName(dropped).withColumnRenamed("pos", order))  # written, then counted
+    return df.join(gone, order, "left_anti")
