@@ -213,16 +213,27 @@ def interleave(
     source_idx: str = "source_idx",
     strategy: str = "first_exhausted",
     n_buckets: int | None = None,
+    expected: list[int] | None = None,
 ) -> DataFrame:
     """Round-robin interleave of the sources of ``df`` (equal share, registry order).
 
+    ``expected`` lists the registry positions that were opened; with ``first_exhausted`` one of them
+    having no rows ends the interleave before it starts (as a stream that is exhausted at once).
+
     Adds ``rn`` (round, 1-based) and ``pos`` (0-based global position; order = ``(rn, source_idx)``).
     ``first_exhausted`` keeps whole rounds while every source has rows; ``all_exhausted`` runs as
     many rounds as the longest source, short sources wrapping around (their rows repeat).
     """
     ranked = running_count(df, key, source_idx, "_r", n_buckets)
+    counts = df.groupBy(source_idx).agg(F.count(F.lit(1)).alias("_cnt"))
+    if expected is not None and strategy == "first_exhausted":
+        # a registered source without rows is exhausted at once: the interleave then yields nothing
+        reg = df.sparkSession.createDataFrame([(int(i),) for i in expected], f"{source_idx} int")
+        if reg.join(counts, source_idx, "left_anti").limit(1).count() > 0:
+            return ranked.limit(0).withColumn("rn", F.lit(0).cast("long")).withColumn("pos", F.lit(0).cast("long")) \
+                .drop("_r")
     stats = checked_broadcast(
-        df.groupBy(source_idx).agg(F.count(F.lit(1)).alias("_cnt"))
+        counts
         .withColumn("_srank", F.row_number().over(Window.orderBy(source_idx)) - 1)
         .withColumn("_nsrc", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))
         .withColumn("_minc", F.min("_cnt").over(Window.partitionBy(F.lit(1))))

@@ -37,13 +37,14 @@ def _with_counts(df: DataFrame, tokenizer: TokenizerSpec | None, keys: list[str]
 def _merged_sources(spark: SparkSession, registry: list[REG.SourceSpec], order: str, resolve, on_error: str):
     """Every source opened (filters pushed to its scan), its text resolved against its own schema,
     then one union ``(source, source_idx, doc_id, text)`` so that later stages run once for all."""
-    frames = []
+    frames, opened = [], []
     for idx, spec in enumerate(registry):
         df, err = REG._probe(spark, spec)
         if err is not None:
             if on_error == "skip":
                 continue
             raise ValueError(f"source {spec.name!r} cannot be opened: {err}")
+        opened.append(idx)
         frames.append(df.select(F.lit(spec.name).alias("source"), F.lit(idx).alias("source_idx"),
                                 F.col(order).cast("long").alias("doc_id"), resolve(df)))
     if not frames:
@@ -51,7 +52,7 @@ def _merged_sources(spark: SparkSession, registry: list[REG.SourceSpec], order:
     merged = frames[0]
     for f in frames[1:]:
         merged = merged.unionByName(f)
-    return merged
+    return merged, opened
 
 
 def _apply_caps(df: DataFrame, registry: list[REG.SourceSpec]) -> DataFrame:
@@ -74,11 +75,11 @@ def corpus_stream(spark: SparkSession, registry: list[REG.SourceSpec], order: st
     once; the text is joined back once at the end. Every source keeps a prefix of its order, so the
     wide side is first cut to each source's kept key range (a one-row-per-source broadcast).
     """
-    merged = _merged_sources(spark, registry, order, T.resolve_text_presence, on_error)
+    merged, opened = _merged_sources(spark, registry, order, T.resolve_text_presence, on_error)
     keys = ["source", "source_idx", "doc_id"]
     counted = _with_counts(merged, tokenizer, ["source_idx", "doc_id"])
     narrow = cut_lineage(counted.select(*keys, "n_tokens"))
-    plan = cut_lineage(O.interleave(_apply_caps(narrow, registry), "doc_id", "source_idx", strategy))
+    plan = cut_lineage(O.interleave(_apply_caps(narrow, registry), "doc_id", "source_idx", strategy, expected=opened))
     ranges = plan.groupBy("source_idx").agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi"))
     wide = merged.join(F.broadcast(ranges), "source_idx").filter(F.col("doc_id").between(F.col("_lo"), F.col("_hi")))
     return wide.drop("_lo", "_hi").join(plan, keys)  # ranges: one row per registry entry
@@ -168,10 +169,11 @@ def training_view(spark: SparkSession, registry: list[REG.SourceSpec], tokenizer
     """Examples from every source (filters honoured, budgets applied, D14), interleaved, empties
     dropped, repeated ``epochs`` times, with batch / micro-batch ids and the rank of every row.
     Sources that cannot be opened are skipped, as the reference does."""
-    merged = _merged_sources(spark, registry, "doc_id", T.resolve_text_first_nonempty, "skip")
+    merged, opened = _merged_sources(spark, registry, "doc_id", T.resolve_text_first_nonempty, "skip")
     ex = cut_lineage(fixed_length_examples(merged, tokenizer, seq_length, ["source", "source_idx", "doc_id"]))
     ex = _apply_caps(ex, registry)  # tokenised once, budgets for all sources at once
-    inter = SQ.drop_empty(O.interleave(ex, "doc_id", "source_idx")).withColumnRenamed("pos", "_ipos")
+    inter = O.interleave(ex, "doc_id", "source_idx", expected=opened)
+    inter = SQ.drop_empty(inter).withColumnRenamed("pos", "_ipos")
     inter = O.global_position(inter, "_ipos").drop("_ipos")  # consecutive again after the drop
     rep = O.repeat_epochs(inter, epochs)
     n = inter.count()  # rows per epoch: one number

@@ -98,3 +98,12 @@ def test_cli_builds_text_shards(spark, tmp_path):
     assert main(["build-text-shards", str(tmp_path / "reg.json"), out, "--shard-tokens", "1500"]) == 0
     back = SK.read_text_shards(spark, out)
     assert back.count() > 0 and back.select("shard_name").distinct().count() >= 1
+
+
+def test_empty_registered_source_ends_first_exhausted(spark):
+    from pyspark.sql import functions as F
+
+    reg = documents_registry(SF_SMALL, extra={"src1": {"predicate": F.col("doc_id") < 0}})  # opens, holds nothing
+    assert CP.corpus_stream(spark, reg).count() == 0
+    skipped = documents_registry(SF_SMALL) + [REG.SourceSpec(name="gone", path=f"{SF_SMALL}/none.parquet")]
+    assert CP.corpus_stream(spark, skipped, on_error="skip").count() > 0  # a source that cannot open is skipped
