@@ -21,7 +21,7 @@ def spread(df: DataFrame) -> DataFrame:
     """Give a scan at least one partition per core. A table stored as one row group reads as one
     task, which would serialise every per-row stage before the first shuffle; on a cluster the scan
     already has far more splits than cores and this is a no-op (planning-time check, no job)."""
-    want = df.sparkSession.sparkContext.defaultParallelism
+    want = 3 * df.sparkSession.sparkContext.defaultParallelism  # a few per core: uneven documents balance
     if df.rdd.getNumPartitions() >= want:
         return df
     # hash of the leading id column: deterministic on retry without the local sort a round-robin
