@@ -187,15 +187,19 @@ def peel(members: DataFrame, hot_bucket_rows: int = 100_000, max_rounds: int = 1
     return out
 
 
-def near_dedup(df: DataFrame, order: str, text: str = "text", threshold: float = DEF.DEDUP_THRESHOLD,
-               num_perm: int = DEF.DEDUP_NUM_PERM,
-               bands: int | None = None, rows: int | None = None, seed: int = 1,
-               hot_bucket_rows: int = 100_000) -> DataFrame:
-    """Rows of ``df`` kept by first-wins MinHash-LSH dedup in ``order`` (a unique integral key)."""
-    sk = cut_lineage(minhash(df, text, order, num_perm, threshold, bands, rows, seed))
+def dropped_positions(sk: DataFrame, hot_bucket_rows: int = 100_000) -> DataFrame:
+    """Positions dropped by first-wins dedup, from sketches ``(pos, bands)`` (written)."""
     # Identical band sets have the same neighbours: all but the first copy are dropped (partial agg).
     reps = sk.groupBy("bands").agg(F.min("pos").alias("pos"))
     copies = sk.select("pos").join(reps.select("pos"), "pos", "left_anti")
     dropped = peel(lsh_buckets(sk.join(reps.select("pos"), "pos", "left_semi")), hot_bucket_rows)
-    gone = checked_broadcast(copies.unionByName(dropped).withColumnRenamed("pos", order))  # written, then counted
+    return copies.unionByName(dropped)
+
+
+def near_dedup(df: DataFrame, order: str, text: str = "text", threshold: float = DEF.DEDUP_THRESHOLD,
+               num_perm: int = DEF.DEDUP_NUM_PERM, bands: int | None = None, rows: int | None = None, seed: int = 1,
+               hot_bucket_rows: int = 100_000) -> DataFrame:
+    """Rows of ``df`` kept by first-wins MinHash-LSH dedup in ``order`` (a unique integral key)."""
+    sk = cut_lineage(minhash(df, text, order, num_perm, threshold, bands, rows, seed))
+    gone = checked_broadcast(dropped_positions(sk, hot_bucket_rows).withColumnRenamed("pos", order))  # written, counted
     return df.join(gone, order, "left_anti")

@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quarry.operators.dedup import lsh_buckets, minhash, near_dedup
+from quarry.operators.dedup import dropped_positions, lsh_buckets, minhash
 from quarry.operators.ordered import order_bucket, token_budget
 from quarry.operators.report import epoch_micros
-from quarry.session import scratch_path
+from quarry.session import cut_lineage, scratch_path
 from quarry import defaults as DEF
 
 
@@ -65,18 +65,18 @@ def stream_near_dedup(stream: DataFrame, out: str, state: str, checkpoint: str,
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rows = batch.select(order, *[c for c in batch.columns if c != order])
+        sk = cut_lineage(minhash(rows, text, order, num_perm, threshold, seed=seed))  # sketched once per batch
         try:
             prior = spark.read.parquet(state).filter(F.col("batch_id") < batch_id).select("band", "key")
         except Exception:  # no earlier batch yet
             prior = None
-        if prior is not None:
-            sk = minhash(rows, text, order, num_perm, threshold, seed=seed)
-            hit = lsh_buckets(sk).join(prior, ["band", "key"], "left_semi").select(F.col("pos").alias(order)).distinct()
-            rows = rows.join(hit, order, "left_anti")
-        kept = near_dedup(rows, order, text, threshold, num_perm, seed=seed)
+        if prior is not None:  # rows hitting a band of an earlier kept row
+            hit = lsh_buckets(sk).join(prior, ["band", "key"], "left_semi").select("pos").distinct()
+            sk = cut_lineage(sk.join(hit, "pos", "left_anti"))
+        kept_pos = cut_lineage(sk.select("pos").join(dropped_positions(sk), "pos", "left_anti"))
+        kept = rows.join(kept_pos.withColumnRenamed("pos", order), order, "left_semi")
         kept.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-        bands = lsh_buckets(minhash(spark.read.parquet(f"{out}/batch_id={batch_id}"), text, order, num_perm,
-                                    threshold, seed=seed))
+        bands = lsh_buckets(sk.join(kept_pos, "pos", "left_semi"))
         bands.select("band", "key").write.mode("overwrite").parquet(f"{state}/batch_id={batch_id}")
 
     q = (stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
