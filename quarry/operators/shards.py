@@ -194,14 +194,22 @@ def pack_lengths(df: DataFrame, length_col: str, seq_length: int, group: str, po
     return res.withColumnRenamed("_g", group).withColumnRenamed("_p", pos)
 
 
-def pack_sequences(df: DataFrame, ids: str, seq_length: int, pad_id: int, eos: int, group: str, pos: str,
-                   eos_mode: str = "if_missing") -> DataFrame:
+def pack_sequences(df: DataFrame, ids: str, seq_length: int, pad_id: int, eos: int, group: str | None, pos: str,
+                   eos_mode: str = "if_missing", group_size: int = 100_000) -> DataFrame:
     """Packed examples ``(group, pack, input_ids, attention_mask)``, each ``seq_length`` long.
 
+    Next-fit is sequential inside a group, so a group must be bounded: with ``group=None`` the rows
+    are numbered by ``pos`` (W6) and packed in consecutive blocks of ``group_size`` (column ``grp``).
     Lengths are folded in Python (two integers per row); the ids are assembled in the JVM:
     pieces keyed by ``(group, pack)`` are ordered by offset, flattened and padded. A pack holds at
     most ``seq_length`` ids, so every collected group is bounded.
     """
+    if group is None:
+        from quarry.operators.ordered import global_position
+
+        numbered = global_position(df, pos, "_gpos")
+        df = numbered.withColumn("grp", F.floor(F.col("_gpos") / group_size).cast("long")).drop("_gpos")
+        group = "grp"
     seqs = df.select(F.col(group).cast("long").alias(group), F.col(pos).cast("long").alias(pos),
                      append_eos(ids, eos, eos_mode).alias("_ids"))
     seqs = seqs.withColumn("_len", F.size("_ids"))

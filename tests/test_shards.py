@@ -133,3 +133,13 @@ def test_global_index_lookup_h16(spark):
     idx = spark.createDataFrame([(i,) for i in (0, 2, 3, 4, 5)], "idx long")
     got = sorted(tuple(r) for r in SH.lookup_global_index(idx, offs).collect())
     assert got == [(0, 0, 0), (2, 0, 2), (3, 2, 0), (4, 2, 1)]
+
+
+def test_packing_default_groups_are_bounded_blocks(spark):
+    seqs = [[i % 7 + 1] * (i % 5) for i in range(40)]
+    df = spark.createDataFrame([(i * 3, s) for i, s in enumerate(seqs)], "k long, ids array<bigint>")
+    got = SH.pack_sequences(df, "ids", 6, 0, 9, None, "k", group_size=10).orderBy("grp", "pack").collect()
+    expect = []
+    for b in range(4):
+        expect += pack_fold(seqs[b * 10:(b + 1) * 10], 6, 0, 9)
+    assert [list(r["input_ids"]) for r in got] == expect
