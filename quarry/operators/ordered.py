@@ -4,8 +4,8 @@ The reference folds over one ordered stream. A plain ``Window.partitionBy(source
 reproduces that but puts a whole source -- possibly a third of the corpus -- into one task. Instead:
 
 * **Bucketed prefix sum.** Cut the order key into ``n_buckets`` order-preserving ranges from
-  literal bounds (``approxQuantile`` once, then a pure function of the key, so recomputation after
-  an executor loss lands every row in the same bucket). Totals per ``(group, bucket)`` are a small
+  literal bounds (one profile job with ``percentile_approx``; then a pure function of the key, so
+  recomputation after an executor loss lands every row in the same bucket). Totals per ``(group, bucket)`` are a small
   table; running offsets over it are joined back, and the running sum inside a bucket is a local
   window over one ``(group, bucket)`` only.
 * **Prefix cut-offs.** A token budget and a row cap keep a *prefix* of each group (the running sum
