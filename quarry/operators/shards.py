@@ -120,8 +120,9 @@ def lookup_global_index(index: DataFrame, offsets: DataFrame, idx: str = "idx",
     over offsets and queries merged in one sorted order (no range join).
     """
     nonempty = cut_lineage(offsets.filter(F.col("n") > 0).select(shard, "lo", "hi"))
-    if nonempty.count() <= LOOKUP_MAX_SHARDS:  # checked: binary search over the shard starts in the JVM
-        los = sorted(r[0] for r in nonempty.select("lo").collect())
+    head = [r[0] for r in nonempty.select("lo").limit(LOOKUP_MAX_SHARDS + 1).collect()]  # bounded fetch
+    if len(head) <= LOOKUP_MAX_SHARDS:  # checked: binary search over the shard starts in the JVM
+        los = sorted(head)
         splits = [float("-inf")] + [float(x) for x in los[1:]] + [float("inf")]
         table = nonempty.withColumn("_bkt", F.lit(0)) if len(los) < 2 else \
             apply_buckets(nonempty, "lo", splits)
