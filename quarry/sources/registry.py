@@ -28,12 +28,14 @@ class SourceSpec:
     config: str | None = None  # sub-folder / partition of the source, honoured always (D9)
     options: dict = field(default_factory=dict)
     rename: dict = field(default_factory=dict)  # field renames applied after open (schema mapping)
+    schema: str | None = None  # declared schema (DDL); avoids an inference pass over JSON/CSV sources
 
 
 def open_source(spark: SparkSession, spec: SourceSpec, schema=None) -> DataFrame:
     """Open one source lazily; split becomes a filter (pushed to the scan / partition pruning)."""
     path = spec.path if spec.config is None else f"{spec.path.rstrip('/')}/{spec.config}"
     reader = spark.read.format(spec.format).options(**spec.options)
+    schema = schema if schema is not None else spec.schema
     if schema is not None:
         reader = reader.schema(schema)
     df = reader.load(path)

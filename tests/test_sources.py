@@ -65,3 +65,14 @@ def test_final_scans_read_only_needed_columns(spark):
     dedup = q["near_dedup"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     read = [ln for ln in dedup.splitlines() if "ReadSchema" in ln]
     assert read and all("text" not in ln for ln in read)
+
+
+def test_json_source_with_declared_schema_and_nested_filter(spark):
+    path = scratch_path(spark, "test-json-src")
+    d = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    d.select("doc_id", "text", F.struct(F.col("lang").alias("category")).alias("meta")).write.json(path)
+    spec = REG.SourceSpec(name="j", path=path, format="json",
+                          schema="doc_id bigint, text string, meta struct<category: string>",
+                          predicate=F.col("meta.category") == "en")
+    got = REG.open_source(spark, spec)
+    assert got.count() == d.filter(F.col("lang") == "en").count()
