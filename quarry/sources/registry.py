@@ -55,7 +55,8 @@ def _probe(spark: SparkSession, spec: SourceSpec):
         df.schema  # analysis happens here: a missing path raises PATH_NOT_FOUND
         return df, None
     except AnalysisException as e:  # S3
-        return None, (getattr(e, "getErrorClass", lambda: None)() or type(e).__name__)
+        cond = getattr(e, "getCondition", None) or getattr(e, "getErrorClass", None)
+        return None, ((cond() if cond else None) or type(e).__name__)
 
 
 def union_sources(
