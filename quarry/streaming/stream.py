@@ -57,27 +57,57 @@ def run_to_parquet(stream: DataFrame, out: str, checkpoint: str, mode: str = "ap
 
 
 # ---------------------------------------------------------------- T3
+def _read_kept_bands(spark: SparkSession, state: str, batch_id: int):
+    """Kept band keys of all batches before ``batch_id``: the latest compacted generation plus the
+    per-batch deltas after it (None when there is nothing yet)."""
+    parts, start = [], 0
+    try:
+        comp = spark.read.parquet(f"{state}/compact").filter(F.col("upto") <= batch_id)
+        upto = comp.agg(F.max("upto")).first()[0]
+        if upto is not None:
+            parts.append(comp.filter(F.col("upto") == upto).select("band", "key"))
+            start = upto
+    except Exception:  # no generation written yet
+        pass
+    try:
+        delta = spark.read.parquet(f"{state}/delta").filter((F.col("batch_id") >= start) & (F.col("batch_id") < batch_id))
+        parts.append(delta.select("band", "key"))
+    except Exception:  # no delta yet
+        pass
+    if not parts:
+        return None
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def stream_near_dedup(stream: DataFrame, out: str, state: str, checkpoint: str, order: str = "doc_id",
                       text: str = "text", threshold: float = DEF.DEDUP_THRESHOLD, num_perm: int = DEF.DEDUP_NUM_PERM,
-                      seed: int = 1) -> None:
-    """First-wins near-dedup across micro-batches (files must arrive in ``order``)."""
+                      seed: int = 1, compact_every: int = 32) -> None:
+    """First-wins near-dedup across micro-batches (files must arrive in ``order``).
+
+    The kept-band state is per-batch deltas plus, every ``compact_every`` batches, one compacted
+    generation ``compact/upto=<b>``; everything is written with overwrite, so a replay is idempotent.
+    """
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rows = batch.select(order, *[c for c in batch.columns if c != order])
         sk = cut_lineage(minhash(rows, text, order, num_perm, threshold, seed=seed))  # sketched once per batch
-        try:
-            prior = spark.read.parquet(state).filter(F.col("batch_id") < batch_id).select("band", "key")
-        except Exception:  # no earlier batch yet
-            prior = None
+        prior = _read_kept_bands(spark, state, batch_id)
         if prior is not None:  # rows hitting a band of an earlier kept row
             hit = lsh_buckets(sk).join(prior, ["band", "key"], "left_semi").select("pos").distinct()
             sk = cut_lineage(sk.join(hit, "pos", "left_anti"))
         kept_pos = cut_lineage(sk.select("pos").join(dropped_positions(sk), "pos", "left_anti"))
         kept = rows.join(kept_pos.withColumnRenamed("pos", order), order, "left_semi")
         kept.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-        bands = lsh_buckets(sk.join(kept_pos, "pos", "left_semi"))
-        bands.select("band", "key").write.mode("overwrite").parquet(f"{state}/batch_id={batch_id}")
+        bands = lsh_buckets(sk.join(kept_pos, "pos", "left_semi")).select("band", "key")
+        bands.write.mode("overwrite").parquet(f"{state}/delta/batch_id={batch_id}")
+        if (batch_id + 1) % compact_every == 0:  # a new generation: everything up to and including this batch
+            gen = _read_kept_bands(spark, state, batch_id + 1)
+            nparts = int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
+            gen.repartition(nparts, "band", "key").write.mode("overwrite").parquet(f"{state}/compact/upto={batch_id + 1}")
 
     q = (stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())

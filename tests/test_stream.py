@@ -43,3 +43,16 @@ def test_bpe_examples_stream_equals_batch(spark):
     batch = ex.select("doc_id", F.aggregate("attention_mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_real"),
                       F.element_at("input_ids", 1).alias("first_id"))
     assert got == rows(batch)
+
+
+def test_stream_dedup_with_compaction_equals_batch(spark):
+    from quarry.operators import dedup as D
+
+    p = ST.fresh(spark, "test-stream-dedup")
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "source", "text")
+    ST.write_ordered_files(docs, p["input"], "doc_id", 5)
+    s = ST.file_stream(spark, p["input"], docs.schema)
+    ST.stream_near_dedup(s, p["out"], p["state"], p["ckpt"], compact_every=2)
+    got = rows(spark.read.parquet(p["out"]), "doc_id")
+    assert got == rows(D.near_dedup(docs, "doc_id"), "doc_id")
+    assert spark.read.parquet(f"{p['state']}/compact").select("upto").distinct().count() == 2
