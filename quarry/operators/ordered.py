@@ -232,13 +232,14 @@ def interleave(
         if reg.join(counts, source_idx, "left_anti").limit(1).count() > 0:
             return ranked.limit(0).withColumn("rn", F.lit(0).cast("long")).withColumn("pos", F.lit(0).cast("long")) \
                 .drop("_r")
-    stats = checked_broadcast(
-        counts
-        .withColumn("_srank", F.row_number().over(Window.orderBy(source_idx)) - 1)
-        .withColumn("_nsrc", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))
-        .withColumn("_minc", F.min("_cnt").over(Window.partitionBy(F.lit(1))))
-        .withColumn("_maxc", F.max("_cnt").over(Window.partitionBy(F.lit(1))))
-    )
+    stats = (counts
+             .withColumn("_srank", F.row_number().over(Window.orderBy(source_idx)) - 1)
+             .withColumn("_nsrc", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))
+             .withColumn("_minc", F.min("_cnt").over(Window.partitionBy(F.lit(1))))
+             .withColumn("_maxc", F.max("_cnt").over(Window.partitionBy(F.lit(1)))))
+    # one row per source: bounded by the registry when it is known, else counted
+    stats = F.broadcast(stats) if expected is not None and len(expected) <= BROADCAST_MAX_ROWS \
+        else checked_broadcast(stats)
     j = ranked.join(stats, source_idx)
     if strategy == "first_exhausted":
         j = j.filter(F.col("_r") <= F.col("_minc")).withColumn("rn", F.col("_r"))
