@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, shard, tokens, warc
+from quarry.llm import chat, pack, shard, tokens, warc
 from quarry.sources.tables import table_path
 
 
@@ -32,6 +32,16 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(windows)
 
 
+def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1024 ids; a row per piece."""
+    import public_tokenizers
+
+    sequences = pack.pack_documents(
+        _read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), length=1024, end_id=0,
+        ranks=vocabulary("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
+    return pack.piece_table(sequences)
+
+
 def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rendezvous shards of all documents; doc_id and the shard count decide."""
     rows = shard.shard_table(_read(spark, sf_dir, "documents"), [1.0] * 16)
@@ -78,5 +88,5 @@ def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
-QUERIES = {"op1_chat": op1_chat, "op3_shards": op3_shards, "op4_warc": op4_warc, "op6_tokens": op6_tokens}
+QUERIES = {"op1_chat": op1_chat, "op2_pack": op2_pack, "op3_shards": op3_shards, "op4_warc": op4_warc, "op6_tokens": op6_tokens}
 SQL = {"op4_warc": OP4_SQL}
