@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, pack, shard, tokens, warc
+from quarry.llm import chat, neardup, pack, shard, tokens, warc
 from quarry.sources.tables import table_path
 
 
@@ -88,5 +88,30 @@ def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
-QUERIES = {"op1_chat": op1_chat, "op2_pack": op2_pack, "op3_shards": op3_shards, "op4_warc": op4_warc, "op6_tokens": op6_tokens}
-SQL = {"op4_warc": OP4_SQL}
+def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents on two-word shingles, similarity 0.8 or more."""
+    return neardup.near_duplicates(_read(spark, sf_dir, "documents"), width=2, percent=80)
+
+
+OP9_SQL = r"""
+with recursive words as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+  from documents),
+sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) = 1 then [w[1]]
+         else list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) end as s
+  from words),
+flat as (select doc_id, unnest(s) as g from sets),
+inter as (select a.doc_id as a, b.doc_id as b, count(*) as i from flat a join flat b on a.g = b.g and a.doc_id < b.doc_id group by all),
+links as (select a, b from inter join sets x on x.doc_id = a join sets y on y.doc_id = b
+          where 100 * i >= 80 * (len(x.s) + len(y.s) - i)),
+both_ways as (select a, b from links union all select b, a from links),
+reach as (select doc_id, doc_id as r from sets union select reach.doc_id, b from reach join both_ways on r = a)
+select s.doc_id, cast(len(s.s) as bigint) as n_shingles, c.r as component_id, s.doc_id = c.r as kept
+from sets s join (select doc_id, min(r) as r from reach group by doc_id) c on c.doc_id = s.doc_id
+"""
+
+
+QUERIES = {"op9_neardup": op9_neardup, "op1_chat": op1_chat, "op2_pack": op2_pack, "op3_shards": op3_shards, "op4_warc": op4_warc, "op6_tokens": op6_tokens}
+SQL = {"op9_neardup": OP9_SQL, "op4_warc": OP4_SQL}
