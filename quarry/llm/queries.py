@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, neardup, pack, shard, tokens, warc
+from quarry.llm import chat, neardup, pack, quality, shard, tokens, warc
 from quarry.sources.tables import table_path
 
 
@@ -88,6 +88,11 @@ def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality verdicts of all documents by distribution divergence."""
+    return quality.quality(_read(spark, sf_dir, "documents"))
+
+
 def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents on two-word shingles, similarity 0.8 or more."""
     return neardup.near_duplicates(_read(spark, sf_dir, "documents"), width=2, percent=80)
@@ -113,5 +118,5 @@ from sets s join (select doc_id, min(r) as r from reach group by doc_id) c on c.
 """
 
 
-QUERIES = {"op9_neardup": op9_neardup, "op1_chat": op1_chat, "op2_pack": op2_pack, "op3_shards": op3_shards, "op4_warc": op4_warc, "op6_tokens": op6_tokens}
+QUERIES = {"op8_quality": op8_quality, "op9_neardup": op9_neardup, "op1_chat": op1_chat, "op2_pack": op2_pack, "op3_shards": op3_shards, "op4_warc": op4_warc, "op6_tokens": op6_tokens}
 SQL = {"op9_neardup": OP9_SQL, "op4_warc": OP4_SQL}
