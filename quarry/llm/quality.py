@@ -30,7 +30,7 @@ from quarry.llm.common import write_table
 
 TOP, CANDIDATES, TRACKED, LANGUAGES = 32, 128, 20_000, 64
 MIN_WORDS = 50
-MAX_CHAR, MAX_WORD = 0.25, 0.5
+MAX_CHAR, MAX_WORD = 0.3, 0.42
 CLASSES = ["lower", "upper", "digit", "symbol", "other", "space"]
 SPACE = r"[\x20\x09-\x0D]+"
 

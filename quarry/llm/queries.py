@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, neardup, pack, quality, shard, tokens, warc
+from quarry.llm import chat, langid, neardup, pack, quality, shard, tokens, warc
 from quarry.sources.tables import table_path
 
 
@@ -88,6 +88,19 @@ def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def held_out(key: str = "doc_id"):
+    """The fold that no language is learned from."""
+    return F.crc32(F.encode(F.col(key).cast("string"), "UTF-8")) % 5 == 0
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all whole documents; learned from at most 4,000 labelled documents outside the held-out fold."""
+    docs = _read(spark, sf_dir, "documents")
+    fold = F.coalesce(held_out(), F.lit(False))
+    model = langid.train(docs.select("doc_id", "text", "lang"), ~fold, sample=4000)
+    return langid.identify(docs.withColumn("held_out", fold), model, ["doc_id", "held_out"])
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality verdicts of all documents by distribution divergence."""
     return quality.quality(_read(spark, sf_dir, "documents"))
@@ -118,5 +131,5 @@ from sets s join (select doc_id, min(r) as r from reach group by doc_id) c on c.
 """
 
 
-QUERIES = {"op8_quality": op8_quality, "op9_neardup": op9_neardup, "op1_chat": op1_chat, "op2_pack": op2_pack, "op3_shards": op3_shards, "op4_warc": op4_warc, "op6_tokens": op6_tokens}
+QUERIES = {"op7_langid": op7_langid, "op8_quality": op8_quality, "op9_neardup": op9_neardup, "op1_chat": op1_chat, "op2_pack": op2_pack, "op3_shards": op3_shards, "op4_warc": op4_warc, "op6_tokens": op6_tokens}
 SQL = {"op9_neardup": OP9_SQL, "op4_warc": OP4_SQL}
