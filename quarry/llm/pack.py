@@ -190,7 +190,7 @@ def pack_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str =
         stage += 1
         groups = -(-n // MERGE)
         size = F.size("ids")
-        dealt = left.coalesce(1) if groups == 1 else left.repartition(groups, "part", "n")
+        dealt = left.repartition(1) if groups == 1 else left.repartition(groups, "part", "n")
         merged = write_table(dealt.sortWithinPartitions(size.desc(), "part", "n")
                              .mapInArrow(_pack_windows(stage, length, open_windows), schema), "packed")
         if groups == 1:
