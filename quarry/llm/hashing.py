@@ -37,6 +37,7 @@ _POW, _INVPOW = _powers(_P, BLOCK + 1), _powers(_INV, BLOCK + 1)
 
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
+    x = np.asarray(x, np.uint64)
     x = x ^ (x >> np.uint64(30))
     x = x * np.uint64(0xBF58476D1CE4E5B9)
     x = x ^ (x >> np.uint64(27))

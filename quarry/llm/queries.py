@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, langid, neardup, pack, quality, shard, tokens, warc
+from quarry.llm import chat, decontam, langid, linedup, neardup, pack, quality, shard, tokens, warc
 from quarry.sources.tables import table_path
 
 
@@ -32,16 +32,20 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(windows)
 
 
-def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents packed into sequences of 1024 ids; a row per piece."""
+def pack_whole(docs: DataFrame) -> DataFrame:
+    """Documents packed into sequences of 1024 ids; a row per piece."""
     import public_tokenizers
 
-    sequences = pack.pack_documents(
-        _read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), length=1024, end_id=0,
-        ranks=vocabulary("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
+    sequences = pack.pack_documents(docs, vocabulary("byte_bpe_50k.json"), length=1024, end_id=0,
+                                    ranks=vocabulary("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
     return pack.piece_table(sequences)
 
 
+def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1024 ids; a row per piece."""
+    return pack_whole(_read(spark, sf_dir, "documents"))
+
+
 def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rendezvous shards of all documents; doc_id and the shard count decide."""
     rows = shard.shard_table(_read(spark, sf_dir, "documents"), [1.0] * 16)
@@ -82,6 +86,11 @@ from p
 """
 
 
+def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document holds, up to a fifth of its words edited; all documents, all items."""
+    return decontam.contaminated(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
+
+
 def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all whole documents."""
     counts = tokens.count_tokens(_read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), ["doc_id"])
@@ -131,5 +140,13 @@ from sets s join (select doc_id, min(r) as r from reach group by doc_id) c on c.
 """
 
 
-QUERIES = {"op7_langid": op7_langid, "op8_quality": op8_quality, "op9_neardup": op9_neardup, "op1_chat": op1_chat, "op2_pack": op2_pack, "op3_shards": op3_shards, "op4_warc": op4_warc, "op6_tokens": op6_tokens}
+def op10_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the line chunks that an earlier place has; what was removed and what is left."""
+    out = linedup.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    left = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
+    return out.select("doc_id", "removed_chunks", "removed_lines", "removed_words", F.length("text").cast("long").alias("kept_chars"),
+                      F.crc32(left).alias("kept_crc32"), (F.col("removed_words") > 0).alias("changed"))
+
+
+QUERIES = {"op5_decontam": op5_decontam, "op10_linedup": op10_linedup, "op7_langid": op7_langid, "op8_quality": op8_quality, "op9_neardup": op9_neardup, "op1_chat": op1_chat, "op2_pack": op2_pack, "op3_shards": op3_shards, "op4_warc": op4_warc, "op6_tokens": op6_tokens}
 SQL = {"op9_neardup": OP9_SQL, "op4_warc": OP4_SQL}
