@@ -7,8 +7,9 @@ of every wrapped line. A chunk of one line or fewer than ``MIN_WORDS`` words joi
 lines around them only, so inserted or removed text shifts none beyond its neighbours.
 
 A chunk of at least two lines and ``MIN_WORDS`` words that occurs more than once in the corpus stays at its first place, by
-(doc_id, place in the text), and is removed elsewhere. A smaller chunk counts as repeated only where the chunks before and after
-it are the same too, and the three have ``MIN_WORDS`` words. Chunks meet by a 64-bit hash; all bytes of those that meet are
+(doc_id, place in the text), and elsewhere is removed, with the repeated chunks beside it, where these have ``MIN_RUN`` words
+together; so a short phrase that two texts share by chance stays. A smaller chunk counts as repeated only where the chunks before
+and after it are the same too, and the three have ``MIN_WORDS`` words. Chunks meet by a 64-bit hash; all bytes of those that meet are
 compared, and where bytes differ, each text decides for itself.
 
 Scale: what is grouped are narrow rows (document, chunk, hash), with partial aggregation, so a chunk that a third of all documents
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 from quarry.llm.common import arrow_rows, fresh, write_table
 from quarry.llm.hashing import buffer_of, mix, words
 
-LONG, WRAP, MIN_WORDS = 24, 6, 10
-BROADCAST_CHUNKS = 200_000  # repeated chunks that may be broadcast (some 10 MB); beyond: a shuffle join
+LONG, WRAP, MIN_WORDS, MIN_RUN = 24, 2, 5, 16
+BROADCAST_CHUNKS = 1_000_000  # hashes of repeated chunks that may be broadcast (some 20 MB); beyond: a shuffle join
 _K = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -119,6 +120,19 @@ def _evidence(batches):
              pa.array([data[a[k]:b[k]].tobytes() for k in keep], pa.binary())], ["id", "th", "chunk", "h", "bytes"])
 
 
+def long_runs(listed: set, numbers: list, sizes: list) -> set:
+    """The listed chunks that stand in runs of at least ``MIN_RUN`` words."""
+    out, run, total = set(), [], 0
+    for number, size in [*zip(numbers, sizes), (None, 0)]:
+        if number in listed:
+            run.append(number)
+            total += size
+        else:
+            out.update(run if total >= MIN_RUN else ())
+            run, total = [], 0
+    return out
+
+
 def _cut(batches):
     """Texts without the listed chunks; with them the counts of what went."""
     for batch in batches:
@@ -132,7 +146,7 @@ def _cut(batches):
             edges = np.searchsorted(text, np.arange(len(hit) + 1))
             for k, i in enumerate(hit):
                 x, y = edges[k], edges[k + 1]
-                gone = set(lists[i])
+                gone = long_runs(set(lists[i]), number[x:y].tolist(), n_words[x:y].tolist())
                 parts, at = [], offsets[k]
                 for j in range(x, y):
                     if int(number[j]) in gone:
@@ -160,13 +174,13 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     rows = docs.select(F.col(key).alias("id"), th.alias("th"), body.alias("t")).filter("t is not null")
     table = write_table(rows.mapInArrow(_chunk_rows, f"id {kind}, th long, chunk int, h long"), "chunks")
     place = F.struct("id", "th", "chunk")
-    # rows that repeat in full give the same places
-    many = (table.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last")
-            .select("h", "first"))
-    many = write_table(many, "repeated")
+    many = write_table(table.groupBy("h").count().filter("count > 1").select("h"), "repeated")
     if many.count() <= BROADCAST_CHUNKS:
         many = F.broadcast(many)
-    hits = write_table(table.join(many, "h").select("id", "th", "chunk", "h", (place == F.col("first")).alias("stays")), "hits")
+    met = write_table(table.join(many, "h", "left_semi"), "met")
+    # rows that repeat in full give the same places
+    first = met.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last").select("h", "first")
+    hits = write_table(met.join(first, "h").select("id", "th", "chunk", "h", (place == F.col("first")).alias("stays")), "hits")
     listed = lambda frame: frame.groupBy("id", "th").agg(F.collect_set("chunk").alias("chunks"))
     i, h, got = fresh(docs, "id", "th", "chunks")
     mine = lambda frame: listed(frame).select(F.col("id").alias(i), F.col("th").alias(h), F.col("chunks").alias(got))
