@@ -24,18 +24,19 @@ def _small(edges: DataFrame) -> DataFrame:
     return _stars(down, least).unionByName(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
 
 
-def _state(table: DataFrame):
-    return table.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+def _is_forest(table: DataFrame) -> bool:
+    """Whether every node has one parent and no parent has one: then parents are the components' least nodes."""
+    ends = table.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        table.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    odd = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up = 1 and down = 1)")
+    return odd.isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``(u, v)``: each node of ``edges`` (u, v) but the least of its component, and that least node. Ends when a round
-    changes nothing; rounds grow with the logarithm of the longest path."""
-    table = write_table(edges.filter("u != v").distinct(), "components")
-    before = _state(table)
+    """``(u, v)``: each node of ``edges`` (u, v) but the least of its component, and that least node. Rounds grow with the
+    logarithm of the longest path; a star takes one."""
+    table = edges.filter("u != v")
     while True:
         table = write_table(_small(_large(table)), "components")
-        now = _state(table)
-        if now == before:
+        if _is_forest(table):
             return table
-        before = now
