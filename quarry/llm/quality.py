@@ -7,7 +7,7 @@ for the frequent words come from a mergeable frequent-items sketch per language,
 language (least word distance, ties by name), whatever its own ``lang`` says.
 
 Kept: the base rule holds, and either the text has fewer than ``MIN_WORDS`` words (too short for histograms; the
-base rule with its 50 words is stricter by default) or both distances are at most their limits.
+base rule with its 50 words is stricter by default) or both distances and their sum are at most their limits.
 
 Base rule: words are ``[^\x20\x09-\x0D]+``; failed with fewer than 50 words or when more than half of the words stand in
 three-word windows that occur twice or more. Equal windows are found by 64-bit hashes and confirmed by their words.
@@ -30,7 +30,7 @@ from quarry.llm.common import write_table
 
 TOP, CANDIDATES, TRACKED, LANGUAGES = 32, 128, 20_000, 64
 MIN_WORDS = 50
-MAX_CHAR, MAX_WORD = 0.3, 0.42
+MAX_CHAR, MAX_WORD, MAX_SUM = 0.3, 0.38, 0.52
 CLASSES = ["lower", "upper", "digit", "symbol", "other", "space"]
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -137,7 +137,7 @@ def js_distance(p: Column, q: list[float]) -> Column:
 
 
 def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_char: float = MAX_CHAR,
-            max_word: float = MAX_WORD) -> DataFrame:
+            max_word: float = MAX_WORD, max_sum: float = MAX_SUM) -> DataFrame:
     """The base columns, base_failed, language, char_distance, word_distance and kept of every document."""
     candidates = frequent_words(docs, text, lang)
     vocabulary = sorted({w for words in candidates.values() for w in words})
@@ -161,6 +161,7 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
         counts = counts.select("*", F.col("near.language").alias("language"), F.col("near.word_distance").alias("word_distance"), char.alias("char_distance"))
     else:
         counts = counts.select("*", F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("word_distance"), F.lit(0.0).alias("char_distance"))
-    fine = (F.col("n_words") < MIN_WORDS) | ((F.col("char_distance") <= max_char) & (F.col("word_distance") <= max_word))
+    near = (F.col("char_distance") <= max_char) & (F.col("word_distance") <= max_word) & (F.col("char_distance") + F.col("word_distance") <= max_sum)
+    fine = (F.col("n_words") < MIN_WORDS) | near
     return counts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "language", "char_distance",
                          "word_distance", (~F.col("base_failed") & fine).alias("kept"))

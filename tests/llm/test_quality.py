@@ -4,7 +4,7 @@ from collections import Counter
 import pytest
 
 from quarry.llm import quality
-from tests.conftest import SF_SMALL
+from tests.conftest import SF_MID, SF_SMALL
 from tests.llm.helpers import WORD, awkward, documents, empty
 
 
@@ -50,8 +50,8 @@ def test_awkward_rows(spark):
 
 
 def test_verdicts_against_labels(spark):
-    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
-    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF_SMALL}/labels.parquet").collect()}
+    docs = spark.read.parquet(f"{SF_MID}/documents.parquet")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF_MID}/labels.parquet").collect()}
     rows = quality.quality(docs).collect()
     text = {r.doc_id: r.text for r in docs.collect()}
     for r in rows:
