@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from quarry.session import cut_lineage
 
 BROADCAST_MAX_ROWS = 2_000_000  # rows of a small side we are willing to ship to every executor
-SMALL_TABLE_ROWS = 4_096  # a derived table this small takes one plain window (one task) instead of buckets
 
 
 def _cols(x) -> list[str]:
@@ -89,13 +88,6 @@ def _running_agg(df, value, key, group, out, agg, inclusive, n_buckets, cast, ma
     narrow = narrow if materialized else cut_lineage(narrow)
     n, ng, splits = _profile(narrow, key, g, n_buckets)
     hi = 0 if inclusive else -1
-    small_rows = int(narrow.sparkSession.conf.get("quarry.smallTableRows", str(SMALL_TABLE_ROWS)))
-    if n_buckets is None and n <= small_rows:  # proven small: one window, no buckets, no join
-        w_small = Window.partitionBy(*g).orderBy(key).rowsBetween(Window.unboundedPreceding, hi)
-        res = df.withColumn("_v", val.cast(cast)).withColumn(out, fn("_v").over(w_small))
-        if agg == "sum" and inclusive:
-            res = res.withColumn(out, F.coalesce(F.col(out), F.lit(0).cast(cast)))
-        return res.drop("_v"), ng
     totals = apply_buckets(narrow, key, splits).groupBy(*g, "_bkt").agg(fn("_v").alias("_bt"))
     w_off = Window.partitionBy(*g).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*g, "_bkt", fn("_bt").over(w_off).alias("_off"))
@@ -149,6 +141,29 @@ def running_count(df: DataFrame, key: str, group=None, out: str = "rn", n_bucket
     return running_sum(df, F.lit(1), key, group, out, n_buckets)
 
 
+def ordered_sum(df: DataFrame, value, keys: list[str], out: str = "cum") -> DataFrame:
+    """Inclusive running sum of ``value`` in the order of several keys, each a column of its own.
+
+    Inside a group of all keys but the last it is a balanced running sum; the groups' totals, summed the
+    same way one key up, are added as offsets. Keys are never packed into one number.
+    """
+    val = F.col(value) if isinstance(value, str) else value
+    narrow = cut_lineage(df.select(*keys, val.cast("long").alias("_val")))
+    res = running_sum(narrow, "_val", keys[-1], keys[:-1], out)
+    for depth in range(len(keys) - 1, 0, -1):
+        group = keys[:depth]
+        totals = narrow.groupBy(*group).agg(F.sum("_val").alias("_tot"))
+        before = running_sum(totals, "_tot", group[-1], group[:-1], "_upto")
+        before = before.select(*group, (F.col("_upto") - F.col("_tot")).alias("_before"))
+        res = res.join(before, group).withColumn(out, F.col(out) + F.col("_before")).drop("_before")
+    return df.join(res.drop("_val"), keys)
+
+
+def ordered_position(df: DataFrame, keys: list[str], out: str = "pos") -> DataFrame:
+    """W6 in the order of several keys (together unique): the 0-based position of every row."""
+    return ordered_sum(df, F.lit(1), keys, "_rn").withColumn(out, F.col("_rn") - 1).drop("_rn")
+
+
 def _cap_expr(cap, group: list[str]) -> Column:
     if isinstance(cap, dict):
         if len(group) != 1:
@@ -214,6 +229,7 @@ def interleave(
     strategy: str = "first_exhausted",
     n_buckets: int | None = None,
     expected: list[int] | None = None,
+    last_round: str = "whole",
 ) -> DataFrame:
     """Round-robin interleave of the sources of ``df`` (equal share, registry order).
 
@@ -221,9 +237,13 @@ def interleave(
     having no rows ends the interleave before it starts (as a stream that is exhausted at once).
 
     Adds ``rn`` (round, 1-based) and ``pos`` (0-based global position; order = ``(rn, source_idx)``).
-    ``first_exhausted`` keeps whole rounds while every source has rows; ``all_exhausted`` runs as
+    ``first_exhausted`` runs while every source has rows. ``last_round="whole"`` keeps whole rounds, as an
+    interleave of tables does; ``"partial"`` stops right after the first source's last row, as one of streams
+    does, so the last round holds the sources up to that one. ``all_exhausted`` runs as
     many rounds as the longest source, short sources wrapping around (their rows repeat).
     """
+    if strategy not in ("first_exhausted", "all_exhausted") or last_round not in ("whole", "partial"):
+        raise ValueError(f"unknown strategy {strategy!r} or last_round {last_round!r}")
     ranked = running_count(df, key, source_idx, "_r", n_buckets)
     counts = df.groupBy(source_idx).agg(F.count(F.lit(1)).alias("_cnt"))
     if expected is not None and strategy == "first_exhausted":
@@ -232,23 +252,24 @@ def interleave(
         if reg.join(counts, source_idx, "left_anti").limit(1).count() > 0:
             return ranked.limit(0).withColumn("rn", F.lit(0).cast("long")).withColumn("pos", F.lit(0).cast("long")) \
                 .drop("_r")
-    stats = (counts
-             .withColumn("_srank", F.row_number().over(Window.orderBy(source_idx)) - 1)
-             .withColumn("_nsrc", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))
-             .withColumn("_minc", F.min("_cnt").over(Window.partitionBy(F.lit(1))))
-             .withColumn("_maxc", F.max("_cnt").over(Window.partitionBy(F.lit(1)))))
-    # one row per source: bounded by the registry when it is known, else counted
-    stats = F.broadcast(stats) if expected is not None and len(expected) <= BROADCAST_MAX_ROWS \
-        else checked_broadcast(stats)
-    j = ranked.join(stats, source_idx)
-    if strategy == "first_exhausted":
-        j = j.filter(F.col("_r") <= F.col("_minc")).withColumn("rn", F.col("_r"))
-    elif strategy == "all_exhausted":
-        j = j.withColumn("rn", F.explode(F.sequence(F.col("_r"), F.col("_maxc"), F.col("_cnt"))))
+    stats = cut_lineage(counts.withColumn("_srank", (F.row_number().over(Window.orderBy(source_idx)) - 1).cast("long")))
+    n, low, high = stats.agg(F.count(F.lit(1)), F.min("_cnt"), F.max("_cnt")).first()
+    # one row per source: bounded by the registry when it is known, else by the count
+    stats = F.broadcast(stats) if n <= BROADCAST_MAX_ROWS else stats
+    if not n:
+        j = ranked.join(stats, source_idx).withColumn("rn", F.col("_r"))
+    elif strategy == "first_exhausted":
+        j = ranked.join(stats, source_idx).filter(F.col("_r") <= low).withColumn("rn", F.col("_r"))
+        if last_round == "partial":
+            stop = stats.filter(F.col("_cnt") == low).agg(F.min("_srank")).first()[0]
+            j = j.filter((F.col("_r") < low) | (F.col("_srank") <= stop))
     else:
-        raise ValueError(f"unknown strategy {strategy!r}")
-    pos = (F.col("rn") - 1) * F.col("_nsrc") + F.col("_srank")
-    return j.withColumn("pos", pos.cast("long")).drop("_r", "_cnt", "_srank", "_nsrc", "_minc", "_maxc")
+        # every position of the result, made in parallel; a short source's row meets all its rounds
+        slots = df.sparkSession.range(n * high).select(F.floor(F.col("id") / n).alias("_round"), F.pmod("id", F.lit(n)).alias("_srank"))
+        slots = slots.join(stats, "_srank").withColumn("_r", F.pmod("_round", "_cnt") + 1).withColumn("rn", F.col("_round") + 1)
+        j = ranked.join(slots.drop("_round"), [source_idx, "_r"])
+    pos = (F.col("rn") - 1) * F.lit(n) + F.col("_srank")
+    return j.withColumn("pos", pos.cast("long")).withColumn("rn", F.col("rn").cast("long")).drop("_r", "_cnt", "_srank")
 
 
 def repeat_epochs(df: DataFrame, epochs: int, pos: str = "pos") -> DataFrame:

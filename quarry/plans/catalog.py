@@ -26,14 +26,23 @@ from quarry.sources.tables import documents_registry, load, source_index, table_
 # Fixed parameters of the registered queries (shared with the oracle SQL).
 BUDGET_CAP = 5_000  # whitespace tokens per source
 ROW_CAP = 7
-N_SOURCES = 20  # the registry fixture: every documents.source value src0..src19, in this order
-REGISTRY_NAMES = tuple(f"src{i}" for i in range(N_SOURCES))
-REGISTRY_CAPS = {f"src{i}": 4_000 + 1_000 * (i % 3) for i in range(N_SOURCES)}  # whitespace tokens, by rule
 WORLD_SIZE = 4
 BATCH_SIZE, MICRO_BATCH = 8, 2
 STEP_BATCH, STEP_SEQ, STEP_WORLD, WARMUP = 4, 128, 2, 0.05
 LOG_INTERVAL, SAVE_INTERVAL = 10, 50
-EPOCHS = 2
+EPOCHS, LONG_WORD = 2, 20
+
+
+def registry_names(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The registry fixture: every source that the documents have, by its number."""
+    d = spark.read.parquet(table_path(sf_dir, "documents"))
+    found = d.select("source", source_index().alias("i")).distinct().orderBy("i", "source")
+    return [r["source"] for r in found.collect()]  # one row per source
+
+
+def registry_caps(names: list[str], base: int = 4_000, step: int = 1_000) -> dict[str, int]:
+    """Whitespace-token cap of each source, by rule."""
+    return {n: base + step * (int(n.removeprefix("src")) % 3) for n in names}
 
 
 def docs_with_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +54,7 @@ def docs_with_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- sources / predicates
 def q_registry_scan_filter(spark, sf_dir):
     """Three sources with predicates, unioned by name."""
-    reg = documents_registry(sf_dir, REGISTRY_NAMES, extra={
+    reg = documents_registry(sf_dir, registry_names(spark, sf_dir), extra={
         "src0": {"predicate": (F.col("source") == "src0") & (F.col("lang") == "en")},
         "src1": {"predicate": (F.col("source") == "src1") & F.col("lang").isin("de", "fr")},
     })
@@ -63,7 +72,7 @@ def q_nested_field_filter(spark, sf_dir):
 
 def q_skip_missing_source(spark, sf_dir):
     """S3: a registry row whose path is absent is skipped; the others still run."""
-    reg = documents_registry(sf_dir, REGISTRY_NAMES) + [
+    reg = documents_registry(sf_dir, registry_names(spark, sf_dir)) + [
         REG.SourceSpec(name="src_missing", path=f"{sf_dir}/no_such_table.parquet")]
     df = REG.union_sources(spark, reg, on_error="skip", columns=["doc_id"])
     return df.groupBy("source").agg(F.count(F.lit(1)).alias("docs"))
@@ -110,14 +119,14 @@ def q_strip_nonblank_lines(spark, sf_dir):
 def text_shapes(spark, sf_dir):
     """Raw records of several shapes (X1): documents.text, benchmark as ``content``,
     conversations as ``instruction``/``response``, pages without any text field."""
-    docs = load(spark, sf_dir, "documents").select(F.lit("documents").alias("shape"), F.col("doc_id").alias("rid"), "text")
-    bench = load(spark, sf_dir, "benchmark").select(F.lit("benchmark").alias("shape"), F.col("item_id").alias("rid"),
+    docs = load(spark, sf_dir, "documents").select(F.lit("documents").alias("shape"), F.col("doc_id").cast("string").alias("rid"), "text")
+    bench = load(spark, sf_dir, "benchmark").select(F.lit("benchmark").alias("shape"), F.col("item_id").cast("string").alias("rid"),
                                                     F.col("text").alias("content"))
     conv = load(spark, sf_dir, "conversations")
-    conv = conv.select(F.lit("conversations").alias("shape"), (F.col("conv_id") * 1000 + F.col("turn")).alias("rid"),
+    conv = conv.select(F.lit("conversations").alias("shape"), F.concat_ws(":", "conv_id", "turn").alias("rid"),
                        F.when(F.col("role") == "user", F.col("text")).alias("instruction"),
                        F.when(F.col("role") == "assistant", F.col("text")).alias("response"))
-    pages = load(spark, sf_dir, "pages").select(F.lit("pages").alias("shape"), F.col("page_id").alias("rid"), "url")
+    pages = load(spark, sf_dir, "pages").select(F.lit("pages").alias("shape"), F.col("page_id").cast("string").alias("rid"), "url")
     return [docs, bench, conv, pages]
 
 
@@ -148,10 +157,10 @@ def q_token_budget(spark, sf_dir):
 
 def q_registry_token_budget(spark, sf_dir):
     """W1 over the registry fixture with per-source caps (registry order, filters honoured)."""
-    reg = documents_registry(sf_dir, REGISTRY_NAMES)
+    reg = documents_registry(sf_dir, registry_names(spark, sf_dir))
     df = REG.union_sources(spark, reg, columns=["doc_id", "text"])
     df = df.withColumn("n_tokens", T.whitespace_token_count("text"))
-    kept = O.token_budget(df, REGISTRY_CAPS)
+    kept = O.token_budget(df, registry_caps([s.name for s in reg]))
     return kept.select("source", "doc_id", "n_tokens")
 
 
@@ -161,28 +170,36 @@ def q_row_cap(spark, sf_dir):
     return kept.select("source", "doc_id")
 
 
-def en_by_source(spark, sf_dir):
-    d = load(spark, sf_dir, "documents").filter(F.col("lang") == "en")
+def by_source(spark, sf_dir):
+    d = load(spark, sf_dir, "documents")
     return d.select("doc_id", "source", source_index().alias("source_idx"))
 
 
 def q_interleave_first_exhausted(spark, sf_dir):
-    """W2 (first_exhausted) of the English documents of all sources."""
-    out = O.interleave(en_by_source(spark, sf_dir), strategy="first_exhausted")
+    """W2 (first_exhausted) of the documents of all sources."""
+    out = O.interleave(by_source(spark, sf_dir), strategy="first_exhausted")
+    return out.select("doc_id", "source", F.col("rn").cast("long"), "pos")
+
+
+def q_interleave_partial_round(spark, sf_dir):
+    """W2 (first_exhausted) that stops right after the first source's last row, as over streams."""
+    out = O.interleave(by_source(spark, sf_dir), strategy="first_exhausted", last_round="partial")
     return out.select("doc_id", "source", F.col("rn").cast("long"), "pos")
 
 
 def q_interleave_all_exhausted(spark, sf_dir):
     """W2 (all_exhausted): short sources wrap around."""
-    out = O.interleave(en_by_source(spark, sf_dir), strategy="all_exhausted")
+    out = O.interleave(by_source(spark, sf_dir), strategy="all_exhausted")
     return out.select("doc_id", "source", F.col("rn").cast("long"), "pos")
 
 
 def q_epochs(spark, sf_dir):
-    """The interleaved data repeated EPOCHS times, empty texts dropped."""
-    d = load(spark, sf_dir, "documents").filter(F.col("lang") == "en")
-    inter = O.interleave(d.select("doc_id", "source", "text", source_index().alias("source_idx")))
-    rep = O.repeat_epochs(inter.filter(F.size(T.py_split("text")) > 0), EPOCHS)
+    """The interleaved data repeated EPOCHS times, examples of empty input_ids dropped. Ids are
+    the lengths of words of LONG_WORD characters and more, so some documents have none."""
+    d = load(spark, sf_dir, "documents").select("doc_id", "source", "text", source_index().alias("source_idx"))
+    inter = O.interleave(d.select("doc_id", "source", "source_idx"))
+    ids = d.select("doc_id", F.filter(SQ.word_length_ids(T.py_split("text")), lambda n: n >= LONG_WORD).alias("input_ids"))
+    rep = O.repeat_epochs(SQ.drop_empty(inter.join(ids, "doc_id")), EPOCHS)
     return rep.select("epoch", "pos", "doc_id").withColumn("epoch", F.col("epoch").cast("long"))
 
 
@@ -195,8 +212,7 @@ def q_rank_split(spark, sf_dir):
 def q_batch_plan(spark, sf_dir):
     """Global positions in (source_idx, doc_id) order, batch and micro-batch ids."""
     d = load(spark, sf_dir, "documents").select("doc_id", source_index().alias("source_idx"))
-    d = d.withColumn("_ord", F.col("source_idx").cast("long") * F.lit(1 << 40) + F.col("doc_id"))
-    pos = O.global_position(d, "_ord")
+    pos = O.ordered_position(d, ["source_idx", "doc_id"])
     return O.batch_plan(pos, BATCH_SIZE, MICRO_BATCH).select("doc_id", "pos", "batch_id", "micro_id")
 
 
@@ -267,8 +283,8 @@ def q_near_dedup(spark, sf_dir):
 # ---------------------------------------------------------------- sequences, packing, shards
 SEQ_LEN, EOS_ID = 16, 0  # word-length ids are >= 1, so 0 is free for EOS (= pad, as in the reference)
 SHARD_SIZE = 1_000  # sequences per count shard
-PACK_GROUP = 256  # lines per packing group (bounded sequential unit)
 SHARD_TOKENS = 20_000
+WORDS = TokenizerSpec(kind="word_length", eos_id=EOS_ID)
 
 
 def q_fixed_length_ids(spark, sf_dir):
@@ -284,6 +300,12 @@ def q_fixed_length_ids(spark, sf_dir):
                       F.array_join("attention_mask", ",").alias("attention_mask"))
 
 
+def doc_lines(spark, sf_dir):
+    """Every line of every document, in the order (doc_id, line_no)."""
+    d = load(spark, sf_dir, "documents")
+    return d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "value"))
+
+
 def line_sequences(spark, sf_dir):
     """Stripped non-blank lines of every document with word-length ids (+EOS if missing)."""
     lines = T.strip_nonblank_lines(load(spark, sf_dir, "documents"), keep=["doc_id"])
@@ -291,17 +313,10 @@ def line_sequences(spark, sf_dir):
     return w.select("doc_id", "line_no", SQ.append_eos("_w", EOS_ID, "if_missing").alias("ids"))
 
 
-def line_order(doc: str = "doc_id", line: str = "line_no", chunk=None):
-    key = F.col(doc) * F.lit(1 << 32) + F.col(line) * F.lit(1 << 16)
-    return key + F.col(chunk) if chunk is not None else key
-
-
-def chunk_table(spark, sf_dir):
-    c = SH.count_shard_chunks(line_sequences(spark, sf_dir), "ids", SEQ_LEN)
-    c = c.withColumn("chunk_idx", F.col("chunk_idx").cast("long")).withColumn("_ord", line_order(chunk="chunk_idx"))
-    c = cut_lineage(c)  # the chunks are the product: split once, read by both passes of the position
-    pos = O.global_position(c, "_ord")
-    return O.count_shards(pos, SHARD_SIZE)
+def chunk_table(spark, sf_dir, out=None):
+    """C3 over the lines of all documents with the word-length tokenizer."""
+    c = CP.chunked_sequences(doc_lines(spark, sf_dir), WORDS, SEQ_LEN, SHARD_SIZE, ["doc_id", "line_no"], out)
+    return c.withColumnRenamed("input_ids", "chunk")
 
 
 def q_chunk_ids(spark, sf_dir):
@@ -317,11 +332,23 @@ def q_count_shards(spark, sf_dir):
 
 
 def q_shard_metadata(spark, sf_dir):
-    """Total sequences, shards, parameters (one row)."""
-    c = chunk_table(spark, sf_dir)
-    return c.agg(F.count(F.lit(1)).alias("total_sequences"), F.countDistinct("shard").alias("num_shards")).select(
-        "total_sequences", "num_shards", F.lit(SEQ_LEN).cast("long").alias("seq_length"),
-        F.lit(SHARD_SIZE).cast("long").alias("shard_size"))
+    """Total sequences, shards, parameters (one row), written by the job and read back from its sink."""
+    path = scratch_path(spark, "sequence-job")
+    chunk_table(spark, sf_dir, path)
+    names = ["total_sequences", "num_shards", "seq_length", "shard_size"]
+    return spark.read.schema(", ".join(f"{n} long" for n in names)).json(f"{path}/metadata").select(*names)
+
+
+def q_sequence_files(spark, sf_dir):
+    """S5 P7 F8 W4 S8 S6 (C3 from files): documents written as text files, their lines in order -> ids -> chunks -> count
+    shards, read back from the shards."""
+    src, path = scratch_path(spark, "ordered-lines"), scratch_path(spark, "sequence-files")
+    d = load(spark, sf_dir, "documents").select("doc_id", "text")
+    d.sort("doc_id").select("text").write.text(src)  # a global sort: files in the order of their names
+    CP.create_sequence_shards(spark, [src], path, WORDS, SEQ_LEN, SHARD_SIZE)
+    back = SK.read_sequence_shards(spark, f"{path}/shards")
+    return back.select((F.col("shard") * SHARD_SIZE + F.col("local_idx")).alias("pos"), F.col("shard").cast("long"), "local_idx",
+                       F.array_join("input_ids", ",").alias("ids"))
 
 
 def q_shard_names(spark, sf_dir):
@@ -331,35 +358,37 @@ def q_shard_names(spark, sf_dir):
 
 
 def q_global_index_lookup(spark, sf_dir):
-    """Chunks written as sequence shards; global index -> (shard, local index) ->
-    the sequence, truncated/padded; an index beyond the end gives no row."""
-    path = scratch_path(spark, "lookup-shards")
-    c = chunk_table(spark, sf_dir)
-    SK.write_sequence_shards(c.withColumnRenamed("chunk", "input_ids"), path)
-    seqs = SK.read_sequence_shards(spark, path)
-    index = seqs.select(((F.col("shard") * SHARD_SIZE + F.col("local_idx")) * 2).alias("idx"))
-    got = CP.read_sequences(spark, path, index, SEQ_LEN, EOS_ID)
+    """Chunks written as sequence shards; every global index, and some beyond the end -> (shard,
+    local index) -> the sequence, truncated and padded; an index beyond the end is a row of padding."""
+    path = scratch_path(spark, "lookup")
+    chunk_table(spark, sf_dir, path)
+    seqs = SK.read_sequence_shards(spark, f"{path}/shards")
+    index = seqs.select((F.col("shard") * SHARD_SIZE + F.col("local_idx")).alias("idx"))
+    last = index.agg(F.max("idx")).first()[0] or 0
+    index = index.unionByName(spark.range(last + 1, last + 11).withColumnRenamed("id", "idx"))
+    got = CP.read_sequences(spark, f"{path}/shards", index, SEQ_LEN, EOS_ID, missing="pad")
     return got.select("idx", F.col("shard").cast("long"), "local_idx", F.array_join("input_ids", ",").alias("input_ids"))
 
 
+PACK_LEN = 256  # ids of a pack
+
+
 def packing_input(spark, sf_dir):
-    s = line_sequences(spark, sf_dir).withColumn("_ord", line_order())
-    s = O.global_position(s, "_ord")
-    return s.withColumn("grp", F.floor(F.col("pos") / PACK_GROUP).cast("long"))
+    s = cut_lineage(line_sequences(spark, sf_dir))
+    pos = O.ordered_position(s.select("doc_id", "line_no"), ["doc_id", "line_no"])
+    return s.join(pos, ["doc_id", "line_no"])
 
 
 def q_pack_lengths(spark, sf_dir):
-    """W5 (lengths only): next-fit pack id and offset of every line sequence, per bounded group."""
-    s = packing_input(spark, sf_dir).withColumn("n", F.size("ids"))
-    r = SH.pack_lengths(s, "n", SEQ_LEN, "grp", "pos")
-    return r.select("grp", "pos", "pack", "offset", "n_packs")
+    """W5 (lengths only): next-fit pack id and offset of every line sequence of the whole stream."""
+    s = packing_input(spark, sf_dir).select("pos", F.size("ids").alias("n"))
+    return SH.pack_lengths(s, "n", PACK_LEN, "pos").select("pos", "pack", "offset", "n_packs")
 
 
 def q_pack_ids(spark, sf_dir):
-    """Packed fixed-length examples (ids + mask) per bounded group."""
-    s = packing_input(spark, sf_dir)
-    packs = SH.pack_sequences(s, "ids", SEQ_LEN, EOS_ID, EOS_ID, "grp", "pos")
-    return packs.select("grp", "pack", F.array_join("input_ids", ",").alias("input_ids"),
+    """Packed fixed-length examples (ids + mask) of the whole stream."""
+    packs = SH.pack_sequences(packing_input(spark, sf_dir), "ids", PACK_LEN, EOS_ID, EOS_ID, "pos")
+    return packs.select("pack", F.array_join("input_ids", ",").alias("input_ids"),
                         F.aggregate("attention_mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_real"))
 
 
@@ -413,22 +442,22 @@ def q_jsonl_round_trip(spark, sf_dir):
 BUILD_SHARD_TOKENS = 2_000
 
 
-def build_registry(sf_dir):
-    caps = {n: {"cap_tokens": c} for n, c in REGISTRY_CAPS.items()}
-    return documents_registry(sf_dir, REGISTRY_NAMES, extra=caps)
+def build_registry(spark, sf_dir, base=4_000, step=1_000):
+    names = registry_names(spark, sf_dir)
+    return documents_registry(sf_dir, names, extra={n: {"cap_tokens": c} for n, c in registry_caps(names, base, step).items()})
 
 
 def q_build_text_shards(spark, sf_dir):
     """C2 end to end: registry -> budget -> interleave -> near-dedup -> reset token shards -> JSONL."""
     path = scratch_path(spark, "corpus-shards")
-    out = CP.build_text_shards(spark, build_registry(sf_dir), path, BUILD_SHARD_TOKENS)
+    out = CP.build_text_shards(spark, build_registry(spark, sf_dir), path, BUILD_SHARD_TOKENS)
     return out.select("pos", "source", "doc_id", "n_tokens", "shard")
 
 
 # ---------------------------------------------------------------- byte-level BPE (rows-only oracle)
 BPE = TokenizerSpec()
 BPE_SEQ = 128
-TRAIN_CAPS = {f"src{i}": 30_000 + 10_000 * (i % 3) for i in range(N_SOURCES)}  # BPE tokens per source, by rule
+TRAIN_CAP, TRAIN_STEP = 30_000, 10_000  # BPE tokens per source, by rule
 
 
 def q_bpe_token_counts(spark, sf_dir):
@@ -448,23 +477,17 @@ def q_bpe_fixed_length(spark, sf_dir):
                       F.element_at("input_ids", 1).alias("first_id"))
 
 
-def doc_lines(spark, sf_dir):
-    d = load(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "value")).select(
-        (F.col("doc_id") * F.lit(1 << 20) + F.col("line_no")).alias("line_pos"), "value")
-
-
 def q_bpe_chunked_sequences(spark, sf_dir):
     """Document lines -> BPE ids + EOS -> 2048-token chunks -> count shards."""
-    res = CP.chunked_sequences(doc_lines(spark, sf_dir), BPE, 2048, SHARD_SIZE)
+    res = CP.chunked_sequences(doc_lines(spark, sf_dir), BPE, 2048, SHARD_SIZE, ["doc_id", "line_no"])
     return res.select("pos", "shard", "local_idx", F.size("input_ids").cast("long").alias("n_ids"))
 
 
 def q_training_view(spark, sf_dir):
     """Registry -> BPE examples -> interleave -> epochs -> batches -> ranks."""
-    reg = documents_registry(sf_dir, REGISTRY_NAMES, extra={n: {"cap_tokens": c} for n, c in TRAIN_CAPS.items()})
+    reg = build_registry(spark, sf_dir, TRAIN_CAP, TRAIN_STEP)
     tv = CP.training_view(spark, reg, BPE, BPE_SEQ, EPOCHS, BATCH_SIZE, MICRO_BATCH, 2)
-    return tv.select("epoch", "pos", "doc_id", "source", "batch_id", "micro_id", "rank")
+    return tv.select("epoch", "pos", "doc_id", "source", "batch_id", "micro_id", "rank", F.array_join("input_ids", ",").alias("input_ids"))
 
 
 # ---------------------------------------------------------------- streaming (batch twins are the oracles)
@@ -536,13 +559,12 @@ def q_stream_step_rollup(spark, sf_dir):
                     F.round("tokens_per_second", 2).alias("tokens_per_second"), "tokens_seen", "epoch")
 
 
-WORDS = TokenizerSpec(kind="word_length", eos_id=EOS_ID)
 TRAIN_WORLD = 2
 
 
 def q_training_view_words(spark, sf_dir):
     """C6 with SQL-reproducible ids: registry (caps) -> examples -> interleave -> epochs -> batches -> ranks."""
-    reg = documents_registry(sf_dir, REGISTRY_NAMES, extra={n: {"cap_tokens": c} for n, c in REGISTRY_CAPS.items()})
+    reg = build_registry(spark, sf_dir)
     tv = CP.training_view(spark, reg, WORDS, SEQ_LEN, EPOCHS, BATCH_SIZE, MICRO_BATCH, TRAIN_WORLD)
     return tv.select(F.col("epoch").cast("long"), "pos", "doc_id", "source", "batch_id", "micro_id",
                      F.col("rank").cast("long"), F.array_join("input_ids", ",").alias("input_ids"))
@@ -569,6 +591,7 @@ QUERIES = {
     "registry_token_budget": q_registry_token_budget,
     "row_cap": q_row_cap,
     "interleave_first_exhausted": q_interleave_first_exhausted,
+    "interleave_partial_round": q_interleave_partial_round,
     "interleave_all_exhausted": q_interleave_all_exhausted,
     "epochs": q_epochs,
     "rank_split": q_rank_split,
@@ -584,6 +607,7 @@ QUERIES = {
     "chunk_ids": q_chunk_ids,
     "count_shards": q_count_shards,
     "shard_metadata": q_shard_metadata,
+    "sequence_files": q_sequence_files,
     "shard_names": q_shard_names,
     "global_index_lookup": q_global_index_lookup,
     "pack_lengths": q_pack_lengths,

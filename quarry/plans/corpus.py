@@ -92,9 +92,11 @@ def build_text_shards(spark: SparkSession, registry: list[REG.SourceSpec], out:
     """The corpus job. Returns ``(pos, source, doc_id, n_tokens, shard, text)``; writes JSONL
     shards to ``out`` when given. First occurrence (in interleave order) wins the dedup."""
     stream = cut_lineage(corpus_stream(spark, registry, tokenizer=tokenizer))  # the budgeted corpus, bounded by the caps
+    plan = stream.select("pos", "n_tokens")  # dedup's sketches and the write read the text, the rest only these
     if dedup:
-        stream = near_dedup(stream, "pos", "text", threshold, num_perm)
-    sharded = SH.token_shards(stream, shard_tokens, "pos", "n_tokens", mode, drop_tail)
+        plan = cut_lineage(plan.join(near_dedup(stream.select("pos", "text"), "pos", "text", threshold, num_perm).select("pos"), "pos", "left_semi"))
+    plan = SH.token_shards(plan, shard_tokens, "pos", "n_tokens", mode, drop_tail)
+    sharded = stream.join(plan.select("pos", "shard"), "pos")
     if out is not None:
         SK.write_text_shards(sharded, out)
     return sharded
@@ -118,22 +120,25 @@ def fixed_length_examples(df: DataFrame, tokenizer: TokenizerSpec, seq_length: i
 
 
 def chunked_sequences(lines: DataFrame, tokenizer: TokenizerSpec, seq_length: int = DEF.SEQ_LENGTH,
-                      shard_size: int = DEF.SEQ_SHARD_SIZE, order: str = "line_pos", out: str | None = None) -> DataFrame:
-    """Lines ``(order, value)`` -> stripped, non-blank -> ids (tokenizer default specials) ->
+                      shard_size: int = DEF.SEQ_SHARD_SIZE, order: str | list[str] = "line_pos", out: str | None = None) -> DataFrame:
+    """Lines ``(order..., value)`` -> stripped, non-blank -> ids (tokenizer default specials) ->
     EOS if missing -> chunks of ``seq_length`` -> global position -> count shards.
 
-    Returns ``(pos, shard, local_idx, input_ids)``; with ``out`` writes parquet shards and metadata.
+    Returns ``(order..., chunk_idx, pos, shard, local_idx, input_ids)``; with ``out`` writes parquet shards and
+    metadata. The sequences are written once; positions are counted on ``(order..., number of chunks)``.
     """
-    s = lines.select(F.col(order).cast("long").alias("_o"), T.py_strip("value").alias("text")).filter(F.length("text") > 0)
-    enc = encode(s, tokenizer, "text", ["_o"], "_ids")
-    seqs = enc.select("_o", SQ.chunks(SQ.append_eos("_ids", tokenizer.eos(), "if_missing"), seq_length).alias("_ch"))
-    seqs = cut_lineage(seqs)  # the ids are the product: tokenise once, never recompute the Python stage
-    # position of a line's first chunk = running sum of chunk counts (no composite key needed)
-    seqs = O.running_sum(seqs.withColumn("_nc", F.size("_ch")), "_nc", "_o", None, "_cum")
-    ch = seqs.select((F.col("_cum") - F.col("_nc")).alias("_start"), F.posexplode("_ch").alias("_c", "input_ids"))
-    pos = ch.select((F.col("_start") + F.col("_c")).alias("pos"), "input_ids")
-    res = O.count_shards(pos, shard_size).select("pos", "shard", "local_idx", "input_ids")
+    keys = [order] if isinstance(order, str) else list(order)
+    s = lines.select(*[F.col(k).cast("long").alias(k) for k in keys], T.py_strip("value").alias("text")).filter(F.length("text") > 0)
+    enc = encode(s, tokenizer, "text", keys, "_ids")
+    seqs = cut_lineage(enc.select(*keys, SQ.chunks(SQ.append_eos("_ids", tokenizer.eos(), "if_missing"), seq_length).alias("_ch")))
+    # position of a line's first chunk = running sum of the chunk counts before it
+    starts = O.ordered_sum(seqs.select(*keys, F.size("_ch").cast("long").alias("_nc")), "_nc", keys, "_cum")
+    seqs = seqs.join(starts.select(*keys, (F.col("_cum") - F.col("_nc")).alias("_start")), keys)
+    ch = seqs.select(*keys, "_start", F.posexplode("_ch").alias("_c", "input_ids"))
+    pos = ch.select(*keys, F.col("_c").cast("long").alias("chunk_idx"), (F.col("_start") + F.col("_c")).alias("pos"), "input_ids")
+    res = O.count_shards(pos, shard_size).select(*keys, "chunk_idx", "pos", "shard", "local_idx", "input_ids")
     if out is not None:
+        res = cut_lineage(res)
         SK.write_sequence_shards(res, f"{out}/shards")
         SK.write_metadata(shard_metadata(res, seq_length, shard_size), f"{out}/metadata")
     return res
@@ -143,7 +148,7 @@ def create_sequence_shards(spark: SparkSession, input_files: list[str], out: str
                            seq_length: int = DEF.SEQ_LENGTH, shard_size: int = DEF.SEQ_SHARD_SIZE) -> DataFrame:
     """C3 from text files: the files' lines in order -> sequence shards and metadata under ``out``."""
     return chunked_sequences(SK.read_text_lines_ordered(spark, input_files), tokenizer, seq_length, shard_size,
-                             "line_pos", out)
+                             ["file_idx", "block_start", "line_no"], out)
 
 
 def shard_metadata(seqs: DataFrame, seq_length: int, shard_size: int) -> DataFrame:
@@ -154,12 +159,18 @@ def shard_metadata(seqs: DataFrame, seq_length: int, shard_size: int) -> DataFra
 
 
 def read_sequences(spark: SparkSession, path: str, index: DataFrame, seq_length: int, pad_id: int,
-                   idx: str = "idx") -> DataFrame:
-    """``(idx, shard, local_idx, input_ids, attention_mask)`` for every requested global index."""
+                   idx: str = "idx", missing: str = "drop") -> DataFrame:
+    """``(idx, shard, local_idx, input_ids, attention_mask)`` for every requested global index. An index that no
+    shard holds has no row, or with ``missing="pad"`` a row of padding with a null shard."""
     seqs = SK.read_sequence_shards(spark, path)
     offs = SH.shard_offsets(seqs)
     hits = SH.lookup_global_index(index, offs, idx)
     rows = hits.join(seqs.select("shard", "local_idx", "input_ids"), ["shard", "local_idx"])
+    if missing == "pad":
+        rows = index.select(F.col(idx).cast("long").alias(idx)).join(rows, idx, "left").withColumn(
+            "input_ids", F.coalesce("input_ids", F.array().cast("array<bigint>")))
+    elif missing != "drop":
+        raise ValueError(missing)
     ids = SQ.pad(SQ.truncate("input_ids", seq_length), seq_length, pad_id)
     return rows.select(idx, "shard", "local_idx", ids.alias("input_ids"), SQ.attention_mask(ids, pad_id).alias("attention_mask"))
 
@@ -170,13 +181,16 @@ def training_view(spark: SparkSession, registry: list[REG.SourceSpec], tokenizer
     dropped, repeated ``epochs`` times, with batch / micro-batch ids and the rank of every row.
     Sources that cannot be opened are skipped, as the reference does."""
     merged, opened = _merged_sources(spark, registry, "doc_id", T.resolve_text_first_nonempty, "skip")
-    ex = cut_lineage(fixed_length_examples(merged, tokenizer, seq_length, ["source", "source_idx", "doc_id"]))
-    ex = _apply_caps(ex, registry)  # tokenised once, budgets for all sources at once
-    inter = O.interleave(ex, "doc_id", "source_idx", expected=opened)
-    inter = SQ.drop_empty(inter).withColumnRenamed("pos", "_ipos")
-    inter = O.global_position(inter, "_ipos").drop("_ipos")  # consecutive again after the drop
-    rep = O.repeat_epochs(inter, epochs)
-    n = inter.count()  # rows per epoch: one number
+    keys = ["source", "source_idx", "doc_id"]
+    # ids once; everything is planned on (keys, n_tokens), examples are built for the rows that stay
+    enc = cut_lineage(encode(merged.select(*keys, "text"), tokenizer, "text", keys, "_ids", add_special_tokens=False)
+                      .withColumn("n_tokens", F.size("_ids").cast("long")))
+    plan = cut_lineage(O.interleave(_apply_caps(enc.select(*keys, "n_tokens"), registry), "doc_id", "source_idx", expected=opened))
+    n = plan.count()  # rows per epoch: one number; every row has a full-length example (empty texts are padded, D13)
+    texts = merged.select("source_idx", "doc_id", (F.col("text") == "").alias("_e"))
+    ex = plan.join(enc.select("source_idx", "doc_id", "_ids"), ["source_idx", "doc_id"]).join(texts, ["source_idx", "doc_id"])
+    ex = SQ.with_fixed_length(ex, "_ids", "_e", seq_length, tokenizer.eos(), tokenizer.pad(), "always", "id", "pad").drop("_ids", "_e")
+    rep = O.repeat_epochs(ex, epochs)
     rep = rep.withColumn("pos", F.col("epoch") * F.lit(n) + F.col("pos"))
     batched = O.batch_plan(rep, batch_size, micro_batch_size, world_size)
     return O.rank_split(batched, world_size, "pos")

@@ -31,7 +31,7 @@ SQL: dict[str, str] = {}
 SQL["registry_scan_filter"] = f"""
 SELECT source, {src_idx()}::BIGINT AS source_idx, doc_id, lang, length(text)::BIGINT AS n_chars
 FROM documents
-WHERE (source = 'src0' AND lang = 'en') OR (source = 'src1' AND lang IN ('de', 'fr')) OR {src_idx()} BETWEEN 2 AND {C.N_SOURCES - 1}
+WHERE (source = 'src0' AND lang = 'en') OR (source = 'src1' AND lang IN ('de', 'fr')) OR {src_idx()} >= 2
 """
 
 SQL["nested_field_filter"] = """
@@ -40,7 +40,7 @@ WHERE coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) = 29, false
 """
 
 SQL["skip_missing_source"] = f"""
-SELECT source, count(*)::BIGINT AS docs FROM documents WHERE {src_idx()} BETWEEN 0 AND {C.N_SOURCES - 1} GROUP BY source
+SELECT source, count(*)::BIGINT AS docs FROM documents GROUP BY source
 """
 
 SQL["source_readiness"] = """
@@ -72,11 +72,11 @@ FROM s WHERE length(line) > 0
 
 _SHAPES = """
 WITH shapes AS (
-  SELECT 'documents' AS shape, doc_id AS rid, text, NULL::VARCHAR AS content, NULL::VARCHAR AS instruction, NULL::VARCHAR AS response FROM documents
-  UNION ALL SELECT 'benchmark', item_id, NULL, text, NULL, NULL FROM benchmark
-  UNION ALL SELECT 'conversations', conv_id * 1000 + turn, NULL, NULL,
+  SELECT 'documents' AS shape, CAST(doc_id AS VARCHAR) AS rid, text, NULL::VARCHAR AS content, NULL::VARCHAR AS instruction, NULL::VARCHAR AS response FROM documents
+  UNION ALL SELECT 'benchmark', CAST(item_id AS VARCHAR), NULL, text, NULL, NULL FROM benchmark
+  UNION ALL SELECT 'conversations', conv_id || ':' || turn, NULL, NULL,
                    CASE WHEN role = 'user' THEN text END, CASE WHEN role = 'assistant' THEN text END FROM conversations
-  UNION ALL SELECT 'pages', page_id, NULL, NULL, NULL, NULL FROM pages
+  UNION ALL SELECT 'pages', CAST(page_id AS VARCHAR), NULL, NULL, NULL, NULL FROM pages
 )"""
 
 SQL["resolve_text_presence"] = _SHAPES + """,
@@ -98,11 +98,11 @@ c AS (SELECT *, sum(n_tokens) OVER (PARTITION BY source ORDER BY doc_id ROWS BET
 SELECT source, doc_id, n_tokens FROM c WHERE cum <= {C.BUDGET_CAP}
 """
 
-_caps = " ".join(f"WHEN '{k}' THEN {v}" for k, v in C.REGISTRY_CAPS.items())
+_CAP = f"(4000 + 1000 * ({src_idx()} % 3))"
 SQL["registry_token_budget"] = f"""
-WITH d AS (SELECT source, doc_id, {ntok('text')} AS n_tokens FROM documents WHERE {src_idx()} BETWEEN 0 AND {C.N_SOURCES - 1}),
+WITH d AS (SELECT source, doc_id, {ntok('text')} AS n_tokens FROM documents),
 c AS (SELECT *, sum(n_tokens) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM d)
-SELECT source, doc_id, n_tokens FROM c WHERE cum <= CASE source {_caps} END
+SELECT source, doc_id, n_tokens FROM c WHERE cum <= {_CAP}
 """
 
 SQL["row_cap"] = f"""
@@ -111,7 +111,7 @@ WHERE rn <= {C.ROW_CAP}
 """
 
 _INTERLEAVE_BASE = f"""
-WITH d AS (SELECT doc_id, source, {src_idx()} AS source_idx FROM documents WHERE lang = 'en'),
+WITH d AS (SELECT doc_id, source, {src_idx()} AS source_idx FROM documents),
 r AS (SELECT *, row_number() OVER (PARTITION BY source_idx ORDER BY doc_id) AS r FROM d),
 c AS (SELECT source_idx, count(*) AS cnt, row_number() OVER (ORDER BY source_idx) - 1 AS srank FROM d GROUP BY source_idx),
 s AS (SELECT count(*) AS nsrc, min(cnt) AS minc, max(cnt) AS maxc FROM c)"""
@@ -121,19 +121,25 @@ SELECT r.doc_id, r.source, r.r::BIGINT AS rn, ((r.r - 1) * s.nsrc + c.srank)::BI
 FROM r JOIN c USING (source_idx), s WHERE r.r <= s.minc
 """
 
+SQL["interleave_partial_round"] = _INTERLEAVE_BASE + """,
+z AS (SELECT min(c.srank) AS stop FROM c, s WHERE c.cnt = s.minc)
+SELECT r.doc_id, r.source, r.r::BIGINT AS rn, ((r.r - 1) * s.nsrc + c.srank)::BIGINT AS pos
+FROM r JOIN c USING (source_idx), s, z WHERE r.r < s.minc OR (r.r = s.minc AND c.srank <= z.stop)
+"""
+
 SQL["interleave_all_exhausted"] = _INTERLEAVE_BASE + """,
 e AS (SELECT r.doc_id, r.source, unnest(range(r.r, s.maxc + 1, c.cnt)) AS rn, c.srank, s.nsrc FROM r JOIN c USING (source_idx), s)
 SELECT doc_id, source, rn::BIGINT AS rn, ((rn - 1) * nsrc + srank)::BIGINT AS pos FROM e
 """
 
 SQL["epochs"] = f"""
-WITH d AS (SELECT doc_id, source, text, {src_idx()} AS source_idx FROM documents WHERE lang = 'en'),
+WITH d AS (SELECT doc_id, source, text, {src_idx()} AS source_idx FROM documents),
 r AS (SELECT *, row_number() OVER (PARTITION BY source_idx ORDER BY doc_id) AS r FROM d),
 c AS (SELECT source_idx, count(*) AS cnt, row_number() OVER (ORDER BY source_idx) - 1 AS srank FROM d GROUP BY source_idx),
 s AS (SELECT count(*) AS nsrc, min(cnt) AS minc FROM c),
 i AS (SELECT r.doc_id, r.text, ((r.r - 1) * s.nsrc + c.srank)::BIGINT AS pos FROM r JOIN c USING (source_idx), s WHERE r.r <= s.minc)
 SELECT e.epoch::BIGINT AS epoch, i.pos, i.doc_id FROM i, (SELECT unnest(range({C.EPOCHS})) AS epoch) e
-WHERE {ntok('i.text')} > 0
+WHERE len(list_filter({tokens('i.text')}, lambda x: length(x) >= {C.LONG_WORD})) > 0
 """
 
 SQL["rank_split"] = f"""
@@ -301,50 +307,44 @@ SELECT shard, printf('shard_%06d', shard) AS name, n,
        (sum(n) OVER (ORDER BY shard) - n)::BIGINT AS lo, (sum(n) OVER (ORDER BY shard))::BIGINT AS hi FROM n
 """
 
-SQL["global_index_lookup"] = _CHUNKS + f""",
-tot AS (SELECT count(*) AS total FROM cs),
-q AS (SELECT pos * 2 AS idx FROM cs)
-SELECT q.idx, (q.idx // {C.SHARD_SIZE})::BIGINT AS shard, (q.idx % {C.SHARD_SIZE})::BIGINT AS local_idx,
-       array_to_string(list_resize(cs.chunk[1:{_L}], {_L}, {_EOS}), ',') AS input_ids
-FROM q, tot, cs WHERE q.idx < tot.total AND cs.pos = q.idx
+SQL["sequence_files"] = _CHUNKS + """
+SELECT pos, shard, local_idx, array_to_string(chunk, ',') AS ids FROM cs
 """
 
+SQL["global_index_lookup"] = _CHUNKS + f""",
+q AS (SELECT unnest(range((SELECT max(pos) FROM cs) + 11)) AS idx)
+SELECT q.idx::BIGINT AS idx, cs.shard, cs.local_idx,
+       array_to_string(list_resize(coalesce(cs.chunk, [])[1:{_L}], {_L}, {_EOS}), ',') AS input_ids
+FROM q LEFT JOIN cs ON cs.pos = q.idx
+"""
 
-def _pack_step(P: str, Fi: str, n: str = "d.n", L: int = _L) -> dict[str, str]:
-    fits = f"{Fi} > 0 AND {Fi} + {n} <= {L}"
-    return {
-        "pack": f"CASE WHEN {fits} THEN {P} WHEN {n} = 0 THEN greatest({P}, 0) ELSE {P} + 1 END",
-        "off": f"CASE WHEN {fits} THEN {Fi} WHEN {n} = 0 THEN {Fi} ELSE 0 END",
-        "np": f"CASE WHEN {fits} THEN 1 WHEN {n} = 0 THEN 0 WHEN {n} <= {L} THEN 1 ELSE ({n} + {L} - 1) // {L} END",
-        "st_pack": f"CASE WHEN {fits} THEN {P} WHEN {n} = 0 THEN {P} WHEN {n} <= {L} THEN {P} + 1 ELSE {P} + ({n} + {L} - 1) // {L} END",
-        "st_fill": f"CASE WHEN {fits} THEN {Fi} + {n} WHEN {n} = 0 THEN {Fi} WHEN {n} <= {L} THEN {n} ELSE 0 END",
-    }
-
-
-_first, _next = _pack_step("(-1)", "0"), _pack_step("f.st_pack", "f.st_fill")
+# Packing, stated pack by pack over the prefix sums: a pack holds the sequences up to the last that still ends inside
+# it; one that is longer than a pack stands alone.
+_PL = C.PACK_LEN
 _PACK = "WITH RECURSIVE" + _LINES[len("\nWITH"):] + f""",
-p AS (SELECT doc_id, line_no, ids, (row_number() OVER (ORDER BY doc_id, line_no) - 1)::BIGINT AS pos FROM s),
-d AS (SELECT pos // {C.PACK_GROUP} AS grp, pos, len(ids)::BIGINT AS n, ids,
-             row_number() OVER (PARTITION BY pos // {C.PACK_GROUP} ORDER BY pos) AS rn FROM p),
-f(grp, rn, pos, pack, "offset", n_packs, st_pack, st_fill) AS (
-  SELECT d.grp, d.rn, d.pos, {_first['pack']}, {_first['off']}, {_first['np']}, {_first['st_pack']}, {_first['st_fill']}
-  FROM d WHERE d.rn = 1
+p AS (SELECT ids, len(ids)::BIGINT AS n, (row_number() OVER (ORDER BY doc_id, line_no) - 1)::BIGINT AS pos FROM s),
+e AS MATERIALIZED (SELECT pos, n, (sum(n) OVER (ORDER BY pos))::BIGINT AS x FROM p WHERE n > 0),
+o AS (SELECT list(pos ORDER BY pos) AS ps, list(n ORDER BY pos) AS ns, list(x ORDER BY pos) AS xs FROM e),
+f(i, j, pack) AS (
+  SELECT 1::BIGINT, 1 + len(list_filter(xs, lambda v: v <= greatest(xs[1], {_PL})))::BIGINT, 0::BIGINT FROM o WHERE len(xs) > 0
   UNION ALL
-  SELECT d.grp, d.rn, d.pos, {_next['pack']}, {_next['off']}, {_next['np']}, {_next['st_pack']}, {_next['st_fill']}
-  FROM f JOIN d ON d.grp = f.grp AND d.rn = f.rn + 1
-)"""
+  SELECT f.j, f.j + greatest(1, len(list_filter(xs[f.j : f.j + {_PL}], lambda v: v <= xs[f.j] - ns[f.j] + {_PL}))),
+         f.pack + CASE WHEN ns[f.i] > {_PL} THEN (ns[f.i] + {_PL} - 1) // {_PL} ELSE 1 END
+  FROM f, o WHERE f.j <= len(xs)
+),
+k AS (SELECT unnest(range(i, j)) AS r, i, pack FROM f),
+z AS (SELECT ps[r] AS pos, ns[r] AS n, pack, xs[r] - ns[r] - (xs[i] - ns[i]) AS off,
+             CASE WHEN ns[r] > {_PL} THEN (ns[r] + {_PL} - 1) // {_PL} ELSE 1 END AS n_packs FROM k, o)"""
 
 SQL["pack_lengths"] = _PACK + """
-SELECT grp::BIGINT AS grp, pos, pack::BIGINT AS pack, "offset"::BIGINT AS "offset", n_packs::BIGINT AS n_packs FROM f
+SELECT pos::BIGINT AS pos, pack::BIGINT AS pack, off::BIGINT AS "offset", n_packs::BIGINT AS n_packs FROM z
 """
 
 SQL["pack_ids"] = _PACK + f""",
-pc0 AS (SELECT f.grp, f.pack, f."offset", d.ids, unnest(range(0, len(d.ids), {_L})) AS i
-        FROM f JOIN d ON d.grp = f.grp AND d.pos = f.pos WHERE d.n > 0),
-pc AS (SELECT grp, pack + i // {_L} AS pack, "offset", ids[i + 1 : i + {_L}] AS piece FROM pc0),
-pk AS (SELECT grp, pack, list_resize(flatten(list(piece ORDER BY "offset")), {_L}, {_EOS}) AS ids FROM pc GROUP BY grp, pack)
-SELECT grp::BIGINT AS grp, pack::BIGINT AS pack, array_to_string(ids, ',') AS input_ids,
-       len(list_filter(ids, lambda x: x <> {_EOS}))::BIGINT AS n_real FROM pk
+pc0 AS (SELECT z.pack, z.off, p.ids, unnest(range(0, len(p.ids), {_PL})) AS i FROM z JOIN p USING (pos)),
+pc AS (SELECT pack + i // {_PL} AS pack, off, ids[i + 1 : i + {_PL}] AS piece FROM pc0),
+pk AS (SELECT pack, list_resize(flatten(list(piece ORDER BY off)), {_PL}, {_EOS}) AS ids FROM pc GROUP BY pack)
+SELECT pack::BIGINT AS pack, array_to_string(ids, ',') AS input_ids, len(list_filter(ids, lambda x: x <> {_EOS}))::BIGINT AS n_real FROM pk
 """
 
 _TS = C.SHARD_TOKENS
@@ -408,14 +408,13 @@ SQL["stream_step_rollup"] = SQL["step_rollup"]
 
 
 # ---------------------------------------------------------------- C2 end to end
-_bcaps = " ".join(f"WHEN '{k}' THEN {v}" for k, v in C.REGISTRY_CAPS.items())
 _BS = C.BUILD_SHARD_TOKENS
 SQL["build_text_shards"] = f"""
 WITH RECURSIVE d AS (SELECT source, {src_idx()} AS source_idx, doc_id,
                             coalesce(text, '') AS text, {ntok("coalesce(text, '')")} AS n_tokens
-                     FROM documents WHERE {src_idx()} BETWEEN 0 AND {C.N_SOURCES - 1}),
+                     FROM documents),
 bc AS (SELECT *, sum(n_tokens) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM d),
-bk AS (SELECT * FROM bc WHERE cum <= CASE source {_bcaps} END),
+bk AS (SELECT * FROM bc WHERE cum <= {_CAP}),
 r AS (SELECT *, row_number() OVER (PARTITION BY source_idx ORDER BY doc_id) AS r FROM bk),
 c AS (SELECT source_idx, count(*) AS cnt, row_number() OVER (ORDER BY source_idx) - 1 AS srank FROM bk GROUP BY source_idx),
 s AS (SELECT count(*) AS nsrc, min(cnt) AS minc FROM c),
@@ -439,13 +438,13 @@ SELECT kept.pos, kept.source, kept.doc_id, kept.n_tokens, f.shard::BIGINT AS sha
 SQL["training_view_words"] = f"""
 WITH d AS (SELECT source, {src_idx()} AS source_idx, doc_id, text,
                   list_transform({tokens('text')}, lambda x: length(x)::BIGINT) AS ids
-           FROM documents WHERE {src_idx()} BETWEEN 0 AND {C.N_SOURCES - 1}),
+           FROM documents),
 ex AS (SELECT *, len(ids)::BIGINT AS n_tokens,
               CASE WHEN text = '' THEN list_resize([]::BIGINT[], {_L}, {_EOS})
                    ELSE list_resize(list_append(ids, {_EOS}::BIGINT), {_L}, {_EOS}) END AS input_ids FROM d),
 bc AS (SELECT *, sum(n_tokens) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
        FROM ex),
-bk AS (SELECT * FROM bc WHERE cum <= CASE source {_caps} END),
+bk AS (SELECT * FROM bc WHERE cum <= {_CAP}),
 r AS (SELECT *, row_number() OVER (PARTITION BY source_idx ORDER BY doc_id) AS r FROM bk),
 c AS (SELECT source_idx, count(*) AS cnt, row_number() OVER (ORDER BY source_idx) - 1 AS srank FROM bk GROUP BY source_idx),
 s AS (SELECT count(*) AS nsrc, min(cnt) AS minc FROM c),

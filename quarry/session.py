@@ -1,8 +1,7 @@
 """Session defaults and the shared working folder.
 
-The shared folder is the one the cluster names in ``spark.checkpoint.dir``. Lineage is cut with
-reliable ``checkpoint()`` into it and every intermediate table we write goes below it, so a lost
-executor only costs a recomputation from the last written table. A folder of our own is made only
+The shared folder is the one the cluster names in ``spark.checkpoint.dir``. Lineage is cut at Parquet
+tables written below it, so a lost executor only costs a recomputation from the last written table. A folder of our own is made only
 when the setting is unset *and* Spark runs in local mode (tests, the bench); on a cluster an unset
 checkpoint dir is an error, never a silent machine-local temporary folder.
 """
@@ -77,6 +76,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss, unlike a local one)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once as Parquet into the shared folder and read it back: the lineage ends at a columnar
+    table that survives lost executors, later passes read only the columns they use, and its size is known."""
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

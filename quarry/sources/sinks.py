@@ -15,9 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators.shards import shard_name
+from quarry.session import cut_lineage
 from quarry import defaults as DEF
 
 
+TASK_ROWS = 100_000  # sequences of a shard that one task writes; a larger shard is a folder of several files
+
+
 def write_text_shards(df: DataFrame, out: str, shard: str = "shard", order: str = "pos", fmt: str = DEF.TEXT_SHARD_NAME,
                       mode: str = "overwrite") -> None:
     """``{"text": ...}`` lines in corpus order, one folder per shard (``shard_%05d``)."""
@@ -35,8 +39,7 @@ def read_text_shards(spark: SparkSession, path: str) -> DataFrame:
 def write_sequence_shards(df: DataFrame, out: str, shard: str = "shard", local: str = "local_idx",
                           ids: str = "input_ids", mode: str = "overwrite") -> None:
     """``(local_idx, input_ids)`` rows per shard, partitioned by ``shard``."""
-    nparts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
-    (df.select(shard, local, ids).repartition(nparts, shard).sortWithinPartitions(shard, local)
+    (df.select(shard, local, ids).repartition(shard, F.floor(F.col(local) / TASK_ROWS)).sortWithinPartitions(shard, local)
        .write.mode(mode).partitionBy(shard).parquet(out))
 
 
@@ -59,8 +62,17 @@ def read_text_lines(spark: SparkSession, paths) -> DataFrame:
 
 
 def read_text_lines_ordered(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """S5 with the reference's order: ``(line_pos, value)``, files in the given order, lines in file
-    order. The position comes from ``zipWithIndex`` over the text splits, which follow the path list
-    and the byte order inside each file (one count job, then a map; deterministic on retry)."""
-    rdd = spark.sparkContext.textFile(",".join(paths)).zipWithIndex()
-    return spark.createDataFrame(rdd.map(lambda t: (t[1], t[0])), "line_pos long, value string")
+    """S5 with the reference's order: ``(file_idx, block_start, line_no, value)``, files in the given order, lines
+    in file order. A line's place is its file's number, the byte at which its split begins and its number
+    in the split: the scan reads a split in one task, front to back, so the counter of rows in the task
+    orders its lines (the number itself restarts with every split)."""
+    from urllib.parse import unquote
+
+    files = [r[0] for p in paths for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(p)
+             .select("path").orderBy("path").collect()]  # names only
+    order = spark.createDataFrame([(f, i) for i, f in enumerate(dict.fromkeys(unquote(f) for f in files))], "_file string, file_idx long")
+    lines = spark.read.option("recursiveFileLookup", "true").text(paths).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("block_start"),
+        F.monotonically_increasing_id().alias("line_no"))
+    lines = cut_lineage(lines.withColumn("_file", F.url_decode("_file")))
+    return lines.join(F.broadcast(order), "_file").select("file_idx", "block_start", "line_no", "value")
