@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from quarry.functions.text import distinct_tokens
-from quarry.operators.ordered import checked_broadcast
+from quarry.operators.ordered import BROADCAST_MAX_ROWS, checked_broadcast
 from quarry.session import cut_lineage
 from quarry import defaults as DEF
 
@@ -59,6 +59,9 @@ def optimal_bands(threshold: float, num_perm: int, fp_weight: float = 0.5, fn_we
     return best
 
 
+TOKEN_BLOCK = 4_096  # tokens whose permuted hashes are held at once
+
+
 def perm_params(num_perm: int, seed: int = 1) -> tuple[list[int], list[int]]:
     """Permutation coefficients from a splitmix64 stream of ``seed`` (a rule, not a table)."""
     state, vals = seed & MASK64, []
@@ -87,7 +90,10 @@ def signature_of_hashes(h0: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndar
     """MinHash signature from the base hashes of a token set (NumPy; inside Arrow batches)."""
     if len(h0) == 0:
         return np.full(len(a), EMPTY_VALUE, dtype=np.int64)
-    return ((a[:, None] * h0[None, :] + b[:, None]) % PRIME).min(axis=1)
+    out = np.full(len(a), PRIME, dtype=np.int64)
+    for at in range(0, len(h0), TOKEN_BLOCK):  # all tokens, in blocks: bounded memory for any document
+        np.minimum(out, ((a[:, None] * h0[None, at:at + TOKEN_BLOCK] + b[:, None]) % PRIME).min(axis=1), out=out)
+    return out
 
 
 def base_hashes(text: str) -> "F.Column":
@@ -146,7 +152,7 @@ def lsh_buckets(sk: DataFrame) -> DataFrame:
         F.col("band").cast("int"), "key", "pos")
 
 
-def peel(members: DataFrame, hot_bucket_rows: int = 100_000, max_rounds: int = 1000) -> DataFrame:
+def peel(members: DataFrame, hot_bucket_rows: int = 100_000) -> DataFrame:
     """Dropped positions of the first-wins independent set over bucket memberships ``(band,key,pos)``.
 
     Buckets of one member constrain nothing and are left out first, so documents sharing no bucket
@@ -156,20 +162,21 @@ def peel(members: DataFrame, hot_bucket_rows: int = 100_000, max_rounds: int = 1
     keys = ["band", "key"]
     m0 = cut_lineage(members.select(*keys, "pos"))
     sizes = m0.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))  # partial aggregation: hot buckets are fine
-    hot = checked_broadcast(sizes.filter(F.col("_n") > hot_bucket_rows).select(*keys))  # <= |m| / hot rows
+    hot = cut_lineage(sizes.filter(F.col("_n") > hot_bucket_rows).select(*keys))  # <= |m| / hot rows
+    small = hot.count() <= BROADCAST_MAX_ROWS
+    hot = F.broadcast(hot) if small else hot
     shared_cold = sizes.filter((F.col("_n") > 1) & (F.col("_n") <= hot_bucket_rows)).select(*keys)
     m = cut_lineage(m0.join(hot, keys, "left_semi").unionByName(
         m0.join(hot, keys, "left_anti").join(shared_cold, keys, "left_semi")))
     drops = []
-    for _ in range(max_rounds):
-        if m.isEmpty():
-            break
+    while not m.isEmpty():  # each round decides at least the first document left
         mins = m.groupBy(*keys).agg(F.min("pos").alias("mp"))
         nfirst = mins.groupBy(F.col("mp").alias("pos")).agg(F.count(F.lit(1)).alias("_first"))
         deg = m.groupBy("pos").agg(F.count(F.lit(1)).alias("_deg"))
         kept = deg.join(nfirst, "pos").filter(F.col("_deg") == F.col("_first")).select("pos")
         killed = mins.join(kept.withColumnRenamed("pos", "mp"), "mp").select(*keys)
-        killed_hot = F.broadcast(killed.join(hot, keys, "left_semi"))  # subset of a size-checked table
+        killed_hot = killed.join(hot, keys, "left_semi")
+        killed_hot = F.broadcast(killed_hot) if small else killed_hot  # a subset of the size-checked table
         cold_m = m.join(hot, keys, "left_anti")
         hot_m = m.join(hot, keys, "left_semi")
         hit = cold_m.join(killed, keys, "left_semi").unionByName(hot_m.join(killed_hot, keys, "left_semi"))
@@ -177,8 +184,6 @@ def peel(members: DataFrame, hot_bucket_rows: int = 100_000, max_rounds: int = 1
         decided = cut_lineage(kept.withColumn("_kept", F.lit(True)).unionByName(dropped.withColumn("_kept", F.lit(False))))
         drops.append(decided.filter(~F.col("_kept")).select("pos"))
         m = cut_lineage(m.join(decided, "pos", "left_anti"))
-    else:
-        raise RuntimeError("peeling did not converge")
     if not drops:
         return members.sparkSession.createDataFrame([], "pos bigint")
     out = drops[0]

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
-from quarry.operators.ordered import _cap_expr, running_agg
+from quarry.operators.ordered import _cap_expr, running_agg, running_sum
+from quarry.session import cut_lineage
 from quarry import defaults as DEF
 
 ALL = "__all__"
@@ -74,47 +75,63 @@ def step_plan(df: DataFrame, batch_size: int, seq_length: int, world_size: int,
     )
 
 
-def step_rollup(log: DataFrame, log_interval: int, batch_size: int, seq_length: int, world_size: int,
-                step: str = "step", ts: str = "ts", loss: str = "loss", lr: str = "lr", epoch: str = "epoch") -> DataFrame:
-    """A6 (+W7, F12): one row per completed ``log_interval`` steps, as the reference logs them.
+def step_partials(log: DataFrame, log_interval: int, step: str = "step", ts: str = "ts", loss: str = "loss", lr: str = "lr",
+                  epoch: str = "epoch") -> DataFrame:
+    """Mergeable sums of a step log, one row per interval ``((iv) * I, (iv + 1) * I]`` of steps. Partials of the same
+    interval (of several micro-batches) are merged by :func:`log_lines`."""
+    return (log.withColumn("_tus", epoch_micros(ts, log.schema[ts].dataType))
+               .groupBy(F.floor((F.col(step) - 1) / log_interval).cast("long").alias("iv"))
+               .agg(F.count(F.lit(1)).alias("n"), F.max(step).cast("long").alias("last_step"), F.sum(loss).alias("loss_sum"),
+                    F.max_by(F.col(lr), F.col(step)).alias("learning_rate"), F.min("_tus").alias("t0"),
+                    F.max("_tus").alias("t1"), F.max(epoch).cast("long").alias("epoch")))
+
 
-    mean loss, ``exp`` of it, the lr at the interval's last step, tokens/s over the time since the
-    previous log line (the first interval: since its first step), cumulative tokens seen.
-    Only complete intervals are logged (the reference logs at ``step % log_interval == 0``).
-    The previous interval's end time comes from an equi-join on the interval id, not a global window.
+def log_lines(partials: DataFrame, log_interval: int, tokens_interval: int) -> DataFrame:
+    """The log lines of merged interval sums: a line at every step that is a multiple of the interval and was run.
+
+    A line's mean covers all steps since the line before, as the reference's running sum does: steps that were
+    skipped lack, repeated ones count again, and an interval without its last step goes into the next line. The
+    previous line's end time comes from an equi-join on the line's number, not a global window.
     """
-    tokens_interval = log_interval * batch_size * seq_length * world_size
-    log = log.withColumn("_tus", epoch_micros(ts, log.schema[ts].dataType))
-    per = (log.withColumn("_iv", F.floor((F.col(step) - 1) / log_interval).cast("long"))
-              .groupBy("_iv")
-              .agg(F.count(F.lit(1)).alias("_n"), F.max(step).alias("log_step"), F.avg(loss).alias("train_loss"),
-                   F.max_by(F.col(lr), F.col(step)).alias("learning_rate"), F.min("_tus").alias("_t0"),
-                   F.max("_tus").alias("_t1"), F.max(epoch).alias("epoch"))
-              .filter((F.col("_n") == log_interval) & (F.col("log_step") % log_interval == 0)))
-    prev = per.select((F.col("_iv") + 1).alias("_iv"), F.col("_t1").alias("_tp"))
-    j = per.join(prev, "_iv", "left")
-    start = F.coalesce(F.col("_tp"), F.col("_t0"))
-    elapsed = F.col("_t1") - start
-    return j.select(
-        F.col("log_step").cast("long").alias("log_step"),
-        F.col("train_loss"),
-        F.exp("train_loss").alias("train_perplexity"),
-        F.col("learning_rate"),
+    per = partials.groupBy("iv").agg(
+        F.sum("n").alias("n"), F.max("last_step").alias("last_step"), F.sum("loss_sum").alias("loss_sum"),
+        F.max_by("learning_rate", "last_step").alias("learning_rate"), F.min("t0").alias("t0"), F.max("t1").alias("t1"),
+        F.max("epoch").alias("epoch"))
+    per = per.withColumn("_logs", (F.col("last_step") == (F.col("iv") + 1) * log_interval).cast("long"))
+    numbered = running_sum(per, "_logs", "iv", None, "_upto").withColumn("_line", F.col("_upto") - F.col("_logs"))
+    lines = (numbered.groupBy("_line").agg(
+        F.sum("n").alias("n"), F.max("last_step").alias("log_step"), F.sum("loss_sum").alias("loss_sum"),
+        F.max_by("learning_rate", "last_step").alias("learning_rate"), F.min("t0").alias("t0"), F.max("t1").alias("t1"),
+        F.max("epoch").alias("epoch"), F.max("_logs").alias("_logs")).filter("_logs = 1"))
+    prev = lines.select((F.col("_line") + 1).alias("_line"), F.col("t1").alias("_tp"))
+    elapsed = F.col("t1") - F.coalesce(F.col("_tp"), F.col("t0"))
+    mean = F.col("loss_sum") / F.col("n")
+    return lines.join(prev, "_line", "left").select(
+        "log_step", mean.alias("train_loss"), F.exp(mean).alias("train_perplexity"), "learning_rate",
         F.when(elapsed > 0, F.lit(float(tokens_interval)) / (elapsed / F.lit(1e6))).alias("tokens_per_second"),
-        (F.col("log_step") * F.lit(tokens_interval // log_interval)).cast("long").alias("tokens_seen"),
-        F.col("epoch").cast("long").alias("epoch"),
-    )
+        (F.col("log_step") * F.lit(tokens_interval // log_interval)).cast("long").alias("tokens_seen"), "epoch")
 
 
-def best_loss_flags(rollup: DataFrame, save_interval: int, step: str = "log_step", loss: str = "train_loss") -> DataFrame:
-    """At every ``save_interval`` step, ``is_best = avg_loss < best so far`` (best starts at +inf).
+def step_rollup(log: DataFrame, log_interval: int, batch_size: int, seq_length: int, world_size: int,
+                step: str = "step", ts: str = "ts", loss: str = "loss", lr: str = "lr", epoch: str = "epoch") -> DataFrame:
+    """A6 (+W7, F12): the log lines of a step log: mean loss, ``exp`` of it, the lr at the line's step, tokens/s over
+    the time since the previous line (the first: since its first step), cumulative tokens seen."""
+    return log_lines(step_partials(log, log_interval, step, ts, loss, lr, epoch), log_interval,
+                     log_interval * batch_size * seq_length * world_size)
+
 
-    The best-so-far is an exclusive running minimum over the save points, computed balanced.
+def best_loss_flags(rollup: DataFrame, steps: DataFrame, save_interval: int, step: str = "step") -> DataFrame:
+    """At every step of ``steps`` that is a multiple of ``save_interval``, the mean of the last log line up to it and
+    ``is_best`` = that mean is less than at all earlier save points (the first: true). Save points before
+    the first log line have no mean and no row.
+
+    The last line and the best so far are balanced running maxima and minima over the merged, sorted steps.
     """
-    saves = rollup.filter(F.col(step) % save_interval == 0).select(step, loss)
-    prior = running_agg(saves, loss, step, None, "_best", agg="min", inclusive=False, cast="double")
-    return prior.select(
-        F.col(step).alias("save_step"),
-        F.col(loss).alias("avg_loss"),
-        (F.col("_best").isNull() | (F.col(loss) < F.col("_best"))).alias("is_best"),
-    )
+    saves = steps.filter(F.col(step) % save_interval == 0).select(F.col(step).cast("long").alias("_s")).distinct()
+    merged = saves.select((F.col("_s") * 2 + 1).alias("_key"), F.lit(None).cast("long").alias("_line"), "_s").unionByName(
+        rollup.select((F.col("log_step") * 2).alias("_key"), F.col("log_step").alias("_line"), F.lit(None).cast("long").alias("_s")))
+    last = running_agg(merged, "_line", "_key", None, "log_step", agg="max").filter(F.col("_s").isNotNull() & F.col("log_step").isNotNull())
+    points = cut_lineage(last.select("_s", "log_step").join(rollup.select("log_step", F.col("train_loss").alias("avg_loss")), "log_step"))
+    prior = running_agg(points, "avg_loss", "_s", None, "_best", agg="min", inclusive=False, cast="double")
+    return prior.select(F.col("_s").alias("save_step"), "avg_loss",
+                        (F.col("_best").isNull() | (F.col("avg_loss") < F.col("_best"))).alias("is_best"))

@@ -29,7 +29,7 @@ ROW_CAP = 7
 WORLD_SIZE = 4
 BATCH_SIZE, MICRO_BATCH = 8, 2
 STEP_BATCH, STEP_SEQ, STEP_WORLD, WARMUP = 4, 128, 2, 0.05
-LOG_INTERVAL, SAVE_INTERVAL = 10, 50
+LOG_INTERVAL, SAVE_INTERVAL, EPOCH_STEPS = 10, 25, 700  # save points need not be log points
 EPOCHS, LONG_WORD = 2, 20
 
 
@@ -96,6 +96,20 @@ def q_source_readiness(spark, sf_dir):
         F.array_join(F.array_sort(F.collect_list(F.when(~F.col("ok"), F.col("source"))).over(everything)), ",").alias("failed"))
 
 
+def q_source_split_config(spark, sf_dir):
+    """One split of a configuration (a sub-folder) of a source; a source whose split is not there is skipped, and
+    reported with its error."""
+    base = scratch_path(spark, "sources")
+    load(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("split")).write.parquet(f"{base}/small")
+    reg = [REG.SourceSpec(name="german", path=base, config="small", split="de"),
+           REG.SourceSpec(name="no_split", path=table_path(sf_dir, "documents"), split="train"),
+           REG.SourceSpec(name="no_config", path=base, config="large")]
+    rows = REG.union_sources(spark, reg, on_error="skip", columns=["doc_id"]).groupBy("source").agg(F.count(F.lit(1)).alias("docs"))
+    gone = [(name, err) for name, err in REG.skipped_sources(spark, reg).items()]
+    skipped = spark.createDataFrame(gone, "source string, error string").withColumn("docs", F.lit(None).cast("long"))
+    return rows.withColumn("error", F.lit(None).cast("string")).unionByName(skipped)
+
+
 # ---------------------------------------------------------------- text functions
 def q_token_counts(spark, sf_dir):
     """A1 F1: whitespace token count per document."""
@@ -229,11 +243,15 @@ def q_step_plan(spark, sf_dir):
 
 
 def step_log(spark, sf_dir):
-    """events as a step log (X10): step = event_id + 1, loss = value / 50, lr decays with the step."""
-    ev = load(spark, sf_dir, "events")
+    """events as a step log (X10): step = event_id + 1, loss = value / 50, lr decays with the step, an epoch every
+    EPOCH_STEPS steps. Every 97th step is missing and every 89th was run twice, so some intervals lack steps or
+    their last one."""
+    ev = load(spark, sf_dir, "events").filter((F.col("event_id") + 1) % 97 != 0)
+    ev = ev.withColumn("_run", F.explode(F.when((F.col("event_id") + 1) % 89 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     return ev.select(
         (F.col("event_id") + 1).alias("step"), "ts", (F.col("value") / F.lit(50.0)).alias("loss"),
-        (F.lit(3e-4) / (F.lit(1.0) + F.col("event_id") / F.lit(1000.0))).alias("lr"), F.lit(0).alias("epoch"))
+        (F.lit(3e-4) / (F.lit(1.0) + F.col("event_id") / F.lit(1000.0))).alias("lr"),
+        F.floor(F.col("event_id") / EPOCH_STEPS).cast("long").alias("epoch"))
 
 
 def q_step_rollup(spark, sf_dir):
@@ -247,8 +265,9 @@ def q_step_rollup(spark, sf_dir):
 
 def q_best_loss_flags(spark, sf_dir):
     """Best-so-far flags at every SAVE_INTERVAL step."""
-    r = R.step_rollup(step_log(spark, sf_dir), LOG_INTERVAL, STEP_BATCH, STEP_SEQ, STEP_WORLD)
-    flags = R.best_loss_flags(r, SAVE_INTERVAL)
+    log = cut_lineage(step_log(spark, sf_dir))
+    r = cut_lineage(R.step_rollup(log, LOG_INTERVAL, STEP_BATCH, STEP_SEQ, STEP_WORLD))
+    flags = R.best_loss_flags(r, log, SAVE_INTERVAL)
     return flags.select("save_step", F.round("avg_loss", 6).alias("avg_loss"), "is_best")
 
 
@@ -473,8 +492,7 @@ def q_bpe_fixed_length(spark, sf_dir):
     for shp in text_shapes(spark, sf_dir):
         ex = CP.fixed_length_examples(shp, BPE, BPE_SEQ, ["shape", "rid"])
         out = ex if out is None else out.unionByName(ex)
-    return out.select("shape", "rid", F.aggregate("attention_mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_real"),
-                      F.element_at("input_ids", 1).alias("first_id"))
+    return out.select("shape", "rid", F.array_join("input_ids", ",").alias("input_ids"), F.array_join("attention_mask", ",").alias("attention_mask"))
 
 
 def q_bpe_chunked_sequences(spark, sf_dir):
@@ -491,68 +509,76 @@ def q_training_view(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- streaming (batch twins are the oracles)
-STREAM_FILES = 4
+STREAM_RANGES = 4
 
 
-def _doc_stream(spark, sf_dir, cols):
+def _doc_stream(spark, sf_dir, cols, drive):
+    """Documents delivered in STREAM_RANGES ranges of doc_id to a stream that ``drive(stream, paths)`` runs."""
     p = ST.fresh(spark, "stream")
     d = load(spark, sf_dir, "documents").select(*cols)
-    ST.write_ordered_files(d, p["input"], "doc_id", STREAM_FILES)
-    return p, ST.file_stream(spark, p["input"], d.schema)
+    ST.feed(d, p["input"], "doc_id", STREAM_RANGES, lambda: drive(ST.file_stream(spark, p["input"], d.schema), p))
+    return p
 
 
 def q_stream_fixed_length(spark, sf_dir):
     """Documents arriving as files -> fixed-length examples (same functions as batch)."""
-    p, s = _doc_stream(spark, sf_dir, ["doc_id", "text"])
-    w = s.select("doc_id", SQ.word_length_ids(T.py_split("text")).alias("_w"), (F.col("text") == "").alias("_e"))
-    ex = SQ.with_fixed_length(w, "_w", "_e", SEQ_LEN, EOS_ID).select(
-        "doc_id", F.array_join("input_ids", ",").alias("input_ids"), F.array_join("attention_mask", ",").alias("attention_mask"))
-    ST.run_to_parquet(ex, p["out"], p["ckpt"])
-    return spark.read.parquet(p["out"])
+
+    def drive(s, p):
+        w = s.select("doc_id", SQ.word_length_ids(T.py_split("text")).alias("_w"), (F.col("text") == "").alias("_e"))
+        ex = SQ.with_fixed_length(w, "_w", "_e", SEQ_LEN, EOS_ID).select(
+            "doc_id", F.array_join("input_ids", ",").alias("input_ids"), F.array_join("attention_mask", ",").alias("attention_mask"))
+        ST.run_to_parquet(ex, p["out"], p["ckpt"])
+
+    return spark.read.parquet(_doc_stream(spark, sf_dir, ["doc_id", "text"], drive)["out"])
 
 
 def q_stream_bpe_fixed_length(spark, sf_dir):
     """BPE fixed-length examples on a stream (the batch mapInArrow function, append mode)."""
-    p, s = _doc_stream(spark, sf_dir, ["doc_id", "text"])
-    ex = CP.fixed_length_examples(s, BPE, BPE_SEQ, ["doc_id"])
-    out = ex.select("doc_id", F.aggregate("attention_mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_real"),
-                    F.element_at("input_ids", 1).alias("first_id"))
-    ST.run_to_parquet(out, p["out"], p["ckpt"])
-    return spark.read.parquet(p["out"])
+
+    def drive(s, p):
+        ex = CP.fixed_length_examples(s, BPE, BPE_SEQ, ["doc_id"])
+        out = ex.select("doc_id", F.array_join("input_ids", ",").alias("input_ids"), F.array_join("attention_mask", ",").alias("attention_mask"))
+        ST.run_to_parquet(out, p["out"], p["ckpt"])
+
+    return spark.read.parquet(_doc_stream(spark, sf_dir, ["doc_id", "text"], drive)["out"])
+
+
+def _budget_stream(spark, sf_dir, cap):
+    def drive(s, p):
+        counted = s.select("source", "doc_id", T.whitespace_token_count("text").alias("n_tokens"))
+        ST.stream_token_budget(counted, cap, p["out"], p["state"], p["ckpt"])
+
+    p = _doc_stream(spark, sf_dir, ["doc_id", "source", "text"], drive)
+    return spark.read.parquet(p["out"]).select("source", "doc_id", "n_tokens")
 
 
 def q_stream_token_budget(spark, sf_dir):
-    """T4: per-source token budget with keyed state across micro-batches."""
-    p, s = _doc_stream(spark, sf_dir, ["doc_id", "source", "text"])
-    counted = s.select("source", "doc_id", T.whitespace_token_count("text").alias("n_tokens"))
-    kept = ST.stream_token_budget(counted, BUDGET_CAP, "source string, doc_id long, n_tokens long")
-    ST.run_to_parquet(kept, p["out"], p["ckpt"])
-    return spark.read.parquet(p["out"])
+    """T4: per-source token budget with state across micro-batches, one cap for all sources."""
+    return _budget_stream(spark, sf_dir, BUDGET_CAP)
 
 
 def q_stream_token_budget_batches(spark, sf_dir):
-    """T4 (foreachBatch form): the parallel batch budget per micro-batch with a per-source state table."""
-    p, s = _doc_stream(spark, sf_dir, ["doc_id", "source", "text"])
-    counted = s.select("source", "doc_id", T.whitespace_token_count("text").alias("n_tokens"))
-    ST.stream_token_budget_batches(counted, BUDGET_CAP, p["out"], p["state"], p["ckpt"])
-    return spark.read.parquet(p["out"]).select("source", "doc_id", "n_tokens")
+    """T4 with a cap for each source."""
+    return _budget_stream(spark, sf_dir, registry_caps(registry_names(spark, sf_dir)))
 
 
 def q_stream_near_dedup(spark, sf_dir):
     """First-wins near-dedup across micro-batches (kept-band table per batch)."""
-    p, s = _doc_stream(spark, sf_dir, ["doc_id", "source", "text"])
-    ST.stream_near_dedup(s, p["out"], p["state"], p["ckpt"], "doc_id", "text", DEDUP_THRESHOLD, DEDUP_PERM, DEDUP_SEED)
+
+    def drive(s, p):
+        ST.stream_near_dedup(s, p["out"], p["state"], p["ckpt"], "doc_id", "text", DEDUP_THRESHOLD, DEDUP_PERM, DEDUP_SEED, compact_every=2)
+
+    p = _doc_stream(spark, sf_dir, ["doc_id", "source", "text"], drive)
     return spark.read.parquet(p["out"]).select("doc_id", "source")
 
 
 def q_stream_step_rollup(spark, sf_dir):
     """T5: step-log rollup on a stream of step records."""
     p = ST.fresh(spark, "stream-steps")
-    log = step_log(spark, sf_dir)
-    ST.write_ordered_files(log, p["input"], "step", STREAM_FILES)
-    s = ST.file_stream(spark, p["input"], log.schema)
-    ST.run_to_parquet(ST.stream_step_rollup(s, LOG_INTERVAL), p["out"], p["ckpt"])
-    r = ST.finish_rollup(spark.read.parquet(p["out"]), LOG_INTERVAL, LOG_INTERVAL * STEP_BATCH * STEP_SEQ * STEP_WORLD)
+    log = cut_lineage(step_log(spark, sf_dir))
+    ST.feed(log, p["input"], "step", STREAM_RANGES,
+            lambda: ST.stream_step_rollup(ST.file_stream(spark, p["input"], log.schema), LOG_INTERVAL, p["out"], p["ckpt"]))
+    r = ST.read_rollup(spark, p["out"], LOG_INTERVAL, LOG_INTERVAL * STEP_BATCH * STEP_SEQ * STEP_WORLD)
     return r.select("log_step", F.round("train_loss", 6).alias("train_loss"),
                     F.round("train_perplexity", 4).alias("train_perplexity"),
                     F.round(F.col("learning_rate") * 1e6, 4).alias("lr_micro"),
@@ -582,6 +608,7 @@ QUERIES = {
     "nested_field_filter": q_nested_field_filter,
     "skip_missing_source": q_skip_missing_source,
     "source_readiness": q_source_readiness,
+    "source_split_config": q_source_split_config,
     "token_counts": q_token_counts,
     "distinct_token_set_size": q_distinct_token_set_size,
     "strip_nonblank_lines": q_strip_nonblank_lines,

@@ -58,6 +58,11 @@ SELECT source, ok, verified_rows,
 FROM per
 """
 
+SQL["source_split_config"] = """
+SELECT 'german' AS source, count(*)::BIGINT AS docs, NULL::VARCHAR AS error FROM documents WHERE lang = 'de'
+UNION ALL SELECT 'no_split', NULL, 'ValueError' UNION ALL SELECT 'no_config', NULL, 'PATH_NOT_FOUND'
+"""
+
 SQL["token_counts"] = f"SELECT doc_id, {ntok('text')} AS n_tokens FROM documents"
 
 SQL["distinct_token_set_size"] = f"SELECT doc_id, len(list_distinct({tokens('text')}))::BIGINT AS n_distinct FROM documents"
@@ -178,13 +183,17 @@ SELECT *, floor(steps_reference * {C.WARMUP}::DOUBLE)::BIGINT AS warmup_referenc
 """
 
 _TOK_IV = C.LOG_INTERVAL * C.STEP_BATCH * C.STEP_SEQ * C.STEP_WORLD
+# the log step of every run: the first multiple of the interval at or after it that was run
 _ROLLUP = f"""
 WITH lg AS (SELECT event_id + 1 AS step, ts, value / 50.0::DOUBLE AS loss,
-                   3e-4::DOUBLE / (1.0::DOUBLE + event_id::DOUBLE / 1000.0::DOUBLE) AS lr, 0 AS epoch FROM events),
-per AS (SELECT (step - 1) // {C.LOG_INTERVAL} AS iv, count(*) AS n, max(step) AS log_step, avg(loss) AS train_loss,
-               arg_max(lr, step) AS learning_rate, min(ts) AS t0, max(ts) AS t1, max(epoch) AS epoch
-        FROM lg GROUP BY 1 HAVING count(*) = {C.LOG_INTERVAL} AND max(step) % {C.LOG_INTERVAL} = 0),
-j AS (SELECT p.*, epoch_us(p.t1) - epoch_us(coalesce(q.t1, p.t0)) AS el FROM per p LEFT JOIN per q ON q.iv + 1 = p.iv),
+                   3e-4::DOUBLE / (1.0::DOUBLE + event_id::DOUBLE / 1000.0::DOUBLE) AS lr, event_id // {C.EPOCH_STEPS} AS epoch
+            FROM (SELECT *, unnest(range(CASE WHEN (event_id + 1) % 89 = 0 THEN 2 ELSE 1 END)) AS run FROM events)
+            WHERE (event_id + 1) % 97 <> 0),
+lines AS (SELECT DISTINCT step AS log_step FROM lg WHERE step % {C.LOG_INTERVAL} = 0),
+a AS (SELECT lg.*, lines.log_step FROM lg ASOF JOIN lines ON lg.step <= lines.log_step),
+per AS (SELECT log_step, avg(loss) AS train_loss, arg_max(lr, step) AS learning_rate, min(ts) AS t0, max(ts) AS t1, max(epoch) AS epoch
+        FROM a GROUP BY 1),
+j AS (SELECT *, epoch_us(t1) - epoch_us(coalesce(lag(t1) OVER (ORDER BY log_step), t0)) AS el FROM per),
 roll AS (SELECT log_step::BIGINT AS log_step, train_loss, exp(train_loss) AS train_perplexity, learning_rate,
                 CASE WHEN el > 0 THEN {float(_TOK_IV)}::DOUBLE / (el / 1e6::DOUBLE) END AS tokens_per_second,
                 (log_step * {_TOK_IV // C.LOG_INTERVAL})::BIGINT AS tokens_seen, epoch::BIGINT AS epoch FROM j)"""
@@ -195,9 +204,10 @@ SELECT log_step, round(train_loss, 6) AS train_loss, round(train_perplexity, 4)
 """
 
 SQL["best_loss_flags"] = _ROLLUP + f""",
-sv AS (SELECT log_step, train_loss, min(train_loss) OVER (ORDER BY log_step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best
-       FROM roll WHERE log_step % {C.SAVE_INTERVAL} = 0)
-SELECT log_step AS save_step, round(train_loss, 6) AS avg_loss, (best IS NULL OR train_loss < best) AS is_best FROM sv
+sv AS (SELECT DISTINCT step AS save_step FROM lg WHERE step % {C.SAVE_INTERVAL} = 0),
+sl AS (SELECT sv.save_step, roll.train_loss FROM sv ASOF JOIN roll ON sv.save_step >= roll.log_step),
+sb AS (SELECT *, min(train_loss) OVER (ORDER BY save_step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM sl)
+SELECT save_step::BIGINT AS save_step, round(train_loss, 6) AS avg_loss, (best IS NULL OR train_loss < best) AS is_best FROM sb
 """
 
 
@@ -234,22 +244,21 @@ FROM bands GROUP BY band, key HAVING count(*) > 1
 """
 
 
-def _peel_sql(rounds: int = 12) -> str:
-    """The parallel peeling rounds unrolled: keep local minima, drop members of their buckets."""
-    parts = ["m0 AS (SELECT band, key, pos FROM bands)"]
-    for k in range(1, rounds + 1):
-        p = f"m{k - 1}"
-        parts.append(f"""mins{k} AS (SELECT band, key, min(pos) AS mp FROM {p} GROUP BY band, key),
-kept{k} AS (SELECT m.pos FROM {p} m JOIN mins{k} USING (band, key) GROUP BY m.pos HAVING bool_and(m.pos = mins{k}.mp)),
-killed{k} AS (SELECT band, key FROM mins{k} WHERE mp IN (SELECT pos FROM kept{k})),
-drop{k} AS (SELECT DISTINCT pos FROM {p} JOIN killed{k} USING (band, key) WHERE pos NOT IN (SELECT pos FROM kept{k})),
-m{k} AS (SELECT * FROM {p} WHERE pos NOT IN (SELECT pos FROM kept{k}) AND pos NOT IN (SELECT pos FROM drop{k}))""")
-    dropped = " UNION ALL ".join(f"SELECT pos FROM drop{k}" for k in range(1, rounds + 1))
-    return ",\n".join(parts) + f",\ndropped AS ({dropped})"
+def _first_wins(rel: str) -> str:
+    """The rule itself: walk the documents of ``rel`` in order and keep one iff no document kept before shares a band."""
+    return f"""
+g AS MATERIALIZED (SELECT pos, list(band || ':' || key) AS ks, row_number() OVER (ORDER BY pos) AS rn FROM bands GROUP BY pos),
+walk(rn, pos, kept, seen) AS (
+  SELECT 0::BIGINT, NULL::BIGINT, false, []::VARCHAR[]
+  UNION ALL
+  SELECT g.rn, g.pos, NOT list_has_any(walk.seen, g.ks), CASE WHEN list_has_any(walk.seen, g.ks) THEN walk.seen ELSE walk.seen || g.ks END
+  FROM walk JOIN g ON g.rn = walk.rn + 1
+),
+kept_pos AS (SELECT pos FROM walk WHERE kept)"""
 
 
-SQL["near_dedup"] = _sketch_sql() + ",\n" + _peel_sql() + """
-SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT pos FROM dropped)
+SQL["near_dedup"] = _sketch_sql().replace("WITH docs_pos", "WITH RECURSIVE docs_pos") + "," + _first_wins("docs_pos") + """
+SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT pos FROM kept_pos)
 """
 
 
@@ -402,7 +411,7 @@ SELECT doc_id, array_to_string(input_ids, ',') AS input_ids,
 FROM fx
 """
 SQL["stream_token_budget"] = SQL["token_budget"]
-SQL["stream_token_budget_batches"] = SQL["token_budget"]
+SQL["stream_token_budget_batches"] = SQL["registry_token_budget"]
 SQL["stream_near_dedup"] = SQL["near_dedup"]
 SQL["stream_step_rollup"] = SQL["step_rollup"]
 
@@ -421,8 +430,8 @@ s AS (SELECT count(*) AS nsrc, min(cnt) AS minc FROM c),
 il AS (SELECT ((r.r - 1) * s.nsrc + c.srank)::BIGINT AS pos, r.source, r.doc_id, r.n_tokens, r.text
        FROM r JOIN c USING (source_idx), s WHERE r.r <= s.minc),
 {_sketch_ctes("il")},
-{_peel_sql()},
-kept AS (SELECT *, row_number() OVER (ORDER BY pos) AS rn FROM il WHERE pos NOT IN (SELECT pos FROM dropped)),
+{_first_wins("il")},
+kept AS (SELECT *, row_number() OVER (ORDER BY pos) AS rn FROM il WHERE pos IN (SELECT pos FROM kept_pos)),
 f(rn, pos, shard, buf) AS (
   SELECT rn, pos, 0::BIGINT, n_tokens FROM kept WHERE rn = 1
   UNION ALL

@@ -7,6 +7,7 @@ lambdas, so Catalyst pushes them into the scan.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -41,7 +42,9 @@ def open_source(spark: SparkSession, spec: SourceSpec, schema=None) -> DataFrame
     df = reader.load(path)
     for old, new in spec.rename.items():
         df = df.withColumnRenamed(old, new)
-    if spec.split is not None and spec.split_col in df.columns:
+    if spec.split is not None:
+        if spec.split_col not in df.columns:
+            raise ValueError(f"source {spec.name!r} has no split: no column {spec.split_col!r}")
         df = df.filter(F.col(spec.split_col) == spec.split)
     if spec.predicate is not None:  # P1
         pred = F.expr(spec.predicate) if isinstance(spec.predicate, str) else spec.predicate
@@ -50,13 +53,22 @@ def open_source(spark: SparkSession, spec: SourceSpec, schema=None) -> DataFrame
 
 
 def _probe(spark: SparkSession, spec: SourceSpec):
+    """The opened source, or what kept it from being opened (S3: any error does)."""
     try:
         df = open_source(spark, spec)
         df.schema  # analysis happens here: a missing path raises PATH_NOT_FOUND
         return df, None
-    except AnalysisException as e:  # S3
+    except AnalysisException as e:
         cond = getattr(e, "getCondition", None) or getattr(e, "getErrorClass", None)
         return None, ((cond() if cond else None) or type(e).__name__)
+    except Exception as e:  # an unknown format, a split that isn't there, a store that can't be reached
+        return None, type(e).__name__
+
+
+def skipped_sources(spark: SparkSession, registry: list[SourceSpec]) -> dict[str, str]:
+    """The sources that ``on_error="skip"`` leaves out, each with its error."""
+    found = {spec.name: _probe(spark, spec)[1] for spec in registry}
+    return {name: err for name, err in found.items() if err is not None}
 
 
 def union_sources(
@@ -68,13 +80,14 @@ def union_sources(
     """S1 + U1: one DataFrame over all sources (``unionByName``, missing columns null).
 
     Adds ``source`` (name) and ``source_idx`` (registry position). ``on_error="skip"`` drops sources
-    that cannot be opened (S3); ``"fail"`` raises.
+    that cannot be opened (S3; :func:`skipped_sources` names them, and each is a warning); ``"fail"`` raises.
     """
     frames = []
     for idx, spec in enumerate(registry):
         df, err = _probe(spark, spec)
         if err is not None:
             if on_error == "skip":
+                warnings.warn(f"source {spec.name!r} skipped: {err}", stacklevel=2)
                 continue
             raise AnalysisException(f"source {spec.name!r} cannot be opened: {err}")
         if columns is not None:

@@ -1,50 +1,56 @@
 """Structured Streaming forms of the operators.
 
-* T1 ``file_stream``: lazy unbounded read of a folder (``maxFilesPerTrigger``), declared schema.
+* T1 ``file_stream``: lazy unbounded read of a folder (``maxFilesPerTrigger``), declared schema. ``feed`` delivers a table in
+  ranges of its order: each range is written by many tasks, and the stream runs until it has taken it.
 * T2 stateless: the very same Column / ``mapInArrow`` functions as the batch path, append mode.
-* T3 ``stream_near_dedup``: ``foreachBatch``; rows hitting a band of an earlier kept row are dropped,
-  the rest is peeled inside the batch, and the batch's kept bands are written under
-  ``batch_id=<id>`` with overwrite -- a replayed batch rewrites the same folder (idempotent).
-* T4 ``stream_token_budget``: ``applyInPandasWithState`` keyed by source; state = running total and
-  a stop flag (once over the cap, always over). A source's rows of one micro-batch meet in one call,
-  so the group is bounded by the trigger size. ``stream_token_budget_batches`` is the form without
-  that bound: each micro-batch runs the parallel batch budget against a per-source state table.
-* T5 ``stream_step_rollup``: ``applyInPandasWithState`` keyed by log interval; an interval is emitted
-  once complete and its state removed.
+* T3 ``stream_near_dedup``, T4 ``stream_token_budget``: ``foreachBatch`` over the parallel batch operators. What earlier
+  micro-batches decided is a table written under the batch's number (overwrite, so a replayed batch rewrites the same
+  folder); the tables that the next batch needs are opened by their names, and a missing one is an error, never an
+  empty state. Superseded ones are deleted two steps later.
+* T5 ``stream_step_rollup``: each micro-batch writes its mergeable interval sums; the log lines are made from the merged sums.
 
 Sinks and checkpoints live in the shared folder (``spark.checkpoint.dir``), never a local temp dir.
 """
 
 from __future__ import annotations
 
-import time
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quarry.operators.dedup import dropped_positions, lsh_buckets, minhash
 from quarry.operators.ordered import order_bucket, token_budget
-from quarry.operators.report import epoch_micros
+from quarry.operators.report import log_lines, step_partials
 from quarry.session import cut_lineage, scratch_path
 from quarry import defaults as DEF
 
 
+def _path(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop, fs = _path(spark, path)
+    fs.delete(hadoop, True)
+
+
 # ---------------------------------------------------------------- T1
-def write_ordered_files(df: DataFrame, path: str, order: str, n_files: int) -> str:
-    """Write ``df`` as ``n_files`` parquet files, one per ``order`` range, oldest first, so a file
-    stream delivers them in order. Each file is its own (parallel) Spark job."""
-    b = order_bucket(df, order, n_files, "_file")
-    for i in range(n_files):
-        b.filter(F.col("_file") == i).drop("_file").coalesce(1).write.mode("append").parquet(path)
-        time.sleep(0.02)  # distinct modification times
-    return path
-
-
-def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", max_files_per_trigger: int = 1) -> DataFrame:
-    """A folder as an unbounded table, files in arrival order."""
+def feed(df: DataFrame, path: str, order: str, n_ranges: int, run: Callable[[], None]) -> None:
+    """Deliver ``df`` to the folder ``path`` in ``n_ranges`` ranges of ``order``, calling ``run`` (which takes what is there
+    and ends) after each. The range decides the order, not the files' names or times; all tasks write."""
+    spark = df.sparkSession
+    staged = f"{path}-staged"
+    order_bucket(df, order, n_ranges, "_range").write.partitionBy("_range").parquet(staged)
+    whole = spark.read.parquet(staged)
+    for i in range(n_ranges):
+        whole.filter(F.col("_range") == i).select(*df.columns).write.mode("append").parquet(path)
+        run()
+
+
+def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", max_files_per_trigger: int = 1_000) -> DataFrame:
+    """A folder as an unbounded table."""
     return (spark.readStream.format(fmt).schema(schema)
             .option("maxFilesPerTrigger", max_files_per_trigger).load(path))
 
@@ -57,45 +63,28 @@ def run_to_parquet(stream: DataFrame, out: str, checkpoint: str, mode: str = "ap
 
 
 # ---------------------------------------------------------------- T3
-def _read_kept_bands(spark: SparkSession, state: str, batch_id: int):
-    """Kept band keys of all batches before ``batch_id``: the latest compacted generation plus the
-    per-batch deltas after it (None when there is nothing yet)."""
-    parts, start = [], 0
-    try:
-        comp = spark.read.parquet(f"{state}/compact").filter(F.col("upto") <= batch_id)
-        upto = comp.agg(F.max("upto")).first()[0]
-        if upto is not None:
-            parts.append(comp.filter(F.col("upto") == upto).select("band", "key"))
-            start = upto
-    except Exception:  # no generation written yet
-        pass
-    try:
-        delta = spark.read.parquet(f"{state}/delta").filter((F.col("batch_id") >= start) & (F.col("batch_id") < batch_id))
-        parts.append(delta.select("band", "key"))
-    except Exception:  # no delta yet
-        pass
-    if not parts:
-        return None
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def _kept_bands(spark: SparkSession, state: str, batch_id: int, every: int) -> DataFrame | None:
+    """Band keys of the rows kept before ``batch_id``: the last compacted generation and the batches after it."""
+    start = batch_id // every * every
+    paths = ([f"{state}/upto={start}"] if start else []) + [f"{state}/batch_id={i}" for i in range(start, batch_id)]
+    return spark.read.schema("band int, key string").parquet(*paths) if paths else None
 
 
 def stream_near_dedup(stream: DataFrame, out: str, state: str, checkpoint: str, order: str = "doc_id",
                       text: str = "text", threshold: float = DEF.DEDUP_THRESHOLD, num_perm: int = DEF.DEDUP_NUM_PERM,
                       seed: int = 1, compact_every: int = 32) -> None:
-    """First-wins near-dedup across micro-batches (files must arrive in ``order``).
+    """First-wins near-dedup across micro-batches (which must arrive in ``order``).
 
-    The kept-band state is per-batch deltas plus, every ``compact_every`` batches, one compacted
-    generation ``compact/upto=<b>``; everything is written with overwrite, so a replay is idempotent.
+    The state is the kept band keys of each batch and, every ``compact_every`` batches, one compacted
+    generation; a batch reads at most that many folders, and what a generation holds is deleted one
+    generation later.
     """
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rows = batch.select(order, *[c for c in batch.columns if c != order])
         sk = cut_lineage(minhash(rows, text, order, num_perm, threshold, seed=seed))  # sketched once per batch
-        prior = _read_kept_bands(spark, state, batch_id)
+        prior = _kept_bands(spark, state, batch_id, compact_every)
         if prior is not None:  # rows hitting a band of an earlier kept row
             hit = lsh_buckets(sk).join(prior, ["band", "key"], "left_semi").select("pos").distinct()
             sk = cut_lineage(sk.join(hit, "pos", "left_anti"))
@@ -103,11 +92,18 @@ def stream_near_dedup(stream: DataFrame, out: str, state: str, checkpoint: str,
         kept = rows.join(kept_pos.withColumnRenamed("pos", order), order, "left_semi")
         kept.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
         bands = lsh_buckets(sk.join(kept_pos, "pos", "left_semi")).select("band", "key")
-        bands.write.mode("overwrite").parquet(f"{state}/delta/batch_id={batch_id}")
-        if (batch_id + 1) % compact_every == 0:  # a new generation: everything up to and including this batch
-            gen = _read_kept_bands(spark, state, batch_id + 1)
-            nparts = int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
-            gen.repartition(nparts, "band", "key").write.mode("overwrite").parquet(f"{state}/compact/upto={batch_id + 1}")
+        bands.write.mode("overwrite").parquet(f"{state}/batch_id={batch_id}")
+        done = batch_id + 1
+        if done % compact_every == 0:  # a new generation: everything up to and including this batch
+            parts = [bands.sparkSession.read.schema("band int, key string").parquet(f"{state}/batch_id={batch_id}")]
+            parts += [] if prior is None else [prior]
+            gen = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+            gen.repartition("band", "key").write.mode("overwrite").parquet(f"{state}/upto={done}")
+            old = done - 2 * compact_every  # nothing reads before the last generation but one any more
+            if old >= 0:
+                for i in range(old, old + compact_every):
+                    _delete(spark, f"{state}/batch_id={i}")
+                _delete(spark, f"{state}/upto={old}")
 
     q = (stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
@@ -115,68 +111,36 @@ def stream_near_dedup(stream: DataFrame, out: str, state: str, checkpoint: str,
 
 
 # ---------------------------------------------------------------- T4
-def _budget_fn(caps: dict, default_cap, order: str, n_col: str):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        src = key[0]
-        cap = caps.get(src, default_cap)
-        total, stopped = state.get if state.exists else (0, False)
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(order, kind="stable")
-        if stopped or cap is None:
-            keep = pd.Series(not stopped, index=pdf.index)
-        else:
-            cum = total + pdf[n_col].cumsum()
-            keep = cum <= cap
-            if not bool(keep.all()):
-                stopped = True
-        total = int(total + pdf[n_col].sum())
-        state.update((total, bool(stopped)))
-        yield pdf[keep.values]
-
-    return fn
-
-
-def stream_token_budget(stream: DataFrame, cap, out_schema: str, order: str = "doc_id", n_col: str = "n_tokens",
-                        group: str = "source") -> DataFrame:
-    """Per-source token budget on a stream (append mode; state per source)."""
-    caps = cap if isinstance(cap, dict) else {}
-    default_cap = None if isinstance(cap, dict) else int(cap)
-    return stream.groupBy(group).applyInPandasWithState(
-        _budget_fn(caps, default_cap, order, n_col), out_schema, "total long, stopped boolean", "append",
-        GroupStateTimeout.NoTimeout)
-
-
-def stream_token_budget_batches(stream: DataFrame, cap: int, out: str, state: str, checkpoint: str,
-                                order: str = "doc_id", n_col: str = "n_tokens", group: str = "source") -> None:
-    """T4 without per-key Python: every micro-batch runs the parallel (bucketed) batch budget with
-    the remaining cap of each source; the per-source state ``(total, stopped)`` is a tiny table
-    written under ``batch_id=<id>`` (overwrite, so a replayed batch is idempotent).
-
-    A row is rejected exactly when the source's running total passes the cap, and since token counts
-    are non-negative the source then stays stopped: ``stopped' = stopped or total + batch sum > cap``.
+def stream_token_budget(stream: DataFrame, cap, out: str, state: str, checkpoint: str,
+                        order: str = "doc_id", n_col: str = "n_tokens", group: str = "source") -> None:
+    """T4: every micro-batch runs the parallel (bucketed) batch budget with the remaining cap of each source.
+    ``cap`` is an int or a ``{source: cap}`` mapping (a source it lacks has no limit).
+
+    State: one row per source, ``(total, stopped)``. A row is rejected exactly when its source's running total passes
+    the cap, and since token counts are non-negative the source then stays stopped:
+    ``stopped' = stopped or total + batch sum > cap``.
     """
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        try:
-            hist = spark.read.parquet(state).filter(F.col("batch_id") < batch_id)
-            last = hist.agg(F.max("batch_id")).first()[0]
-            prior = hist.filter(F.col("batch_id") == last).select(group, "total", "stopped") if last is not None else None
-        except Exception:  # first batch
-            prior = None
-        if prior is None:
-            prior = spark.createDataFrame([], f"{group} string, total long, stopped boolean")
-        sums = batch.groupBy(group).agg(F.sum(F.col(n_col).cast("long")).alias("_bs"))
-        remaining = sums.join(prior, group, "left").select(
-            group, F.when(F.coalesce("stopped", F.lit(False)), F.lit(-1))
-                    .otherwise(F.lit(int(cap)) - F.coalesce("total", F.lit(0))).alias("cap"))
+        schema = f"{group} string, total long, stopped boolean"
+        prior = (spark.read.schema(schema).parquet(f"{state}/batch_id={batch_id - 1}") if batch_id
+                 else spark.createDataFrame([], schema))
+        limit = F.lit(None).cast("long")
+        for name, most in (cap.items() if isinstance(cap, dict) else ()):
+            limit = F.when(F.col(group) == F.lit(name), F.lit(int(most))).otherwise(limit)
+        limit = limit if isinstance(cap, dict) else F.lit(int(cap)).cast("long")
+        sums = cut_lineage(batch.groupBy(group).agg(F.sum(F.col(n_col).cast("long")).alias("_bs"))
+                           .join(prior, group, "full").withColumn("_limit", limit)
+                           .withColumn("_had", F.coalesce("total", F.lit(0))).withColumn("_off", F.coalesce("stopped", F.lit(False))))
+        remaining = sums.select(group, F.when(F.col("_off"), F.lit(-1)).otherwise(F.col("_limit") - F.col("_had")).alias("cap"))
         kept = token_budget(batch, remaining, n_col, order, group)
         kept.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-        new_state = sums.join(prior, group, "full").select(
-            group,
-            (F.coalesce("total", F.lit(0)) + F.coalesce("_bs", F.lit(0))).alias("total"),
-            (F.coalesce("stopped", F.lit(False)) | ((F.coalesce("total", F.lit(0)) + F.coalesce("_bs", F.lit(0))) > cap))
-            .alias("stopped"))
+        now = F.col("_had") + F.coalesce("_bs", F.lit(0))
+        new_state = sums.select(group, now.alias("total"), (F.col("_off") | F.coalesce(now > F.col("_limit"), F.lit(False))).alias("stopped"))
         new_state.write.mode("overwrite").parquet(f"{state}/batch_id={batch_id}")
+        if batch_id >= 2:  # a replay reads the batch before it, nothing older
+            _delete(spark, f"{state}/batch_id={batch_id - 2}")
 
     q = (stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
@@ -184,49 +148,21 @@ def stream_token_budget_batches(stream: DataFrame, cap: int, out: str, state: st
 
 
 # ---------------------------------------------------------------- T5
-def _rollup_fn(log_interval: int):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(pdfs), ignore_index=True)
-        n, s, max_step, lr, t0, t1 = state.get if state.exists else (0, 0.0, -1, 0.0, None, None)
-        n += len(pdf)
-        s += float(pdf["loss"].sum())
-        i = int(pdf["step"].idxmax())
-        if int(pdf["step"][i]) > max_step:
-            max_step, lr = int(pdf["step"][i]), float(pdf["lr"][i])
-        lo, hi = int(pdf["ts_us"].min()), int(pdf["ts_us"].max())
-        t0 = lo if t0 is None else min(t0, lo)
-        t1 = hi if t1 is None else max(t1, hi)
-        if n == log_interval:
-            state.remove()
-            yield pd.DataFrame({"iv": [key[0]], "log_step": [max_step], "loss_sum": [s], "learning_rate": [lr],
-                                "t0_us": [t0], "t1_us": [t1]})
-        else:
-            state.update((n, s, max_step, lr, t0, t1))
-
-    return fn
-
-
-def stream_step_rollup(stream: DataFrame, log_interval: int) -> DataFrame:
-    """Complete ``log_interval`` groups of a step-log stream (append mode; state per interval)."""
-    keyed = stream.select(F.floor((F.col("step") - 1) / log_interval).cast("long").alias("iv"), "step", "loss", "lr",
-                          epoch_micros("ts", stream.schema["ts"].dataType).alias("ts_us"))
-    return keyed.groupBy("iv").applyInPandasWithState(
-        _rollup_fn(log_interval),
-        "iv long, log_step long, loss_sum double, learning_rate double, t0_us long, t1_us long",
-        "n long, s double, max_step long, lr double, t0 long, t1 long", "append", GroupStateTimeout.NoTimeout)
-
-
-def finish_rollup(intervals: DataFrame, log_interval: int, tokens_interval: int) -> DataFrame:
-    """Batch tail of T5: elapsed time since the previous interval (equi-join on the interval id)."""
-    prev = intervals.select((F.col("iv") + 1).alias("iv"), F.col("t1_us").alias("_tp"))
-    j = intervals.filter(F.col("log_step") % log_interval == 0).join(prev, "iv", "left")
-    elapsed = F.col("t1_us") - F.coalesce(F.col("_tp"), F.col("t0_us"))
-    loss = F.col("loss_sum") / F.lit(float(log_interval))
-    return j.select(
-        F.col("log_step"), loss.alias("train_loss"), F.exp(loss).alias("train_perplexity"), "learning_rate",
-        F.when(elapsed > 0, F.lit(float(tokens_interval)) / (elapsed / F.lit(1e6))).alias("tokens_per_second"),
-        (F.col("log_step") * F.lit(tokens_interval // log_interval)).cast("long").alias("tokens_seen"),
-        F.lit(0).cast("long").alias("epoch"))
+def stream_step_rollup(stream: DataFrame, log_interval: int, out: str, checkpoint: str) -> None:
+    """T5: interval sums of every micro-batch of a step log, written under the batch's number. No state is kept: sums
+    of one interval from several batches merge when they are read (:func:`read_rollup`)."""
+
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        step_partials(batch, log_interval).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    q = (stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
+def read_rollup(spark: SparkSession, out: str, log_interval: int, tokens_interval: int) -> DataFrame:
+    """The log lines of all that the stream has taken so far."""
+    return log_lines(spark.read.parquet(out).drop("batch_id"), log_interval, tokens_interval)
 
 
 def fresh(spark: SparkSession, name: str) -> dict:
