@@ -32,7 +32,6 @@ from quarry.llm.common import arrow_rows, fresh, write_table
 from quarry.llm.hashing import buffer_of, mix, words
 
 LONG, WRAP, MIN_WORDS, MIN_RUN = 24, 2, 5, 16
-BROADCAST_CHUNKS = 1_000_000  # hashes of repeated chunks that may be broadcast (some 20 MB); beyond: a shuffle join
 _K = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -174,9 +173,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     rows = docs.select(F.col(key).alias("id"), th.alias("th"), body.alias("t")).filter("t is not null")
     table = write_table(rows.mapInArrow(_chunk_rows, f"id {kind}, th long, chunk int, h long"), "chunks")
     place = F.struct("id", "th", "chunk")
-    many = write_table(table.groupBy("h").count().filter("count > 1").select("h"), "repeated")
-    if many.count() <= BROADCAST_CHUNKS:
-        many = F.broadcast(many)
+    many = table.groupBy("h").count().filter("count > 1").select("h")
     met = write_table(table.join(many, "h", "left_semi"), "met")
     # rows that repeat in full give the same places
     first = met.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last").select("h", "first")
