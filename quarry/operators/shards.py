@@ -63,7 +63,7 @@ def _by_bucket(batches):
         yield held
 
 
-NONE = -1  # no successor
+NONE = -(2**63)  # no successor
 
 
 def _exits(batches):

@@ -29,17 +29,10 @@ def main(sf_dir: str) -> dict:
     out = {}
 
     t0 = time.perf_counter()
-    totals, stopped, kept = {}, set(), 0
+    by_source: dict[str, list[int]] = {}
     for r in t:
-        n = len(r["text"].split())
-        s = r["source"]
-        if s in stopped:
-            continue
-        if totals.get(s, 0) + n > 5000:
-            stopped.add(s)
-            continue
-        totals[s] = totals.get(s, 0) + n
-        kept += 1
+        by_source.setdefault(r["source"], []).append(len(r["text"].split()))
+    sum(int((np.cumsum(ns) <= 5000).sum()) for ns in by_source.values())
     out["token_budget"] = time.perf_counter() - t0
 
     t0 = time.perf_counter()
@@ -55,12 +48,11 @@ def main(sf_dir: str) -> dict:
     out["near_dedup"] = time.perf_counter() - t0
 
     t0 = time.perf_counter()
-    buf, shard, shards = 0, 0, []
-    for r in t:
-        shards.append(shard)
-        buf += len(r["text"].split())
-        if buf >= 20_000:
-            shard, buf = shard + 1, 0
+    ends = np.cumsum([len(r["text"].split()) for r in t])
+    first, shards = 0, 0
+    while first < len(ends):  # a shard ends with the document that fills it
+        first = int(np.searchsorted(ends, (ends[first - 1] if first else 0) + 20_000)) + 1
+        shards += 1
     out["token_shards_reset"] = time.perf_counter() - t0
 
     try:
@@ -69,20 +61,10 @@ def main(sf_dir: str) -> dict:
         spec = TokenizerSpec()
         tok, eos = spec.load(), spec.eos()
         t0 = time.perf_counter()
-        cur, n_seq, shard_i = [], 0, 0
-        for r in t:
-            for line in r["text"].split("\n"):
-                line = line.strip()
-                if not line:
-                    continue
-                ids = tok.encode(line).ids
-                if ids and ids[-1] != eos:
-                    ids.append(eos)
-                for i in range(0, max(len(ids), 1), 2048):
-                    cur.append(ids[i:i + 2048])
-                    n_seq += 1
-                    if len(cur) >= 1000:
-                        cur, shard_i = [], shard_i + 1
+        lines = (line.strip() for r in t for line in r["text"].split("\n"))
+        ids = [tok.encode(line).ids + [eos] for line in lines if line]
+        pieces = [x[i:i + 2048] for x in ids for i in range(0, len(x), 2048)]
+        [pieces[i:i + 1000] for i in range(0, len(pieces), 1000)]
         out["bpe_chunked_sequences"] = time.perf_counter() - t0
     except FileNotFoundError:
         pass

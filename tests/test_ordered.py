@@ -1,9 +1,9 @@
-"""Order-dependent operators against plain-Python folds."""
+"""Order-dependent operators by hand-made cases and plain windows."""
 
 import random
+from itertools import accumulate
 
-from hypothesis import given, settings
-from hypothesis import strategies as st
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,15 +11,9 @@ from quarry.operators import ordered as O
 from tests.conftest import SF_MID, rows
 
 
-def budget_fold(ns, cap):
-    """The reference's generator: emit while total + n <= cap, stop at the first overflow."""
-    out, total = [], 0
-    for i, n in enumerate(ns):
-        if total + n > cap:
-            break
-        out.append(i)
-        total += n
-    return out
+def longest_prefix(ns, cap):
+    """The documents of the longest prefix whose tokens stay within the cap."""
+    return [i for i, total in enumerate(accumulate(ns)) if total <= cap]
 
 
 def frame(spark, ns, source="s"):
@@ -40,13 +34,20 @@ def test_budget_edges_h2(spark):
     assert kept_ids(O.token_budget(frame(spark, [4, 7, 0, 0]), 10)) == [0]
 
 
-@settings(max_examples=15, deadline=None)
-@given(st.lists(st.integers(0, 50), min_size=0, max_size=60), st.integers(0, 400), st.integers(1, 9))
-def test_budget_equals_fold(spark, ns, cap, buckets):
-    if not ns:
-        return
-    got = O.token_budget(frame(spark, ns), cap)
-    assert kept_ids(got) == budget_fold(ns, cap)
+@pytest.mark.parametrize("seed,cap", [(1, 400), (2, 0), (3, 3000)])
+def test_budget_is_the_longest_prefix(spark, seed, cap):
+    rnd = random.Random(seed)
+    ns = [rnd.randint(0, 50) for _ in range(60)]
+    assert kept_ids(O.token_budget(frame(spark, ns), cap)) == longest_prefix(ns, cap)
+
+
+def test_positions_in_the_order_of_several_keys(spark):
+    """Keys are columns: any number of lines in a document, any document number."""
+    data = [(2**31 + 5, i, i % 3) for i in range(70_000)] + [(0, 65_536, 0), (1, 0, 0), (-4, 2**40, 7), (-4, 3, 9)]
+    df = spark.createDataFrame(data, "doc long, line long, chunk long").repartition(7)
+    got = O.ordered_position(df, ["doc", "line", "chunk"]).collect()
+    want = {k: i for i, k in enumerate(sorted(data))}
+    assert len(got) == len(data) and all(want[r["doc"], r["line"], r["chunk"]] == r["pos"] for r in got)
 
 
 def test_running_sum_equals_plain_window_any_partitioning(spark):
@@ -70,6 +71,13 @@ def test_interleave_h3(spark):
     assert [(r["source_idx"], r["doc_id"]) for r in allx] == [(s, r % c) for r in range(5) for s, c in ((0, 3), (1, 4), (2, 5))]
 
 
+def test_interleave_partial_round(spark):
+    data = [(s, i) for s, c in ((0, 4), (1, 3), (2, 3), (3, 5)) for i in range(c)]
+    df = spark.createDataFrame(data, "source_idx int, doc_id long")
+    got = [(r["source_idx"], r["doc_id"]) for r in O.interleave(df, last_round="partial").orderBy("pos").collect()]
+    assert got == [(s, r) for r in range(3) for s in range(4)][:10]  # ends with the last row of source 1
+
+
 def test_row_cap_and_epochs(spark):
     df = frame(spark, [1] * 10, "a").unionByName(frame(spark, [1] * 3, "b"))
     assert rows(O.row_cap(df, 4), "source", "doc_id") == [("a", i) for i in range(4)] + [("b", i) for i in range(3)]

@@ -1,48 +1,15 @@
-"""Shards, packing, sequences and the global index (H7-H13, H16) against plain-Python folds."""
+"""Shards, packing, sequences and the global index (H7-H13, H16): hand-made cases and the properties that define them."""
 
-from hypothesis import given, settings
-from hypothesis import strategies as st
+import random
+from itertools import accumulate, groupby, pairwise
+
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import sequences as SQ
 from quarry.operators import shards as SH
 
 
-def reset_fold(ns, S):
-    """The reference's shard writer fold: close once the buffer holds >= S tokens."""
-    out, buf, shard = [], 0, 0
-    for n in ns:
-        out.append(shard)
-        buf += n
-        if buf >= S:
-            shard, buf = shard + 1, 0
-    return out
-
-
-def pack_fold(seqs, L, pad, eos):
-    """The reference's next-fit packer."""
-    packed, cur, cur_len = [], [], 0
-    for seq in seqs:
-        if seq and seq[-1] != eos:
-            seq = seq + [eos]
-        if cur_len + len(seq) <= L:
-            cur.extend(seq)
-            cur_len += len(seq)
-        else:
-            if cur:
-                packed.append(cur + [pad] * (L - len(cur)))
-            if len(seq) <= L:
-                cur, cur_len = seq[:], len(seq)
-            else:
-                for i in range(0, len(seq), L):
-                    c = seq[i:i + L]
-                    packed.append(c + [pad] * (L - len(c)))
-                cur, cur_len = [], 0
-    if cur:
-        packed.append(cur + [pad] * (L - len(cur)))
-    return packed
-
-
 def shards_of(spark, ns, S, mode, drop_tail=False):
     df = spark.createDataFrame([(i, n) for i, n in enumerate(ns)], "pos long, n_tokens long")
     got = SH.token_shards(df, S, "pos", mode=mode, drop_tail=drop_tail)
@@ -62,35 +29,76 @@ def test_shard_overshoot_h8(spark):
     assert shards_of(spark, [25, 1], 10, "balanced") == [0, 1]
 
 
-@settings(max_examples=12, deadline=None)
-@given(st.lists(st.integers(0, 30), min_size=1, max_size=80), st.integers(1, 60))
-def test_reset_equals_fold(spark, ns, S):
-    assert shards_of(spark, ns, S, "reset") == reset_fold(ns, S)
+@pytest.mark.parametrize("seed,S", [(1, 1), (2, 40)])
+def test_reset_shards_by_property(spark, seed, S):
+    rnd = random.Random(seed)
+    ns = [rnd.randint(0, 30) for _ in range(80)]
+    shards = shards_of(spark, ns, S, "reset")
+    assert shards[0] == 0 and all(b - a in (0, 1) for a, b in pairwise(shards))
+    sizes = [[n for _, n in g] for _, g in groupby(zip(shards, ns), key=lambda x: x[0])]
+    for own in sizes[:-1]:  # full, and only with the last document
+        assert sum(own) >= S > sum(own[:-1])
+    assert sum(sizes[-1][:-1]) < S
 
 
-def pack(spark, seqs, L, pad, eos, groups=None):
-    groups = groups or [0] * len(seqs)
-    df = spark.createDataFrame([(g, i, s) for i, (g, s) in enumerate(zip(groups, seqs))], "grp long, pos long, ids array<bigint>")
-    got = SH.pack_sequences(df, "ids", L, pad, eos, "grp", "pos").orderBy("grp", "pack").collect()
+def pack(spark, seqs, L, pad, eos):
+    df = spark.createDataFrame([(i * 3 - 7, s) for i, s in enumerate(seqs)], "pos long, ids array<bigint>").repartition(5)
+    got = SH.pack_sequences(df, "ids", L, pad, eos, "pos").orderBy("pack").collect()
+    assert [r["pack"] for r in got] == list(range(len(got)))
     return [list(r["input_ids"]) for r in got], [list(r["attention_mask"]) for r in got]
 
 
+def check_packs(seqs, packs, L, pad, eos):
+    """What defines next-fit packing: the packs without padding are the completed sequences in order; a pack is closed
+    only where the next sequence would not have fitted; a sequence longer than a pack has packs of its own."""
+    full = [s + [eos] if s and s[-1] != eos else s for s in seqs if s]
+    bodies = [p[: max((i + 1 for i, x in enumerate(p) if x != pad), default=0)] for p in packs]
+    assert all(len(p) == L for p in packs)
+    assert [x for b in bodies for x in b] == [x for s in full for x in s]
+    ends = list(accumulate(len(s) for s in full))
+    starts = [0, *ends]
+    at = 0
+    for k, body in enumerate(bodies):
+        i = max(j for j, x in enumerate(starts[:-1]) if x <= at)  # the sequence that the pack begins in
+        if len(full[i]) > L:
+            assert (at - starts[i]) % L == 0 and len(body) == min(L, ends[i] - at)
+        else:
+            assert starts[i] == at
+            last = at + len(body)
+            assert last in ends
+            if k + 1 < len(bodies):
+                assert len(body) + len(full[ends.index(last) + 1]) > L
+        at += len(body)
+
+
 def test_packing_h9(spark):
     ids, mask = pack(spark, [[1, 2], [3], [4, 9], [], [5, 6, 7, 8]], 4, 0, 9)
     assert ids == [[1, 2, 9, 0], [3, 9, 4, 9], [5, 6, 7, 8], [9, 0, 0, 0]]
     assert mask == [[1, 1, 1, 0], [1, 1, 1, 1], [1, 1, 1, 1], [1, 0, 0, 0]]
+    assert pack(spark, [[1], [2], [3], [4]], 8, 0, 9)[0] == [[1, 9, 2, 9, 3, 9, 4, 9]]
+    assert pack(spark, [[], []], 8, 0, 9) == ([], [])
+
 
+def test_packing_by_property(spark):
+    rnd, L = random.Random(7), 9
+    seqs = [[rnd.randint(1, 8) for _ in range(rnd.randint(0, 21))] for _ in range(60)]
+    check_packs(seqs, pack(spark, seqs, L, 0, 9)[0], L, 0, 9)
 
-@settings(max_examples=12, deadline=None)
-@given(st.lists(st.lists(st.integers(1, 8), max_size=12), min_size=1, max_size=30), st.integers(2, 9))
-def test_packing_equals_fold(spark, seqs, L):
-    assert pack(spark, seqs, L, 0, 9)[0] == pack_fold(seqs, L, 0, 9)
 
+def test_packing_crosses_every_bucket_edge(spark):
+    """One stream, many order buckets: no pack is closed early."""
+    seqs = [[i % 7 + 1] * (i * i % 11) for i in range(1500)]
+    check_packs(seqs, pack(spark, seqs, 50, 0, 9)[0], 50, 0, 9)
 
-def test_packing_restarts_per_group(spark):
-    seqs = [[1], [2], [3], [4]]
-    ids, _ = pack(spark, seqs, 8, 0, 9, groups=[0, 0, 1, 1])
-    assert ids == pack_fold(seqs[:2], 8, 0, 9) + pack_fold(seqs[2:], 8, 0, 9)
+
+def test_chain_starts(spark):
+    nxt = [min(k + 1 + k * k % 13, 1000) for k in range(1000)]
+    df = spark.createDataFrame([(k, n if n < 1000 else None) for k, n in enumerate(nxt)], "_k long, _next long")
+    want, k = [], 3
+    while k < 1000:
+        want.append(k)
+        k = nxt[k]
+    assert sorted(r[0] for r in SH.chain_starts(df, 3).collect()) == want
 
 
 def arr(spark, rows, col="ids"):
@@ -135,11 +143,8 @@ def test_global_index_lookup_h16(spark):
     assert got == [(0, 0, 0), (2, 0, 2), (3, 2, 0), (4, 2, 1)]
 
 
-def test_packing_default_groups_are_bounded_blocks(spark):
-    seqs = [[i % 7 + 1] * (i % 5) for i in range(40)]
-    df = spark.createDataFrame([(i * 3, s) for i, s in enumerate(seqs)], "k long, ids array<bigint>")
-    got = SH.pack_sequences(df, "ids", 6, 0, 9, None, "k", group_size=10).orderBy("grp", "pack").collect()
-    expect = []
-    for b in range(4):
-        expect += pack_fold(seqs[b * 10:(b + 1) * 10], 6, 0, 9)
-    assert [list(r["input_ids"]) for r in got] == expect
+def test_lookup_with_one_huge_shard(spark):
+    offs = spark.createDataFrame([(0, 1, 0, 1), (1, 10**12, 1, 10**12 + 1), (2, 5, 10**12 + 1, 10**12 + 6)], "shard long, n long, lo long, hi long")
+    idx = spark.createDataFrame([(0,), (1,), (10**12,), (10**12 + 1,), (10**12 + 5,), (10**12 + 6,), (-1,)], "idx long")
+    got = sorted(tuple(r) for r in SH.lookup_global_index(idx, offs).collect())
+    assert got == [(0, 0, 0), (1, 1, 0), (10**12, 1, 10**12 - 1), (10**12 + 1, 2, 0), (10**12 + 5, 2, 4)]

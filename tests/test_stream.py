@@ -1,5 +1,8 @@
-"""Stream = batch, including a restart between files (no loss, no duplicates)."""
+"""Stream = batch, including a restart between ranges (no loss, no duplicates)."""
 
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
@@ -8,27 +11,41 @@ from quarry.streaming import stream as ST
 from tests.conftest import SF_SMALL, rows
 
 
-def test_token_budget_stream_with_restart_equals_batch(spark):
+def test_token_budget_stream_equals_batch(spark):
+    """Each range is taken by a new run from the checkpoint: nothing is lost or taken twice."""
     p = ST.fresh(spark, "test-stream")
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "source", "text")
-    b = O.order_bucket(docs, "doc_id", 4, "_f")
+    caps = {f"src{i}": 500 + 100 * i for i in range(0, 20, 2)}  # the others have no limit
 
     def run():
         s = ST.file_stream(spark, p["input"], docs.schema)
         counted = s.select("source", "doc_id", T.whitespace_token_count("text").alias("n_tokens"))
-        kept = ST.stream_token_budget(counted, 800, "source string, doc_id long, n_tokens long")
-        ST.run_to_parquet(kept, p["out"], p["ckpt"])
-
-    for i in range(2):
-        b.filter(F.col("_f") == i).drop("_f").coalesce(1).write.mode("append").parquet(p["input"])
-    run()
-    for i in range(2, 4):
-        b.filter(F.col("_f") == i).drop("_f").coalesce(1).write.mode("append").parquet(p["input"])
-    run()  # restart from the checkpoint: only the new files, state carried over
+        ST.stream_token_budget(counted, caps, p["out"], p["state"], p["ckpt"])
+
+    ST.feed(docs, p["input"], "doc_id", 4, run)
     got = rows(spark.read.parquet(p["out"]), "source", "doc_id")
-    batch = O.token_budget(docs.withColumn("n_tokens", T.whitespace_token_count("text")), 800)
-    assert got == rows(batch, "source", "doc_id")
-    assert len(got) == len(set(got))
+    batch = O.token_budget(docs.withColumn("n_tokens", T.whitespace_token_count("text")), caps)
+    assert got == rows(batch, "source", "doc_id") and len(got) == len(set(got))
+    kept = sorted(f for f in os.listdir(p["state"].removeprefix("file:")) if f.startswith("batch_id="))
+    assert kept == ["batch_id=2", "batch_id=3"]  # older state is gone
+
+
+def test_a_missing_state_fails_the_batch(spark):
+    p = ST.fresh(spark, "test-lost-state")
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "source", "text")
+    runs = []
+
+    def run():
+        if runs:
+            ST._delete(spark, p["state"])
+        s = ST.file_stream(spark, p["input"], docs.schema)
+        counted = s.select("source", "doc_id", T.whitespace_token_count("text").alias("n_tokens"))
+        ST.stream_token_budget(counted, 800, p["out"], p["state"], p["ckpt"])
+        runs.append(1)
+
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|Path does not exist"):
+        ST.feed(docs, p["input"], "doc_id", 2, run)
+    assert len(runs) == 1
 
 
 def test_bpe_examples_stream_equals_batch(spark):
@@ -40,8 +57,7 @@ def test_bpe_examples_stream_equals_batch(spark):
 
     d = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text")
     ex = CP.fixed_length_examples(d, C.BPE, C.BPE_SEQ, ["doc_id"])
-    batch = ex.select("doc_id", F.aggregate("attention_mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_real"),
-                      F.element_at("input_ids", 1).alias("first_id"))
+    batch = ex.select("doc_id", F.array_join("input_ids", ",").alias("input_ids"), F.array_join("attention_mask", ",").alias("attention_mask"))
     assert got == rows(batch)
 
 
@@ -50,9 +66,11 @@ def test_stream_dedup_with_compaction_equals_batch(spark):
 
     p = ST.fresh(spark, "test-stream-dedup")
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "source", "text")
-    ST.write_ordered_files(docs, p["input"], "doc_id", 5)
-    s = ST.file_stream(spark, p["input"], docs.schema)
-    ST.stream_near_dedup(s, p["out"], p["state"], p["ckpt"], compact_every=2)
+    def run():
+        ST.stream_near_dedup(ST.file_stream(spark, p["input"], docs.schema), p["out"], p["state"], p["ckpt"], compact_every=2)
+
+    ST.feed(docs, p["input"], "doc_id", 7, run)
     got = rows(spark.read.parquet(p["out"]), "doc_id")
     assert got == rows(D.near_dedup(docs, "doc_id"), "doc_id")
-    assert spark.read.parquet(f"{p['state']}/compact").select("upto").distinct().count() == 2
+    left = sorted(f for f in os.listdir(p["state"].removeprefix("file:")) if "=" in f)
+    assert left == ["batch_id=4", "batch_id=5", "batch_id=6", "upto=4", "upto=6"]

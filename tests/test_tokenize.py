@@ -1,4 +1,4 @@
-"""BPE ids (F3) against direct tokenizer calls; C3 / C4 against plain-Python folds."""
+"""BPE ids (F3) against direct tokenizer calls; C3 / C4 by what defines them."""
 
 import pytest
 
@@ -43,23 +43,17 @@ def test_fixed_length_examples_equal_fold(spark, tok):
     assert got[3] == fold("x " * 100)
 
 
-def test_chunked_sequences_equal_fold(spark, tok):
+def test_chunked_sequences_are_the_lines_ids(spark, tok):
+    """Joined in order, a line's chunks are its ids and one EOS; only a line's last chunk is short."""
     eos = SPEC.eos()
     lines = ["  first line  ", "", "second " * 40, "   ", "third"]
     df = spark.createDataFrame(list(enumerate(lines)), "line_pos long, value string")
     got = CP.chunked_sequences(df, SPEC, seq_length=16, shard_size=5).orderBy("pos").collect()
-    expect, shard = [], []
-    for line in lines:
-        line = line.strip()
-        if not line:
-            continue
-        ids = tok.encode(line).ids
-        if ids and ids[-1] != eos:
-            ids.append(eos)
-        expect += [ids[i:i + 16] for i in range(0, len(ids), 16)] if len(ids) > 16 else [ids]
-    assert [list(r["input_ids"]) for r in got] == expect
-    assert [r["shard"] for r in got] == [i // 5 for i in range(len(expect))]
-    assert [r["pos"] for r in got] == list(range(len(expect)))
+    assert [(r["pos"], r["shard"], r["local_idx"]) for r in got] == [(i, i // 5, i % 5) for i in range(len(got))]
+    for k, line in enumerate(lines):
+        own = [list(r["input_ids"]) for r in got if r["line_pos"] == k]
+        assert [x for c in own for x in c] == (tok.encode(line.strip()).ids + [eos] if line.strip() else [])
+        assert all(len(c) == 16 for c in own[:-1])
 
 
 def test_special_tokens_follow_the_path(spark, tmp_path):
