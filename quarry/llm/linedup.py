@@ -13,7 +13,8 @@ and after it are the same too, and the three have ``MIN_WORDS`` words. Chunks me
 compared, and where bytes differ, each text decides for itself.
 
 Scale: what is grouped are narrow rows (document, chunk, hash), with partial aggregation, so a chunk that a third of all documents
-hold is no hot key. Texts move once, to meet the lists of their repeated chunks.
+hold is no hot key. A bitmap of fixed size of the repeated hashes lets most other chunks go before they are shuffled. Texts
+move once, to meet the lists of their repeated chunks.
 
 Edge cases. Null text: stays null. Empty or blank text: as it is. A text that loses all its words: "" (``clean``
 drops the row). Rows with the same doc_id and text count as one document and get the same result. Rows with one doc_id
@@ -32,6 +33,7 @@ from quarry.llm.common import arrow_rows, fresh, write_table
 from quarry.llm.hashing import buffer_of, mix, words
 
 LONG, WRAP, MIN_WORDS, MIN_RUN = 24, 2, 5, 16
+BITS = 24  # the bitmap of repeated hashes that is sent to all tasks has 2^BITS bits (2 MB)
 _K = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -106,17 +108,28 @@ def _chunk_rows(batches):
             ["id", "th", "chunk", "h"])
 
 
-def _evidence(batches):
-    """The bytes of the listed chunks."""
-    for batch in batches:
-        data, offsets = buffer_of(batch.column(2))
-        text, number, code, a, b, _, _, _ = chunks(data, offsets)
-        wanted = {(i, c) for i, cs in enumerate(batch.column(3).to_pylist()) for c in cs}
-        keep = [k for k, pair in enumerate(zip(text.tolist(), number.tolist())) if pair in wanted]
-        rows = pa.array(text[keep])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(number[keep], pa.int32()), pa.array(code[keep], pa.int64()),
-             pa.array([data[a[k]:b[k]].tobytes() for k in keep], pa.binary())], ["id", "th", "chunk", "h", "bytes"])
+def _evidence(bitmap: np.ndarray):
+    """The bytes of the chunks whose hashes are in the bitmap."""
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = buffer_of(batch.column(2))
+            text, number, code, a, b, _, _, keep = chunks(data, offsets)
+            bit = code.view(np.uint64) >> np.uint64(64 - BITS)
+            keep = np.flatnonzero(keep & ((bitmap[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1)).astype(bool))
+            rows = pa.array(text[keep])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(number[keep], pa.int32()), pa.array(code[keep], pa.int64()),
+                 pa.array([data[a[k]:b[k]].tobytes() for k in keep], pa.binary())], ["id", "th", "chunk", "h", "bytes"])
+
+    return run
+
+
+def _bits(hashes: DataFrame) -> DataFrame:
+    """(word, bits): a bitmap of 2^BITS bits of the hashes' first bits, 64 a row; its size doesn't grow with the data."""
+    place = F.shiftrightunsigned("h", 64 - BITS)
+    return hashes.select(F.shiftrightunsigned(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - BITS}) & 63 as int))").alias("bit")) \
+        .groupBy("word").agg(F.bit_or("bit").alias("bits"))
 
 
 def long_runs(listed: set, numbers: list, sizes: list) -> set:
@@ -163,6 +176,13 @@ def _cut(batches):
             [*batch.schema.names[:n - 2], "text", "chunks", "lines", "words"])
 
 
+def _bitmap(words: DataFrame) -> np.ndarray:
+    out = np.zeros(1 << (BITS - 6), np.uint64)
+    for r in words.collect():  # at most 2^(BITS - 6) rows
+        out[r["word"]] = r["bits"] & (1 << 64) - 1
+    return out
+
+
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """All rows and columns of ``docs`` with the repeated chunks cut out of ``text``, and three more columns: the
     number of chunks, lines and words that were removed (removed_chunks, removed_lines, removed_words)."""
@@ -173,8 +193,12 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     rows = docs.select(F.col(key).alias("id"), th.alias("th"), body.alias("t")).filter("t is not null")
     table = write_table(rows.mapInArrow(_chunk_rows, f"id {kind}, th long, chunk int, h long"), "chunks")
     place = F.struct("id", "th", "chunk")
-    many = table.groupBy("h").count().filter("count > 1").select("h")
-    met = write_table(table.join(many, "h", "left_semi"), "met")
+    many = write_table(table.groupBy("h").count().filter("count > 1").select("h"), "repeated")
+    bits = write_table(_bits(many), "bitmap")
+    word = F.shiftrightunsigned(F.shiftrightunsigned("h", 64 - BITS), 6) == F.col("word")
+    hit = F.expr(f"shiftright(bits, cast(shiftrightunsigned(h, {64 - BITS}) & 63 as int)) & 1 = 1")
+    maybe = table.join(F.broadcast(bits), word).filter(hit).select("id", "th", "chunk", "h")  # most others go before the shuffle
+    met = write_table(maybe.join(many, "h", "left_semi"), "met")
     # rows that repeat in full give the same places
     first = met.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last").select("h", "first")
     hits = write_table(met.join(first, "h").select("id", "th", "chunk", "h", (place == F.col("first")).alias("stays")), "hits")
@@ -183,16 +207,15 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     mine = lambda frame: listed(frame).select(F.col("id").alias(i), F.col("th").alias(h), F.col("chunks").alias(got))
     meets = lambda a, b: a[key].eqNullSafe(b[i]) & (th == b[h])
 
-    here = mine(hits)
-    proof = docs.join(here, meets(docs, here)).select(F.col(key).alias("id"), F.col(h).alias("th"), body.alias("t"), F.col(got).alias("chunks"))
-    proof = proof.mapInArrow(_evidence, f"id {kind}, th long, chunk int, h long, bytes binary")
+    proof = rows.mapInArrow(_evidence(_bitmap(bits)), f"id {kind}, th long, chunk int, h long, bytes binary")
     false = write_table(proof.groupBy("h").agg(F.min("bytes").alias("a"), F.max("bytes").alias("b")).filter("a != b").select("h"), "collisions")
     gone = hits.filter("not stays").select("id", "th", "chunk", "h")
     if not false.isEmpty():  # hashes that met by chance: by their bytes
+        proof = rows.mapInArrow(_evidence(_bitmap(_bits(false))), f"id {kind}, th long, chunk int, h long, bytes binary")
         apart = proof.join(false, "h", "left_semi")
         first = apart.groupBy("h", "bytes").agg(F.min(place).alias("first"))
         more = apart.join(first, ["h", "bytes"]).filter(place != F.col("first")).select("id", "th", "chunk", "h")
-        gone = gone.join(false, "h", "left_anti").unionByName(more.select("id", "th", "chunk", "h"))
+        gone = gone.join(false, "h", "left_anti").unionByName(more)
     there = mine(gone)
     names = fresh(docs, "removed_chunks", "removed_lines", "removed_words")
     others = [c for c in docs.columns if c != text]

@@ -115,9 +115,12 @@ def test_chance_hashes_are_told_apart(spark, monkeypatch):
         module.chunks = weak
         yield from module_rows(batches)
 
-    def proof(batches):
-        module.chunks = weak
-        yield from module_proof(batches)
+    def proof(bitmap):
+        def run(batches):
+            module.chunks = weak
+            yield from module_proof(bitmap)(batches)
+
+        return run
 
     module_rows, module_proof = linedup._chunk_rows, linedup._evidence
     monkeypatch.setattr(linedup, "_chunk_rows", rows)
