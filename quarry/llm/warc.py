@@ -30,6 +30,7 @@ from quarry.llm.common import arrow_rows, write_table
 from quarry.session import scratch_path
 
 FILE_BYTES = 1 << 30  # a task begins another file beyond this
+BLOCK_BYTES = 4 << 20  # of a file that one task reads
 _INDEX = ("page_id string, url string, payload_digest string, payload_bytes long, record_type string, refers_to string, "
           "file string, offset long, length long")
 
@@ -156,6 +157,8 @@ def _reader(run_bytes: int, gap_bytes: int):
 
 def read_records(index: DataFrame, run_bytes: int = 4 << 20, gap_bytes: int = 64 << 10) -> DataFrame:
     """The records that the rows of ``index`` (file, offset, length) point to; payload is null for revisits."""
-    rows = (index.select("file", "offset", "length").repartition("file", F.floor(F.col("offset") / (32 << 20)))
+    # as many tasks as there are blocks to read; the index alone, a few bytes a record, would make one
+    size = index.agg(F.sum("length")).first()[0] or 0
+    rows = (index.select("file", "offset", "length").repartition(size // BLOCK_BYTES + 1, "file", F.floor(F.col("offset") / BLOCK_BYTES))
             .sortWithinPartitions("file", "offset"))
     return rows.mapInArrow(_reader(run_bytes, gap_bytes), _READ)
