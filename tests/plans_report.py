@@ -19,7 +19,7 @@ NOTES = {
     "near_dedup": "Final pass: ReadSchema prunes `text` away; the dropped set (written) joins on the position.",
     "interleave_first_exhausted": "Filters pushed into the scan; a window per (source, bucket); broadcast bucket offsets and per-source stats.",
     "token_shards_balanced": "Shard ids come from a prefix sum on narrow rows; the wide side joins once on the order key.",
-    "pack_ids": "Lengths folded in Arrow per bounded group; ids assembled by groupBy(group, pack) (at most seq_length ids per pack).",
+    "pack_ids": "Packs of the whole stream planned on (pos, length); ids assembled by groupBy(pack) (at most seq_length ids per pack).",
     "bpe_token_counts": "One Arrow Python stage (BPE) after the pruned scan; nothing else.",
     "flagship_mixture": "lang filter pushed to parquet; budget by cut-off join; rollup over one row per source.",
 }

@@ -45,7 +45,6 @@ def results(spark, docs):
 
 def main(sf_dir):
     spark = get_session("local[4,3]", shuffle_partitions=4, app="retry-probe")
-    spark.conf.set("quarry.smallTableRows", "0")  # the cluster path
     base = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text").repartition(4, "doc_id")
     clean = results(spark, base)
     failing = results(spark, flaky(base))

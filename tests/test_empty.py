@@ -16,6 +16,8 @@ def test_empty_inputs(spark):
     assert SH.token_shards(docs, 10, "doc_id", mode="balanced").count() == 0
     assert SH.token_shards(docs, 10, "doc_id", mode="reset").count() == 0
     seqs = spark.createDataFrame([], "grp long, pos long, ids array<bigint>")
-    assert SH.pack_sequences(seqs, "ids", 4, 0, 9, "grp", "pos").count() == 0
+    assert SH.pack_sequences(seqs, "ids", 4, 0, 9, "pos").count() == 0
+    assert O.ordered_position(docs, ["source_idx", "doc_id"]).count() == 0
+    assert O.interleave(docs, strategy="all_exhausted").count() == 0
     m = R.mixture_profile(docs).collect()  # Spark's rollup of no rows has no total row either
     assert len(m) <= 1 and all(not r["docs"] for r in m)
