@@ -46,3 +46,13 @@ def test_weights_and_hot_keys(spark):
     heavy = sum(r.shard == 1 for r in rows if r.doc_id != 7)
     assert 0.68 < heavy / 2000 < 0.82
     assert shard.with_shard(df, "doc_id", [1.0]).agg(F.max("shard")).first()[0] == 0
+
+
+def test_shards_equal_sql(spark):
+    """The hashing itself, stated in SQL (slots and crc32 have no form in it)."""
+    from quarry.llm.queries import OP3_SQL, op3_shards
+    from tests.conftest import SF_SMALL
+    from tests.oracle_compare import duck
+
+    got = sorted((r.doc_id, r["size"], r.shard, r.grown_shard) for r in op3_shards(spark, SF_SMALL).collect())
+    assert got == sorted(duck(SF_SMALL).sql(OP3_SQL).fetchall())
