@@ -1,12 +1,14 @@
 r"""Line deduplication by content-defined chunks of lines.
 
-Lines are the text's lines; a line of more than ``LONG`` words is wrapped into lines that end after words whose hash is 0 modulo
-``WRAP``, so the same passage wraps alike wherever it stands. A rolling hash over the hashes of two lines chooses the
-chunks' boundaries: a chunk begins where the rolling hash is a local minimum, and at the start and after the end
-of every wrapped line. A chunk of one line or fewer than ``MIN_WORDS`` words joins the chunk before it. Boundaries depend on the
-lines around them only, so inserted or removed text shifts none beyond its neighbours.
-
-A chunk of at least two lines and ``MIN_WORDS`` words that occurs more than once in the corpus stays at its first place, by
+Lines are the text's lines; every line of ``MIN_WORDS`` words and more is wrapped into pieces that end after words whose hash is 0
+modulo ``WRAP``, so the same passage wraps alike wherever it stands; a shorter line is a piece of its own. A rolling hash over the
+hashes of two pieces chooses the chunks' boundaries: a chunk begins where the rolling hash is a local minimum, and at the start and
+after the end of every wrapped line, so a repeated line has the same chunks whatever lines stand around it. Inside these borders a
+chunk of one piece joins the chunk before it, in a wrapped line also one of fewer than ``MIN_WORDS`` words; a first chunk that is as
+short takes in the next one. Boundaries depend on the pieces around them only, so inserted or removed text shifts none beyond its
+neighbours.
+
+A chunk of at least ``MIN_WORDS`` words that occurs more than once in the corpus stays at its first place, by
 (doc_id, place in the text), and elsewhere is removed, with the repeated chunks beside it, where these have ``MIN_RUN`` words
 together; so a short phrase that two texts share by chance stays. A smaller chunk counts as repeated only where the chunks before
 and after it are the same too, and the three have ``MIN_WORDS`` words. Chunks meet by a 64-bit hash; all bytes of those that meet are
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import arrow_rows, fresh, write_table
 from quarry.llm.hashing import buffer_of, mix, words
 
-LONG, WRAP, MIN_WORDS, MIN_RUN = 24, 2, 5, 16
+WRAP, MIN_WORDS, MIN_RUN = 2, 5, 16
 BITS = 24  # the bitmap of repeated hashes that is sent to all tasks has 2^BITS bits (2 MB)
 _K = np.uint64(0x9FB21C651E98DF25)
 
@@ -55,10 +57,10 @@ def chunks(data: np.ndarray, offsets: np.ndarray):
     after[1:] = (newlines[begin[1:]] != newlines[begin[:-1]]) | (doc[1:] != doc[:-1])
     line = np.flatnonzero(after)
     size = np.diff(np.append(line, n))
-    wrapped = _spread(size > LONG, line, n)
+    wrapped = _spread(size >= MIN_WORDS, line, n)
     cut = after.copy()
     cut[1:] |= wrapped[:-1] & (hashes[:-1] % np.uint64(WRAP) == 0)
-    # units: lines, and the pieces of wrapped ones
+    # units: short lines, and the pieces of wrapped ones
     unit = np.flatnonzero(cut)
     at = np.arange(n) - _spread(unit, unit, n)
     total = np.concatenate([[np.uint64(0)], np.cumsum(mix(hashes + at.astype(np.uint64) * _K))])
@@ -77,7 +79,12 @@ def chunks(data: np.ndarray, offsets: np.ndarray):
     first = np.flatnonzero(low)
     n_units = np.diff(np.append(first, m))
     n_words = np.diff(np.append(unit[first], n))
-    joins = ~hard[first] & ((n_units < 2) | (n_words < MIN_WORDS))
+    joins = ~hard[first] & ((n_units < 2) | ((n_words < MIN_WORDS) & long_unit[first]))
+    first = first[~joins]
+    # a line's first chunk can't join one before it, so the next one joins it
+    n_words = np.diff(np.append(unit[first], n))
+    joins = np.zeros(len(first), bool)
+    joins[1:] = ~hard[first[1:]] & hard[first[:-1]] & (n_words[:-1] < MIN_WORDS)
     first = first[~joins]
     last = np.append(first[1:], m)
     a, b = unit[first], np.append(unit, n)[last]
@@ -88,7 +95,7 @@ def chunks(data: np.ndarray, offsets: np.ndarray):
     number = np.arange(len(first)) - np.searchsorted(text, text, "left")
     size, lines = b - a, last - first
     # a small chunk goes by itself and its neighbours in the text
-    small = (size < MIN_WORDS) | (lines < 2)
+    small = size < MIN_WORDS
     inside = text[1:] == text[:-1]
     before, behind = np.zeros_like(code), np.zeros_like(code)
     before[1:], behind[:-1] = np.where(inside, code[:-1], np.uint64(0)), np.where(inside, code[1:], np.uint64(0))

@@ -139,3 +139,33 @@ def test_awkward_rows(spark):
     assert text[0] is None and text[1] == "" and text[2] == " \n\t " and text[7] == "12345 !!"
     assert linedup.clean(df).columns == df.columns
     assert linedup.dedup_lines(empty(spark)).count() == 0
+
+
+def test_passages_of_short_lines_between_short_lines_are_cut(spark):
+    rng = random.Random(8)
+    line = lambda n: prose(rng, n)
+    around = lambda: [line(rng.randint(5, 20)) for _ in range(6)]
+    for shape in ((18, 18, 18), (24, 24, 24), (15, 15, 15, 15), (6, 20, 9, 17, 8), (10, 10, 10, 10, 10, 10)):
+        passage = [line(n) for n in shape]
+        heads, tails = [around() for _ in range(4)], [around() for _ in range(4)]
+        got = run(documents(spark, ["\n".join([*h, *passage, *t]) for h, t in zip(heads, tails)]))
+        assert got[0].removed_words == 0
+        for i in range(1, 4):
+            assert got[i].text.split("\n") == heads[i] + tails[i] and got[i].removed_words == sum(shape)
+
+
+def test_passages_of_tiny_lines_are_cut(spark):
+    rng = random.Random(9)
+    tiny = lambda count, n: [prose(rng, n) for _ in range(count)]
+    for count, n in ((60, 1), (30, 2), (18, 3)):
+        passage = tiny(count, n)
+        docs = ["\n".join(tiny(9, 2) + passage + tiny(9, 2)) for _ in range(20)]
+        got = run(documents(spark, docs))
+        assert got[0].text == docs[0] and all(0.5 * count * n < got[i].removed_words <= count * n for i in range(1, 20))
+
+
+def test_a_short_repeated_line_stays(spark):
+    rng = random.Random(10)
+    docs = ["\n".join([prose(rng, 12), "read more about this in our weekly letter", prose(rng, 15)]) for _ in range(10)]
+    got = run(documents(spark, docs))
+    assert all(got[i].text == docs[i] for i in range(10))
