@@ -81,3 +81,24 @@ def test_distances_equal_brute_force(spark):
             p, q = [own[w] / n for w, _ in top], [c / sum(totals[lang].values()) for _, c in top]
             found.append((js([*p, 1 - sum(p)], [*q, 1 - sum(q)]), lang))
         assert r.word_distance == pytest.approx(min(found)[0], abs=1e-6) and r.language == min(found)[1]
+
+
+def test_every_language_has_a_reference(spark):
+    """More languages than any fixed number: the rare ones are held against their own words and character classes."""
+    import random
+
+    rng = random.Random(5)
+    texts, langs = [], []
+    for k in range(90):
+        own = [f"{chr(0x4E00 + k)}{j}" if k % 3 else f"w{k}x{j}" for j in range(30)]
+        for _ in range(3 if k < 70 else 2):
+            texts.append(" ".join(rng.choices(own, range(30, 0, -1), k=120 if k < 70 else 60)))
+            langs.append(f"l{k:02}")
+    texts.append(" ".join(rng.choice("0123456789") + chr(0x3041 + rng.randrange(80)) + str(j) for j in range(80)))  # shares no word
+    langs.append(None)
+    rows = {r.doc_id: r for r in quality.quality(documents(spark, texts, langs=langs)).collect()}
+    for i, lang in enumerate(langs[:-1]):
+        assert rows[i].language == lang and rows[i].kept
+    assert not any(r.base_failed for r in rows.values())
+    alone = rows[len(texts) - 1]
+    assert alone.language is not None and alone.word_distance > 0.9 and not alone.kept
