@@ -5,9 +5,11 @@ bucket is its share of the text's n-grams times the bucket's inverse document fr
 learned by follow-the-regularised-leader (FTRL-proximal) with elastic-net penalties, so most buckets keep weight 0. Then a
 temperature is chosen on a part of the sample that wasn't learned from, to make the scores honest probabilities.
 
-The model is fitted on a sample of at most ``sample`` labelled rows, those whose keys have the least md5; its document
-frequencies are the sample's. What the driver gets is a row's distinct buckets and counts, made on the
-executors: at most ``sample`` x ``2^BITS`` small numbers, in practice about a thousand a row.
+The model is fitted on a sample of ``sample`` labelled rows: of each language the ``EACH`` rows whose keys have the least md5 (fewer
+where ``sample`` doesn't hold as many of all languages, at least one), and then those with the least md5 of all. With more than
+``sample`` languages it holds one row of each. The document frequencies are those of all rows that may be learned from. What the
+driver gets is a row's distinct buckets and counts, made on the executors: at most ``sample`` x ``2^BITS`` small numbers, in
+practice about a thousand a row.
 
 Prediction needs no bucket counts: the score of a class is the mean over all n-grams of the text of that n-gram's
 weight, so a text of any length is summed block by block.
@@ -23,12 +25,13 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import arrow_rows
+from quarry.llm.common import arrow_rows, write_table
 
 ORDER, BITS, SCALE = 3, 16, 10.0
+EACH = 50  # rows of each language in the sample
 BLOCK = 1 << 18
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -64,6 +67,20 @@ def _bag(batches):
                                          ["lang", "at", "counts"])
 
 
+def _frequencies(batches):
+    """How many of the texts have each bucket; the last entry counts the texts."""
+    total = np.zeros((1 << BITS) + 1, np.int64)
+    for batch in batches:
+        for text in batch.column(0):
+            own = np.zeros(1 << BITS, bool)
+            for b in buckets(text.as_py().lower()):
+                own[b] = True
+            total[:-1] += own
+            total[-1] += 1
+    hit = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[hit])], ["i", "n"])
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=-1, keepdims=True))
     return e / e.sum(axis=-1, keepdims=True)
@@ -89,16 +106,19 @@ class Model:
 
 
 def fit(rows: list[tuple[str, list[int], list[int]]], alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1,
-        epochs: int = 3, held: int = 5) -> Model:
-    """FTRL-proximal over rows of (language, buckets, counts); every ``held``-th row calibrates the temperature."""
+        epochs: int = 3, held: int = 5, frequencies: np.ndarray | None = None) -> Model:
+    """FTRL-proximal over rows of (language, buckets, counts); every ``held``-th row calibrates the temperature. ``frequencies``: the
+    number of texts with each bucket and, last, of all texts; without it those of the rows."""
     labels = sorted({r[0] for r in rows})
     k = len(labels)
     if k < 2:
         return Model(labels, np.zeros((k, 1 << BITS), np.float32), np.zeros(k), 1.0)
-    seen = np.zeros(1 << BITS)
-    for _, at, _ in rows:
-        seen[np.asarray(at, np.int64)] += 1
-    idf = np.log((1 + len(rows)) / (1 + seen)) + 1
+    if frequencies is None:
+        frequencies = np.zeros((1 << BITS) + 1)
+        for _, at, _ in rows:
+            frequencies[np.asarray(at, np.int64)] += 1
+        frequencies[-1] = len(rows)
+    idf = np.log((1 + frequencies[-1]) / (1 + frequencies[:-1])) + 1
     data = []
     for lang, at, counts in rows:
         at, counts = np.asarray(at, np.int64), np.asarray(counts, np.float64)
@@ -136,18 +156,27 @@ def fit(rows: list[tuple[str, list[int], list[int]]], alpha: float = 0.3, beta:
 
 
 def train(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 4000) -> Model:
-    """A model fitted on at most ``sample`` of the rows for which ``learn`` holds and language and text aren't null."""
+    """A model fitted on ``sample`` of the rows for which ``learn`` holds and language and text aren't null."""
     arrow_rows(docs.sparkSession)
     rows = docs.filter(learn & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    order = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
-    n = docs.filter(learn & F.col(lang).isNotNull()).count()  # narrow; then few more rows than needed are ordered
-    share = min(1.0, 1.25 * (sample + 200) / max(n, 1))
-    rows = rows.withColumn("o", order).filter(F.conv(F.substring("o", 1, 8), 16, 10).cast("long") <= int(share * 2**32))
-    chosen = (rows.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), "o")
-              .orderBy("o", "lang", "text").limit(sample))
-    bags = chosen.select("lang", "text", "o").repartition(16, "o").select("lang", "text").mapInArrow(_bag, "lang string, at array<int>, counts array<int>")
+    place = F.struct(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("o"), F.xxhash64(F.col(text).cast("string")).alias("th"))
+    rows = rows.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), place.alias("place"))
+    total = np.zeros((1 << BITS) + 1)
+    for r in rows.select("text").mapInArrow(_frequencies, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
+        total[r["i"]] = r["n"]
+    ranked = rows.select("lang", "place", F.row_number().over(Window.partitionBy("lang").orderBy("place")).alias("rank")).filter(F.col("rank") <= EACH)
+    first = write_table(ranked, "langid-first")  # at most EACH narrow rows a language
+    languages = first.select("lang").distinct().count()
+    each = min(EACH, max(1, sample // max(languages, 1)))
+    last = first.filter(F.col("rank") <= each).groupBy("lang").agg(F.max("place").alias("last"))
+    share = min(1.0, 1.25 * (sample + 200) / max(total[-1], 1))  # few more rows than needed are ordered
+    own = F.col("place") <= F.col("last")
+    near = F.conv(F.substring("place.o", 1, 8), 16, 10).cast("long") <= int(share * 2**32)
+    chosen = rows.join(F.broadcast(last), "lang").select("lang", "text", "place", own.alias("own")).filter(F.col("own") | near) \
+        .orderBy(F.desc("own"), "place", "lang", "text").limit(max(sample, languages))
+    bags = chosen.select("lang", "text", "place").repartition(16, "place").select("lang", "text").mapInArrow(_bag, "lang string, at array<int>, counts array<int>")
     got = [(r["lang"], r["at"], r["counts"]) for r in bags.collect()]
-    return fit(sorted(got))
+    return fit(sorted(got), frequencies=total)
 
 
 def _predictor(model: Model):

@@ -50,3 +50,26 @@ def test_blocks_and_sparsity(monkeypatch):
     rows = [("ab"[i % 2], [int(x) for x in {i % 2 + 2, *rng.integers(10, 900, 5)}], None) for i in range(200)]
     model = langid.fit([(a, b, [1] * len(b)) for a, b, _ in rows], l1=1.0)
     assert (model.table == 0).mean() > 0.98 and (model.table[:, 2] != 0).all()
+
+
+def test_rare_languages_are_in_the_sample(spark, monkeypatch):
+    texts = [("the cat and the dog", "le chat et le chien")[i % 2] + f" {i}" for i in range(400)] + ["kato kaj hundo estas", "hundo kaj kato iras"]
+    langs = [("en", "fr")[i % 2] for i in range(400)] + ["eo", "eo"]
+    docs, seen = documents(spark, texts, langs=langs), {}
+    real = langid.fit
+
+    def fit(rows, **more):
+        seen.update(rows=rows, **more)
+        return real(rows, **more)
+
+    monkeypatch.setattr(langid, "fit", fit)
+    for sample in (20, 2):  # the second holds fewer rows than there are languages
+        model = langid.train(docs, F.lit(True), sample=sample)
+        assert model.labels == ["en", "eo", "fr"] and len(seen["rows"]) == max(sample, 3)
+        want = np.zeros((1 << langid.BITS) + 1)
+        for t in texts:
+            want[np.unique(np.concatenate(list(langid.buckets(t))))] += 1
+        want[-1] = len(texts)
+        assert np.array_equal(seen["frequencies"], want)
+    alike = documents(spark, texts, ids=[None] * len(texts), langs=langs)
+    assert langid.train(alike, F.lit(True), sample=20).labels == ["en", "eo", "fr"]
