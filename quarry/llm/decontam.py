@@ -13,10 +13,13 @@ edit distance of the item to the best stretch around the window.
 All windows (every start in every document) are covered, yet few are walked: a window can only collide where the word of
 the first sampled step stands within as many words of its start, so only the windows before such words are walked.
 
+Items of fewer than ``MIN_ITEM`` words have too few steps to sample. At less than one edit they meet the documents' word n-grams of
+their length; if ``max_edits`` allows them edits, they are held against every document.
+
 Scale: two passes over the texts, no shuffle of documents. Items are sent to the executors in parts of at most
 ``PART`` items, each with its own pass, so what is broadcast is bounded.
 
-Edge cases. Null texts: no words. Items of fewer than ``MIN_ITEM`` words: not searched. Repeated rows, null keys: as any row; equal items
+Edge cases. Null texts: no words. Items without words: not searched. Repeated rows, null keys: as any row; equal items
 each match. Empty tables: no rows. A text of any length: words are hashed in blocks. Extra columns: ignored.
 """
 
@@ -53,6 +56,15 @@ def embed(item: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64)
 
 
+def _grams(text: np.ndarray, m: int) -> np.ndarray:
+    """A hash of every ``m`` words in a row."""
+    n = max(len(text) - m + 1, 0)
+    out = text[:n].copy()
+    for k in range(1, m):
+        out = mix(out * _SEED) + text[k:k + n]
+    return out
+
+
 class Index:
     """The sampled steps of all items: by first word, entries (item, rep, step 1, step 2, word 2)."""
 
@@ -60,7 +72,11 @@ class Index:
         rng = np.random.default_rng(11)
         self.items, rows = items, []
         self.seeds = _seeds(repeats, 4 * max((len(own) for _, own in items), default=1))
+        self.short: dict[int, list[tuple[int, int]]] = {}  # by length, (hash, item) of the items under MIN_ITEM words
         for number, (_, own) in enumerate(items):
+            if len(own) < MIN_ITEM:
+                self.short.setdefault(len(own), []).append((int(_grams(own, len(own))[0]), number))
+                continue
             order = sorted(range(len(own)), key=lambda i: (counts.get(int(own[i]), 0), i))
             rare = np.zeros(len(own), bool)
             rare[order[: max(4, len(own) // 3)]] = True
@@ -157,6 +173,33 @@ class Index:
                     best = (doc, item, low + a - int(firsts[doc]), b - a, edits)
             if best:
                 out.append(best)
+        return out + self.short_matches(text, firsts, max_edits)
+
+    def short_matches(self, text: np.ndarray, firsts: np.ndarray, max_edits: float) -> list[tuple]:
+        """``matches`` of the items under ``MIN_ITEM`` words; of equal stretches the first."""
+        out = []
+        for m, pairs in sorted(self.short.items()):
+            most = int(max_edits * m)
+            if most:
+                for doc in range(len(firsts) - 1):
+                    for _, item in pairs:
+                        edits, a, b = nearest(self.items[item][1], text[firsts[doc]:firsts[doc + 1]])
+                        if edits <= most:
+                            out.append((doc, item, a, b - a, edits))
+                continue
+            pairs = sorted(pairs)
+            codes, grams = np.array([c for c, _ in pairs], np.uint64), _grams(text, m)
+            low, high = np.searchsorted(codes, grams, "left"), np.searchsorted(codes, grams, "right")
+            at = np.flatnonzero(high > low)
+            doc = np.searchsorted(firsts, at, "right") - 1
+            inside = at + m <= firsts[doc + 1]
+            at, doc = at[inside], doc[inside]
+            # the first place of each n-gram in each text
+            _, once = np.unique(np.stack([doc, low[at]]), axis=1, return_index=True)
+            for k in np.sort(once):
+                i, d = int(at[k]), int(doc[k])
+                out += [(d, item, i - int(firsts[d]), m, 0) for _, item in pairs[low[i]:high[i]]
+                        if np.array_equal(self.items[item][1], text[i:i + m])]
         return out
 
 
@@ -227,11 +270,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     result = None
     for part in range(parts):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).orderBy("item_id", "text").collect()
-        own = [(r["item_id"], a) for r, a in zip(rows, _word_arrays([r["text"] for r in rows])) if len(a) >= MIN_ITEM]
+        own = [(r["item_id"], a) for r, a in zip(rows, _word_arrays([r["text"] for r in rows])) if len(a)]
         if not own:
             continue
-        vocabulary = np.unique(np.concatenate([a for _, a in own]))
-        seen = (docs.select(F.col(text).cast("string").alias("t")).mapInArrow(_counting(vocabulary), "i long, n long")
+        vocabulary = np.unique(np.concatenate([np.empty(0, np.uint64), *[a for _, a in own if len(a) >= MIN_ITEM]]))
+        seen = [] if not len(vocabulary) else (docs.select(F.col(text).cast("string").alias("t")).mapInArrow(_counting(vocabulary), "i long, n long")
                 .groupBy("i").agg(F.sum("n").alias("n")).collect())
         index = Index(own, {int(vocabulary[r["i"]]): r["n"] for r in seen}, repeats)
         found = docs.select(key, F.col(text).cast("string").alias(fresh(docs, "t")[0])).mapInArrow(_searching(index, max_edits), schema)

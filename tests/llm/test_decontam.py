@@ -84,3 +84,26 @@ def test_nearest():
     assert decontam.nearest(a, np.array([9, 1, 2, 4, 9], np.uint64))[0] == 1
     assert decontam.nearest(a, np.array([9, 1, 2, 3, 4], np.uint64)) == (0, 1, 5)
     assert decontam.nearest(a, np.array([], np.uint64))[0] == 4
+
+
+def test_short_items_match_exact_copies(spark):
+    rng = random.Random(3)
+    word = lambda: rng.choice("abcdefgh") + str(rng.randrange(3))
+    bench = [" ".join(word() for _ in range(n)) for n in (1, 1, 2, 2, 3, 3, 4, 4)] + ["zz", "b1 zz", "", "one two three four five six"]
+    bench.append(bench[4])
+    texts = [" ".join(word() for _ in range(rng.randrange(1, 120))).upper() for _ in range(60)] + ["", "zz", "b1", "zz b1", "b1\nzz", None]
+    for own in (bench, [b for b in bench if len(b.split()) < 5]):
+        got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(documents(spark, texts), items(spark, own)).collect()}
+        want = {}
+        for d, t in enumerate(texts):
+            have = (t or "").lower().split()
+            for i, b in enumerate(own):
+                m = len(b.split())
+                places = [k for k in range(len(have) - m + 1) if have[k:k + m] == b.split()]
+                if m and places:
+                    want[d, i] = (places[0], m, 0)
+        assert {k: (r.start_word, r.match_words, r.edits) for k, r in got.items()} == want and len(want) > 50
+    left = decontam.clean(documents(spark, texts), items(spark, ["b1 zz"])).collect()
+    assert len(left) == len(texts) - 1
+    loose = decontam.contaminated(documents(spark, ["x p q s y", "k l"]), items(spark, ["p q r s"]), max_edits=0.25).collect()
+    assert [(r.doc_id, r.edits) for r in loose] == [(0, 1)]
