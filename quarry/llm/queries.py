@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, decontam, langid, linedup, neardup, pack, quality, shard, tokens, warc
+from quarry.llm import chat, decontam, langid, linedup, merkle, neardup, pack, quality, shard, tokens, warc
 from quarry.sources.tables import table_path
 
 
@@ -148,5 +148,58 @@ def op10_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.crc32(left).alias("kept_crc32"), (F.col("removed_words") > 0).alias("changed"))
 
 
-QUERIES = {"op5_decontam": op5_decontam, "op10_linedup": op10_linedup, "op7_langid": op7_langid, "op8_quality": op8_quality, "op9_neardup": op9_neardup, "op1_chat": op1_chat, "op2_pack": op2_pack, "op3_shards": op3_shards, "op4_warc": op4_warc, "op6_tokens": op6_tokens}
-SQL = {"op9_neardup": OP9_SQL, "op4_warc": OP4_SQL}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle proofs of all documents, checked against rows some of which were tampered with."""
+    docs = _read(spark, sf_dir, "documents")
+    hit = F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 7 == 0, F.lit(False))
+    return merkle.manifest(docs, {"n_chars": F.when(hit, F.col("n_chars") + 1).otherwise(F.col("n_chars"))})
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII string in DuckDB: one byte after the other, eight shifts each."""
+    shifts = "list_reduce(list_prepend(xor(c, b), range(8)), lambda v, i: case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end)"
+    chars = f"list_transform(string_split({text}, ''), lambda ch: ascii(ch)::bigint)"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {chars}), lambda c, b: {shifts}), 4294967295)"
+
+
+def _leaf(n_chars: str) -> str:
+    parts = [f"coalesce(strlen({v}::varchar) || ':' || {v}::varchar, '-')" for v in ("doc_id", "source", "lang", n_chars, "text")]
+    return f"sha256({' || '.join(parts)})"
+
+
+OP11_SQL = f"""
+with recursive leaves as materialized (
+  select doc_id, lang, dense_rank() over (order by lang nulls first) - 1 as g, {_leaf('n_chars')} as leaf,
+         {_leaf(f"case when {_crc32('doc_id::varchar')} % 7 = 0 then n_chars + 1 else n_chars end")} as found
+  from documents),
+slots as materialized (select *, row_number() over (partition by g order by doc_id nulls first, leaf) - 1 as slot from leaves),
+nodes as (
+  select g, 0 as level, slot, leaf as h, count(*) over (partition by g) as n from slots
+  union all
+  select g, any_value(level) + 1, slot // 2, sha256(string_agg(h, '' order by slot)), (any_value(n) + 1) // 2
+  from nodes where n > 1 group by g, slot // 2),
+tops as (
+  select 0 as level, g as slot, h, count(*) over () as n from nodes where n = 1
+  union all
+  select any_value(level) + 1, slot // 2, sha256(string_agg(h, '' order by slot)), (any_value(n) + 1) // 2
+  from tops where n > 1 group by slot // 2),
+proof as (
+  select doc_id, g, slot, slot as at, 0 as level, false as above, leaf, found as node, '' as siblings from slots
+  union all
+  select p.doc_id, p.g, p.slot, case when last then p.g else p.at // 2 end, case when last then 0 else p.level + 1 end, p.above or last,
+         p.leaf, case when last then p.node when p.at % 2 = 1 then sha256(s.h || p.node) else sha256(p.node || coalesce(s.h, '')) end,
+         p.siblings || case when last then '' else coalesce(s.h, '') end
+  from (select p.*, o.n, o.n = 1 as last from proof p
+        join (select false as above, g, level, slot, n from nodes union all select true, null, level, slot, n from tops) o
+        on o.above = p.above and (o.above or o.g = p.g) and o.level = p.level and o.slot = p.at
+        where not (p.above and o.n = 1)) p
+  left join (select false as above, g, level, slot, h from nodes union all select true, null, level, slot, h from tops) s
+  on not last and s.above = p.above and (s.above or s.g = p.g) and s.level = p.level and s.slot = xor(p.at, 1::bigint))
+select p.doc_id, p.leaf, sub.h as subroot, top.h as root, sha256(p.siblings) as proof_sha256, p.node as folded_root, p.node = top.h as verified
+from (select p.* from proof p join tops t on p.above and t.level = p.level and t.slot = p.at and t.n = 1) p
+join (select g, h from nodes where n = 1) sub on sub.g = p.g, (select h from tops where n = 1) top
+"""
+
+
+QUERIES = {"op11_merkle": op11_merkle, "op5_decontam": op5_decontam, "op10_linedup": op10_linedup, "op7_langid": op7_langid, "op8_quality": op8_quality, "op9_neardup": op9_neardup, "op1_chat": op1_chat, "op2_pack": op2_pack, "op3_shards": op3_shards, "op4_warc": op4_warc, "op6_tokens": op6_tokens}
+SQL = {"op9_neardup": OP9_SQL, "op4_warc": OP4_SQL, "op11_merkle": OP11_SQL}
