@@ -59,50 +59,50 @@ def numbered(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
 def _climb(rows: DataFrame, arity: int, levels: int) -> DataFrame:
     """``rows`` (g, slot, run, node) with block, steps (siblings to the left and right of each level) and, on the
     first row of a block, top (its node)."""
-    rows = rows.withColumn("block", F.floor(F.col("slot") / arity**levels))
+    given = rows.columns
+    rows = rows.select("*", F.floor(F.col("slot") / arity**levels).alias("block"), F.col("node").alias("node_0"))
     block = Window.partitionBy("g", "block").orderBy("slot")
-    rows = rows.withColumn("node_0", F.col("node"))
     for level in range(levels):
-        node, size = F.col(f"node_{level}"), arity**level
+        node, size, have = F.col(f"node_{level}"), arity**level, rows.columns
         place = F.floor(F.col("slot") / size) % arity
-        sides = [F.when(place >= k, F.lag(node, k * size).over(block)) for k in range(arity - 1, 0, -1)]
-        sides += [F.when((place + k < arity) & (F.col("slot") + k * size < F.col("run")), F.lead(node, k * size).over(block)) for k in range(1, arity)]
-        rows = rows.select("*", *[F.coalesce(s, F.lit("")).alias(f"side_{i}") for i, s in enumerate(sides)])
-        left = F.concat(*[f"side_{i}" for i in range(arity - 1)])
-        right = F.concat(*[f"side_{i}" for i in range(arity - 1, 2 * arity - 2)])
+        before = [F.when(place >= k, F.lag(node, k * size).over(block)) for k in range(arity - 1, 0, -1)]
+        after = [F.when((place + k < arity) & (F.col("slot") + k * size < F.col("run")), F.lead(node, k * size).over(block)) for k in range(1, arity)]
+        rows = rows.select(*have, *[F.coalesce(x, F.lit("")).alias(f"before_{i}") for i, x in enumerate(before)],
+                           *[F.coalesce(x, F.lit("")).alias(f"after_{i}") for i, x in enumerate(after)])
+        left, right = (F.concat(*[f"{side}_{i}" for i in range(arity - 1)]) for side in ("before", "after"))
         goes_on = F.col("run") > size  # several nodes on this level
         step = F.when((F.col("slot") % size == 0) & goes_on, F.struct(left.alias("l"), right.alias("r")))
         parent = F.when(F.col("slot") % (size * arity) == 0, F.when(goes_on, digest(node, right)).otherwise(node))
-        rows = rows.withColumn(f"step_{level}", step).withColumn(f"node_{level + 1}", parent).drop(*[f"side_{i}" for i in range(2 * arity - 2)])
+        rows = rows.select(*have, step.alias(f"step_{level}"), parent.alias(f"node_{level + 1}"))
     upto = block.rowsBetween(Window.unboundedPreceding, 0)
     steps = F.array_compact(F.array(*[F.last(f"step_{i}", True).over(upto) for i in range(levels)]))
-    made = [f"step_{i}" for i in range(levels)] + [f"node_{i}" for i in range(levels + 1)]
-    return rows.withColumn("steps", steps).withColumn("top", F.col(f"node_{levels}")).drop(*made)
+    return rows.select(*given, "block", steps.alias("steps"), F.col(f"node_{levels}").alias("top"))
 
 
-def _tiers(nodes: DataFrame, arity: int, levels: int) -> list[DataFrame]:
-    """``nodes`` and the tiers above it; in the last one each group has one row, its root."""
-    found, size = [nodes], nodes.agg(F.max("run")).first()[0] or 0
+def _tiers(nodes: DataFrame, arity: int, levels: int) -> list[tuple[DataFrame, int]]:
+    """``nodes`` and the tiers above it, each with the levels it climbs; in the last one each group has one row, its root."""
+    found, size = [], nodes.agg(F.max("run")).first()[0] or 0
     while size > 1:
-        tops = _climb(found[-1], arity, levels).filter(F.col("slot") % arity**levels == 0)
-        blocks = F.ceil(F.col("run") / arity**levels)
-        found.append(write_table(tops.select("g", F.col("block").alias("slot"), blocks.alias("run"), F.col("top").alias("node")), "tier"))
-        size = -(-size // arity**levels)
-    return found
+        climbs = next((k for k in range(1, levels) if arity**k >= size), levels)
+        found.append((nodes, climbs))
+        tops = _climb(nodes, arity, climbs).filter(F.col("slot") % arity**climbs == 0)
+        blocks = F.ceil(F.col("run") / arity**climbs)
+        nodes = write_table(tops.select("g", F.col("block").alias("slot"), blocks.alias("run"), F.col("top").alias("node")), "tier")
+        size = -(-size // arity**climbs)
+    return [*found, (nodes, 0)]
 
 
-def _down(tiers: list[DataFrame], known: DataFrame, arity: int, levels: int) -> DataFrame:
+def _down(tiers: list[tuple[DataFrame, int]], known: DataFrame, arity: int) -> DataFrame:
     """The rows of the lowest tier with the columns of ``known`` (g, steps, ...: a row per group), and steps from their own
     level up."""
     facts = [c for c in known.columns if c not in ("g", "steps")]
     above = known.withColumn("slot", F.lit(0).cast("long"))
-    for rows in reversed(tiers[:-1]):
+    for rows, climbs in reversed(tiers[:-1]):
         above = above.select(F.col("g").alias("of_g"), F.col("slot").alias("of_slot"), F.col("steps").alias("rest"), *facts)
-        here = _climb(rows, arity, levels).drop("top").withColumnRenamed("steps", "own")
-        here = here.join(above, (F.col("g") == F.col("of_g")) & (F.col("block") == F.col("of_slot")))
-        above = here.withColumn("steps", F.concat("own", "rest")).drop("own", "rest", "of_g", "of_slot", "block")
+        here = _climb(rows, arity, climbs).join(above, (F.col("g") == F.col("of_g")) & (F.col("block") == F.col("of_slot")))
+        above = here.select(*rows.columns, *facts, F.concat("steps", "rest").alias("steps"))
     if len(tiers) == 1:  # every group has one row
-        above = tiers[0].join(known, "g")
+        above = tiers[0][0].join(known, "g")
     return above
 
 
@@ -112,13 +112,13 @@ def prove(leaves: DataFrame, group: str, order: str, arity: int = ARITY, levels:
     nodes = write_table(numbered(leaves, [group], [order, "leaf"]).withColumn("node", F.col("leaf")), "leaves")
     tiers = _tiers(nodes, arity, levels)
     names = nodes.filter("slot = 0").select("g", F.col(group).alias("name"))
-    subroots = tiers[-1].select("g", F.col("node").alias("leaf")).join(names, "g").withColumnRenamed("g", "of")
+    subroots = tiers[-1][0].select("g", F.col("node").alias("leaf")).join(names, "g").withColumnRenamed("g", "of")
     above = _tiers(numbered(subroots, [], ["name"]).withColumn("node", F.col("leaf")), arity, levels)
     no_steps = F.expr("cast(array() as array<struct<l string, r string>>)")
-    root = above[-1].select("g", F.col("node").alias("root"), no_steps.alias("steps"))
-    groups = _down(above, root, arity, levels)
+    root = above[-1][0].select("g", F.col("node").alias("root"), no_steps.alias("steps"))
+    groups = _down(above, root, arity)
     groups = groups.select(F.col("of").alias("g"), F.col("leaf").alias("subroot"), "root", "steps")
-    return _down(tiers, write_table(groups, "subroots"), arity, levels)
+    return _down(tiers, write_table(groups, "subroots"), arity)
 
 
 def proof_digest(steps: Column) -> Column:

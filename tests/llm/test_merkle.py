@@ -72,7 +72,7 @@ def test_query_equals_brute_force(spark):
     assert {r[-1] for r in want} == {True, False}
 
 
-@pytest.mark.parametrize("arity,levels", [(2, 1), (2, 3), (3, 2), (4, 1)])
+@pytest.mark.parametrize("arity,levels", [(2, 2), (3, 2)])
 def test_tiers_and_arities(spark, arity, levels):
     """Groups of 1 to 70 rows, so of many tiers, and 11 groups, so several tiers above the subroots."""
     rows = [(i, f"t{i}", f"l{g}" if g else None, "s", i) for g, n in enumerate([70, 1, 2, 3, 4, 7, 8, 9, 27, 33, 64]) for i in range(n)]
@@ -91,7 +91,8 @@ def test_awkward_rows(spark):
 
 def test_every_field_counts(spark):
     rows = spark.createDataFrame([(i, f"text {i}", "en", "s", 5) for i in range(9)], DOCS)
-    for name, value in [("text", F.concat("text", F.lit("!"))), ("source", F.lit(None).cast("string")), ("n_chars", F.col("n_chars") + 1),
-                        ("lang", F.lit("de")), ("doc_id", F.col("doc_id") + 1)]:
-        assert not merkle.manifest(rows, {name: value}, levels=2).filter("verified").count()
-    assert merkle.manifest(rows, {"text": F.col("text")}, levels=2).filter("verified").count() == 9
+    changed = {"text": F.concat("text", F.lit("!")), "source": F.lit(None).cast("string"), "n_chars": F.col("n_chars") + 1, "lang": F.lit("de"),
+               "doc_id": F.col("doc_id") + 1}
+    at = {name: i for i, name in enumerate(changed)}
+    later = {name: F.when(F.col("doc_id") == at[name], v).otherwise(F.col(name)) for name, v in changed.items()}
+    assert {r.doc_id for r in merkle.manifest(rows, later, levels=2).filter("verified").collect()} == set(range(5, 9))
