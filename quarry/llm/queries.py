@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, decontam, langid, linedup, merkle, neardup, pack, quality, shard, simhash, tokens, warc
+from quarry.llm import chat, decontam, langid, linedup, merkle, neardup, pack, quality, repair, shard, simhash, tokens, warc
 from quarry.sources.tables import table_path
 
 
@@ -201,10 +201,16 @@ join (select g, h from nodes where n = 1) sub on sub.g = p.g, (select h from top
 """
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged by rule and repaired at the least cost."""
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.report(repair.damage(turns), turns)
+
+
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash components of all documents: three-word shingles, at most three different bits."""
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op13_simhash": op13_simhash, "op11_merkle": op11_merkle, "op5_decontam": op5_decontam, "op10_linedup": op10_linedup, "op7_langid": op7_langid, "op8_quality": op8_quality, "op9_neardup": op9_neardup, "op1_chat": op1_chat, "op2_pack": op2_pack, "op3_shards": op3_shards, "op4_warc": op4_warc, "op6_tokens": op6_tokens}
+QUERIES = {"op12_repair": op12_repair, "op13_simhash": op13_simhash, "op11_merkle": op11_merkle, "op5_decontam": op5_decontam, "op10_linedup": op10_linedup, "op7_langid": op7_langid, "op8_quality": op8_quality, "op9_neardup": op9_neardup, "op1_chat": op1_chat, "op2_pack": op2_pack, "op3_shards": op3_shards, "op4_warc": op4_warc, "op6_tokens": op6_tokens}
 SQL = {"op9_neardup": OP9_SQL, "op4_warc": OP4_SQL, "op11_merkle": OP11_SQL}
