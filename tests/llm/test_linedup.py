@@ -111,17 +111,22 @@ def test_chance_hashes_are_told_apart(spark, monkeypatch):
     df = documents(spark, texts)
     import quarry.llm.linedup as module
 
-    def rows(batches):
-        module.chunks = weak
-        yield from module_rows(batches)
-
-    def proof(bitmap):
+    def weakly(work):  # workers are reused, so each leaves the module as it was
         def run(batches):
             module.chunks = weak
-            yield from module_proof(bitmap)(batches)
+            try:
+                yield from work(batches)
+            finally:
+                module.chunks = real
 
         return run
 
+    def rows(batches):
+        yield from weakly(module_rows)(batches)
+
+    def proof(bitmap):
+        return weakly(module_proof(bitmap))
+
     module_rows, module_proof = linedup._chunk_rows, linedup._evidence
     monkeypatch.setattr(linedup, "_chunk_rows", rows)
     monkeypatch.setattr(linedup, "_evidence", proof)
