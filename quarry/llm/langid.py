@@ -61,10 +61,9 @@ def _bag(batches):
             for b in buckets(text.as_py().lower()):
                 own += np.bincount(b, minlength=1 << BITS).astype(np.int32)
             hit = np.flatnonzero(own)
-            at.append(hit.astype(np.int32))
-            counts.append(own[hit])
-        yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(at, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))],
-                                         ["lang", "at", "counts"])
+            at.append(hit.astype(np.int32).tobytes())
+            counts.append(own[hit].tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(at, pa.binary()), pa.array(counts, pa.binary())], ["lang", "at", "counts"])
 
 
 def _frequencies(batches):
@@ -105,7 +104,7 @@ class Model:
         return self.labels[best], float(p[best])
 
 
-def fit(rows: list[tuple[str, list[int], list[int]]], alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1,
+def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1,
         epochs: int = 3, held: int = 5, frequencies: np.ndarray | None = None) -> Model:
     """FTRL-proximal over rows of (language, buckets, counts); every ``held``-th row calibrates the temperature. ``frequencies``: the
     number of texts with each bucket and, last, of all texts; without it those of the rows."""
@@ -121,9 +120,9 @@ def fit(rows: list[tuple[str, list[int], list[int]]], alpha: float = 0.3, beta:
     idf = np.log((1 + frequencies[-1]) / (1 + frequencies[:-1])) + 1
     data = []
     for lang, at, counts in rows:
-        at, counts = np.asarray(at, np.int64), np.asarray(counts, np.float64)
+        at, counts = np.asarray(at, np.int32), np.asarray(counts, np.float64)
         if len(at):
-            data.append((labels.index(lang), at, SCALE * idf[at] * counts / counts.sum()))
+            data.append((labels.index(lang), at, (SCALE * idf[at] * counts / counts.sum()).astype(np.float32)))
     # the last bucket of the state is the bias, whose feature is always 1 and which isn't penalised by l1
     z, n = np.zeros(((1 << BITS) + 1, k)), np.zeros(((1 << BITS) + 1, k))
     learn = [d for i, d in enumerate(data) if i % held] or data
@@ -174,9 +173,10 @@ def train(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text
     near = F.conv(F.substring("place.o", 1, 8), 16, 10).cast("long") <= int(share * 2**32)
     chosen = rows.join(F.broadcast(last), "lang").select("lang", "text", "place", own.alias("own")).filter(F.col("own") | near) \
         .orderBy(F.desc("own"), "place", "lang", "text").limit(max(sample, languages))
-    bags = chosen.select("lang", "text", "place").repartition(16, "place").select("lang", "text").mapInArrow(_bag, "lang string, at array<int>, counts array<int>")
-    got = [(r["lang"], r["at"], r["counts"]) for r in bags.collect()]
-    return fit(sorted(got), frequencies=total)
+    bags = chosen.select("lang", "text", "place").repartition(16, "place").select("lang", "text").mapInArrow(_bag, "lang string, at binary, counts binary")
+    # a part at a time, as buffers of four bytes a number
+    got = sorted((r["lang"], bytes(r["at"]), bytes(r["counts"])) for r in bags.toLocalIterator())
+    return fit([(lang, np.frombuffer(at, np.int32), np.frombuffer(counts, np.int32)) for lang, at, counts in got], frequencies=total)
 
 
 def _predictor(model: Model):
