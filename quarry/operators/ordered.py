@@ -142,21 +142,36 @@ def running_count(df: DataFrame, key: str, group=None, out: str = "rn", n_bucket
 
 
 def ordered_sum(df: DataFrame, value, keys: list[str], out: str = "cum") -> DataFrame:
-    """Inclusive running sum of ``value`` in the order of several keys, each a column of its own.
+    """``df`` and the inclusive running sum of ``value`` in the order of several keys (together unique), each a column of its own.
 
-    Inside a group of all keys but the last it is a balanced running sum; the groups' totals, summed the
-    same way one key up, are added as offsets. Keys are never packed into one number.
+    One sort by range: a task sums its own stretch while the rows pass by, and the totals of the tasks before it, one row
+    a task, are added as an offset. ``df`` should be a stored table or cheap, since the bounds of the ranges come from a sample of it.
     """
     val = F.col(value) if isinstance(value, str) else value
-    narrow = cut_lineage(df.select(*keys, val.cast("long").alias("_val")))
-    res = running_sum(narrow, "_val", keys[-1], keys[:-1], out)
-    for depth in range(len(keys) - 1, 0, -1):
-        group = keys[:depth]
-        totals = narrow.groupBy(*group).agg(F.sum("_val").alias("_tot"))
-        before = running_sum(totals, "_tot", group[-1], group[:-1], "_upto")
-        before = before.select(*group, (F.col("_upto") - F.col("_tot")).alias("_before"))
-        res = res.join(before, group).withColumn(out, F.col(out) + F.col("_before")).drop("_before")
-    return df.join(res.drop("_val"), keys)
+    rows = df.withColumn("_val", F.coalesce(val.cast("long"), F.lit(0)))
+    dealt = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    fields = rows.schema.add("_upto", "long").add("_task", "long")
+    local = cut_lineage(dealt.mapInArrow(_running_total, fields))
+    totals = local.groupBy("_task").agg(F.max("_upto").alias("_total"))  # a running sum of numbers of 0 and more ends with the total
+    before = F.sum("_total").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))
+    totals = totals.select("_task", F.coalesce(before, F.lit(0)).alias("_before"))  # as many rows as tasks
+    res = local.join(F.broadcast(totals), "_task")
+    return res.select(*df.columns, (F.col("_upto") + F.col("_before")).alias(out))
+
+
+def _running_total(batches):
+    """Sorted rows with the running total of ``_val`` in this task, and the task's number."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    from pyspark import TaskContext
+
+    task, so_far = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        if batch.num_rows:
+            upto = pc.add(pc.cumulative_sum(batch.column(batch.schema.get_field_index("_val"))), so_far)
+            so_far = upto[-1].as_py()
+            columns = [*batch.columns, upto, pa.array([task] * batch.num_rows, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "_upto", "_task"])
 
 
 def ordered_position(df: DataFrame, keys: list[str], out: str = "pos") -> DataFrame:
@@ -272,6 +287,57 @@ def interleave(
     return j.withColumn("pos", pos.cast("long")).withColumn("rn", F.col("rn").cast("long")).drop("_r", "_cnt", "_srank")
 
 
+def _draws(spark, n: int, seed: int, thresholds: list[tuple[int, int]], source_idx: str) -> DataFrame:
+    """``(pos, source)`` of the first ``n`` draws. A draw is a pure function of the seed and the position: the first 32 bits of
+    md5("seed:position"), below the threshold of its source."""
+    x = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), 1, 8), 16, 10).cast("long")
+    own = F.lit(None).cast("int")
+    for source, upto in reversed(thresholds):
+        own = F.when(x < upto, F.lit(source)).otherwise(own)
+    return spark.range(n).select(F.col("id").alias("pos"), own.alias(source_idx))
+
+
+def interleave_weighted(df: DataFrame, probabilities: dict[int, float], seed: int = 42, key: str = "doc_id", source_idx: str = "source_idx",
+                        strategy: str = "first_exhausted") -> DataFrame:
+    """W2 with probabilities: every position draws a source, and a source's n-th draw takes its n-th row by ``key``.
+
+    ``first_exhausted`` ends right after the first source's last row, ``all_exhausted`` once every source has given all its rows,
+    short ones beginning again. Adds ``pos`` (from 0) and ``draw`` (the source's, from 1). Sources of probability zero, or
+    not named, give nothing; one that is named but has no rows is exhausted at once. The draws are made in parallel by ranges of positions, counted by balanced
+    running counts, and met with the rows by an equi-join on (source, row number).
+    """
+    if strategy not in ("first_exhausted", "all_exhausted"):
+        raise ValueError(strategy)
+    total = sum(probabilities.values())
+    if total <= 0 or min(probabilities.values()) < 0:
+        raise ValueError("probabilities must be positive")
+    spark, upto, so_far = df.sparkSession, [], 0.0
+    for source, p in sorted(probabilities.items()):
+        so_far += p / total
+        if p > 0:
+            upto.append((source, round(so_far * 2**32)))
+    upto[-1] = upto[-1][0], 2**32
+    ranked = running_count(df, key, source_idx, "_r")
+    counts = {r[source_idx]: r["n"] for r in df.groupBy(source_idx).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per source
+    dry = [counts.get(source, 0) for source, _ in upto]
+    if not (all(dry) if strategy == "first_exhausted" else any(dry)):
+        return ranked.limit(0).withColumn("pos", F.lit(0).cast("long")).withColumn("draw", F.lit(0).cast("long")).drop("_r")
+    wanted = {source: counts[source] for source, _ in upto if counts.get(source)}
+    size = spark.createDataFrame(list(wanted.items()), f"{source_idx} int, _cnt long")
+    share = {source: (probabilities[source] / total) for source in wanted}
+    pick = min if strategy == "first_exhausted" else max
+    n = int(1.05 * pick(c / share[s] for s, c in wanted.items())) + 1000
+    while True:  # more draws where chance has kept the sources from running dry
+        got = {r[source_idx]: r["n"] for r in _draws(spark, n, seed, upto, source_idx).groupBy(source_idx).agg(F.count(F.lit(1)).alias("n")).collect()}
+        if (any if strategy == "first_exhausted" else all)(got.get(s, 0) >= c for s, c in wanted.items()):
+            break
+        n *= 2
+    draws = cut_lineage(running_count(_draws(spark, n, seed, upto, source_idx), "pos", source_idx, "draw").join(F.broadcast(size), source_idx))
+    last = draws.filter("draw = _cnt").agg((F.min if strategy == "first_exhausted" else F.max)("pos")).first()[0]
+    taken = draws.filter(F.col("pos") <= last).select(source_idx, "pos", "draw", (F.pmod(F.col("draw") - 1, F.col("_cnt")) + 1).alias("_r"))
+    return ranked.join(taken, [source_idx, "_r"]).drop("_r")
+
+
 def repeat_epochs(df: DataFrame, epochs: int, pos: str = "pos") -> DataFrame:
     """The data repeated ``epochs`` times; order ``(epoch, pos)``. A generator, no join."""
     return df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))

@@ -165,6 +165,12 @@ def shard_offsets(seqs: DataFrame, shard: str = "shard") -> DataFrame:
     return cum.select(shard, "n", (F.col("hi") - F.col("n")).alias("lo"), "hi")
 
 
+def count_shard_offsets(seqs: DataFrame, shard_size: int, shard: str = "shard") -> DataFrame:
+    """A2 on count shards, which begin at multiples of ``shard_size``: ``(shard, n, lo, hi)`` by one aggregation."""
+    counts = seqs.groupBy(F.col(shard).cast("long").alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.select("shard", "n", (F.col("shard") * shard_size).alias("lo"), (F.col("shard") * shard_size + F.col("n")).alias("hi"))
+
+
 def shard_name(shard, fmt: str = DEF.SEQ_SHARD_NAME) -> "F.Column":
     """the shard's name, ``shard_%06d`` for sequence shards, ``shard_%05d`` for text shards."""
     return F.format_string(fmt, F.col(shard) if isinstance(shard, str) else shard)

@@ -30,7 +30,7 @@ WORLD_SIZE = 4
 BATCH_SIZE, MICRO_BATCH = 8, 2
 STEP_BATCH, STEP_SEQ, STEP_WORLD, WARMUP = 4, 128, 2, 0.05
 LOG_INTERVAL, SAVE_INTERVAL, EPOCH_STEPS = 10, 25, 700  # save points need not be log points
-EPOCHS, LONG_WORD = 2, 20
+EPOCHS = 2
 
 
 def registry_names(spark: SparkSession, sf_dir: str) -> list[str]:
@@ -207,12 +207,36 @@ def q_interleave_all_exhausted(spark, sf_dir):
     return out.select("doc_id", "source", F.col("rn").cast("long"), "pos")
 
 
+MIX_SEED = 42
+
+
+def mix_probabilities(names: list[str]) -> dict[int, float]:
+    """Probability of each source (by its number), by rule: one to three shares."""
+    shares = {int(n.removeprefix("src")): 1 + int(n.removeprefix("src")) % 3 for n in names}
+    return {k: v / sum(shares.values()) for k, v in shares.items()}
+
+
+def _interleave_weighted(spark, sf_dir, strategy):
+    p = mix_probabilities(registry_names(spark, sf_dir))
+    out = O.interleave_weighted(by_source(spark, sf_dir), p, MIX_SEED, strategy=strategy)
+    return out.select("pos", "doc_id", "source", F.col("draw").cast("long"))
+
+
+def q_interleave_weighted(spark, sf_dir):
+    """W2 with probabilities and a seed: sources drawn at random, up to the first one's last row."""
+    return _interleave_weighted(spark, sf_dir, "first_exhausted")
+
+
+def q_interleave_weighted_all(spark, sf_dir):
+    """W2 with probabilities and a seed, until every source has given all its rows; short ones begin again."""
+    return _interleave_weighted(spark, sf_dir, "all_exhausted")
+
+
 def q_epochs(spark, sf_dir):
-    """The interleaved data repeated EPOCHS times, examples of empty input_ids dropped. Ids are
-    the lengths of words of LONG_WORD characters and more, so some documents have none."""
+    """The interleaved data repeated EPOCHS times, documents without any word dropped."""
     d = load(spark, sf_dir, "documents").select("doc_id", "source", "text", source_index().alias("source_idx"))
     inter = O.interleave(d.select("doc_id", "source", "source_idx"))
-    ids = d.select("doc_id", F.filter(SQ.word_length_ids(T.py_split("text")), lambda n: n >= LONG_WORD).alias("input_ids"))
+    ids = d.select("doc_id", SQ.word_length_ids(T.py_split("text")).alias("input_ids"))
     rep = O.repeat_epochs(SQ.drop_empty(inter.join(ids, "doc_id")), EPOCHS)
     return rep.select("epoch", "pos", "doc_id").withColumn("epoch", F.col("epoch").cast("long"))
 
@@ -376,15 +400,27 @@ def q_shard_names(spark, sf_dir):
     return offs.select("shard", SH.shard_name("shard").alias("name"), "n", "lo", "hi")
 
 
+LOOKUP_STRIDE = 997
+
+
+def q_global_index_points(spark, sf_dir):
+    """J3 C7 for few indices: every LOOKUP_STRIDE-th global index; only the shards, and in them the local indices, that hold one are
+    read."""
+    path = scratch_path(spark, "points")
+    chunk_table(spark, sf_dir, path)
+    total = CP.sequence_offsets(spark, f"{path}/shards").agg(F.max("hi")).first()[0] or 0
+    index = spark.range(0, total, LOOKUP_STRIDE).withColumnRenamed("id", "idx")
+    got = CP.read_sequences(spark, f"{path}/shards", index, SEQ_LEN, EOS_ID)
+    return got.select("idx", "shard", "local_idx", F.array_join("input_ids", ",").alias("input_ids"))
+
+
 def q_global_index_lookup(spark, sf_dir):
     """Chunks written as sequence shards; every global index, and some beyond the end -> (shard,
     local index) -> the sequence, truncated and padded; an index beyond the end is a row of padding."""
     path = scratch_path(spark, "lookup")
     chunk_table(spark, sf_dir, path)
-    seqs = SK.read_sequence_shards(spark, f"{path}/shards")
-    index = seqs.select((F.col("shard") * SHARD_SIZE + F.col("local_idx")).alias("idx"))
-    last = index.agg(F.max("idx")).first()[0] or 0
-    index = index.unionByName(spark.range(last + 1, last + 11).withColumnRenamed("id", "idx"))
+    total = CP.sequence_offsets(spark, f"{path}/shards").agg(F.max("hi")).first()[0] or 0
+    index = spark.range(total + 10).withColumnRenamed("id", "idx")
     got = CP.read_sequences(spark, f"{path}/shards", index, SEQ_LEN, EOS_ID, missing="pad")
     return got.select("idx", F.col("shard").cast("long"), "local_idx", F.array_join("input_ids", ",").alias("input_ids"))
 
@@ -393,9 +429,7 @@ PACK_LEN = 256  # ids of a pack
 
 
 def packing_input(spark, sf_dir):
-    s = cut_lineage(line_sequences(spark, sf_dir))
-    pos = O.ordered_position(s.select("doc_id", "line_no"), ["doc_id", "line_no"])
-    return s.join(pos, ["doc_id", "line_no"])
+    return O.ordered_position(cut_lineage(line_sequences(spark, sf_dir)), ["doc_id", "line_no"])
 
 
 def q_pack_lengths(spark, sf_dir):
@@ -461,9 +495,12 @@ def q_jsonl_round_trip(spark, sf_dir):
 BUILD_SHARD_TOKENS = 2_000
 
 
-def build_registry(spark, sf_dir, base=4_000, step=1_000):
+def build_registry(spark, sf_dir, tokens=None, whole=4):
+    """The registry whose caps are one to three parts in ``whole`` of each source's tokens, so they grow with the table."""
+    d = load(spark, sf_dir, "documents").select("source", (T.whitespace_token_count("text") if tokens is None else tokens).alias("n"))
+    totals = {r["source"]: r["n"] or 0 for r in d.groupBy("source").agg(F.sum("n").alias("n")).collect()}  # one row per source
     names = registry_names(spark, sf_dir)
-    return documents_registry(sf_dir, names, extra={n: {"cap_tokens": c} for n, c in registry_caps(names, base, step).items()})
+    return documents_registry(sf_dir, names, extra={n: {"cap_tokens": totals[n] * (1 + int(n.removeprefix("src")) % 3) // whole} for n in names})
 
 
 def q_build_text_shards(spark, sf_dir):
@@ -476,7 +513,7 @@ def q_build_text_shards(spark, sf_dir):
 # ---------------------------------------------------------------- byte-level BPE (rows-only oracle)
 BPE = TokenizerSpec()
 BPE_SEQ = 128
-TRAIN_CAP, TRAIN_STEP = 30_000, 10_000  # BPE tokens per source, by rule
+TRAIN_CHARS = 12  # a source's cap: one to three BPE tokens for so many of its characters
 
 
 def q_bpe_token_counts(spark, sf_dir):
@@ -503,7 +540,7 @@ def q_bpe_chunked_sequences(spark, sf_dir):
 
 def q_training_view(spark, sf_dir):
     """Registry -> BPE examples -> interleave -> epochs -> batches -> ranks."""
-    reg = build_registry(spark, sf_dir, TRAIN_CAP, TRAIN_STEP)
+    reg = build_registry(spark, sf_dir, F.length("text").cast("long"), TRAIN_CHARS)
     tv = CP.training_view(spark, reg, BPE, BPE_SEQ, EPOCHS, BATCH_SIZE, MICRO_BATCH, 2)
     return tv.select("epoch", "pos", "doc_id", "source", "batch_id", "micro_id", "rank", F.array_join("input_ids", ",").alias("input_ids"))
 
@@ -585,6 +622,34 @@ def q_stream_step_rollup(spark, sf_dir):
                     F.round("tokens_per_second", 2).alias("tokens_per_second"), "tokens_seen", "epoch")
 
 
+WINDOW_HOURS, LATE_HOURS = 6, 30
+
+
+def late_batch(n):
+    """The batch in which an event arrives: STREAM_RANGES even ranges of event_id, but every 50th event one batch late and every
+    97th two."""
+    late = F.when(F.col("event_id") % 97 == 0, 2).when(F.col("event_id") % 50 == 0, 1).otherwise(0)
+    return F.floor(F.col("event_id") * STREAM_RANGES / F.lit(n)).cast("int") + late
+
+
+def q_stream_event_windows(spark, sf_dir):
+    """T5 as a stateful streaming aggregation: windows of event time behind a watermark, late events dropped, each batch a restart
+    from the checkpoint."""
+    p = ST.fresh(spark, "event-windows")
+    ev = load(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value")
+    n = (ev.agg(F.max("event_id")).first()[0] or 0) + 1
+
+    def drive():
+        s = ST.file_stream(spark, p["input"], ev.schema)
+        ST.stream_event_windows(s, f"{WINDOW_HOURS} hours", f"{LATE_HOURS} hours", p["out"], p["ckpt"], ["event_type"])
+
+    ST.feed_batches(ev.withColumn("_b", late_batch(n)), p["input"], "_b", STREAM_RANGES + 2, drive)
+    out = spark.read.parquet(p["out"])
+    us = lambda a, b: F.unix_micros(a).alias(b)
+    return out.select(us("window_start", "window_us"), "event_type", "n", F.round("mean_value", 6).alias("mean_value"), "max_value",
+                      us("first_ts", "first_us"), us("last_ts", "last_us"))
+
+
 TRAIN_WORLD = 2
 
 
@@ -597,8 +662,8 @@ def q_training_view_words(spark, sf_dir):
 
 
 def flagship(spark, sf_dir):
-    """English documents -> whitespace tokens -> per-source budget -> mixture profile."""
-    d = docs_with_counts(spark, sf_dir).filter(F.col("lang") == "en").select("source", "doc_id", "n_tokens")
+    """Documents -> whitespace tokens -> per-source budget -> mixture profile."""
+    d = docs_with_counts(spark, sf_dir).select("source", "doc_id", "n_tokens")
     kept = O.token_budget(d, BUDGET_CAP)
     return R.mixture_profile(kept)
 
@@ -620,6 +685,8 @@ QUERIES = {
     "interleave_first_exhausted": q_interleave_first_exhausted,
     "interleave_partial_round": q_interleave_partial_round,
     "interleave_all_exhausted": q_interleave_all_exhausted,
+    "interleave_weighted": q_interleave_weighted,
+    "interleave_weighted_all": q_interleave_weighted_all,
     "epochs": q_epochs,
     "rank_split": q_rank_split,
     "batch_plan": q_batch_plan,
@@ -637,6 +704,7 @@ QUERIES = {
     "sequence_files": q_sequence_files,
     "shard_names": q_shard_names,
     "global_index_lookup": q_global_index_lookup,
+    "global_index_points": q_global_index_points,
     "pack_lengths": q_pack_lengths,
     "pack_ids": q_pack_ids,
     "token_shards_balanced": q_token_shards_balanced,
@@ -657,5 +725,6 @@ QUERIES = {
     "stream_token_budget_batches": q_stream_token_budget_batches,
     "stream_near_dedup": q_stream_near_dedup,
     "stream_step_rollup": q_stream_step_rollup,
+    "stream_event_windows": q_stream_event_windows,
     "flagship_mixture": flagship,
 }

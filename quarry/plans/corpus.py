@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
+from pyspark.errors import AnalysisException
 
 from quarry.functions import sequences as SQ
 from quarry.functions import text as T
@@ -125,22 +126,26 @@ def chunked_sequences(lines: DataFrame, tokenizer: TokenizerSpec, seq_length: in
     EOS if missing -> chunks of ``seq_length`` -> global position -> count shards.
 
     Returns ``(order..., chunk_idx, pos, shard, local_idx, input_ids)``; with ``out`` writes parquet shards and
-    metadata. The sequences are written once; positions are counted on ``(order..., number of chunks)``.
+    metadata. The sequences are written once and sorted by range once, positions being counted while they pass by. The
+    job knows the shards' sizes, so it writes them beside the shards (:func:`sequence_offsets`).
     """
     keys = [order] if isinstance(order, str) else list(order)
     s = lines.select(*[F.col(k).cast("long").alias(k) for k in keys], T.py_strip("value").alias("text")).filter(F.length("text") > 0)
     enc = encode(s, tokenizer, "text", keys, "_ids")
     seqs = cut_lineage(enc.select(*keys, SQ.chunks(SQ.append_eos("_ids", tokenizer.eos(), "if_missing"), seq_length).alias("_ch")))
     # position of a line's first chunk = running sum of the chunk counts before it
-    starts = O.ordered_sum(seqs.select(*keys, F.size("_ch").cast("long").alias("_nc")), "_nc", keys, "_cum")
-    seqs = seqs.join(starts.select(*keys, (F.col("_cum") - F.col("_nc")).alias("_start")), keys)
+    seqs = O.ordered_sum(seqs, F.size("_ch"), keys, "_cum").withColumn("_start", F.col("_cum") - F.size("_ch"))
     ch = seqs.select(*keys, "_start", F.posexplode("_ch").alias("_c", "input_ids"))
     pos = ch.select(*keys, F.col("_c").cast("long").alias("chunk_idx"), (F.col("_start") + F.col("_c")).alias("pos"), "input_ids")
     res = O.count_shards(pos, shard_size).select(*keys, "chunk_idx", "pos", "shard", "local_idx", "input_ids")
     if out is not None:
         res = cut_lineage(res)
         SK.write_sequence_shards(res, f"{out}/shards")
-        SK.write_metadata(shard_metadata(res, seq_length, shard_size), f"{out}/metadata")
+        offsets = cut_lineage(SH.count_shard_offsets(res, shard_size))
+        offsets.write.mode("overwrite").parquet(f"{out}/shards/{SK.OFFSETS}")
+        sizes = offsets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_sequences"), F.count(F.lit(1)).alias("num_shards"))
+        SK.write_metadata(sizes.select("*", F.lit(seq_length).cast("long").alias("seq_length"), F.lit(shard_size).cast("long").alias("shard_size")),
+                          f"{out}/metadata")
     return res
 
 
@@ -158,14 +163,38 @@ def shard_metadata(seqs: DataFrame, seq_length: int, shard_size: int) -> DataFra
         F.lit(shard_size).cast("long").alias("shard_size"))
 
 
+def sequence_offsets(spark: SparkSession, path: str) -> DataFrame:
+    """A2: ``(shard, n, lo, hi)`` of the shards below ``path``: as the job that wrote them has left it, else counted."""
+    try:
+        return spark.read.schema("shard long, n long, lo long, hi long").parquet(f"{path}/{SK.OFFSETS}")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return SH.shard_offsets(SK.read_sequence_shards(spark, path))
+
+
+PRUNED = 1_000  # shards, and local indices, that are named in a scan's filter
+
+
+def _only(seqs: DataFrame, hits: DataFrame) -> DataFrame:
+    """``seqs`` filtered by the shards and local indices of ``hits``, where they are few: the scan then opens those shards'
+    folders only, and in their files, sorted by local index, the row groups and pages that can hold one."""
+    found = hits.agg(F.count_distinct("shard"), F.min("local_idx"), F.max("local_idx"), F.count_distinct("local_idx")).first()
+    if not found[0] or found[0] > PRUNED:
+        return seqs
+    seqs = seqs.filter(F.col("shard").isin([r[0] for r in hits.select("shard").distinct().collect()]))  # PRUNED rows at most
+    if found[3] <= PRUNED:
+        return seqs.filter(F.col("local_idx").isin([r[0] for r in hits.select("local_idx").distinct().collect()]))
+    return seqs.filter(F.col("local_idx").between(found[1], found[2]))
+
+
 def read_sequences(spark: SparkSession, path: str, index: DataFrame, seq_length: int, pad_id: int,
                    idx: str = "idx", missing: str = "drop") -> DataFrame:
     """``(idx, shard, local_idx, input_ids, attention_mask)`` for every requested global index. An index that no
-    shard holds has no row, or with ``missing="pad"`` a row of padding with a null shard."""
-    seqs = SK.read_sequence_shards(spark, path)
-    offs = SH.shard_offsets(seqs)
-    hits = SH.lookup_global_index(index, offs, idx)
-    rows = hits.join(seqs.select("shard", "local_idx", "input_ids"), ["shard", "local_idx"])
+    shard holds has no row, or with ``missing="pad"`` a row of padding with a null shard. The shards themselves are read once, and only
+    those (and of them only the parts) that a small set of indices needs."""
+    hits = cut_lineage(SH.lookup_global_index(index, sequence_offsets(spark, path), idx))
+    rows = hits.join(_only(SK.read_sequence_shards(spark, path), hits).select("shard", "local_idx", "input_ids"), ["shard", "local_idx"])
     if missing == "pad":
         rows = index.select(F.col(idx).cast("long").alias(idx)).join(rows, idx, "left").withColumn(
             "input_ids", F.coalesce("input_ids", F.array().cast("array<bigint>")))

@@ -137,6 +137,24 @@ e AS (SELECT r.doc_id, r.source, unnest(range(r.r, s.maxc + 1, c.cnt)) AS rn, c.
 SELECT doc_id, source, rn::BIGINT AS rn, ((rn - 1) * nsrc + srank)::BIGINT AS pos FROM e
 """
 
+# the draw of a position: the first 32 bits of md5("seed:position") against the cumulative probabilities, as 32-bit thresholds in the
+# order of the sources
+_WEIGHTED = f"""
+WITH d AS (SELECT doc_id, source, {src_idx()} AS source_idx FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY source_idx ORDER BY doc_id) AS r FROM d),
+c AS (SELECT source_idx, count(*) AS cnt, 1 + source_idx % 3 AS w FROM d GROUP BY source_idx),
+t AS (SELECT source_idx, cnt, round(sum(w) OVER (ORDER BY source_idx) / sum(w) OVER () * 4294967296.0::DOUBLE)::BIGINT AS upto FROM c),
+u AS (SELECT p, ('0x' || substr(md5('{C.MIX_SEED}:' || p), 1, 8))::BIGINT AS x FROM (SELECT unnest(range((SELECT 60 * count(*) + 1000 FROM d))) AS p)),
+g AS (SELECT u.p, t.source_idx, t.cnt FROM u ASOF JOIN t ON u.x < t.upto),
+n AS (SELECT *, row_number() OVER (PARTITION BY source_idx ORDER BY p) AS draw FROM g),
+dry AS (SELECT source_idx, min(p) AS p FROM n WHERE draw = cnt GROUP BY source_idx),
+stop AS (SELECT @STOP@(p) AS p FROM dry)
+SELECT n.p::BIGINT AS pos, r.doc_id, r.source, n.draw::BIGINT AS draw
+FROM n JOIN stop ON n.p <= stop.p JOIN r ON r.source_idx = n.source_idx AND r.r = (n.draw - 1) % n.cnt + 1
+"""
+SQL["interleave_weighted"] = _WEIGHTED.replace("@STOP@", "min")
+SQL["interleave_weighted_all"] = _WEIGHTED.replace("@STOP@", "max")
+
 SQL["epochs"] = f"""
 WITH d AS (SELECT doc_id, source, text, {src_idx()} AS source_idx FROM documents),
 r AS (SELECT *, row_number() OVER (PARTITION BY source_idx ORDER BY doc_id) AS r FROM d),
@@ -144,7 +162,7 @@ c AS (SELECT source_idx, count(*) AS cnt, row_number() OVER (ORDER BY source_idx
 s AS (SELECT count(*) AS nsrc, min(cnt) AS minc FROM c),
 i AS (SELECT r.doc_id, r.text, ((r.r - 1) * s.nsrc + c.srank)::BIGINT AS pos FROM r JOIN c USING (source_idx), s WHERE r.r <= s.minc)
 SELECT e.epoch::BIGINT AS epoch, i.pos, i.doc_id FROM i, (SELECT unnest(range({C.EPOCHS})) AS epoch) e
-WHERE len(list_filter({tokens('i.text')}, lambda x: length(x) >= {C.LONG_WORD})) > 0
+WHERE len({tokens('i.text')}) > 0
 """
 
 SQL["rank_split"] = f"""
@@ -170,7 +188,7 @@ FROM ro
 """
 
 SQL["mixture_profile"] = _MIX.replace("@WHERE@", "").replace("@CAP@", str(C.BUDGET_CAP))
-SQL["flagship_mixture"] = _MIX.replace("@WHERE@", "WHERE lang = 'en'").replace("@CAP@", "NULL")
+SQL["flagship_mixture"] = _MIX.replace("@WHERE@", "").replace("@CAP@", "NULL")
 
 _TPS_REF = C.STEP_BATCH * C.STEP_SEQ * C.STEP_WORLD
 _TPS_GLOB = C.STEP_BATCH * C.STEP_SEQ
@@ -320,6 +338,11 @@ SQL["sequence_files"] = _CHUNKS + """
 SELECT pos, shard, local_idx, array_to_string(chunk, ',') AS ids FROM cs
 """
 
+SQL["global_index_points"] = _CHUNKS + f"""
+SELECT cs.pos::BIGINT AS idx, cs.shard, cs.local_idx, array_to_string(list_resize(cs.chunk[1:{_L}], {_L}, {_EOS}), ',') AS input_ids
+FROM cs WHERE cs.pos % {C.LOOKUP_STRIDE} = 0
+"""
+
 SQL["global_index_lookup"] = _CHUNKS + f""",
 q AS (SELECT unnest(range((SELECT max(pos) FROM cs) + 11)) AS idx)
 SELECT q.idx::BIGINT AS idx, cs.shard, cs.local_idx,
@@ -422,8 +445,9 @@ SQL["build_text_shards"] = f"""
 WITH RECURSIVE d AS (SELECT source, {src_idx()} AS source_idx, doc_id,
                             coalesce(text, '') AS text, {ntok("coalesce(text, '')")} AS n_tokens
                      FROM documents),
-bc AS (SELECT *, sum(n_tokens) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM d),
-bk AS (SELECT * FROM bc WHERE cum <= {_CAP}),
+bc AS (SELECT *, sum(n_tokens) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
+       sum(n_tokens) OVER (PARTITION BY source) AS sum_all FROM d),
+bk AS (SELECT * FROM bc WHERE cum <= (sum_all * (1 + {src_idx()} % 3)) // 4),
 r AS (SELECT *, row_number() OVER (PARTITION BY source_idx ORDER BY doc_id) AS r FROM bk),
 c AS (SELECT source_idx, count(*) AS cnt, row_number() OVER (ORDER BY source_idx) - 1 AS srank FROM bk GROUP BY source_idx),
 s AS (SELECT count(*) AS nsrc, min(cnt) AS minc FROM c),
@@ -451,9 +475,9 @@ WITH d AS (SELECT source, {src_idx()} AS source_idx, doc_id, text,
 ex AS (SELECT *, len(ids)::BIGINT AS n_tokens,
               CASE WHEN text = '' THEN list_resize([]::BIGINT[], {_L}, {_EOS})
                    ELSE list_resize(list_append(ids, {_EOS}::BIGINT), {_L}, {_EOS}) END AS input_ids FROM d),
-bc AS (SELECT *, sum(n_tokens) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
-       FROM ex),
-bk AS (SELECT * FROM bc WHERE cum <= {_CAP}),
+bc AS (SELECT *, sum(n_tokens) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
+       sum(n_tokens) OVER (PARTITION BY source) AS sum_all FROM ex),
+bk AS (SELECT * FROM bc WHERE cum <= (sum_all * (1 + {src_idx()} % 3)) // 4),
 r AS (SELECT *, row_number() OVER (PARTITION BY source_idx ORDER BY doc_id) AS r FROM bk),
 c AS (SELECT source_idx, count(*) AS cnt, row_number() OVER (ORDER BY source_idx) - 1 AS srank FROM bk GROUP BY source_idx),
 s AS (SELECT count(*) AS nsrc, min(cnt) AS minc FROM c),
@@ -468,3 +492,20 @@ SELECT epoch::BIGINT AS epoch, p::BIGINT AS pos, doc_id, source, (p // {C.BATCH_
        array_to_string(input_ids, ',') AS input_ids
 FROM e
 """
+
+
+# ---------------------------------------------------------------- T5: event-time windows behind a watermark
+# An event is late if its window had ended by the watermark after the batches before its own; a window is out once the last
+# watermark has passed it.
+_W, _LATE = C.WINDOW_HOURS, C.LATE_HOURS
+SQL["stream_event_windows"] = f"""
+WITH e AS (SELECT ts, event_type, value, floor(event_id * {C.STREAM_RANGES} / (SELECT max(event_id) + 1 FROM events))::INTEGER
+                  + CASE WHEN event_id % 97 = 0 THEN 2 WHEN event_id % 50 = 0 THEN 1 ELSE 0 END AS b,
+                  time_bucket(INTERVAL {_W} HOUR, ts, TIMESTAMP '1970-01-01') AS w FROM events),
+m AS (SELECT b, max(max(ts)) OVER (ORDER BY b) - INTERVAL {_LATE} HOUR AS mark FROM e GROUP BY b),
+k AS (SELECT e.* FROM e LEFT JOIN m ON m.b = (SELECT max(b) FROM m x WHERE x.b < e.b)
+      WHERE m.mark IS NULL OR w + INTERVAL {_W} HOUR > date_trunc('millisecond', m.mark))
+SELECT epoch_us(w)::BIGINT AS window_us, event_type, count(*)::BIGINT AS n, round(avg(value), 6) AS mean_value, max(value) AS max_value,
+       epoch_us(min(ts))::BIGINT AS first_us, epoch_us(max(ts))::BIGINT AS last_us
+FROM k WHERE w + INTERVAL {_W} HOUR <= (SELECT date_trunc('millisecond', max(mark)) FROM m) GROUP BY w, event_type
+"""

@@ -19,6 +19,8 @@ from quarry.session import cut_lineage
 from quarry import defaults as DEF
 
 
+OFFSETS = "_offsets"  # beside the shards; Spark's readers pass over names that begin so
+ROW_GROUP = 8 << 20  # bytes: a lookup skips what it doesn't need of a shard's files
 TASK_ROWS = 100_000  # sequences of a shard that one task writes; a larger shard is a folder of several files
 
 
@@ -40,7 +42,7 @@ def write_sequence_shards(df: DataFrame, out: str, shard: str = "shard", local:
                           ids: str = "input_ids", mode: str = "overwrite") -> None:
     """``(local_idx, input_ids)`` rows per shard, partitioned by ``shard``."""
     (df.select(shard, local, ids).repartition(shard, F.floor(F.col(local) / TASK_ROWS)).sortWithinPartitions(shard, local)
-       .write.mode(mode).partitionBy(shard).parquet(out))
+       .write.mode(mode).option("parquet.block.size", ROW_GROUP).partitionBy(shard).parquet(out))
 
 
 def read_sequence_shards(spark: SparkSession, path: str, shard: str = "shard") -> DataFrame:

@@ -49,6 +49,17 @@ def feed(df: DataFrame, path: str, order: str, n_ranges: int, run: Callable[[],
         run()
 
 
+def feed_batches(df: DataFrame, path: str, batch: str, n_batches: int, run: Callable[[], None]) -> None:
+    """Deliver ``df`` to the folder ``path`` by the numbers in its column ``batch``, calling ``run`` after each."""
+    staged = f"{path}-staged"
+    df.write.partitionBy(batch).parquet(staged)
+    columns = [f for f in df.schema.fields if f.name != batch]
+    whole = df.sparkSession.read.parquet(staged)
+    for i in range(n_batches):
+        whole.filter(F.col(batch) == i).select(*[f.name for f in columns]).write.mode("append").parquet(path)
+        run()
+
+
 def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", max_files_per_trigger: int = 1_000) -> DataFrame:
     """A folder as an unbounded table."""
     return (spark.readStream.format(fmt).schema(schema)
@@ -160,6 +171,19 @@ def stream_step_rollup(stream: DataFrame, log_interval: int, out: str, checkpoin
     q.awaitTermination()
 
 
+def stream_event_windows(stream: DataFrame, width: str, delay: str, out: str, checkpoint: str, by: list[str], ts: str = "ts",
+                         value: str = "value") -> None:
+    """T5 over event time: windows of ``width`` by ``by``, kept as state until the watermark (the latest ``ts`` less ``delay``) has
+    passed them, then written once. Events of windows already written are dropped; state is bounded by the windows still open. A restart from
+    ``checkpoint`` goes on with state and watermark. Times without a zone are taken as UTC, whatever the session's zone."""
+    kind = stream.schema[ts].dataType.simpleString()
+    at = F.col(ts) if kind == "timestamp" else F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(ts)))
+    rows = stream.withColumn("_at", at).withWatermark("_at", delay).groupBy(F.window("_at", width), *by).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean_value"), F.max(value).alias("max_value"), F.min("_at").alias("first_ts"), F.max("_at").alias("last_ts"))
+    rows = rows.select(F.col("window.start").alias("window_start"), *by, "n", "mean_value", "max_value", "first_ts", "last_ts")
+    run_to_parquet(rows, out, checkpoint)
+
+
 def read_rollup(spark: SparkSession, out: str, log_interval: int, tokens_interval: int) -> DataFrame:
     """The log lines of all that the stream has taken so far."""
     return log_lines(spark.read.parquet(out).drop("batch_id"), log_interval, tokens_interval)

@@ -74,3 +74,25 @@ def test_stream_dedup_with_compaction_equals_batch(spark):
     assert got == rows(D.near_dedup(docs, "doc_id"), "doc_id")
     left = sorted(f for f in os.listdir(p["state"].removeprefix("file:")) if "=" in f)
     assert left == ["batch_id=4", "batch_id=5", "batch_id=6", "upto=4", "upto=6"]
+
+
+def test_event_windows_drop_late_rows_and_restart(spark):
+    """Rows before and after the watermark, each batch a new run from the checkpoint."""
+    p = ST.fresh(spark, "test-windows")
+    at = lambda m: f"2024-01-01 {m // 60:02d}:{m % 60:02d}:00"
+    batches = [[("a", 5, 1.0), ("a", 50, 3.0), ("b", 70, 5.0)],  # watermark 40 minutes after midnight
+               [("a", 55, 8.0), ("a", 45, 9.0), ("b", 190, 1.0)],  # 00:45 is behind no window's end; watermark 02:40
+               [("a", 59, 100.0), ("b", 161, 2.0)],  # 00:59: its window has ended and is dropped
+               [("c", 400, 7.0)]]
+    data = [(kind, at(m), v, b) for b, own in enumerate(batches) for kind, m, v in own]
+    for ntz in ("timestamp", "timestamp_ntz"):
+        p = ST.fresh(spark, f"test-windows-{ntz}")
+        df = spark.createDataFrame(data, "kind string, ts string, value double, b int").withColumn("ts", F.col("ts").cast(ntz))
+
+        def run():
+            s = ST.file_stream(spark, p["input"], df.drop("b").schema)
+            ST.stream_event_windows(s, "1 hour", "30 minutes", p["out"], p["ckpt"], ["kind"])
+
+        ST.feed_batches(df, p["input"], "b", 4, run)
+        got = [(r.kind, r.window_start.hour, r.n, r.mean_value, r.max_value) for r in spark.read.parquet(p["out"]).collect()]
+        assert sorted(got) == [("a", 0, 4, 5.25, 9.0), ("b", 1, 1, 5.0, 5.0), ("b", 2, 1, 2.0, 2.0), ("b", 3, 1, 1.0, 1.0)]
