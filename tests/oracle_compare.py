@@ -84,8 +84,6 @@ def main(argv):
     from quarry.session import get_session
 
     spark = get_session("local[8]")
-    if os.environ.get("QUARRY_SMALL_TABLE_ROWS"):  # e.g. 0: force the bucketed (cluster) path everywhere
-        spark.conf.set("quarry.smallTableRows", os.environ["QUARRY_SMALL_TABLE_ROWS"])
     con = duck(sf_dir)
     qs, sqls = E.queries(), E.oracle_sql()
     bad = 0
