@@ -1,13 +1,13 @@
-"""Token counts of whole texts, with overlap resynchronisation.
+"""Token counts of whole texts, by pieces between proven boundaries.
 
-A text is encoded in chunks of ``chunk`` characters that overlap by ``overlap``. Two chunks are spliced at a
-boundary in their overlap that both have found and that is proven stable: an ASCII white-space character before a
-character that is none. No pre-token, normalisation or special token of the vocabulary reaches across such a place,
-so the tokens on either side don't depend on what lies beyond. When the overlap holds no common boundary it is doubled and the
-chunk encoded anew, at last up to the end of the text. A document of any length is thus counted exactly while
+This replaces overlap resynchronisation: no two encodings are aligned. A text is taken in chunks of ``chunk`` characters and cut
+at boundaries that are stable by proof, so that counts add up: an ASCII white-space character before a character that is none. No
+pre-token, normalisation or special token of the vocabulary reaches across such a place, so the tokens on either side don't depend on what
+lies beyond. A chunk ends at a boundary in the ``overlap`` characters that it shares with the next; where they hold none, the
+overlap is doubled, at last up to the end of the text. A document of any length is thus counted exactly while
 holding the pieces of one chunk.
 
-Within a chunk the library encodes each distinct piece between proven boundaries once and a worker remembers the
+The library encodes each distinct piece once, and a worker remembers the
 count of up to ``MEMO`` pieces. A Latin letter before symbols that end a word is such a boundary too, as the
 pre-tokenizer parts letters from symbols; pieces over 256 characters are cut further between ASCII letters and
 digits, where it always cuts.
