@@ -10,9 +10,10 @@ neighbours.
 
 A chunk of at least ``MIN_WORDS`` words that occurs more than once in the corpus stays at its first place, by
 (doc_id, place in the text), and elsewhere is removed, with the repeated chunks beside it, where these have ``MIN_RUN`` words
-together; so a short phrase that two texts share by chance stays. A smaller chunk counts as repeated only where the chunks before
+together; so a short phrase that two texts share by chance stays. Two chunks stand in one run only where the same two stand side by
+side at an earlier place too; so a text that puts together lines of several others keeps them. A smaller chunk counts as repeated only where the chunks before
 and after it are the same too, and the three have ``MIN_WORDS`` words. Chunks meet by a 64-bit hash; all bytes of those that meet are
-compared, and where bytes differ, each text decides for itself.
+compared, and where bytes differ, each text decides for itself. Pairs of neighbours meet by a hash of their two hashes.
 
 Scale: what is grouped are narrow rows (document, chunk, hash), with partial aggregation, so a chunk that a third of all documents
 hold is no hot key. A bitmap of fixed size of the repeated hashes lets most other chunks go before they are shuffled. Texts
@@ -107,12 +108,16 @@ def chunks(data: np.ndarray, offsets: np.ndarray):
 
 
 def _chunk_rows(batches):
+    """The chunks that can be found repeated, each with a short hash of the one behind it (null: none such)."""
     for batch in batches:
         text, number, code, _, _, _, _, keep = chunks(*buffer_of(batch.column(2)))
         rows = pa.array(text[keep])
+        alone = np.ones(len(text), bool)
+        alone[:-1] = (text[1:] != text[:-1]) | ~keep[1:]
+        behind = np.roll(code, -1).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(number[keep], pa.int32()), pa.array(code[keep], pa.int64())],
-            ["id", "th", "chunk", "h"])
+            [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(number[keep], pa.int32()), pa.array(code[keep], pa.int64()),
+             pa.array(behind[keep], pa.int32(), mask=alone[keep])], ["id", "th", "chunk", "h", "behind"])
 
 
 def _evidence(bitmap: np.ndarray):
@@ -139,21 +144,21 @@ def _bits(hashes: DataFrame) -> DataFrame:
         .groupBy("word").agg(F.bit_or("bit").alias("bits"))
 
 
-def long_runs(listed: set, numbers: list, sizes: list) -> set:
-    """The listed chunks that stand in runs of at least ``MIN_RUN`` words."""
+def long_runs(listed: set, linked: set, numbers: list, sizes: list) -> set:
+    """The listed chunks that stand in runs of at least ``MIN_RUN`` words; a run goes on behind the linked chunks."""
     out, run, total = set(), [], 0
     for number, size in [*zip(numbers, sizes), (None, 0)]:
+        if run and (number not in listed or run[-1] not in linked):
+            out.update(run if total >= MIN_RUN else ())
+            run, total = [], 0
         if number in listed:
             run.append(number)
             total += size
-        else:
-            out.update(run if total >= MIN_RUN else ())
-            run, total = [], 0
     return out
 
 
 def _cut(batches):
-    """Texts without the listed chunks; with them the counts of what went."""
+    """Texts without the listed chunks (2 x number; 2 x number + 1: linked to the next); with them the counts of what went."""
     for batch in batches:
         n = batch.num_columns
         column, lists = batch.column(n - 2), batch.column(n - 1).to_pylist()
@@ -165,7 +170,8 @@ def _cut(batches):
             edges = np.searchsorted(text, np.arange(len(hit) + 1))
             for k, i in enumerate(hit):
                 x, y = edges[k], edges[k + 1]
-                gone = long_runs(set(lists[i]), number[x:y].tolist(), n_words[x:y].tolist())
+                listed, linked = {c >> 1 for c in lists[i] if not c & 1}, {c >> 1 for c in lists[i] if c & 1}
+                gone = long_runs(listed, linked, number[x:y].tolist(), n_words[x:y].tolist())
                 parts, at = [], offsets[k]
                 for j in range(x, y):
                     if int(number[j]) in gone:
@@ -198,18 +204,24 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     body = F.col(text).cast("string")
     th = F.xxhash64(F.coalesce(body, F.lit("")))
     rows = docs.select(F.col(key).alias("id"), th.alias("th"), body.alias("t")).filter("t is not null")
-    table = write_table(rows.mapInArrow(_chunk_rows, f"id {kind}, th long, chunk int, h long"), "chunks")
+    table = write_table(rows.mapInArrow(_chunk_rows, f"id {kind}, th long, chunk int, h long, behind int"), "chunks")
     place = F.struct("id", "th", "chunk")
     many = write_table(table.groupBy("h").count().filter("count > 1").select("h"), "repeated")
     bits = write_table(_bits(many), "bitmap")
     word = F.shiftrightunsigned(F.shiftrightunsigned("h", 64 - BITS), 6) == F.col("word")
     hit = F.expr(f"shiftright(bits, cast(shiftrightunsigned(h, {64 - BITS}) & 63 as int)) & 1 = 1")
-    maybe = table.join(F.broadcast(bits), word).filter(hit).select("id", "th", "chunk", "h")  # most others go before the shuffle
+    maybe = table.join(F.broadcast(bits), word).filter(hit).select("id", "th", "chunk", "h", "behind")  # most others go before the shuffle
     met = write_table(maybe.join(many, "h", "left_semi"), "met")
     # rows that repeat in full give the same places
     first = met.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last").select("h", "first")
-    hits = write_table(met.join(first, "h").select("id", "th", "chunk", "h", (place == F.col("first")).alias("stays")), "hits")
-    listed = lambda frame: frame.groupBy("id", "th").agg(F.collect_set("chunk").alias("chunks"))
+    hits = write_table(met.join(first, "h").select("id", "th", "chunk", "h", "behind", (place == F.col("first")).alias("stays")), "hits")
+    # pairs of neighbours that stand side by side at an earlier place
+    pairs = hits.filter("behind is not null").select("id", "th", "chunk", "stays", F.xxhash64("h", "behind").alias("pair"))
+    earliest = pairs.groupBy("pair").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last").select("pair", "first")
+    links = pairs.filter("not stays").join(earliest, "pair").filter(place != F.col("first")) \
+        .select("id", "th", (F.col("chunk").cast("long") * 2 + 1).alias("mark"))
+    marks = lambda frame: frame.select("id", "th", (F.col("chunk").cast("long") * 2).alias("mark")).unionByName(links)
+    listed = lambda frame: marks(frame).groupBy("id", "th").agg(F.collect_set("mark").alias("chunks"))
     i, h, got = fresh(docs, "id", "th", "chunks")
     mine = lambda frame: listed(frame).select(F.col("id").alias(i), F.col("th").alias(h), F.col("chunks").alias(got))
     meets = lambda a, b: a[key].eqNullSafe(b[i]) & (th == b[h])

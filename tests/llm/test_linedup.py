@@ -19,7 +19,7 @@ def run(df):
 
 def brute(rows):
     """The kept text of each (doc_id, text), by grouping the chunks' bytes themselves."""
-    seen = {}
+    seen, pairs = {}, {}
     cut = []
     for key, text in rows:
         data, offsets = buffer_of(pa.array([text], pa.string()))
@@ -29,16 +29,21 @@ def brute(rows):
         for i, c in enumerate(found):
             if c is not None:
                 seen.setdefault(c, []).append((key, i))
+            if i and c is not None and found[i - 1] is not None:
+                pairs.setdefault((found[i - 1], c), []).append((key, i))
     out = {}
     for (key, text), (data, a, found, size) in zip(rows, cut):
         parts, at, gone = [], 0, False
         again = [c is not None and min(seen[c]) != (key, i) for i, c in enumerate(found)]
 
+        def joined(i):  # chunks i - 1 and i stand side by side earlier too
+            return again[i - 1] and again[i] and min(pairs[found[i - 1], found[i]]) != (key, i)
+
         def run_words(i):
             low = high = i
-            while low > 0 and again[low - 1]:
+            while low > 0 and joined(low):
                 low -= 1
-            while high + 1 < len(again) and again[high + 1]:
+            while high + 1 < len(again) and joined(high + 1):
                 high += 1
             return sum(size[low:high + 1])
 
@@ -174,3 +179,23 @@ def test_a_short_repeated_line_stays(spark):
     docs = ["\n".join([prose(rng, 12), "read more about this in our weekly letter", prose(rng, 15)]) for _ in range(10)]
     got = run(documents(spark, docs))
     assert all(got[i].text == docs[i] for i in range(10))
+
+
+def test_a_text_put_together_of_others_lines_stays(spark):
+    rng = random.Random(11)
+    lines = [prose(rng, 9) for _ in range(3)]
+    whole = "\n".join(lines)
+    got = run(documents(spark, [*lines, whole, whole]))
+    assert [got[i].text for i in range(4)] == [*lines, whole]  # the lines stand side by side there for the first time
+    assert got[4].text == "" and got[4].removed_words == 27
+
+
+def test_a_common_line_inside_a_passage_goes_with_it(spark):
+    rng = random.Random(12)
+    common = prose(rng, 8)
+    passage = "\n".join([prose(rng, 7), common, prose(rng, 7)])
+    heads = [prose(rng, 30) for _ in range(4)]
+    got = run(documents(spark, [f"{heads[0]}\n{common}\n{prose(rng, 30)}", *[f"{h}\n{passage}\n{h[::-1]}" for h in heads[1:]]]))
+    assert got[0].removed_words == got[1].removed_words == 0
+    for i in (2, 3):
+        assert got[i].text == f"{heads[i]}\n{heads[i][::-1]}" and got[i].removed_words == 22
