@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.functions import records as RC
 from quarry.functions import text as T
+from quarry.operators import allocation as AL
 from quarry.operators import dedup as D
 from quarry.operators import ordered as O
 from quarry.operators import shards as SH
@@ -162,6 +164,29 @@ def q_resolve_text_first_nonempty(spark, sf_dir):
     return df.select("shape", "rid", F.length("text").cast("long").alias("text_chars"), F.md5("text").alias("text_md5"))
 
 
+def q_variant_field_filter(spark, sf_dir):
+    """P2 over records without a schema: a nested field of ``props`` equals a number, every record wrapped one level deeper or in an
+    array by turns (a path through an array is missing)."""
+    ev = load(spark, sf_dir, "events")
+    shape = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"meta": '), F.col("props"), F.lit("}"))) \
+        .when(F.col("event_id") % 3 == 1, F.concat(F.lit('{"meta": ['), F.col("props"), F.lit("]}"))).otherwise(F.col("props"))
+    ev = ev.withColumn("record", RC.parse_records(shape))
+    hit = RC.field_equals("record", "$.meta.k", 29) | RC.field_equals("record", "$.k", 29)
+    return ev.filter(hit).select("event_id", "user_id", "event_type")
+
+
+def q_variant_text_resolution(spark, sf_dir):
+    """P5 P6 over the four record shapes as one VARIANT column."""
+    parts = [s.select("shape", "rid", F.to_json(F.struct(*[c for c in s.columns if c not in ("shape", "rid")])).alias("json"))
+             for s in text_shapes(spark, sf_dir)]
+    df = parts[0]
+    for p in parts[1:]:
+        df = df.unionByName(p)
+    r = RC.parse_records("json")
+    df = df.select("shape", "rid", RC.text_by_presence(r).alias("a"), RC.text_first_nonempty(r).alias("b"))
+    return df.select("shape", "rid", F.md5("a").alias("presence_md5"), F.length("b").cast("long").alias("text_chars"), F.md5("b").alias("text_md5"))
+
+
 # ---------------------------------------------------------------- ordered operators
 def q_token_budget(spark, sf_dir):
     """Per source, documents by doc_id while the running token total stays <= cap."""
@@ -261,6 +286,29 @@ def q_mixture_profile(spark, sf_dir):
     return R.mixture_profile(kept, BUDGET_CAP)
 
 
+ALLOC_SHARES = {"core": 80, "general": 20}
+ALLOC_TARGET = 70  # percent of all tokens
+
+
+def q_mixture_allocation(spark, sf_dir):
+    """The target over two parts (80 to 20) and their sources, two of which in seven are short by a cap of their own; the caps feed
+    the token budget. The first sources in seven are the core part, too small for its share."""
+    d = cut_lineage(docs_with_counts(spark, sf_dir).select("source", "doc_id", "n_tokens"))
+    number = source_index().cast("long")
+    per = d.groupBy("source").agg(F.sum("n_tokens").alias("available")).select(
+        "source", "available", F.when(number % 7 < 3, "core").otherwise("general").alias("part"),
+        F.when(number % 7 == 1, F.expr("available div 3")).when(number % 7 == 4, F.expr("available div 10")).alias("declared"),
+        (1 + number % 2).alias("weight"))
+    per = cut_lineage(per)  # one row per source
+    target = (per.agg(F.sum("available")).first()[0] or 0) * ALLOC_TARGET // 100
+    caps = cut_lineage(AL.allocate(per, target, ALLOC_SHARES, declared="declared", weight="weight"))
+    kept = O.token_budget(d, caps.select("source", "cap")).groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_tokens").alias("tokens"))
+    gap = F.lit(target) - F.sum("cap").over(Window.partitionBy(F.lit(1)))
+    return caps.withColumn("target_gap", gap).join(kept, "source", "left").select(
+        "source", "part", "available", F.col("cap").alias("cap_tokens"), F.coalesce("docs", F.lit(0)).alias("docs"),
+        F.coalesce("tokens", F.lit(0)).alias("tokens"), "target_gap")
+
+
 def q_step_plan(spark, sf_dir):
     """A4: steps and warmup for the corpus's whitespace token total."""
     return R.step_plan(docs_with_counts(spark, sf_dir), STEP_BATCH, STEP_SEQ, STEP_WORLD, WARMUP)
@@ -492,6 +540,15 @@ def q_jsonl_round_trip(spark, sf_dir):
     return back.select("shard_name", F.md5("text").alias("text_md5"))
 
 
+def q_jsonl_shard_files(spark, sf_dir):
+    """Reset token shards, one file a shard, read back with the files' names."""
+    d = docs_with_counts(spark, sf_dir).select("doc_id", "text", "n_tokens")
+    path = scratch_path(spark, "jsonl-files")
+    SK.write_text_shard_files(SH.token_shards(d, SHARD_TOKENS, "doc_id", mode="reset"), path, order="doc_id")
+    back = spark.read.schema("text string").json(path).select(F.col("_metadata.file_name").alias("file"), F.md5("text").alias("text_md5"))
+    return back
+
+
 BUILD_SHARD_TOKENS = 2_000
 
 
@@ -671,6 +728,8 @@ def flagship(spark, sf_dir):
 QUERIES = {
     "registry_scan_filter": q_registry_scan_filter,
     "nested_field_filter": q_nested_field_filter,
+    "variant_field_filter": q_variant_field_filter,
+    "variant_text_resolution": q_variant_text_resolution,
     "skip_missing_source": q_skip_missing_source,
     "source_readiness": q_source_readiness,
     "source_split_config": q_source_split_config,
@@ -691,6 +750,7 @@ QUERIES = {
     "rank_split": q_rank_split,
     "batch_plan": q_batch_plan,
     "mixture_profile": q_mixture_profile,
+    "mixture_allocation": q_mixture_allocation,
     "step_plan": q_step_plan,
     "step_rollup": q_step_rollup,
     "best_loss_flags": q_best_loss_flags,
@@ -713,6 +773,7 @@ QUERIES = {
     "text_line_scan": q_text_line_scan,
     "sequence_shard_round_trip": q_sequence_shard_round_trip,
     "jsonl_round_trip": q_jsonl_round_trip,
+    "jsonl_shard_files": q_jsonl_shard_files,
     "build_text_shards": q_build_text_shards,
     "bpe_token_counts": q_bpe_token_counts,
     "bpe_fixed_length": q_bpe_fixed_length,

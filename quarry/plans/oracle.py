@@ -39,6 +39,12 @@ SELECT event_id, user_id, event_type FROM events
 WHERE coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) = 29, false)
 """
 
+SQL["variant_field_filter"] = """
+SELECT event_id, user_id, event_type FROM events
+WHERE event_id % 3 <> 1 AND json_type(props, '$.k') IN ('BIGINT', 'UBIGINT', 'DOUBLE')
+  AND CAST(json_extract_string(props, '$.k') AS DOUBLE) = 29
+"""
+
 SQL["skip_missing_source"] = f"""
 SELECT source, count(*)::BIGINT AS docs FROM documents GROUP BY source
 """
@@ -97,6 +103,11 @@ r AS (SELECT shape, rid, coalesce(CASE WHEN text <> '' THEN text END, CASE WHEN
 SELECT shape, rid, length(t)::BIGINT AS text_chars, md5(t) AS text_md5 FROM r
 """
 
+SQL["variant_text_resolution"] = f"""
+SELECT shape, rid, p.text_md5 AS presence_md5, f.text_chars, f.text_md5
+FROM ({SQL["resolve_text_presence"]}) p JOIN ({SQL["resolve_text_first_nonempty"]}) f USING (shape, rid)
+"""
+
 SQL["token_budget"] = f"""
 WITH d AS (SELECT source, doc_id, {ntok('text')} AS n_tokens FROM documents),
 c AS (SELECT *, sum(n_tokens) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM d)
@@ -190,6 +201,40 @@ FROM ro
 SQL["mixture_profile"] = _MIX.replace("@WHERE@", "").replace("@CAP@", str(C.BUDGET_CAP))
 SQL["flagship_mixture"] = _MIX.replace("@WHERE@", "").replace("@CAP@", "NULL")
 
+
+
+def _fill(rows: str, by: str, name: str) -> str:
+    """Water-filling of (by, name, w, lim, quota): a row is full if its group can be filled up to that row's level, seen from every row."""
+    return f"""(
+WITH r AS (SELECT *, lim::HUGEINT AS l, w::HUGEINT AS v FROM {rows}),
+f AS (SELECT a.{by} AS g, a.{name} AS n, any_value(a.quota) * any_value(a.v) >= sum(least(b.l * a.v, b.v * a.l)) AS is_full
+      FROM r a JOIN r b ON a.{by} = b.{by} GROUP BY ALL),
+h AS (SELECT r.*, is_full, sum(l) FILTER (is_full) OVER (PARTITION BY {by}) AS taken, sum(v) FILTER (NOT is_full) OVER (PARTITION BY {by}) AS open
+      FROM r JOIN f ON f.g = r.{by} AND f.n = r.{name}),
+p AS (SELECT *, CASE WHEN is_full THEN l ELSE (v * (quota - coalesce(taken, 0))) // open END AS part FROM h),
+o AS (SELECT *, least(quota, sum(l) OVER (PARTITION BY {by})) - sum(part) OVER (PARTITION BY {by}) AS rest,
+             sum((part < l)::INT) OVER (PARTITION BY {by} ORDER BY {name}) AS turn FROM p)
+SELECT * EXCLUDE (l, v, is_full, taken, open, part, rest, turn), (part + (part < l AND turn <= rest)::INT)::BIGINT AS got FROM o)"""
+
+
+SQL["mixture_allocation"] = f"""
+WITH d AS (SELECT source, doc_id, {ntok('text')} AS n_tokens FROM documents),
+s AS (SELECT source, sum(n_tokens)::BIGINT AS available, {src_idx()} % 7 AS i, 1 + {src_idx()} % 2 AS w FROM d GROUP BY source),
+s2 AS (SELECT source, available, CASE WHEN i < 3 THEN 'core' ELSE 'general' END AS part_name, w,
+              CASE i WHEN 1 THEN available // 3 WHEN 4 THEN available // 10 ELSE available END AS lim FROM s),
+t AS (SELECT (sum(available) * {C.ALLOC_TARGET} // 100)::BIGINT AS target FROM s),
+parts AS (SELECT 1 AS g0, part_name, sum(lim) AS lim, CASE part_name WHEN 'core' THEN {C.ALLOC_SHARES['core']} ELSE {C.ALLOC_SHARES['general']} END AS w,
+                 (SELECT target FROM t) AS quota FROM s2 GROUP BY part_name),
+q AS (SELECT part_name, got FROM {_fill('parts', 'g0', 'part_name')}),
+src AS (SELECT s2.*, q.got AS quota FROM s2 JOIN q USING (part_name)),
+c AS (SELECT source, part_name, available, got FROM {_fill('src', 'part_name', 'source')}),
+k AS (SELECT d.source, n_tokens, sum(n_tokens) OVER (PARTITION BY d.source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS cum FROM d),
+kept AS (SELECT k.source, count(*) AS docs, sum(n_tokens) AS tokens FROM k JOIN c USING (source) WHERE cum <= got GROUP BY k.source)
+SELECT c.source, part_name AS part, available, got AS cap_tokens, coalesce(docs, 0)::BIGINT AS docs, coalesce(tokens, 0)::BIGINT AS tokens,
+       ((SELECT target FROM t) - sum(got) OVER ())::BIGINT AS target_gap
+FROM c LEFT JOIN kept USING (source)
+"""
+
 _TPS_REF = C.STEP_BATCH * C.STEP_SEQ * C.STEP_WORLD
 _TPS_GLOB = C.STEP_BATCH * C.STEP_SEQ
 SQL["step_plan"] = f"""
@@ -422,6 +467,10 @@ SQL["jsonl_round_trip"] = _RESET + """
 SELECT printf('shard_%05d', f.shard) AS shard_name, md5(documents.text) AS text_md5 FROM f JOIN documents USING (doc_id)
 """
 
+SQL["jsonl_shard_files"] = _RESET + """
+SELECT printf('shard_%05d.jsonl', f.shard) AS file, md5(documents.text) AS text_md5 FROM f JOIN documents USING (doc_id)
+"""
+
 
 # ---------------------------------------------------------------- streaming: the batch twins
 SQL["stream_fixed_length"] = f"""

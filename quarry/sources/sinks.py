@@ -1,6 +1,6 @@
 """Sinks and the scans that read them back.
 
-* Text shards (S7/F9): JSON lines ``{"text": ...}``, one folder per shard ``shard_name=shard_%05d``.
+* Text shards (S7/F9): JSON lines ``{"text": ...}``, one folder per shard ``shard_name=shard_%05d``, or one file ``shard_%05d.jsonl``.
 * Sequence shards (S8): parquet partitioned by ``shard``; read back (S6) sorted by (shard, local_idx).
 * Metadata (S9): one JSON object.
 * Text lines (S5): ``spark.read.text`` over files, with the file path for provenance.
@@ -11,6 +11,8 @@ by construction (token- or count-sized), so no task holds more than one shard's
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,44 @@ def write_text_shards(df: DataFrame, out: str, shard: str = "shard", order: str
           .select("shard_name", "text").write.mode(mode).partitionBy("shard_name").json(out))
 
 
+def write_text_shard_files(df: DataFrame, out: str, shard: str = "shard", order: str = "pos", fmt: str = DEF.TEXT_SHARD_NAME) -> list[str]:
+    """S7 as files: ``out/shard_%05d.jsonl``, one file a shard; returns the names in order.
+
+    Spark's commit protocol writes the shards into a hidden folder beside the result, so of failed and repeated attempts nothing stays;
+    then the files are renamed into place and ``_SUCCESS`` is set. The driver only handles names, one a shard. ``out`` must be
+    new or empty: shards of another run are never mixed in. Works on any file system that Spark writes to.
+    """
+    spark = df.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    root, staging = hadoop(out), hadoop(out, f"_staging-{uuid.uuid4().hex}")
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(root) and len(fs.listStatus(root)):
+        raise FileExistsError(f"{out} is not empty")
+    names = []
+    try:
+        write_text_shards(df, staging.toString(), shard, order, fmt)
+        moves = []
+        for folder in fs.listStatus(staging):
+            key, _, name = folder.getPath().getName().partition("=")
+            if key == "shard_name":
+                parts = [f.getPath() for f in fs.listStatus(folder.getPath()) if not f.getPath().getName().startswith(("_", "."))]
+                if len(parts) != 1:
+                    raise RuntimeError(f"{name} was written as {len(parts)} files")
+                moves.append((f"{name}.jsonl", parts[0]))
+        for name, part in sorted(moves):
+            if not fs.rename(part, hadoop(out, name)):
+                raise OSError(f"{name} could not be moved into {out}")
+            names.append(name)
+    except BaseException:
+        for name in names:
+            fs.delete(hadoop(out, name), False)
+        raise
+    finally:
+        fs.delete(staging, True)
+    fs.create(hadoop(out, "_SUCCESS"), True).close()
+    return names
+
+
 def read_text_shards(spark: SparkSession, path: str) -> DataFrame:
     """Read S7 output back: ``(shard_name, text)``."""
     return spark.read.schema("text string, shard_name string").json(path)

@@ -17,7 +17,8 @@ from quarry.functions import text as T  # noqa: E402
 from quarry.operators import dedup as D  # noqa: E402
 from quarry.operators import ordered as O  # noqa: E402
 from quarry.operators import shards as SH  # noqa: E402
-from quarry.session import get_session  # noqa: E402
+from quarry.session import get_session, scratch_path  # noqa: E402
+from quarry.sources import sinks as SK  # noqa: E402
 
 
 def flaky(df):
@@ -39,6 +40,9 @@ def results(spark, docs):
     out["interleave"] = sorted((r["doc_id"], r["pos"]) for r in O.interleave(
         d.withColumn("source_idx", F.regexp_extract("source", r"(\d+)$", 1).cast("int"))).collect())
     out["dedup"] = sorted(r["doc_id"] for r in D.near_dedup(d, "doc_id").collect())
+    path = scratch_path(spark, "files")
+    out["files"] = [SK.write_text_shard_files(SH.token_shards(d, 20000, "doc_id", mode="reset"), path, order="doc_id"),
+                    sorted(r[0] for r in spark.read.text(path).collect())]
     out["shards"] = sorted((r["doc_id"], r["shard"]) for r in SH.token_shards(d, 20000, "doc_id", mode="reset").collect())
     return out
 
