@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import records as RC
+from quarry.functions import sql as QL
 from quarry.functions import text as T
 from quarry.operators import allocation as AL
 from quarry.operators import dedup as D
@@ -19,6 +20,7 @@ from quarry.functions import sequences as SQ
 from quarry.functions.tokenize import TokenizerSpec, encode
 from quarry.plans import corpus as CP
 from quarry.session import cut_lineage, scratch_path
+from quarry.sources import ranks as RK
 from quarry.sources import sinks as SK
 from quarry.streaming import stream as ST
 from quarry.operators import report as R
@@ -279,6 +281,50 @@ def q_batch_plan(spark, sf_dir):
     return O.batch_plan(pos, BATCH_SIZE, MICRO_BATCH).select("doc_id", "pos", "batch_id", "micro_id")
 
 
+RANK_BATCH, RANK_MICRO, RANK_SEGMENT = 16, 2, 5
+
+
+def q_rank_resume(spark, sf_dir):
+    """Documents stored for WORLD_SIZE readers; every rank resumes at half of its steps."""
+    path = scratch_path(spark, "ranks")
+    RK.write_rank_layout(load(spark, sf_dir, "documents").select("doc_id", "source"), path, "doc_id", WORLD_SIZE, RANK_BATCH, RANK_MICRO, RANK_SEGMENT)
+    steps, out = RK.resume_steps(spark, path, 0.5), None
+    for rank in range(WORLD_SIZE):
+        rows = RK.read_rank(spark, path, rank, steps.get(rank, 0))
+        out = rows if out is None else out.unionByName(rows)
+    return out.select(F.col("rank").cast("long"), "step", "micro", "local_pos", "doc_id", "source")
+
+
+# ---------------------------------------------------------------- SQL functions
+def _views(spark, sf_dir):
+    QL.register(spark)
+    load(spark, sf_dir, "documents").createOrReplaceTempView("quarry_documents")
+
+
+def q_sql_token_counts(spark, sf_dir):
+    """F1 A1 in SQL."""
+    _views(spark, sf_dir)
+    return spark.sql("SELECT doc_id, word_count(text) AS n_tokens FROM quarry_documents")
+
+
+def q_sql_examples(spark, sf_dir):
+    """F1 F4-F7 F11 in SQL: a fixed-length example of every document."""
+    _views(spark, sf_dir)
+    return spark.sql(f"""
+        WITH e AS (SELECT doc_id, example_ids(word_ids(first_text(array(text))), {SEQ_LEN}, {EOS_ID}) AS ids FROM quarry_documents)
+        SELECT doc_id, array_join(ids, ',') AS input_ids, array_join(id_mask(ids, {EOS_ID}), ',') AS attention_mask FROM e""")
+
+
+def q_sql_line_chunks(spark, sf_dir):
+    """F1 F2 F4 F8 P7 in SQL: the lines of all documents, stripped, as ids, cut into chunks."""
+    _views(spark, sf_dir)
+    return spark.sql(f"""
+        WITH l AS (SELECT doc_id, n AS line_no, strip_text(line) AS line FROM quarry_documents LATERAL VIEW posexplode(split(text, '\n')) AS n, line),
+        c AS (SELECT doc_id, line_no, id_chunks(append_eos(word_ids(line), {EOS_ID}, false), {SEQ_LEN}) AS chunks FROM l WHERE line <> '')
+        SELECT doc_id, cast(line_no AS BIGINT) AS line_no, cast(k AS BIGINT) AS chunk_idx, array_join(chunk, ',') AS ids
+        FROM c LATERAL VIEW posexplode(chunks) AS k, chunk""")
+
+
 # ---------------------------------------------------------------- reports
 def q_mixture_profile(spark, sf_dir):
     """A3 over the token budget's output: per source docs, tokens, cap, share, remaining + total row."""
@@ -749,6 +795,10 @@ QUERIES = {
     "epochs": q_epochs,
     "rank_split": q_rank_split,
     "batch_plan": q_batch_plan,
+    "rank_resume": q_rank_resume,
+    "sql_token_counts": q_sql_token_counts,
+    "sql_examples": q_sql_examples,
+    "sql_line_chunks": q_sql_line_chunks,
     "mixture_profile": q_mixture_profile,
     "mixture_allocation": q_mixture_allocation,
     "step_plan": q_step_plan,

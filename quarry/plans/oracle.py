@@ -180,6 +180,15 @@ SQL["rank_split"] = f"""
 SELECT doc_id, (('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT % {C.WORLD_SIZE})::BIGINT AS rank FROM documents
 """
 
+_OWN = C.RANK_BATCH // C.WORLD_SIZE
+SQL["rank_resume"] = f"""
+WITH r AS ({SQL["rank_split"]}),
+p AS (SELECT rank, doc_id, (row_number() OVER (PARTITION BY rank ORDER BY doc_id) - 1)::BIGINT AS local_pos FROM r),
+s AS (SELECT *, (local_pos // {_OWN})::BIGINT AS step, ((local_pos % {_OWN}) // {C.RANK_MICRO})::BIGINT AS micro FROM p)
+SELECT rank, step, micro, local_pos, doc_id, source FROM s JOIN documents USING (doc_id)
+QUALIFY step >= max(step) OVER (PARTITION BY rank) // 2
+"""
+
 SQL["batch_plan"] = f"""
 WITH p AS (SELECT doc_id, (row_number() OVER (ORDER BY {src_idx()}, doc_id) - 1)::BIGINT AS pos FROM documents)
 SELECT doc_id, pos, (pos // {C.BATCH_SIZE})::BIGINT AS batch_id, ((pos % {C.BATCH_SIZE}) // {C.MICRO_BATCH})::BIGINT AS micro_id FROM p
@@ -364,6 +373,17 @@ SQL["chunk_ids"] = _CHUNKS + """
 SELECT doc_id, line_no, chunk_idx, pos, shard, local_idx, array_to_string(chunk, ',') AS ids, len(chunk)::BIGINT AS n_ids FROM cs
 """
 
+SQL["sql_token_counts"] = SQL["token_counts"]
+SQL["sql_line_chunks"] = _CHUNKS + """
+SELECT doc_id, line_no, chunk_idx, array_to_string(chunk, ',') AS ids FROM cs
+"""
+SQL["sql_examples"] = f"""
+WITH i AS (SELECT doc_id, list_transform({tokens("coalesce(text, '')")}, lambda x: length(x)::BIGINT) AS ids FROM documents),
+e AS (SELECT doc_id, list_resize(list_append(ids, {_EOS}::BIGINT), {_L}, {_EOS}) AS ids FROM i)
+SELECT doc_id, array_to_string(ids, ',') AS input_ids,
+       array_to_string(list_transform(ids, lambda x: (x <> {_EOS})::INT), ',') AS attention_mask FROM e
+"""
+
 SQL["count_shards"] = _CHUNKS + """
 SELECT shard, count(*)::BIGINT AS n_sequences FROM cs GROUP BY shard
 """
