@@ -24,10 +24,10 @@ ROW_GROUP = 8 << 20  # bytes: what a resumed reader may skip of its first segmen
 
 def write_rank_layout(df: DataFrame, out: str, key: str, world_size: int, batch_size: int = DEF.BATCH_SIZE,
                       micro_batch_size: int = DEF.MICRO_BATCH_SIZE, segment_steps: int = DEF.SAVE_INTERVAL, hash_key: str | None = None) -> None:
-    """Store ``df`` for ``world_size`` readers, in the order of ``key`` (unique). The last step of a rank may be short.
+    """Store ``df`` for ``world_size`` readers, in the order of ``key`` (unique integers, no nulls). The last step of a rank may be short.
 
-    Adds ``rank``, ``step``, ``micro`` and ``local_pos`` (the row's number inside its rank). ``df`` is numbered by its keys and met
-    with them again, so it should be a stored table.
+    Adds ``rank``, ``step``, ``micro`` and ``local_pos`` (the row's number inside its rank). ``df`` is read twice, for its keys and
+    for its rows, so it should be a stored table; the rows move twice, to be numbered and to their folders.
     """
     own, uneven = divmod(batch_size, world_size)
     if own < 1 or uneven or own % micro_batch_size:
