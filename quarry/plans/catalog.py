@@ -22,6 +22,7 @@ from quarry.plans import corpus as CP
 from quarry.session import cut_lineage, scratch_path
 from quarry.sources import ranks as RK
 from quarry.sources import sinks as SK
+from quarry.streaming import epochs as EP
 from quarry.streaming import stream as ST
 from quarry.operators import report as R
 from quarry.sources import registry as REG
@@ -753,6 +754,22 @@ def q_stream_event_windows(spark, sf_dir):
                       us("first_ts", "first_us"), us("last_ts", "last_us"))
 
 
+SEGMENTS, SEGMENTS_A_BATCH = 8, 5
+
+
+def q_stream_epochs(spark, sf_dir):
+    """Documents as an endless stream in (source_idx, doc_id) order, taken until EPOCHS epochs are through. A batch is
+    SEGMENTS_A_BATCH segments, so batches end inside epochs and go over their ends; each is a restart from the checkpoint."""
+    p = ST.fresh(spark, "epochs")
+    docs = load(spark, sf_dir, "documents").select("doc_id", "source", source_index().alias("source_idx"))
+    EP.write_segments(docs, p["input"], ["source_idx", "doc_id"], max(1, -(-docs.count() // SEGMENTS)))
+    batches = -(-EPOCHS * EP.n_segments(spark, p["input"]) // SEGMENTS_A_BATCH)
+    each = lambda rows, batch_id: rows.write.mode("overwrite").parquet(f"{p['out']}/batch_id={batch_id}")
+    EP.stream_epochs(spark, p["input"], each, p["ckpt"], SEGMENTS_A_BATCH, batches)
+    taken = spark.read.schema("epoch long, pos long, doc_id long, source string, batch_id long").parquet(p["out"])
+    return taken.filter(F.col("epoch") < EPOCHS)
+
+
 TRAIN_WORLD = 2
 
 
@@ -837,5 +854,6 @@ QUERIES = {
     "stream_near_dedup": q_stream_near_dedup,
     "stream_step_rollup": q_stream_step_rollup,
     "stream_event_windows": q_stream_event_windows,
+    "stream_epochs": q_stream_epochs,
     "flagship_mixture": flagship,
 }

@@ -578,3 +578,11 @@ SELECT epoch_us(w)::BIGINT AS window_us, event_type, count(*)::BIGINT AS n, roun
        epoch_us(min(ts))::BIGINT AS first_us, epoch_us(max(ts))::BIGINT AS last_us
 FROM k WHERE w + INTERVAL {_W} HOUR <= (SELECT date_trunc('millisecond', max(mark)) FROM m) GROUP BY w, event_type
 """
+
+SQL["stream_epochs"] = f"""
+WITH p AS (SELECT doc_id, source, (row_number() OVER (ORDER BY {src_idx()}, doc_id) - 1)::BIGINT AS pos FROM documents),
+s AS (SELECT *, pos // greatest(1, ceil(count(*) OVER () / {C.SEGMENTS}::DOUBLE)::BIGINT) AS segment FROM p),
+t AS (SELECT *, max(segment) OVER () + 1 AS total FROM s)
+SELECT epoch, pos, doc_id, source, ((epoch * total + segment) // {C.SEGMENTS_A_BATCH})::BIGINT AS batch_id
+FROM t, (SELECT unnest(range({C.EPOCHS}))::BIGINT AS epoch) e
+"""
