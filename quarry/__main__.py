@@ -1,11 +1,12 @@
 """Command line: the corpus job and the sequence-shard job on Spark.
 
     python -m quarry build-text-shards REGISTRY.json OUT [--shard-tokens N] [--mode reset|balanced] [--bpe]
+                                       [--target-tokens N --shares PART=WEIGHT,PART=WEIGHT]
     python -m quarry sequence-shards OUT FILE [FILE ...] [--seq-length N] [--shard-size N]
 
 A registry is a JSON list of sources in interleave order, each an object with ``name``, ``path`` and
-optionally ``format``, ``split``, ``cap_tokens``, ``cap_rows``, ``predicate`` (a SQL expression) and
-``config``. Run it with ``spark-submit -m``-style launchers or plain ``python``; the session is taken
+optionally ``format``, ``split``, ``cap_tokens``, ``cap_rows``, ``predicate`` (a SQL expression),
+``config``, ``part`` and ``weight``. Run it with ``spark-submit -m``-style launchers or plain ``python``; the session is taken
 from the environment (``spark.checkpoint.dir`` must name a shared folder on a cluster).
 """
 
@@ -34,12 +35,16 @@ def main(argv=None) -> int:
     b.add_argument("--mode", choices=["reset", "balanced"], default="reset")
     b.add_argument("--drop-tail", action="store_true")
     b.add_argument("--bpe", action="store_true", help="count tokens with the byte-level BPE (default: whitespace)")
+    b.add_argument("--target-tokens", type=int, help="share out so many tokens over the parts and sources")
+    b.add_argument("--shares", help="the parts' weights, such as core=80,general=20")
     q = sub.add_parser("sequence-shards")
     q.add_argument("out")
     q.add_argument("files", nargs="+")
     q.add_argument("--seq-length", type=int, default=DEF.SEQ_LENGTH)
     q.add_argument("--shard-size", type=int, default=DEF.SEQ_SHARD_SIZE)
     args = ap.parse_args(argv)
+    if args.cmd == "build-text-shards" and (args.target_tokens is None) != (args.shares is None):
+        ap.error("--target-tokens and --shares go together")
 
     from pyspark.sql import SparkSession
 
@@ -51,7 +56,11 @@ def main(argv=None) -> int:
     shared_dir(spark)
     if args.cmd == "build-text-shards":
         tok = TokenizerSpec() if args.bpe else None
-        CP.build_text_shards(spark, _registry(args.registry), args.out, args.shard_tokens, tok, mode=args.mode,
+        registry = _registry(args.registry)
+        if args.shares is not None:
+            shares = {part: int(weight) for part, weight in (x.split("=") for x in args.shares.split(","))}
+            registry = CP.allocated(spark, registry, shares, args.target_tokens, tokenizer=tok)
+        CP.build_text_shards(spark, registry, args.out, args.shard_tokens, tok, mode=args.mode,
                              drop_tail=args.drop_tail)
     else:
         CP.create_sequence_shards(spark, args.files, args.out, TokenizerSpec(), args.seq_length, args.shard_size)

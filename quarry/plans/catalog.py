@@ -599,18 +599,26 @@ def q_jsonl_shard_files(spark, sf_dir):
 BUILD_SHARD_TOKENS = 2_000
 
 
-def build_registry(spark, sf_dir, tokens=None, whole=4):
-    """The registry whose caps are one to three parts in ``whole`` of each source's tokens, so they grow with the table."""
-    d = load(spark, sf_dir, "documents").select("source", (T.whitespace_token_count("text") if tokens is None else tokens).alias("n"))
+def build_registry(spark, sf_dir, tokens, whole):
+    """The registry whose caps are one to three parts in ``whole`` of each source's sum of ``tokens``, so they grow with the table."""
+    d = load(spark, sf_dir, "documents").select("source", tokens.alias("n"))
     totals = {r["source"]: r["n"] or 0 for r in d.groupBy("source").agg(F.sum("n").alias("n")).collect()}  # one row per source
     names = registry_names(spark, sf_dir)
     return documents_registry(sf_dir, names, extra={n: {"cap_tokens": totals[n] * (1 + int(n.removeprefix("src")) % 3) // whole} for n in names})
 
 
+def allocated_registry(spark, sf_dir):
+    """The registry whose caps share out ALLOC_TARGET percent of all tokens over two parts."""
+    names = registry_names(spark, sf_dir)
+    number = {n: int(n.removeprefix("src")) for n in names}
+    extra = {n: {"part": "core" if number[n] % 7 < 3 else "general", "weight": 1 + number[n] % 2} for n in names}
+    return CP.allocated(spark, documents_registry(sf_dir, names, extra=extra), ALLOC_SHARES, percent=ALLOC_TARGET)
+
+
 def q_build_text_shards(spark, sf_dir):
-    """C2 end to end: registry -> budget -> interleave -> near-dedup -> reset token shards -> JSONL."""
+    """C2 end to end: registry -> allocation of the target -> budget -> interleave -> near-dedup -> reset token shards -> JSONL."""
     path = scratch_path(spark, "corpus-shards")
-    out = CP.build_text_shards(spark, build_registry(spark, sf_dir), path, BUILD_SHARD_TOKENS)
+    out = CP.build_text_shards(spark, allocated_registry(spark, sf_dir), path, BUILD_SHARD_TOKENS)
     return out.select("pos", "source", "doc_id", "n_tokens", "shard")
 
 
@@ -774,8 +782,8 @@ TRAIN_WORLD = 2
 
 
 def q_training_view_words(spark, sf_dir):
-    """C6 with SQL-reproducible ids: registry (caps) -> examples -> interleave -> epochs -> batches -> ranks."""
-    reg = build_registry(spark, sf_dir)
+    """C6 with SQL-reproducible ids: registry (allocated caps) -> examples -> interleave -> epochs -> batches -> ranks."""
+    reg = allocated_registry(spark, sf_dir)
     tv = CP.training_view(spark, reg, WORDS, SEQ_LEN, EPOCHS, BATCH_SIZE, MICRO_BATCH, TRAIN_WORLD)
     return tv.select(F.col("epoch").cast("long"), "pos", "doc_id", "source", "batch_id", "micro_id",
                      F.col("rank").cast("long"), F.array_join("input_ids", ",").alias("input_ids"))

@@ -9,6 +9,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
@@ -17,6 +19,7 @@ from pyspark.errors import AnalysisException
 from quarry.functions import sequences as SQ
 from quarry.functions import text as T
 from quarry.functions.tokenize import TokenizerSpec, encode
+from quarry.operators import allocation as AL
 from quarry.operators import ordered as O
 from quarry.operators import shards as SH
 from quarry.operators.dedup import near_dedup
@@ -67,6 +70,28 @@ def _apply_caps(df: DataFrame, registry: list[REG.SourceSpec]) -> DataFrame:
     return df
 
 
+def allocated(spark: SparkSession, registry: list[REG.SourceSpec], shares: dict[str, int], target: int | None = None, percent: int | None = None,
+              order: str = "doc_id", tokenizer: TokenizerSpec | None = None, on_error: str = "fail") -> list[REG.SourceSpec]:
+    """The registry with ``cap_tokens`` set so that its sources share out ``target`` tokens (or ``percent`` of all there are).
+
+    ``shares`` has the weight of each part; what a short source or a source's own ``cap_tokens`` leaves goes to those with room, first in its
+    part. One pass counts the tokens of each source. A source without a part that has a share, or one that can't be opened (``skip``), gets 0.
+    """
+    if (target is None) == (percent is None):
+        raise ValueError("either target or percent")
+    merged, _ = _merged_sources(spark, registry, order, T.resolve_text_presence, on_error)
+    counted = _with_counts(merged, tokenizer, ["source_idx", "doc_id"]).groupBy("source_idx").agg(F.sum("n_tokens").alias("available"))
+    declared = spark.createDataFrame([(i, s.part, s.weight, s.cap_tokens) for i, s in enumerate(registry)],
+                                     "source_idx int, part string, weight int, declared long")
+    rows = declared.join(counted, "source_idx", "left").withColumn("available", F.coalesce("available", F.lit(0)))
+    rows = cut_lineage(rows)  # one row per registry entry, as is all that follows
+    if target is None:
+        target = rows.agg(F.sum("available")).first()[0] * percent // 100
+    caps = AL.allocate(rows, target, shares, source="source_idx", declared="declared", weight="weight")
+    found = {r["source_idx"]: r["cap"] for r in caps.select("source_idx", "cap").collect()}
+    return [replace(s, cap_tokens=found[i]) for i, s in enumerate(registry)]
+
+
 def corpus_stream(spark: SparkSession, registry: list[REG.SourceSpec], order: str = "doc_id",
                   tokenizer: TokenizerSpec | None = None, on_error: str = "fail",
                   strategy: str = "first_exhausted") -> DataFrame:

@@ -510,13 +510,26 @@ SQL["stream_step_rollup"] = SQL["step_rollup"]
 
 # ---------------------------------------------------------------- C2 end to end
 _BS = C.BUILD_SHARD_TOKENS
+
+
+def _allocated(rows: str) -> str:
+    """CTEs down to al (source_idx, cap): the target over two parts and their sources, of the token counts in ``rows``."""
+    return f"""al_s AS (SELECT source_idx, sum(n_tokens)::BIGINT AS lim, CASE WHEN source_idx % 7 < 3 THEN 'core' ELSE 'general' END AS part_name,
+                1 + source_idx % 2 AS w FROM {rows} GROUP BY source_idx),
+al_p AS (SELECT 1 AS g0, part_name, sum(lim) AS lim, CASE part_name WHEN 'core' THEN {C.ALLOC_SHARES['core']} ELSE {C.ALLOC_SHARES['general']} END AS w,
+                (SELECT sum(lim) * {C.ALLOC_TARGET} // 100 FROM al_s)::BIGINT AS quota FROM al_s GROUP BY part_name),
+al_q AS (SELECT part_name, got FROM {_fill('al_p', 'g0', 'part_name')}),
+al_src AS (SELECT al_s.*, al_q.got AS quota FROM al_s JOIN al_q USING (part_name)),
+al AS (SELECT source_idx, got AS cap FROM {_fill('al_src', 'part_name', 'source_idx')})"""
+
+
 SQL["build_text_shards"] = f"""
 WITH RECURSIVE d AS (SELECT source, {src_idx()} AS source_idx, doc_id,
                             coalesce(text, '') AS text, {ntok("coalesce(text, '')")} AS n_tokens
                      FROM documents),
-bc AS (SELECT *, sum(n_tokens) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
-       sum(n_tokens) OVER (PARTITION BY source) AS sum_all FROM d),
-bk AS (SELECT * FROM bc WHERE cum <= (sum_all * (1 + {src_idx()} % 3)) // 4),
+bc AS (SELECT *, sum(n_tokens) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM d),
+{_allocated('d')},
+bk AS (SELECT bc.* FROM bc JOIN al USING (source_idx) WHERE cum <= cap),
 r AS (SELECT *, row_number() OVER (PARTITION BY source_idx ORDER BY doc_id) AS r FROM bk),
 c AS (SELECT source_idx, count(*) AS cnt, row_number() OVER (ORDER BY source_idx) - 1 AS srank FROM bk GROUP BY source_idx),
 s AS (SELECT count(*) AS nsrc, min(cnt) AS minc FROM c),
@@ -544,9 +557,9 @@ WITH d AS (SELECT source, {src_idx()} AS source_idx, doc_id, text,
 ex AS (SELECT *, len(ids)::BIGINT AS n_tokens,
               CASE WHEN text = '' THEN list_resize([]::BIGINT[], {_L}, {_EOS})
                    ELSE list_resize(list_append(ids, {_EOS}::BIGINT), {_L}, {_EOS}) END AS input_ids FROM d),
-bc AS (SELECT *, sum(n_tokens) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
-       sum(n_tokens) OVER (PARTITION BY source) AS sum_all FROM ex),
-bk AS (SELECT * FROM bc WHERE cum <= (sum_all * (1 + {src_idx()} % 3)) // 4),
+bc AS (SELECT *, sum(n_tokens) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM ex),
+{_allocated('ex')},
+bk AS (SELECT bc.* FROM bc JOIN al USING (source_idx) WHERE cum <= cap),
 r AS (SELECT *, row_number() OVER (PARTITION BY source_idx ORDER BY doc_id) AS r FROM bk),
 c AS (SELECT source_idx, count(*) AS cnt, row_number() OVER (ORDER BY source_idx) - 1 AS srank FROM bk GROUP BY source_idx),
 s AS (SELECT count(*) AS nsrc, min(cnt) AS minc FROM c),

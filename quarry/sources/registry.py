@@ -25,6 +25,8 @@ class SourceSpec:
     split_col: str = "split"
     cap_tokens: int | None = None  # token budget (W1); None = unlimited
     cap_rows: int | None = None  # row limit (L1)
+    part: str | None = None  # the part of the corpus that the source counts towards, when a token target is shared out
+    weight: int = 1  # its weight among the sources of that part
     predicate: Column | str | None = None
     config: str | None = None  # sub-folder / partition of the source, honoured always (D9)
     options: dict = field(default_factory=dict)

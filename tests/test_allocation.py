@@ -57,3 +57,50 @@ def test_shortfalls_go_to_sources_with_room(spark):
     for target, shares in ((-1, {"math": 1}), (5, {}), (5, {"math": 0})):
         with pytest.raises(ValueError):
             allocate(src, target, shares)
+
+
+def _sources(spark, tmp_path, sizes):
+    """A JSON source of one-word documents for each (part, documents, declared cap, weight)."""
+    from pyspark.sql import functions as F
+    from quarry.sources.registry import SourceSpec
+
+    specs = []
+    for i, (part, n, cap, weight) in enumerate(sizes):
+        path = str(tmp_path / f"s{i}")
+        spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit(f"w{i}_"), F.col("id")).alias("text")).write.parquet(path)
+        specs.append(SourceSpec(name=f"s{i}", path=path, part=part, cap_tokens=cap, weight=weight))
+    return specs
+
+
+def test_registry_with_allocated_caps(spark, tmp_path):
+    from quarry.plans import corpus as CP
+    from quarry.sources.registry import SourceSpec
+
+    reg = _sources(spark, tmp_path, [("core", 10, None, 1), ("core", 100, 20, 1), ("rest", 200, None, 1), ("rest", 200, None, 3),
+                                     (None, 50, None, 1), ("rest", 0, 7, 1)])
+    caps = lambda **kw: [s.cap_tokens for s in CP.allocated(spark, reg, {"core": 80, "rest": 20}, **kw)]
+    assert caps(target=110) == [10, 20, 20, 60, 0, 0]  # the core gives 30 of its 88, the rest takes over
+    assert caps(target=10) == [4, 4, 1, 1, 0, 0]  # 8 in two; 2 as 0.5 to 1.5, rounded down, one more to the first
+    assert caps(percent=100) == [10, 20, 200, 200, 0, 0]
+    assert caps(target=0) == [0] * 6
+    gone = [*reg, SourceSpec(name="gone", path=str(tmp_path / "gone"), part="rest")]
+    assert CP.allocated(spark, gone, {"core": 80, "rest": 20}, 110, on_error="skip")[-1].cap_tokens == 0
+    for kw in ({}, {"target": 1, "percent": 1}, {"target": -1}):
+        with pytest.raises(ValueError):
+            CP.allocated(spark, reg, {"core": 80, "rest": 20}, **kw)
+
+
+def test_command_line_shares_out_a_target(spark, tmp_path):
+    import json
+
+    from quarry.__main__ import main
+
+    reg = _sources(spark, tmp_path, [("core", 30, None, 1), ("rest", 30, None, 1)])
+    listed = tmp_path / "registry.json"
+    listed.write_text(json.dumps([{"name": s.name, "path": s.path, "part": s.part} for s in reg]))
+    assert main(["build-text-shards", str(listed), str(tmp_path / "out"), "--target-tokens", "20", "--shares", "core=3,rest=1"]) == 0
+    texts = [r.text for r in spark.read.schema("text string").json(f"{tmp_path}/out/*").collect()]
+    # 15 and 5 by the caps; the interleave ends with the shorter source
+    assert sorted(texts) == sorted([f"w0_{i}" for i in range(5)] + [f"w1_{i}" for i in range(5)])
+    with pytest.raises(SystemExit):
+        main(["build-text-shards", str(listed), str(tmp_path / "x"), "--target-tokens", "20"])
