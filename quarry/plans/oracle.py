@@ -513,7 +513,8 @@ _BS = C.BUILD_SHARD_TOKENS
 
 
 def _allocated(rows: str) -> str:
-    """CTEs down to al (source_idx, cap): the target over two parts and their sources, of the token counts in ``rows``."""
+    """CTEs down to al (source_idx, cap): the target over two parts and their sources, of the token counts in ``rows``. A source whose first
+    document is over its cap gives nothing, and so ends the interleave of all."""
     return f"""al_s AS (SELECT source_idx, sum(n_tokens)::BIGINT AS lim, CASE WHEN source_idx % 7 < 3 THEN 'core' ELSE 'general' END AS part_name,
                 1 + source_idx % 2 AS w FROM {rows} GROUP BY source_idx),
 al_p AS (SELECT 1 AS g0, part_name, sum(lim) AS lim, CASE part_name WHEN 'core' THEN {C.ALLOC_SHARES['core']} ELSE {C.ALLOC_SHARES['general']} END AS w,
@@ -531,7 +532,7 @@ bc AS (SELECT *, sum(n_tokens) OVER (PARTITION BY source ORDER BY doc_id ROWS BE
 {_allocated('d')},
 bk AS (SELECT bc.* FROM bc JOIN al USING (source_idx) WHERE cum <= cap),
 r AS (SELECT *, row_number() OVER (PARTITION BY source_idx ORDER BY doc_id) AS r FROM bk),
-c AS (SELECT source_idx, count(*) AS cnt, row_number() OVER (ORDER BY source_idx) - 1 AS srank FROM bk GROUP BY source_idx),
+c AS (SELECT source_idx, count(bk.doc_id) AS cnt, row_number() OVER (ORDER BY source_idx) - 1 AS srank FROM al LEFT JOIN bk USING (source_idx) GROUP BY source_idx),
 s AS (SELECT count(*) AS nsrc, min(cnt) AS minc FROM c),
 il AS (SELECT ((r.r - 1) * s.nsrc + c.srank)::BIGINT AS pos, r.source, r.doc_id, r.n_tokens, r.text
        FROM r JOIN c USING (source_idx), s WHERE r.r <= s.minc),
@@ -561,7 +562,7 @@ bc AS (SELECT *, sum(n_tokens) OVER (PARTITION BY source ORDER BY doc_id ROWS BE
 {_allocated('ex')},
 bk AS (SELECT bc.* FROM bc JOIN al USING (source_idx) WHERE cum <= cap),
 r AS (SELECT *, row_number() OVER (PARTITION BY source_idx ORDER BY doc_id) AS r FROM bk),
-c AS (SELECT source_idx, count(*) AS cnt, row_number() OVER (ORDER BY source_idx) - 1 AS srank FROM bk GROUP BY source_idx),
+c AS (SELECT source_idx, count(bk.doc_id) AS cnt, row_number() OVER (ORDER BY source_idx) - 1 AS srank FROM al LEFT JOIN bk USING (source_idx) GROUP BY source_idx),
 s AS (SELECT count(*) AS nsrc, min(cnt) AS minc FROM c),
 il AS (SELECT r.*, (r.r - 1) * s.nsrc + c.srank AS ipos FROM r JOIN c USING (source_idx), s WHERE r.r <= s.minc
        AND len(r.input_ids) > 0),
