@@ -34,12 +34,10 @@ def _is_forest(table: DataFrame) -> bool:
 
 def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """``(u, v)``: each node of ``edges`` (u, v) but the least of its component, and that least node. Rounds grow with the
-    logarithm of the longest path; a star takes one. After a given number of ``rounds`` v is a node of the same component, perhaps
-    not the least one yet."""
+    logarithm of the longest path; a star takes one. After a given number of ``rounds`` these are edges that join the same
+    components: v is perhaps not the least node yet, and u may have several."""
     table, done = edges.filter("u != v"), 0
     while True:
         table, done = write_table(_small(_large(table)), "components"), done + 1
-        if done == rounds:
-            return table.groupBy("u").agg(F.min("v").alias("v"))
-        if rounds is None and _is_forest(table):
+        if done == rounds or rounds is None and _is_forest(table):
             return table

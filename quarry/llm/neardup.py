@@ -10,7 +10,7 @@ Nodes of at most ``SMALL`` classes are compared exhaustively: pairs whose two-bi
 ``AGREE`` of 128 places (4 standard deviations below what similarity 0.8 gives) are confirmed on the full sets. Larger
 nodes are handled without their square, as pairs within a component need no link. (1) The first member of such a node, its hub, is
 compared with all others while they pass by; links give classes labels that only classes of one component share, and a table of
-labels takes in new links only. (2) Members that are neither linked with their hub nor of its label are the node's outsiders. A node without any is done.
+edges that join the same components takes in new links only. (2) Members that are neither linked with their hub nor of its label are the node's outsiders. A node without any is done.
 Where outsiders are at most a quarter of a node, or it has at most ``MEDIUM`` members, they are compared with all its members, and the node
 is done; its members are dealt to tasks ``BLOCK`` at a time, each with all outsiders. Here pairs are left out that can't be alike enough: the
 bits in which the parities of two sets' hashes differ, by bucket, are at most the shingles in which the sets differ. (3) Other nodes branch
@@ -206,6 +206,7 @@ class _Join:
         self.docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
         self.spark, self.width, self.percent, self.trees, self.depth, self.deepest = docs.sparkSession, width, percent, trees, depth, deepest
         self.links: list[DataFrame] = []
+        self.edges: DataFrame | None = None  # joins what all links folded so far join
         self.labels: DataFrame | None = None
 
     def run(self) -> DataFrame:
@@ -225,15 +226,17 @@ class _Join:
                           shown(found).alias("component_id"), (F.col("doc_id") == found).alias("kept"))
 
     def _known(self) -> DataFrame:
-        """The label table and the links that it doesn't hold yet."""
-        known = self.labels
+        """Edges that join what all confirmed links join: the folded ones and the links since."""
+        known = self.edges
         for links in self.links:
             known = links if known is None else known.unionByName(links)
         return known
 
     def _fold(self) -> DataFrame:
-        """The label table (u, v): v of u's component; classes not in it are labels themselves."""
-        self.labels, self.links = write_table(components(self._known(), rounds=2), "labels"), []
+        """The label table (u, v): v of u's component; classes not in it are labels themselves. After a few rounds a class may still have
+        several edges up: it is labelled by one of them, and all of them are kept."""
+        self.edges, self.links = components(self._known(), rounds=2), []
+        self.labels = write_table(self.edges.groupBy("u").agg(F.min("v").alias("v")), "labels")
         return self.labels
 
     def _compare(self, rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:

@@ -91,3 +91,18 @@ def test_components(spark):
     pairs = [(i, i + 1) for i in range(0, 40)] + [(100, 50), (50, 77), (8, 8)]
     got = {r.u: r.v for r in components(spark.createDataFrame(pairs, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, 100: 50, 77: 50}
+
+
+def test_folding_keeps_every_link(spark):
+    """A long chain isn't one star after the rounds of a fold; what comes out must still join all that the links join."""
+    rng = random.Random(11)
+    ids = list(range(200))
+    rng.shuffle(ids)
+    links = list(zip(ids, ids[1:]))
+    join = neardup._Join(documents(spark, ["a b"]), 2, 80, 4, 3, 4)
+    whole = spark.createDataFrame(links, "u long, v long")
+    for part in (whole.filter("u % 2 = 0"), whole.filter("u % 2 = 1")):
+        join.links.append(part)
+        labels = {r.u: r.v for r in join._fold().collect()}
+        assert join.links == [] and len(labels) == join.labels.count()  # one label a class
+    assert {r.u: r.v for r in components(join._known()).collect()} == {i: 0 for i in range(1, 200)}
