@@ -10,7 +10,9 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
@@ -65,16 +67,31 @@ class TokenizerSpec:
         return self.eos() if self.pad_id is None else self.pad_id
 
 
+SLICE_BYTES, SLICE_ROWS = 1 << 20, 512  # of the texts that are encoded at once; the library needs some hundred bytes a token meanwhile
+
+
+def _slices(texts):
+    """(first, rows) of the stretches of an Arrow column of texts that hold at most ``SLICE_BYTES`` and ``SLICE_ROWS``, or one text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        before = ends[at - 1] if at else 0
+        stop = min(int(np.searchsorted(ends, before + SLICE_BYTES, "right")), at + SLICE_ROWS)
+        yield at, max(stop, at + 1) - at
+        at = max(stop, at + 1)
+
+
 def _encode_fn(spec: TokenizerSpec, n_keys: int, add_special_tokens: bool):
     def run(batches):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         tok = spec.load()
-        for batch in batches:
-            texts = [t if t is not None else "" for t in batch.column(n_keys).to_pylist()]
-            enc = tok.encode_batch(texts, add_special_tokens=add_special_tokens)
-            cols = {batch.schema.names[i]: batch.column(i) for i in range(n_keys)}
-            cols["ids"] = pa.array([e.ids for e in enc], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_pydict(cols)
+        for batch in batches:  # as many rows as the session says: whatever that is, a slice of them is encoded and sent on
+            for part in (batch.slice(*s) for s in _slices(batch.column(n_keys))):
+                texts = [t if t is not None else "" for t in part.column(n_keys).to_pylist()]
+                ids = [np.array(e.ids, np.int64) for e in tok.encode_batch_fast(texts, add_special_tokens=add_special_tokens)]
+                at = np.cumsum([0] + [len(x) for x in ids]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(ids)))
+                yield pa.RecordBatch.from_arrays([*part.columns[:n_keys], lists], [*part.schema.names[:n_keys], "ids"])
 
     return run
 

@@ -2,6 +2,7 @@
 
 import pytest
 
+from quarry.functions import tokenize as TK
 from quarry.functions.tokenize import TokenizerSpec, encode
 from quarry.plans import corpus as CP
 from tests.conftest import SF_SMALL
@@ -77,3 +78,20 @@ def test_special_tokens_follow_the_path(spark, tmp_path):
     assert list(ex["input_ids"])[:len(plain) + 1] == plain + [e]  # off, then EOS appended
     forced = TokenizerSpec(path=path, add_special_tokens=False)
     assert list(encode(df, forced, "text", ["doc_id"]).first()["ids"]) == plain
+
+
+def test_a_large_batch_is_encoded_in_slices(tok):
+    """Whatever the rows of an Arrow batch, what is encoded at once is bounded by bytes and rows; long, empty and null texts included."""
+    import pyarrow as pa
+
+    texts = ["word " * 200, None, "", "été"] * 2_000 + ["long text " * 200_000] + ["tail"] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "_text"])
+    got = list(TK._encode_fn(SPEC, 1, False)([batch.slice(0, 0), batch]))
+    at = 0
+    for part in got:
+        own = texts[at:at + part.num_rows]
+        at += part.num_rows
+        assert len(own) == 1 or (len(own) <= TK.SLICE_ROWS and sum(len((t or "").encode()) for t in own) <= TK.SLICE_BYTES)
+    assert at == len(texts) and [x for p in got for x in p.column(0).to_pylist()] == list(range(len(texts)))
+    ids = [x for p in got for x in p.column(1).to_pylist()]
+    assert all(ids[i] == tok.encode(texts[i] or "", add_special_tokens=False).ids for i in (0, 1, 2, 3, 4_001, 8_000, 8_003))
