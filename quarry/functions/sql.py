@@ -22,23 +22,32 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from quarry.functions.text import STRIP_PATTERN, WS_RUN
+from quarry.functions.text import PY_WHITESPACE, WS_RUN
 
 _IDS = "ARRAY<BIGINT>"
+_SPACES = "".join(f"\\u{c:04x}" for c in PY_WHITESPACE)
+
+
+def _once(body: str) -> str:
+    """The body with ``ids`` bound to x. The optimiser may put the argument's whole expression wherever a body names it (as in the filter
+    that it makes for an exploded array), in a lambda once per element; a lambda's variable is computed once."""
+    return f"get(transform(array(ids), x -> {body}), 0)"
+
+
 DEFINITIONS = {
     "word_tokens": ("text STRING", "ARRAY<STRING>", f"filter(split(text, r'{WS_RUN}'), w -> w <> '')"),
     "word_count": ("text STRING", "BIGINT", "cast(size(word_tokens(text)) AS BIGINT)"),
-    "strip_text": ("text STRING", "STRING", f"regexp_replace(text, r'{STRIP_PATTERN}', '')"),
+    "strip_text": ("text STRING", "STRING", f"btrim(text, '{_SPACES}')"),
     "first_text": ("candidates ARRAY<STRING>", "STRING", "coalesce(get(filter(candidates, c -> c <> ''), 0), '')"),
     "word_ids": ("text STRING", _IDS, "transform(word_tokens(text), w -> cast(length(w) AS BIGINT))"),
     "append_eos": (f"ids {_IDS}, eos BIGINT, always BOOLEAN DEFAULT true", _IDS,
-                   "CASE WHEN always THEN concat(ids, array(eos)) WHEN coalesce(try_element_at(ids, -1), eos) = eos THEN ids ELSE concat(ids, array(eos)) END"),
+                   _once("CASE WHEN always THEN concat(x, array(eos)) WHEN coalesce(try_element_at(x, -1), eos) = eos THEN x ELSE concat(x, array(eos)) END")),
     "truncate_ids": (f"ids {_IDS}, n INT", _IDS, "slice(ids, 1, n)"),
-    "pad_ids": (f"ids {_IDS}, n INT, pad BIGINT", _IDS, "concat(ids, array_repeat(pad, greatest(n - size(ids), 0)))"),
+    "pad_ids": (f"ids {_IDS}, n INT, pad BIGINT", _IDS, _once("concat(x, array_repeat(pad, greatest(n - size(x), 0)))")),
     "id_mask": (f"ids {_IDS}, pad BIGINT", _IDS, "transform(ids, i -> cast(i <> pad AS BIGINT))"),
     "example_ids": (f"ids {_IDS}, n INT, eos BIGINT", _IDS, "pad_ids(truncate_ids(append_eos(ids, eos), n), n, eos)"),
     "id_chunks": (f"ids {_IDS}, n INT", "ARRAY<ARRAY<BIGINT>>",
-                  "transform(sequence(0, greatest(size(ids) - 1, 0), n), i -> slice(ids, i + 1, n))"),
+                  _once("transform(sequence(0, greatest(size(x) - 1, 0), n), i -> slice(x, i + 1, n))")),
 }
 
 

@@ -1,8 +1,8 @@
 """Python string semantics as JVM expressions (whitespace split/strip, text resolution).
 
 Python's ``str.split()`` / ``str.strip()`` treat 29 code points as white space. Java's ``\\s`` misses
-the non-ASCII ones and even ``(?U)\\s`` misses 0x1c-0x1f, and Spark's ``trim`` strips only spaces, so
-the class is spelled out. ``\\x{..}`` escapes are understood by both Java regex and RE2 (DuckDB),
+the non-ASCII ones and even ``(?U)\\s`` misses 0x1c-0x1f, and Spark's ``trim`` strips only spaces if not told
+otherwise, so the class is spelled out. ``\\x{..}`` escapes are understood by both Java regex and RE2 (DuckDB),
 which lets the oracle SQL use the very same pattern.
 """
 
@@ -35,6 +35,7 @@ def _char_class(points: list[int]) -> str:
 WS_CLASS = _char_class(PY_WHITESPACE)
 WS_RUN = WS_CLASS + "+"
 STRIP_PATTERN = f"^{WS_RUN}|{WS_RUN}$"
+PY_SPACES = "".join(map(chr, PY_WHITESPACE))
 
 
 def _c(col: Column | str) -> Column:
@@ -47,8 +48,8 @@ def py_split(text: Column | str) -> Column:
 
 
 def py_strip(text: Column | str) -> Column:
-    """``str.strip()`` with Python's white-space set."""
-    return F.regexp_replace(_c(text), STRIP_PATTERN, "")
+    """``str.strip()`` with Python's white-space set; only the ends of the text are looked at."""
+    return F.btrim(_c(text), F.lit(PY_SPACES))
 
 
 def whitespace_token_count(text: Column | str) -> Column:

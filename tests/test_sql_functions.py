@@ -33,3 +33,18 @@ def test_ids(spark):
                      SQ.truncate("ids", 3).alias("t"), SQ.pad("ids", 4, 9).alias("p"), SQ.attention_mask("ids", 0).alias("m"), SQ.chunks("ids", 2).alias("c"),
                      SQ.pad(SQ.truncate(SQ.append_eos("ids", 0), 4), 4, 0).alias("e"))
     assert sorted(got.collect()) == sorted(want.collect())
+
+
+def test_chunks_compute_their_ids_once(spark):
+    """The filter that is made for exploded chunks must not hold the words' whole expression once per chunk."""
+    import re
+
+    QL.register(spark)
+    spark.createDataFrame([(0, "a b c")], "i int, text string").createOrReplaceTempView("sql_lines")
+    cut = spark.sql("""WITH c AS (SELECT i, id_chunks(append_eos(word_ids(strip_text(text)), 0, false), 2) AS chunks FROM sql_lines)
+                       SELECT i, k, chunk FROM c LATERAL VIEW posexplode(chunks) AS k, chunk""")
+    lines = spark.table("sql_lines").select("i", SQ.chunks(SQ.append_eos(SQ.word_length_ids(T.py_split("text")), 0, "if_missing"), 2).alias("chunks"))
+    for df in (cut, lines.select("i", F.posexplode("chunks").alias("k", "chunk"))):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert set(re.findall(r"slice\((\w+)", plan)) == {"lambda"}
+        assert sorted(df.collect()) == [(0, 0, [1, 1]), (0, 1, [1, 0])]
