@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quarry import defaults as DEF
 from quarry.operators.ordered import rank_split, running_count
+from quarry.session import few_listing_tasks
 
 LAYOUT, SCHEMA = "_layout", "_schema"  # beside the folders; Spark's readers pass over names that begin so
 LAYOUT_SCHEMA = "rank int, segment long, first_step long, last_step long, n long, segment_steps long"
@@ -43,9 +44,14 @@ def write_rank_layout(df: DataFrame, out: str, key: str, world_size: int, batch_
     (rows.repartition("rank", "segment").sortWithinPartitions("rank", "segment", "local_pos")
          .write.option("parquet.block.size", ROW_GROUP).partitionBy("rank", "segment").parquet(out))
     rows.sparkSession.createDataFrame([], rows.schema).coalesce(1).write.parquet(f"{out}/{SCHEMA}")
-    done = rows.sparkSession.read.schema("rank int, segment long, step long").parquet(out)
-    done.groupBy("rank", "segment").agg(F.min("step").alias("first_step"), F.max("step").alias("last_step"), F.count(F.lit(1)).alias("n")) \
-        .withColumn("segment_steps", F.lit(segment_steps).cast("long")).coalesce(1).write.parquet(f"{out}/{LAYOUT}")
+    # the numbers inside a rank have no gaps: its count tells its segments, and no file is opened for that
+    counts = ranked.filter(F.col(key).isNotNull() & F.col("rank").isNotNull()).groupBy("rank").agg(F.count(F.lit(1)).alias("_rows"))
+    size = own * segment_steps
+    told = counts.withColumn("segment", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_rows") - 1) / size))))
+    n = F.least(F.lit(size), F.col("_rows") - F.col("segment") * size)
+    first = F.col("segment") * segment_steps
+    told.select("rank", "segment", first.alias("first_step"), (first + F.floor((n - 1) / own)).alias("last_step"), n.alias("n"),
+                F.lit(segment_steps).cast("long").alias("segment_steps")).coalesce(1).write.parquet(f"{out}/{LAYOUT}")
 
 
 def layout(spark: SparkSession, path: str) -> DataFrame:
@@ -56,9 +62,13 @@ def layout(spark: SparkSession, path: str) -> DataFrame:
 def read_rank(spark: SparkSession, path: str, rank: int, from_step: int = 0) -> DataFrame:
     """The rows of ``rank`` from step ``from_step`` on, unordered; ``(step, micro, local_pos)`` tells their order. A rank or step
     that isn't there gives no rows."""
-    stored = layout(spark, path).select("segment_steps").first()  # one number
-    rows = spark.read.schema(spark.read.parquet(f"{path}/{SCHEMA}").schema).parquet(path)
-    first = max(from_step, 0) // (stored["segment_steps"] if stored else 1)
+    schema = spark.read.parquet(f"{path}/{SCHEMA}").schema
+    stored = layout(spark, path).filter(F.col("rank") == rank).select("segment_steps").first()  # one number
+    if stored is None:
+        return spark.createDataFrame([], schema).drop("segment")
+    with few_listing_tasks(spark):  # of this rank's folders only
+        rows = spark.read.schema(schema).option("basePath", path).parquet(f"{path}/rank={int(rank)}")
+    first = max(from_step, 0) // stored["segment_steps"]
     return rows.filter((F.col("rank") == rank) & (F.col("segment") >= first) & (F.col("step") >= from_step)).drop("segment")
 
 

@@ -58,3 +58,18 @@ def test_empty_table_and_wrong_arguments(spark, tmp_path):
             RK.write_rank_layout(spark.range(3), str(tmp_path / "x"), "id", world, batch, micro)
     with pytest.raises(ValueError, match="step"):
         RK.write_rank_layout(spark.range(3).withColumn("step", F.lit(1)), str(tmp_path / "x"), "id", 1, 2, 1)
+
+
+def test_listing_takes_few_tasks_and_one_rank(spark, tmp_path):
+    """However many segments a rank has, its folders are listed by a few tasks a core, and those of other ranks not at all."""
+    path = str(tmp_path / "many")
+    RK.write_rank_layout(spark.range(1_200).withColumnRenamed("id", "doc_id"), path, "doc_id", 2, 4, 2, 2)
+    assert RK.layout(spark, path).filter("rank = 0").count() > 100
+    sc, most = spark.sparkContext, 4 * spark.sparkContext.defaultParallelism
+    sc.setJobGroup("listing", "one rank's folders")
+    rows = RK.read_rank(spark, path, 0, 10)
+    tracker = sc.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert max(s.numTasks for s in stages if s is not None) <= most
+    assert all("/rank=0/" in f for f in rows.inputFiles()) and rows.count() == RK.layout(spark, path).filter("rank = 0").agg(F.sum("n")).first()[0] - 20
