@@ -141,42 +141,25 @@ def running_count(df: DataFrame, key: str, group=None, out: str = "rn", n_bucket
     return running_sum(df, F.lit(1), key, group, out, n_buckets)
 
 
-def ordered_sum(df: DataFrame, value, keys: list[str], out: str = "cum") -> DataFrame:
-    """``df`` and the inclusive running sum of ``value`` in the order of several keys (together unique), each a column of its own.
+def ordered_position(df: DataFrame, keys: list[str], out: str = "pos", pieces: str | None = None, idx: str = "idx") -> DataFrame:
+    """W6 in the order of several keys (together unique), each a column of its own: the 0-based position of every row, or, with ``pieces``,
+    of every element of that array column: a row each, with its place ``idx`` in the array; the keys of a row stay together.
 
-    One sort by range: a task sums its own stretch while the rows pass by, and the totals of the tasks before it, one row
-    a task, are added as an offset. ``df`` should be a stored table or cheap, since the bounds of the ranges come from a sample of it.
+    One sort by range: a task numbers its own stretch in the JVM while the rows pass by to a stored table, and the counts of the tasks
+    before it, one row a task, are added as an offset. ``df`` should be a stored table or cheap, since the bounds of the ranges come
+    from a sample of it.
     """
-    val = F.col(value) if isinstance(value, str) else value
-    rows = df.withColumn("_val", F.coalesce(val.cast("long"), F.lit(0)))
-    dealt = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    fields = rows.schema.add("_upto", "long").add("_task", "long")
-    local = cut_lineage(dealt.mapInArrow(_running_total, fields))
-    totals = local.groupBy("_task").agg(F.max("_upto").alias("_total"))  # a running sum of numbers of 0 and more ends with the total
-    before = F.sum("_total").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))
-    totals = totals.select("_task", F.coalesce(before, F.lit(0)).alias("_before"))  # as many rows as tasks
-    res = local.join(F.broadcast(totals), "_task")
-    return res.select(*df.columns, (F.col("_upto") + F.col("_before")).alias(out))
-
-
-def _running_total(batches):
-    """Sorted rows with the running total of ``_val`` in this task, and the task's number."""
-    import pyarrow as pa
-    import pyarrow.compute as pc
-    from pyspark import TaskContext
-
-    task, so_far = TaskContext.get().partitionId(), 0
-    for batch in batches:
-        if batch.num_rows:
-            upto = pc.add(pc.cumulative_sum(batch.column(batch.schema.get_field_index("_val"))), so_far)
-            so_far = upto[-1].as_py()
-            columns = [*batch.columns, upto, pa.array([task] * batch.num_rows, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "_upto", "_task"])
-
-
-def ordered_position(df: DataFrame, keys: list[str], out: str = "pos") -> DataFrame:
-    """W6 in the order of several keys (together unique): the 0-based position of every row."""
-    return ordered_sum(df, F.lit(1), keys, "_rn").withColumn(out, F.col("_rn") - 1).drop("_rn")
+    dealt = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    if pieces is not None:
+        dealt = dealt.select(*[c for c in df.columns if c != pieces], F.posexplode(pieces).alias(idx, pieces)).withColumn(idx, F.col(idx).cast("long"))
+    names = dealt.columns
+    local = cut_lineage(dealt.withColumn("_id", F.monotonically_increasing_id()))  # the task's number above 33 bits of the row's in it
+    task, own = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    totals = local.groupBy(task.alias("_task")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))
+    totals = cut_lineage(totals.select("_task", F.coalesce(before, F.lit(0)).alias("_before")))  # as many rows as tasks
+    res = local.withColumn("_task", task).join(F.broadcast(totals), "_task")
+    return res.select(*names, (F.col("_before") + own).alias(out))
 
 
 def _cap_expr(cap, group: list[str]) -> Column:

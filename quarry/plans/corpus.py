@@ -157,14 +157,10 @@ def chunked_sequences(lines: DataFrame, tokenizer: TokenizerSpec, seq_length: in
     keys = [order] if isinstance(order, str) else list(order)
     s = lines.select(*[F.col(k).cast("long").alias(k) for k in keys], T.py_strip("value").alias("text")).filter(F.length("text") > 0)
     enc = encode(s, tokenizer, "text", keys, "_ids")
-    seqs = cut_lineage(enc.select(*keys, SQ.chunks(SQ.append_eos("_ids", tokenizer.eos(), "if_missing"), seq_length).alias("_ch")))
-    # position of a line's first chunk = running sum of the chunk counts before it
-    seqs = O.ordered_sum(seqs, F.size("_ch"), keys, "_cum").withColumn("_start", F.col("_cum") - F.size("_ch"))
-    ch = seqs.select(*keys, "_start", F.posexplode("_ch").alias("_c", "input_ids"))
-    pos = ch.select(*keys, F.col("_c").cast("long").alias("chunk_idx"), (F.col("_start") + F.col("_c")).alias("pos"), "input_ids")
+    seqs = cut_lineage(enc.select(*keys, SQ.chunks(SQ.append_eos("_ids", tokenizer.eos(), "if_missing"), seq_length).alias("input_ids")))
+    pos = O.ordered_position(seqs, keys, pieces="input_ids", idx="chunk_idx")
     res = O.count_shards(pos, shard_size).select(*keys, "chunk_idx", "pos", "shard", "local_idx", "input_ids")
     if out is not None:
-        res = cut_lineage(res)
         SK.write_sequence_shards(res, f"{out}/shards")
         offsets = cut_lineage(SH.count_shard_offsets(res, shard_size))
         offsets.write.mode("overwrite").parquet(f"{out}/shards/{SK.OFFSETS}")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators.shards import shard_name
-from quarry.session import cut_lineage
+from quarry.session import cut_lineage, few_listing_tasks
 from quarry import defaults as DEF
 
 
@@ -87,7 +87,8 @@ def write_sequence_shards(df: DataFrame, out: str, shard: str = "shard", local:
 
 def read_sequence_shards(spark: SparkSession, path: str, shard: str = "shard") -> DataFrame:
     """Every shard under ``path``; an empty location is an error, as in the reference."""
-    df = spark.read.parquet(path)
+    with few_listing_tasks(spark):
+        df = spark.read.parquet(path)
     if shard not in df.columns:
         raise ValueError(f"no shard files found in {path}")
     return df.withColumn(shard, F.col(shard).cast("long"))  # partition values are inferred as int
