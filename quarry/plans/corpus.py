@@ -25,6 +25,7 @@ from quarry.operators import shards as SH
 from quarry.operators.dedup import near_dedup
 from quarry.sources import registry as REG
 from quarry.sources import sinks as SK
+from quarry.sources.tables import spread
 from quarry.session import cut_lineage
 from quarry import defaults as DEF
 
@@ -39,24 +40,20 @@ def _with_counts(df: DataFrame, tokenizer: TokenizerSpec | None, keys: list[str]
 
 
 def _merged_sources(spark: SparkSession, registry: list[REG.SourceSpec], order: str, resolve, on_error: str):
-    """Every source opened (filters pushed to its scan), its text resolved against its own schema,
-    then one union ``(source, source_idx, doc_id, text)`` so that later stages run once for all."""
-    frames, opened = [], []
-    for idx, spec in enumerate(registry):
-        df, err = REG._probe(spark, spec)
-        if err is not None:
-            if on_error == "skip":
-                continue
-            raise ValueError(f"source {spec.name!r} cannot be opened: {err}")
-        opened.append(idx)
-        frames.append(df.select(F.lit(spec.name).alias("source"), F.lit(idx).alias("source_idx"),
-                                F.col(order).cast("long").alias("doc_id"), resolve(df)))
+    """Every source opened (filters pushed to its scan, one scan for those of one table), its text resolved against its own
+    schema, then one union ``(doc_id, source, source_idx, text)`` so that later stages run once for all."""
+    scans, errors = REG.open_scans(spark, registry)
+    for idx, err in errors.items():
+        if on_error != "skip":
+            raise ValueError(f"source {registry[idx].name!r} cannot be opened: {err}")
+    frames = [df.select(F.col(order).cast("long").alias("doc_id"), of.alias("_of"), resolve(df))
+              .select("doc_id", "_of.source", "_of.source_idx", "text") for df, of in scans]
     if not frames:
         raise ValueError("no source could be opened")
     merged = frames[0]
     for f in frames[1:]:
         merged = merged.unionByName(f)
-    return merged, opened
+    return spread(merged), [idx for idx in range(len(registry)) if idx not in errors]
 
 
 def _apply_caps(df: DataFrame, registry: list[REG.SourceSpec]) -> DataFrame:
