@@ -8,6 +8,8 @@ which lets the oracle SQL use the very same pattern.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,9 @@ def _char_class(points: list[int]) -> str:
 
 WS_CLASS = _char_class(PY_WHITESPACE)
 WS_RUN = WS_CLASS + "+"
+# Most texts hold none of the white space beyond Latin-1; Java looks up a class of single Latin-1 characters in one table, without ranges
+LATIN_WS_RUN = "[" + "".join(f"\\x{{{p:x}}}" for p in PY_WHITESPACE if p < 0x100) + "]+"
+WIDE_WS = [chr(p) for p in PY_WHITESPACE if p >= 0x100]
 STRIP_PATTERN = f"^{WS_RUN}|{WS_RUN}$"
 PY_SPACES = "".join(map(chr, PY_WHITESPACE))
 
@@ -44,7 +49,10 @@ def _c(col: Column | str) -> Column:
 
 def py_split(text: Column | str) -> Column:
     """``str.split()``: runs of Python white space, no empty pieces."""
-    return F.filter(F.split(_c(text), WS_RUN), lambda x: x != F.lit(""))
+    c = _c(text)
+    wide = F.octet_length(c) != F.length(c)  # not ASCII
+    wide = wide & reduce(lambda a, b: a | b, [c.contains(w) for w in WIDE_WS])
+    return F.filter(F.when(wide, F.split(c, WS_RUN)).otherwise(F.split(c, LATIN_WS_RUN)), lambda x: x != F.lit(""))
 
 
 def py_strip(text: Column | str) -> Column:

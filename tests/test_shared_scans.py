@@ -82,3 +82,12 @@ def test_draws_and_subqueries_have_scans_of_their_own(spark, table):
     reg = registry(table) + [REG.SourceSpec("sub", table, predicate="doc_id in (select k from shared_scan_keys)")]
     df = REG.union_sources(spark, reg, columns=["doc_id"])
     assert rows(df.filter("source = 'sub'"), "doc_id") == [(1,), (5,), (5,)]
+
+
+def test_split_at_every_white_space(spark):
+    texts = [f"{pad}a{chr(p)}{chr(p)}b{chr(q)}{pad}" for p in T.PY_WHITESPACE for q in (0x20, 0x85, 0x3000, p) for pad in ("", " ", "é")]
+    texts += ["", " ", "\x1f", "\x7f", "a", "é", " ", "a\x00b c"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", T.py_split("t").alias("w"), T.whitespace_token_count("t").alias("n")).collect()
+    assert len(got) == len(texts) and all((r["w"], r["n"]) == (r["t"].split(), len(r["t"].split())) for r in got)
+    assert spark.createDataFrame([(None,)], "t string").select(T.py_split("t").isNull()).first()[0]
