@@ -651,10 +651,11 @@ def q_bpe_chunked_sequences(spark, sf_dir):
 
 
 def q_training_view(spark, sf_dir):
-    """Registry -> BPE examples -> interleave -> epochs -> batches -> ranks."""
+    """Registry -> BPE examples (ids and mask) -> interleave -> drop empty -> epochs -> batches -> ranks."""
     reg = build_registry(spark, sf_dir, F.length("text").cast("long"), TRAIN_CHARS)
     tv = CP.training_view(spark, reg, BPE, BPE_SEQ, EPOCHS, BATCH_SIZE, MICRO_BATCH, 2)
-    return tv.select("epoch", "pos", "doc_id", "source", "batch_id", "micro_id", "rank", F.array_join("input_ids", ",").alias("input_ids"))
+    return tv.select("epoch", "pos", "doc_id", "source", "batch_id", "micro_id", "rank", F.array_join("input_ids", ",").alias("input_ids"),
+                     F.array_join("attention_mask", ",").alias("attention_mask"))
 
 
 # ---------------------------------------------------------------- streaming (batch twins are the oracles)

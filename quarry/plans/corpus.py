@@ -3,7 +3,7 @@
 * :func:`build_text_shards`   registry -> filter -> count -> budget -> interleave -> near-dedup -> token shards -> JSONL
 * :func:`chunked_sequences`   text lines -> strip/skip -> tokenise -> EOS -> chunk -> count shards -> parquet + metadata
 * :func:`fixed_length_examples` resolve text -> tokenise -> EOS -> truncate -> pad -> mask
-* :func:`training_view`       registry -> examples -> interleave -> drop empty -> epochs -> batches -> ranks
+* :func:`training_view`       registry -> examples (ids and mask) -> interleave -> drop empty -> epochs -> batches -> ranks
 * :func:`read_sequences`      sequence shards -> global index lookup -> truncate/pad/mask
 """
 
@@ -223,21 +223,27 @@ def read_sequences(spark: SparkSession, path: str, index: DataFrame, seq_length:
 
 
 def training_view(spark: SparkSession, registry: list[REG.SourceSpec], tokenizer: TokenizerSpec, seq_length: int,
-                  epochs: int, batch_size: int, micro_batch_size: int, world_size: int) -> DataFrame:
-    """Examples from every source (filters honoured, budgets applied, D14), interleaved, empties
-    dropped, repeated ``epochs`` times, with batch / micro-batch ids and the rank of every row.
-    Sources that cannot be opened are skipped, as the reference does."""
+                  epochs: int, batch_size: int, micro_batch_size: int, world_size: int, empty: str = "pad") -> DataFrame:
+    """Examples (``input_ids`` and ``attention_mask``) from every source (filters honoured, budgets applied, D14), interleaved, those
+    without ids dropped (P9), repeated ``epochs`` times, with batch / micro-batch ids and the rank of every row. An empty text is
+    a row of padding, so that none is dropped for it, or has no ids with ``empty="drop"`` (D13): its turn in the interleave
+    passes, positions go on without it. Sources that cannot be opened are skipped, as the reference does."""
+    if empty not in ("pad", "drop"):
+        raise ValueError(empty)
     merged, opened = _merged_sources(spark, registry, "doc_id", T.resolve_text_first_nonempty, "skip")
+    merged = merged.withColumn("_e", F.col("text") == "")
     keys = ["source", "source_idx", "doc_id"]
     # ids once; everything is planned on (keys, n_tokens), examples are built for the rows that stay
-    enc = cut_lineage(encode(merged.select(*keys, "text"), tokenizer, "text", keys, "_ids", add_special_tokens=False)
+    enc = cut_lineage(encode(merged.select(*keys, "_e", "text"), tokenizer, "text", [*keys, "_e"], "_ids", add_special_tokens=False)
                       .withColumn("n_tokens", F.size("_ids").cast("long")))
-    plan = cut_lineage(O.interleave(_apply_caps(enc.select(*keys, "n_tokens"), registry), "doc_id", "source_idx", expected=opened))
-    n = plan.count()  # rows per epoch: one number; every row has a full-length example (empty texts are padded, D13)
-    texts = merged.select("source_idx", "doc_id", (F.col("text") == "").alias("_e"))
-    ex = plan.join(enc.select("source_idx", "doc_id", "_ids"), ["source_idx", "doc_id"]).join(texts, ["source_idx", "doc_id"])
-    ex = SQ.with_fixed_length(ex, "_ids", "_e", seq_length, tokenizer.eos(), tokenizer.pad(), "always", "id", "pad").drop("_ids", "_e")
-    rep = O.repeat_epochs(ex, epochs)
+    plan = cut_lineage(O.interleave(_apply_caps(enc.select(*keys, "_e", "n_tokens"), registry), "doc_id", "source_idx", expected=opened))
+    if empty == "drop":  # known before the examples are built, so that positions are counted on the plan
+        plan = cut_lineage(O.global_position(plan.filter(~F.col("_e")).withColumnRenamed("pos", "_at"), "_at").drop("_at"))
+    n = plan.count()  # rows per epoch: one number
+    texts = merged.select("source_idx", "doc_id", "_e")
+    ex = plan.drop("_e").join(enc.select("source_idx", "doc_id", "_ids"), ["source_idx", "doc_id"]).join(texts, ["source_idx", "doc_id"])
+    ex = SQ.with_fixed_length(ex, "_ids", "_e", seq_length, tokenizer.eos(), tokenizer.pad(), "always", "id", empty).drop("_ids", "_e")
+    rep = O.repeat_epochs(SQ.drop_empty(ex), epochs)
     rep = rep.withColumn("pos", F.col("epoch") * F.lit(n) + F.col("pos"))
     batched = O.batch_plan(rep, batch_size, micro_batch_size, world_size)
     return O.rank_split(batched, world_size, "pos")

@@ -65,6 +65,61 @@ def test_training_view_batches_and_ranks(spark):
         assert r["rank"] in (0, 1) and len(r["input_ids"]) == 32
 
 
+def _own_documents(spark, tmp_path):
+    """Documents of three sources, one in four without a text, some of just the ids that fill an example."""
+    def text(s, i):
+        return [None, "", "word " * 127 + "word", f"doc {i} of source {s}", "<|endoftext|> inside", "naive word " * (10 * s + i)][(i + s) % 6]
+
+    rows = [(3 * i + s, f"src{s}", text(s, i)) for s in range(3) for i in range(24)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    return rows
+
+
+def _view_by_loop(spec, rows, caps, length, epochs, batch, micro, empty="pad"):
+    """The reference's loops over lists: (epoch, pos, doc_id, batch_id, micro_id, input_ids, attention_mask) in order."""
+    tok, eos = spec.load(), spec.eos()
+    streams = []
+    for source, cap in caps.items():
+        streams.append([])
+        for doc, _, text in sorted(r for r in rows if r[1] == source):
+            ids = tok.encode(text or "", add_special_tokens=False).ids
+            cap -= len(ids)
+            if cap < 0:
+                break
+            ids = (ids + [eos])[:length] if text else []
+            ids += [eos] * (length - len(ids)) if text or empty == "pad" else []
+            streams[-1].append((doc, ids, [int(i != eos) for i in ids]))
+    merged = [x for turn in zip(*streams) for x in turn if x[1]]
+    at = [(e, e * len(merged) + i, *x) for e in range(epochs) for i, x in enumerate(merged)]
+    return [(e, p, doc, p // batch, p % batch // micro, ids, mask) for e, p, doc, ids, mask in at]
+
+
+def test_training_view_query_gives_ids_and_mask_of_every_example(spark, tmp_path):
+    from quarry.plans import catalog as C
+
+    rows = _own_documents(spark, tmp_path)
+    chars = {f"src{s}": sum(len(t or "") for _, x, t in rows if x == f"src{s}") for s in range(3)}
+    caps = {n: c * (i + 1) // C.TRAIN_CHARS for i, (n, c) in enumerate(chars.items())}
+    expect = _view_by_loop(C.BPE, rows, caps, C.BPE_SEQ, C.EPOCHS, C.BATCH_SIZE, C.MICRO_BATCH)
+    assert any(sum(x[6]) == 0 for x in expect) and any(0 < sum(x[6]) < C.BPE_SEQ for x in expect) and any(sum(x[6]) == C.BPE_SEQ for x in expect)
+    got = C.q_training_view(spark, str(tmp_path)).orderBy("pos").collect()
+    numbers = lambda text: [int(i) for i in text.split(",")]
+    assert [(*(r[c] for c in ("epoch", "pos", "doc_id", "batch_id", "micro_id")), numbers(r["input_ids"]), numbers(r["attention_mask"])) for r in got] == expect
+
+
+def test_training_view_drops_examples_without_ids_p9(spark, tmp_path):
+    from quarry.functions.tokenize import TokenizerSpec
+
+    spec, rows = TokenizerSpec(), _own_documents(spark, tmp_path)
+    reg = documents_registry(str(tmp_path))
+    caps = {s.name: 10**9 for s in reg}
+    for empty in ("pad", "drop"):
+        got = CP.training_view(spark, reg, spec, 32, 2, 8, 2, 2, empty).orderBy("pos").collect()
+        got = [(r["epoch"], r["pos"], r["doc_id"], r["batch_id"], r["micro_id"], r["input_ids"], r["attention_mask"]) for r in got]
+        assert got == _view_by_loop(spec, rows, caps, 32, 2, 8, 2, empty)
+    assert CP.training_view(spark, reg, spec, 0, 2, 8, 2, 2).count() == 0  # no id fits an example of no length
+
+
 def test_sequence_shards_from_files_in_order(spark, tmp_path):
     from quarry.functions.tokenize import TokenizerSpec
 
