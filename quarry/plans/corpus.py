@@ -233,9 +233,10 @@ def training_view(spark: SparkSession, registry: list[REG.SourceSpec], tokenizer
     merged, opened = _merged_sources(spark, registry, "doc_id", T.resolve_text_first_nonempty, "skip")
     merged = merged.withColumn("_e", F.col("text") == "")
     keys = ["source", "source_idx", "doc_id"]
-    # ids once; everything is planned on (keys, n_tokens), examples are built for the rows that stay
+    # ids once, whole texts counted, what no example has room for not stored; everything is planned on (keys, n_tokens), examples are
+    # built for the rows that stay
     enc = cut_lineage(encode(merged.select(*keys, "_e", "text"), tokenizer, "text", [*keys, "_e"], "_ids", add_special_tokens=False)
-                      .withColumn("n_tokens", F.size("_ids").cast("long")))
+                      .select(*keys, "_e", F.size("_ids").cast("long").alias("n_tokens"), SQ.truncate("_ids", seq_length).alias("_ids")))
     plan = cut_lineage(O.interleave(_apply_caps(enc.select(*keys, "_e", "n_tokens"), registry), "doc_id", "source_idx", expected=opened))
     if empty == "drop":  # known before the examples are built, so that positions are counted on the plan
         plan = cut_lineage(O.global_position(plan.filter(~F.col("_e")).withColumnRenamed("pos", "_at"), "_at").drop("_at"))
